@@ -56,8 +56,20 @@ def tag_prompt(c, user_tag: str = DEFAULT_USER_TAG, assistant_tag: str = DEFAULT
 
 
 def is_valid_json(c) -> Column:
-    """Text parses as JSON (null and empty text are not JSON)."""
-    return F.coalesce(F.try_parse_json(_c(c)).isNotNull(), F.lit(False))
+    """The whole text is one JSON value (null and empty text are not JSON).
+
+    ``try_parse_json`` alone accepts a leading value followed by other text
+    (``"k": 1}``), so the text must also parse inside an array and as the value
+    of an object member; a bare ``null`` is the one value the member check
+    returns as SQL null. Repeated keys and ``NaN`` are rejected (Python accepts
+    them; see README).
+    """
+    col = _c(c)
+    member = F.get_json_object(F.concat(F.lit('{"x":'), col, F.lit("}")), "$.x")
+    ok = (F.try_parse_json(col).isNotNull()
+          & F.try_parse_json(F.concat(F.lit("["), col, F.lit("]"))).isNotNull()
+          & (member.isNotNull() | (strip_ws(col) == F.lit("null"))))
+    return F.coalesce(ok, F.lit(False))
 
 
 # scheme ":" "//" host; the host part must be non-empty
