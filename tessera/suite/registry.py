@@ -24,9 +24,9 @@ FLAGSHIP_SQL = None
 
 
 def all_queries():
-    from tessera.suite import ask_q, chain_q, library_q, memory_q, pages_q, text_q
+    from tessera.suite import ask_q, chain_q, io_q, library_q, memory_q, pages_q, text_q
 
     out = {}
-    for mod in (library_q, memory_q, ask_q, text_q, pages_q, chain_q):
+    for mod in (library_q, memory_q, ask_q, text_q, pages_q, chain_q, io_q):
         out.update(mod.QUERIES)
     return out
