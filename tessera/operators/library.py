@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, sentences
+from tessera.session import checkpoint_root
 
 # Fixed values that must equal the reference's for right results.
 MAX_CHUNK_CHARS = 1024
@@ -212,74 +213,125 @@ def sq_dist(a, b):
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFrame | None = None,
            qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
-           chash: str = "content_hash", n_cells: int = 64, rows_per_bucket: int = 20000) -> DataFrame:
+           chash: str = "content_hash", n_cells: int = 64, rows_per_bucket: int = 4096,
+           queries_per_part: int = 4096) -> DataFrame:
     """Exact k nearest chunks per query by squared L2, restricted to ``ids``.
 
     Result: ``qid, rank, cid, dist`` with ``dist`` rounded to 6 digits, ties by id.
 
-    No cross join. The candidate chunks are put into cells around a bounded
-    number of centroids (a fixed-size literal, so its broadcast size is known).
-    From the per-cell counts and radii every query gets an upper bound on its
-    k-th distance; only cells whose lower bound is within it are joined, on
-    the cell key. This is exact: any chunk of a pruned cell is farther than k
-    others. Big cells are split into sub-buckets by id so no join key holds
-    more than ``rows_per_bucket`` chunks.
+    No cross join and no all-pairs. The candidate chunks are put into cells
+    around at most ``n_cells`` centroids (a fixed-size list shipped with the
+    task closure, so its size is known). From the per-cell counts and radii
+    every query gets an upper bound on its k-th distance, and only cells whose
+    lower bound is within it are probed; this is exact, since a chunk of a
+    pruned cell is farther than k others. Probes meet chunks in a cogroup on
+    ``(cell, sub-bucket, query part)``: big cells are split into sub-buckets of
+    at most ``rows_per_bucket`` chunks and the queries into parts of about
+    ``queries_per_part``, so every block is bounded. Distances are computed in
+    numpy blocks (Spark 4.1 has no vector functions and higher-order lambdas
+    run interpreted), summed left to right in float64 like the SQL twin.
     """
+    import numpy as np
+    import pandas as pd
+
     spark = chunks.sparkSession
     cand = chunks
     if ids is not None:
         cand = cand.join(ids.select(F.col(ids.columns[0]).alias(chash)).distinct(), chash, "left_semi")
-    cand = cand.select(ckey, F.col(cvec).alias("_v"))
-
-    cents = [r[0] for r in cand.orderBy(F.xxhash64(ckey), ckey).select("_v").limit(n_cells).collect()]
+    # The index is built in a few jobs (centroids, cell stats, query count,
+    # search); cut the lineage once so upstream work (ingest, chunking,
+    # embedding) runs once. checkpoint() writes to spark.checkpoint.dir.
+    checkpoint_root(spark)
+    cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).alias("v")).checkpoint()
+    qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q")).checkpoint()
+    ctype = dict(cand.dtypes)["cid"]
+    qtype = dict(qs.dtypes)["qid"]
+
+    cents = [r[0] for r in cand.orderBy(F.xxhash64("cid"), "cid").select("v").limit(n_cells).collect()]
     if not cents:
-        return spark.createDataFrame([], f"{qkey} long, rank int, {ckey} long, dist double")
-    cent_lit = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in cents])
-
-    def cent_dists(v):
-        return F.transform(cent_lit, lambda c: F.sqrt(sq_dist(c, v)))
-
-    placed = _once(cand, "_cd", cent_dists(F.col("_v")))
-    placed = placed.select(
-        ckey, "_v",
-        (F.array_position("_cd", F.array_min("_cd")) - 1).cast("int").alias("_cell"),
-        F.array_min("_cd").alias("_r"),
-    )
-    stats = {r["_cell"]: (r["n"], r["r"]) for r in
-             placed.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_r").alias("r")).collect()}
-    cells = sorted(stats)
-    nsub = {c: max(1, math.ceil(stats[c][0] / rows_per_bucket)) for c in cells}
-    nsub_map = F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(nsub[c]))])
-    placed = placed.withColumn("_sub", F.pmod(F.xxhash64(ckey), nsub_map[F.col("_cell")]).cast("int"))
-
-    info = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(stats[c][0]).alias("n"),
-                              F.lit(float(stats[c][1])).alias("r"), F.lit(nsub[c]).alias("nsub")) for c in cells])
-    q = _once(queries.select(F.col(qkey), F.col(qvec).alias("_q")), "_qd", cent_dists(F.col("_q")))
-    # per cell: lower and upper bound of any member's distance to the query
-    q = _once(q, "_cells", F.transform(info, lambda s: F.struct(
-        s["cell"].alias("cell"), s["n"].alias("n"), s["nsub"].alias("nsub"),
-        F.greatest(F.element_at("_qd", s["cell"] + 1) - s["r"], F.lit(0.0)).alias("lb"),
-        (F.element_at("_qd", s["cell"] + 1) + s["r"]).alias("ub"))))
-    by_ub = F.array_sort("_cells", lambda a, b: F.when(a["ub"] < b["ub"], -1).when(a["ub"] > b["ub"], 1).otherwise(0))
-    tau = F.aggregate(
-        by_ub, F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("tau")),
-        lambda acc, s: F.struct((acc["cum"] + s["n"]).alias("cum"),
-                                F.when(acc["tau"].isNull() & (acc["cum"] + s["n"] >= k), s["ub"])
-                                .otherwise(acc["tau"]).alias("tau")),
-        lambda acc: F.coalesce(acc["tau"], F.lit(float("inf"))),
-    )
-    q = _once(q, "_tau", tau * (1 + 1e-9) + 1e-9)
-    q = q.withColumn("_probe", F.filter("_cells", lambda s: s["lb"] <= F.col("_tau")))
-    q = q.select(qkey, "_q", "_tau", F.explode("_probe").alias("p")).select(
-        qkey, "_q", "_tau", F.col("p.cell").alias("_cell"),
-        F.explode(F.sequence(F.lit(0), F.col("p.nsub") - 1)).alias("_sub"))
-
-    pairs = q.join(placed, ["_cell", "_sub"])
-    pairs = pairs.select(qkey, ckey, F.round(sq_dist("_q", "_v"), 6).alias("dist"), "_tau")
-    pairs = pairs.filter(F.col("dist") <= F.col("_tau") * F.col("_tau") * (1 + 1e-9) + 1e-9)
-    w = Window.partitionBy(qkey).orderBy(F.col("dist"), F.col(ckey))
+        return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
+    C = np.asarray(cents, dtype=np.float64)
+
+    def seq_sqdist(A, B):
+        """|A| x |B| squared distances, summed over dims in order (float64)."""
+        acc = np.zeros((A.shape[0], B.shape[0]))
+        for d in range(A.shape[1]):
+            diff = A[:, d, None] - B[None, :, d]
+            acc += diff * diff
+        return acc
+
+    def place(it):
+        for pdf in it:
+            V = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, C.shape[1]))
+            D = np.sqrt(seq_sqdist(V, C))
+            cell = D.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
+            yield pd.DataFrame({"cid": pdf["cid"], "v": pdf["v"], "cell": cell.astype("int32"),
+                                "r": D[np.arange(len(pdf)), cell] if len(pdf) else np.zeros(0)})
+
+    placed = cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double")
+    stats = {r["cell"]: (r["n"], r["r"]) for r in
+             placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()}
+    cells = np.array(sorted(stats), dtype=int)
+    counts = np.array([stats[c][0] for c in cells], dtype=np.int64)
+    radii = np.array([stats[c][1] for c in cells], dtype=np.float64)
+    nsub = np.maximum(1, -(-counts // rows_per_bucket))
+    n_queries = qs.count()
+    nparts = max(1, -(-n_queries // queries_per_part))
+    nsub_map = F.create_map(*[x for c, m in zip(cells, nsub) for x in (F.lit(int(c)), F.lit(int(m)))])
+    blocks = (placed.withColumn("sub", F.pmod(F.xxhash64("cid"), nsub_map[F.col("cell")]).cast("int"))
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nparts - 1)))))
+
+    def probe(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            Q = np.stack(pdf["q"].to_numpy()).astype(np.float64)
+            dq = np.sqrt(seq_sqdist(Q, C))[:, cells]            # distance to each non-empty cell's centroid
+            lb, ub = np.maximum(dq - radii, 0.0), dq + radii
+            order = np.argsort(ub, axis=1, kind="stable")
+            cum = np.cumsum(counts[order], axis=1)
+            first = (cum >= k).argmax(axis=1)
+            enough = cum[:, -1] >= k
+            tau = np.where(enough, np.take_along_axis(ub, order, 1)[np.arange(len(Q)), first], np.inf)
+            tau = tau * (1 + 1e-9) + 1e-9
+            qi, ci = np.nonzero(lb <= tau[:, None])
+            reps = nsub[ci]
+            qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
+            sub = np.concatenate([np.arange(m) for m in nsub[np.nonzero(lb <= tau[:, None])[1]]]) if len(reps) else []
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "q": pdf["q"].to_numpy()[qi],
+                                "tau": tau[qi], "cell": cells[ci].astype("int32"),
+                                "sub": np.asarray(sub, dtype="int32")})
+
+    probes = qs.mapInPandas(probe, f"qid {qtype}, q array<float>, tau double, cell int, sub int")
+    probes = probes.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(nparts)).cast("int"))
+
+    def block_topk(qpdf, cpdf):
+        if not len(qpdf) or not len(cpdf):
+            return pd.DataFrame({"qid": [], "cid": [], "dist": []})
+        Cv = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
+        cids = cpdf["cid"].to_numpy()
+        out_q, out_c, out_d = [], [], []
+        for s in range(0, len(qpdf), 512):                     # bounded matrix per slice
+            part = qpdf.iloc[s:s + 512]
+            Qv = np.stack(part["q"].to_numpy()).astype(np.float64)
+            D = np.round(seq_sqdist(Qv, Cv), 6)
+            taus = part["tau"].to_numpy()
+            for i, qid in enumerate(part["qid"].to_numpy()):
+                ok = np.nonzero(D[i] <= taus[i] * taus[i] * (1 + 1e-9) + 1e-9)[0]
+                if not len(ok):
+                    continue
+                sel = ok[np.lexsort((cids[ok], D[i, ok]))[:k]]
+                out_q.extend([qid] * len(sel))
+                out_c.extend(cids[sel])
+                out_d.extend(D[i, sel])
+        return pd.DataFrame({"qid": out_q, "cid": out_c, "dist": out_d})
+
+    keys = ["cell", "sub", "part"]
+    pairs = probes.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
+        block_topk, f"qid {qtype}, cid {ctype}, dist double")
+    w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("cid"))
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(qkey, "rank", ckey, "dist")
+    return ranked.select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
 
 
 # D8 ------------------------------------------------------------------------
