@@ -104,8 +104,16 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
     Returns the kept turns with ``suffix_chars`` (history length from that turn on).
     """
     cost = F.length("user_prompt") + F.length("llm_answer") + 2
-    w = Window.partitionBy(*SESSION).orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    t = turns.withColumn("suffix_chars", F.sum(cost).over(w).cast("bigint"))
+    # Every turn costs at least 2 characters, so at most budget/2 + 1 of the
+    # newest turns can fit. The row-number limit runs as a partial
+    # WindowGroupLimit before the shuffle, so even a session holding a third
+    # of all rows sends a bounded number of rows per task; the result is the
+    # same as without it.
+    newest = int(max_tok * TOKEN_CHARS // 2) + 1
+    order = Window.partitionBy(*SESSION).orderBy(F.col("ts").desc())
+    t = turns.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= newest)
+    t = t.withColumn("suffix_chars", F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0))
+                     .cast("bigint")).drop("_rn")
     extra = F.lit(0)
     if prompts is not None:
         t = t.join(prompts.select(*SESSION, F.length(F.concat(F.lit(user_tag), "prompt", F.lit(assistant_tag)))
