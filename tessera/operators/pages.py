@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_valid_json, is_valid_url
+from tessera.functions.text import is_valid_json, is_valid_url, strip_ws
 
 # Fixed values that must equal the reference's for right results.
 WEB_TEXT_CHARS = 7500
@@ -31,18 +31,22 @@ TAG = r"<[/!?]?[A-Za-z][^>]*>"
 # block-level containers that may carry a removed class (flat blocks)
 CLASS_TAGS = ("div", "section", "aside", "span", "ul", "p")
 
-NON_TEXT = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+NON_TEXT = r"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 
 
-def _removals() -> list[str]:
-    pats = [rf"(?is)<{t}\b[^>]*>.*?</{t}>" for t in REMOVED_TAGS]
+def removal_pattern() -> str:
+    """One alternation for everything dropped before the text is taken:
+    script/style/comments, ``nav``/``footer`` blocks and elements of a removed
+    class. One regex pass over the page instead of one per kind."""
     cls = "|".join(REMOVED_CLASSES)
-    pats += [rf"(?is)<{t}\b[^>]*\bclass=\"[^\"]*\b(?:{cls})\b[^\"]*\"[^>]*>.*?</{t}>" for t in CLASS_TAGS]
-    return pats
+    alts = [NON_TEXT] + [rf"<{t}\b[^>]*>.*?</{t}>" for t in REMOVED_TAGS]
+    alts += [rf"<{t}\b[^>]*\bclass=\"[^\"]*\b(?:{cls})\b[^\"]*\"[^>]*>.*?</{t}>" for t in CLASS_TAGS]
+    return "(?is)" + "|".join(alts)
 
 
-ARTICLE = r"(?is)<article\b[^>]*>(.*?)</article>"
-MAIN_DIV = rf"(?is)<div\b[^>]*\bclass=\"[^\"]*\b{MAIN_CLASS}\b[^\"]*\"[^>]*>(.*?)</div>"
+ARTICLE = r"(?is)<article\b[^>]*>.*?</article>"
+MAIN_DIV = rf"(?is)<div\b[^>]*\bclass=\"[^\"]*\b{MAIN_CLASS}\b[^\"]*\"[^>]*>.*?</div>"
+OUTER_TAGS = r"(?is)^<[^>]*>|<[^>]*>$"
 
 
 def _text_of(fragment: Column) -> Column:
@@ -65,12 +69,10 @@ def main_text(html, limit: int = WEB_TEXT_CHARS) -> Column:
     them; cut at ``limit`` characters.
     """
     h = F.col(html) if isinstance(html, str) else html
-    h = F.regexp_replace(h, NON_TEXT, "")
-    for p in _removals():
-        h = F.regexp_replace(h, p, "")
-    focus = (F.when(h.rlike(ARTICLE), F.regexp_extract(h, ARTICLE, 1))
-             .when(h.rlike(MAIN_DIV), F.regexp_extract(h, MAIN_DIV, 1))
-             .otherwise(h))
+    h = F.regexp_replace(h, removal_pattern(), "")
+    # first match or null (one pass each); the outer tags are cut from the match
+    focus = F.coalesce(F.regexp_substr(h, F.lit(ARTICLE)), F.regexp_substr(h, F.lit(MAIN_DIV)))
+    focus = F.when(focus.isNull(), h).otherwise(F.regexp_replace(focus, OUTER_TAGS, ""))
     return F.substring(_text_of(focus), 1, limit)
 
 
@@ -89,14 +91,16 @@ def first_page(df: DataFrame, col: str, pages: DataFrame, key: str = "row_id", i
     """H2: text of the first good page named by ``col``.
 
     ``col`` holds a JSON object of URLs (tried in key order) or one URL (quotes
-    removed); ``['...']`` wrapping is dropped first. Invalid URLs, pages not in
+    removed, also when the text is a JSON string, where the reference fails);
+    ``['...']`` wrapping is dropped first. Invalid URLs, pages not in
     the crawl and ``Error:`` texts are skipped. Candidates are joined to the
     crawl on ``url`` and the first success per row is ``min_by(text, pos)``:
     partial aggregation, no window.
     """
     q = F.col(col)
     q = F.when(q.startswith("['") & q.endswith("']"), F.substring(q, F.lit(3), F.length(q) - 4)).otherwise(q)
-    base = df.withColumn("_q", q).withColumn("_json", is_valid_json("_q"))
+    # only a JSON object is a URL list; a JSON string is one quoted URL
+    base = df.withColumn("_q", q).withColumn("_json", is_valid_json("_q") & strip_ws("_q").startswith("{"))
     urls = F.when(F.col("_json"), F.from_json("_q", "map<string,string>")).otherwise(
         F.create_map(F.lit("url"), F.replace("_q", F.lit('"'), F.lit(""))))
     cand = base.select(key, "_json", F.posexplode_outer(urls).alias("_pos", "_k", "url"))
@@ -125,8 +129,15 @@ def _words(c) -> Column:
 
 
 def page_index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings ``(page_id, tok, tf, dl)`` and page rows ``(page_id, url, title, snippet)``."""
-    docs = pages.select("page_id", "url", page_title("html").alias("title"), main_text("html").alias("text"))
+    """Postings ``(page_id, tok, tf, dl)`` and page rows ``(page_id, url, title, snippet)``.
+
+    The page texts are written once (``checkpoint``) and both outputs read them.
+    """
+    from tessera.session import checkpoint_root
+
+    checkpoint_root(pages.sparkSession)
+    docs = pages.select("page_id", "url", page_title("html").alias("title"),
+                        main_text("html").alias("text")).checkpoint()
     toks = docs.select("page_id", F.explode(_words("text")).alias("tok"))
     tf = toks.groupBy("page_id", "tok").agg(F.count("*").alias("tf"))
     dl = toks.groupBy("page_id").agg(F.count("*").alias("dl"))
@@ -145,6 +156,7 @@ def search_pages(queries: DataFrame, pages: DataFrame, qkey: str = "qid", qtext:
     shuffle too). Ties go to the lower page id.
     """
     postings, meta = page_index(pages)
+    postings = postings.checkpoint()  # used by three jobs: statistics, document frequency, scoring
     stats = postings.agg(F.countDistinct("page_id").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
     dfreq = postings.groupBy("tok").agg(F.count("*").alias("df"))

@@ -24,17 +24,16 @@ def d_text_of(fragment: str) -> str:
 
 def d_main_text_ctes(src: str = "pages", name: str = "mt") -> str:
     """CTEs ending in ``{name}(page_id, url, html, text)``."""
-    steps = [f"{name}0 AS (SELECT page_id, url, html, regexp_replace(html, '{_q(P.NON_TEXT)}', '', 'g') AS h FROM {src})"]
-    for i, p in enumerate(P._removals(), start=1):
-        steps.append(f"{name}{i} AS (SELECT page_id, url, html, regexp_replace(h, '{_q(p)}', '', 'g') AS h "
-                     f"FROM {name}{i - 1})")
-    last = f"{name}{len(P._removals())}"
-    focus = (f"CASE WHEN regexp_matches(h, '{_q(P.ARTICLE)}') THEN regexp_extract(h, '{_q(P.ARTICLE)}', 1) "
-             f"WHEN regexp_matches(h, '{_q(P.MAIN_DIV)}') THEN regexp_extract(h, '{_q(P.MAIN_DIV)}', 1) ELSE h END")
-    steps.append(f"{name}f AS (SELECT page_id, url, html, {focus} AS focus FROM {last})")
-    steps.append(f"{name} AS (SELECT page_id, url, html, substr({d_text_of('focus')}, 1, {P.WEB_TEXT_CHARS}) AS text "
-                 f"FROM {name}f)")
-    return ",\n".join(steps)
+    art, div = P.ARTICLE, P.MAIN_DIV
+    return f"""{name}0 AS (SELECT page_id, url, html, regexp_replace(html, '{_q(P.removal_pattern())}', '', 'g') AS h
+        FROM {src}),
+{name}f AS (SELECT page_id, url, html, CASE
+        WHEN regexp_extract(h, '{_q(art)}', 0) <> '' THEN regexp_replace(regexp_extract(h, '{_q(art)}', 0),
+             '{_q(P.OUTER_TAGS)}', '', 'g')
+        WHEN regexp_extract(h, '{_q(div)}', 0) <> '' THEN regexp_replace(regexp_extract(h, '{_q(div)}', 0),
+             '{_q(P.OUTER_TAGS)}', '', 'g')
+        ELSE h END AS focus FROM {name}0),
+{name} AS (SELECT page_id, url, html, substr({d_text_of('focus')}, 1, {P.WEB_TEXT_CHARS}) AS text FROM {name}f)"""
 
 
 def h1_main_text(spark, sf):
@@ -68,7 +67,8 @@ inp AS (
   UNION ALL SELECT page_id * 10 + 1, '"' || url || '"' FROM pages
   UNION ALL SELECT page_id * 10 + 2, url FROM pages
   UNION ALL SELECT page_id * 10 + 3, 'page ' || page_id FROM pages),
-j AS (SELECT row_id, q, coalesce(json_valid(q), false) AS isj FROM inp),
+j AS (SELECT row_id, q, CASE WHEN coalesce(json_valid(q), false) THEN json_type(q) = 'OBJECT' ELSE false END AS isj
+      FROM inp),
 cand AS (
   SELECT row_id, isj, i AS pos, json_extract_string(q, '$.' || json_keys(q)[i]) AS url
   FROM (SELECT *, unnest(generate_series(1, len(json_keys(q)))) AS i FROM j WHERE isj)
