@@ -40,9 +40,23 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
 
 
 # F7 ------------------------------------------------------------------------
-def chat_pairs(rows: DataFrame) -> DataFrame:
+def chat_pairs(rows: DataFrame, seq: str | None = "turn") -> DataFrame:
     """``(prompt, answer)`` per user row; the answer is the next row's text
-    when that row is the assistant's, else empty text."""
+    when that row is the assistant's, else empty text.
+
+    With ``seq`` (consecutive integers within a session, like ``turn``) the next
+    row is found by an equi-join on ``(session, seq + 1)``, which shuffles on the
+    composite key, so a session with a third of all rows is spread over many
+    tasks. Without it a ``lead`` window by time is used (one task per session).
+    """
+    if seq is not None and seq in rows.columns:
+        users = rows.filter(F.col("role") == "user").select(*SESSION, "ts", seq, F.col("text").alias("user_prompt"))
+        nxt = rows.select(*SESSION, (F.col(seq) - 1).alias(seq), F.col("role").alias("_nrole"),
+                          F.col("text").alias("_ntext"))
+        joined = users.join(nxt, [*SESSION, seq], "left")
+        return joined.select(*SESSION, "ts", "user_prompt",
+                             F.when(F.col("_nrole") == "assistant", F.col("_ntext")).otherwise(F.lit(""))
+                             .alias("llm_answer"))
     w = Window.partitionBy(*SESSION).orderBy("ts")
     nxt = rows.select(*SESSION, "ts", "role", "text",
                       F.lead("role").over(w).alias("_nrole"), F.lead("text").over(w).alias("_ntext"))

@@ -78,3 +78,13 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pairs_join_equals_window(spark):
+    from tests.conftest import SF
+
+    rows = M.conversation_turns(spark.read.parquet(f"{SF}/conversations.parquet"))
+    by_join = M.chat_pairs(rows, seq="turn")
+    by_window = M.chat_pairs(rows, seq=None)
+    assert by_join.count() == by_window.count()
+    assert by_join.exceptAll(by_window).count() == 0
