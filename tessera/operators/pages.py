@@ -151,10 +151,9 @@ def page_index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     checkpoint_root(pages.sparkSession)
     docs = pages.select("page_id", "url", page_title("html").alias("title"),
                         main_text("html").alias("text")).checkpoint()
-    toks = docs.select("page_id", F.explode(_words("text")).alias("tok"))
-    tf = toks.groupBy("page_id", "tok").agg(F.count("*").alias("tf"))
-    dl = toks.groupBy("page_id").agg(F.count("*").alias("dl"))
-    postings = tf.join(dl, "page_id")
+    words = docs.select("page_id", _words("text").alias("w"))
+    toks = words.select("page_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("tok"))
+    postings = toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf"))
     meta = docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
     return postings, meta
 
