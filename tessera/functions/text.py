@@ -147,4 +147,4 @@ def sentences(c) -> Column:
     Leading/trailing whitespace is dropped and empty pieces are removed.
     """
     marked = F.regexp_replace(strip_ws(c), SENTENCE_BREAK, "$1\u0001")
-    return F.filter(F.split(marked, "\u0001"), lambda s: F.length(s) > 0)
+    return F.array_remove(F.split(marked, "\u0001"), "")

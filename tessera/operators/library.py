@@ -141,7 +141,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 def hash_tokens(text_col) -> "F.Column":
     """Lower-cased word tokens of a text, empty pieces removed."""
     col = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.filter(F.split(F.lower(col), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(col), TOKEN_SPLIT), "")
 
 
 def token_bucket(tok, dim: int = DEFAULT_DIM):

@@ -138,7 +138,7 @@ SNIPPET_CHARS = 200
 
 
 def _words(c) -> Column:
-    return F.filter(F.split(F.lower(c), WORD_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(F.lower(c), WORD_SPLIT), "")
 
 
 def page_index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
