@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,13 +182,12 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
 
 
 def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def _encode(texts: pd.Series) -> pd.Series:
         return pd.Series(list(encoder(texts.fillna(""))))
 
-    return df.select(key, _encode(F.col(text_col)).alias("embedding"))
+    # nondeterministic: Catalyst must not run the model twice for one row
+    return df.select(key, _encode.asNondeterministic()(F.col(text_col)).alias("embedding"))
 
 
 # D7 ------------------------------------------------------------------------

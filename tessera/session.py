@@ -42,7 +42,7 @@ def get_spark(master: str | None = None, app: str = "tessera", partitions: int |
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.ansi.enabled", os.environ.get("TESSERA_ANSI", "false"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -65,3 +65,14 @@ def test_search_exact_against_brute_force(spark):
 def test_assemble_context(spark):
     hits = spark.createDataFrame([(1, 2, "b", "s2"), (1, 1, "a", "s1")], "qid long, rank int, text string, source string")
     assert L.assemble_context(hits).first()["context"] == "a\n [Source: s1]\nb\n [Source: s2]\n"
+
+
+def test_plugged_encoder(spark):
+    import numpy as np
+
+    def encoder(texts):
+        return [np.array([len(t), 1.0], dtype=np.float32) for t in texts]
+
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, t string")
+    got = {r.id: list(r.embedding) for r in L.embed(df, "id", "t", encoder=encoder).collect()}
+    assert got == {1: [2.0, 1.0], 2: [4.0, 1.0]}

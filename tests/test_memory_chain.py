@@ -88,3 +88,12 @@ def test_pairs_join_equals_window(spark):
     by_window = M.chat_pairs(rows, seq=None)
     assert by_join.count() == by_window.count()
     assert by_join.exceptAll(by_window).count() == 0
+
+
+def test_complete_with_format(spark):
+    from tessera.functions.guided import named_regex
+
+    df = spark.createDataFrame([('{"df": "SELECT 1"}',), ("free text",)], "p string")
+    col = K.complete("p", lambda: (lambda ps: ps), fmt_regex=named_regex("singleexpression"))
+    got = [r[0] for r in df.select(col).collect()]
+    assert got == ['{"df": "SELECT 1"}', K.FORMAT_ERROR]
