@@ -20,8 +20,8 @@ MAX_CHUNK_CHARS = 1024
 SEARCH_K = 5
 SOURCE_OPEN = "\n [Source: "
 SOURCE_CLOSE = "]\n"
-ADDED_MSG = "Document{title}added to collection and embedded"
-EXISTING_MSG = "Document {title} is already existing in the collection and loaded"
+ADDED_MSG = ("Document", "added to collection and embedded")
+EXISTING_MSG = ("Document ", " is already existing in the collection and loaded")
 
 DEFAULT_DIM = 384
 
@@ -129,9 +129,8 @@ def ingest_status(new_docs: DataFrame, library_hashes: DataFrame | None, text_co
         order_col,
         "content_hash",
         F.when(added, F.lit("added")).otherwise(F.lit("existing")).alias("status"),
-        F.when(added, F.concat(F.lit("Document"), F.col(title_col), F.lit("added to collection and embedded")))
-        .otherwise(F.concat(F.lit("Document "), F.col(title_col),
-                            F.lit(" is already existing in the collection and loaded"))).alias("message"),
+        F.when(added, F.concat(F.lit(ADDED_MSG[0]), F.col(title_col), F.lit(ADDED_MSG[1])))
+        .otherwise(F.concat(F.lit(EXISTING_MSG[0]), F.col(title_col), F.lit(EXISTING_MSG[1]))).alias("message"),
     )
 
 

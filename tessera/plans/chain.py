@@ -14,7 +14,7 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.guided import named_regex
@@ -211,7 +211,7 @@ def _execute(df, inp, ctx, **_):
         ctx.last_result = res
         texts.append((s, A.report(res, msg, "last_result")["text"]))
     table = ctx.spark.createDataFrame(texts, "_s string, _t string")
-    out = df.withColumn("_s", inp).join(F.broadcast(table), "_s", "left")
+    out = df.withColumn("_s", inp).join(table, "_s", "left")  # AQE picks the join side
     return out.withColumn("result", F.coalesce("_t", F.lit(A.FAILED_MSG))).drop("_s", "_t")
 
 
@@ -329,6 +329,3 @@ def run_program(prompts: DataFrame, catalog: dict, start: str, ctx: ChainContext
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
-
-def as_column(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c

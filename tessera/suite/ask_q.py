@@ -247,14 +247,19 @@ I5_SQL = """SELECT n_lines, count(*) AS n_orders FROM
 
 
 def i6_register_dataset(spark, sf):
-    names = ["customer", "orders", "lineitem"]
-    catalog = None
-    for _ in range(2):  # registering the same tables twice adds nothing new
-        for n in names:
-            row = A.register_dataset(T(spark, sf, n), catalog, n)
-            catalog = row if catalog is None else catalog.unionByName(row)
-        catalog = spark.createDataFrame(catalog.collect(), catalog.schema)  # a few rows: the catalog itself
-    return catalog.select("table_name", "n_rows")
+    """Register three tables into a catalog table, then the same three again: nothing new is added."""
+    from tessera.sources.tables import append
+
+    store = scratch_path(spark, "catalog")
+    path = f"{store}/datasets"
+    for _ in range(2):
+        for n in ["customer", "orders", "lineitem"]:
+            try:
+                catalog = spark.read.parquet(path)
+            except Exception:  # noqa: BLE001 - empty catalog
+                catalog = None
+            append(A.register_dataset(T(spark, sf, n), catalog, n), store, "datasets")
+    return spark.read.parquet(path).select("table_name", "n_rows")
 
 
 I6_SQL = ("SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL "
