@@ -212,8 +212,8 @@ def sq_dist(a, b):
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFrame | None = None,
            qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
-           chash: str = "content_hash", n_cells: int = 64, rows_per_bucket: int = 4096,
-           queries_per_part: int = 4096) -> DataFrame:
+           chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
+           queries_per_part: int = 4096, max_cells: int = 1024) -> DataFrame:
     """Exact k nearest chunks per query by squared L2, restricted to ``ids``.
 
     Result: ``qid, rank, cid, dist`` with ``dist`` rounded to 6 digits, ties by id.
@@ -223,7 +223,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
     task closure, so its size is known). From the per-cell counts and radii
     every query gets an upper bound on its k-th distance, and only cells whose
     lower bound is within it are probed; this is exact, since a chunk of a
-    pruned cell is farther than k others. Probes meet chunks in a cogroup on
+    pruned cell is farther than k others. By default there are about sqrt(n)
+    cells, at most ``max_cells`` (the closure holds ``cells x dim`` doubles). Probes meet chunks in a cogroup on
     ``(cell, sub-bucket, query part)``: big cells are split into sub-buckets of
     at most ``rows_per_bucket`` chunks and the queries into parts of about
     ``queries_per_part``, so every block is bounded. Distances are computed in
@@ -246,6 +247,8 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
     ctype = dict(cand.dtypes)["cid"]
     qtype = dict(qs.dtypes)["qid"]
 
+    if n_cells is None:
+        n_cells = int(min(max_cells, max(8, round(math.sqrt(cand.count())))))
     cents = [r[0] for r in cand.orderBy(F.xxhash64("cid"), "cid").select("v").limit(n_cells).collect()]
     if not cents:
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
@@ -264,7 +267,9 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
             V = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, C.shape[1]))
             D = np.sqrt(seq_sqdist(V, C))
             cell = D.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            yield pd.DataFrame({"cid": pdf["cid"], "v": pdf["v"], "cell": cell.astype("int32"),
+            # plain numpy columns: Arrow-backed pandas strings would come back as chunked arrays
+            yield pd.DataFrame({"cid": pdf["cid"].to_numpy(dtype=object), "v": pdf["v"].to_numpy(dtype=object),
+                                "cell": cell.astype("int32"),
                                 "r": D[np.arange(len(pdf)), cell] if len(pdf) else np.zeros(0)})
 
     placed = cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double")
@@ -297,25 +302,32 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
             reps = nsub[ci]
             qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
             sub = np.concatenate([np.arange(m) for m in nsub[np.nonzero(lb <= tau[:, None])[1]]]) if len(reps) else []
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qi], "q": pdf["q"].to_numpy()[qi],
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=object)[qi], "q": pdf["q"].to_numpy(dtype=object)[qi],
                                 "tau": tau[qi], "cell": cells[ci].astype("int32"),
                                 "sub": np.asarray(sub, dtype="int32")})
 
     probes = qs.mapInPandas(probe, f"qid {qtype}, q array<float>, tau double, cell int, sub int")
     probes = probes.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(nparts)).cast("int"))
 
+    def block_frame(out_q, out_c, out_d):
+        # explicit dtypes: an empty column would default to float64, which Arrow
+        # turns into a chunked array when the declared type is a string
+        return pd.DataFrame({"qid": pd.Series(out_q, dtype=object), "cid": pd.Series(out_c, dtype=object),
+                             "dist": pd.Series(out_d, dtype="float64")})
+
     def block_topk(qpdf, cpdf):
         if not len(qpdf) or not len(cpdf):
-            return pd.DataFrame({"qid": [], "cid": [], "dist": []})
+            out_q, out_c, out_d = [], [], []
+            return block_frame(out_q, out_c, out_d)
         Cv = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
-        cids = cpdf["cid"].to_numpy()
+        cids = cpdf["cid"].to_numpy(dtype=object)
         out_q, out_c, out_d = [], [], []
         for s in range(0, len(qpdf), 512):                     # bounded matrix per slice
             part = qpdf.iloc[s:s + 512]
             Qv = np.stack(part["q"].to_numpy()).astype(np.float64)
             D = np.round(seq_sqdist(Qv, Cv), 6)
             taus = part["tau"].to_numpy()
-            for i, qid in enumerate(part["qid"].to_numpy()):
+            for i, qid in enumerate(part["qid"].to_numpy(dtype=object)):
                 ok = np.nonzero(D[i] <= taus[i] * taus[i] * (1 + 1e-9) + 1e-9)[0]
                 if not len(ok):
                     continue
@@ -323,7 +335,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
                 out_q.extend([qid] * len(sel))
                 out_c.extend(cids[sel])
                 out_d.extend(D[i, sel])
-        return pd.DataFrame({"qid": out_q, "cid": out_c, "dist": out_d})
+        return block_frame(out_q, out_c, out_d)
 
     keys = ["cell", "sub", "part"]
     pairs = probes.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(

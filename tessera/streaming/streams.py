@@ -102,9 +102,12 @@ def _sliding(max_tok: float):
         keep.reverse()
         state.update(([t for t, _ in keep], [c for c in cost[len(cost) - len(keep):]]))
         version = int(pd.Timestamp(ts[-1]).value) if ts else 0
-        yield pd.DataFrame({"user_id": [key[0]] * len(keep), "session_id": [key[1]] * len(keep),
-                            "ts": [t for t, _ in keep], "suffix_chars": [r for _, r in keep],
-                            "version": [version] * len(keep)})
+        # explicit dtypes: an empty frame must not default to float64 columns
+        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(keep), dtype=object),
+                            "session_id": pd.Series([key[1]] * len(keep), dtype=object),
+                            "ts": pd.Series([t for t, _ in keep], dtype="datetime64[ns]"),
+                            "suffix_chars": pd.Series([r for _, r in keep], dtype="int64"),
+                            "version": pd.Series([version] * len(keep), dtype="int64")})
 
     return fn
 

@@ -76,3 +76,13 @@ def test_plugged_encoder(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, t string")
     got = {r.id: list(r.embedding) for r in L.embed(df, "id", "t", encoder=encoder).collect()}
     assert got == {1: [2.0, 1.0], 2: [4.0, 1.0]}
+
+
+def test_search_prunes_far_cells(spark):
+    # two far clusters: a query near one never probes the other, so some blocks are empty
+    rows = [(i, [float(i % 3), 0.0], "a") for i in range(20)] + [(100 + i, [1000.0 + i % 3, 0.0], "b")
+                                                                 for i in range(20)]
+    chunks = spark.createDataFrame(rows, "cid long, embedding array<float>, content_hash string")
+    qs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1001.0, 0.0])], "qid long, qvec array<float>")
+    hits = L.search(qs, chunks, k=2, n_cells=2).orderBy("qid", "rank").collect()
+    assert [(h.qid, h.cid) for h in hits] == [(1, 0), (1, 3), (2, 101), (2, 104)]
