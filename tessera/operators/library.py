@@ -24,6 +24,7 @@ ADDED_MSG = ("Document", "added to collection and embedded")
 EXISTING_MSG = ("Document ", " is already existing in the collection and loaded")
 
 DEFAULT_DIM = 384
+HASH_PREFIX_CHARS = 2  # library partitions: first two hex digits of the content hash (256)
 
 
 # D2 ------------------------------------------------------------------------
@@ -105,8 +106,25 @@ def ingest_documents(new_docs: DataFrame, library_hashes: DataFrame | None, text
     first = _first_per_hash(new_docs, text_col, order_col)
     if library_hashes is None:
         return first
-    known = library_hashes.select("content_hash").distinct()
-    return first.join(known, "content_hash", "left_anti")
+    return first.join(_held(library_hashes, first), "content_hash", "left_anti")
+
+
+def _held(library_hashes: DataFrame, batch: DataFrame) -> DataFrame:
+    """Library hashes that occur in the batch.
+
+    The library is filtered by the batch first (left-semi: the small batch is
+    the build side AQE can broadcast at run time, and with a ``hash_prefix``
+    partition column the scan is pruned), so a large library is not shuffled
+    for every ingest.
+    """
+    keys = ["content_hash"]
+    lib = library_hashes
+    if "hash_prefix" in library_hashes.columns:
+        keys = ["hash_prefix", "content_hash"]
+        batch = batch.withColumn("hash_prefix", F.substring("content_hash", 1, HASH_PREFIX_CHARS))
+    else:
+        lib = lib.select("content_hash")
+    return lib.join(batch.select(*keys).distinct(), keys, "left_semi").select("content_hash").distinct()
 
 
 def ingest_status(new_docs: DataFrame, library_hashes: DataFrame | None, text_col: str = "text",
@@ -119,7 +137,7 @@ def ingest_status(new_docs: DataFrame, library_hashes: DataFrame | None, text_co
     hashed = new_docs.withColumn("content_hash", content_hash(text_col))
     firsts = hashed.groupBy("content_hash").agg(F.min(order_col).alias("_first"))
     if library_hashes is not None:
-        known = library_hashes.select("content_hash").distinct().withColumn("_known", F.lit(True))
+        known = _held(library_hashes, firsts).withColumn("_known", F.lit(True))
         firsts = firsts.join(known, "content_hash", "left")
     else:
         firsts = firsts.withColumn("_known", F.lit(None).cast("boolean"))

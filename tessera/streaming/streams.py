@@ -7,6 +7,7 @@ idempotent (a micro-batch writes its own folder, or skips keys already stored).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,14 @@ from tessera.session import scratch_path
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
+# partition columns are strings: inference would turn a prefix like "01" into 1
+LIBRARY_SCHEMA = ("chunk_id string, chunk_no int, text string, source string, content_hash string, "
+                  "batch string, hash_prefix string")
+
+
+def read_library(spark: SparkSession, library: str) -> DataFrame:
+    """Chunk rows of a library written by ``stream_documents``."""
+    return spark.read.schema(LIBRARY_SCHEMA).parquet(f"{library}/chunks")
 
 
 def _read(spark: SparkSession, path: str, schema: str, glob: str | None, max_files: int | None):
@@ -44,20 +53,28 @@ def stream_documents(spark: SparkSession, src: str, library: str, glob: str | No
     """L1: new document files -> chunk library, deduplicated by content hash.
 
     Each micro-batch keeps the first document per hash, drops hashes already in
-    the library (anti-join) and writes its chunks to its own ``batch=N`` folder
-    with overwrite, so a retried batch replaces its own output.
+    the library (anti-join after a semi-join that prunes the library to the
+    batch's ``hash_prefix`` partitions) and writes its chunks to its own
+    ``batch=N`` folder with overwrite, so a retried batch replaces its own output.
     """
     docs = _read(spark, src, DOC_SCHEMA, glob, max_files)
+    checkpoint = checkpoint or scratch_path(spark, "ckpt-docs")
+    # batch folders are named by query (stable across restarts of the same
+    # checkpoint) and batch number, so two streams into one library never clash
+    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        name = f"{run}-{batch_id}"
         try:
-            held = spark.read.parquet(f"{library}/chunks").filter(F.col("batch") != batch_id).select("content_hash")
+            held = (read_library(spark, library).filter(F.col("batch") != name)
+                    .select("hash_prefix", "content_hash"))
         except Exception:  # noqa: BLE001 - empty library
             held = None
-        new = L.ingest_documents(L.with_title(batch), held)
-        L.chunk_documents(new).write.mode("overwrite").parquet(f"{library}/chunks/batch={batch_id}")
+        new = L.chunk_documents(L.ingest_documents(L.with_title(batch), held))
+        (new.withColumn("hash_prefix", F.substring("content_hash", 1, L.HASH_PREFIX_CHARS))
+         .write.mode("overwrite").partitionBy("hash_prefix").parquet(f"{library}/chunks/batch={name}"))
 
-    _run(docs.writeStream.foreachBatch(per_batch), checkpoint or scratch_path(spark, "ckpt-docs"))
+    _run(docs.writeStream.foreachBatch(per_batch), checkpoint)
 
 
 # L2 ------------------------------------------------------------------------

@@ -110,7 +110,7 @@ A6_SQL = "SELECT o_orderstatus, 2 * count(*) AS n FROM orders GROUP BY o_orderst
 def l1_stream_documents(spark, sf):
     lib = scratch_path(spark, "library")
     S.stream_documents(spark, sf, lib, glob="documents.parquet")
-    ch = spark.read.parquet(f"{lib}/chunks")
+    ch = S.read_library(spark, lib)
     return ch.select("chunk_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), "source", "content_hash",
                      F.length("text").cast("bigint").alias("n_chars"))
 
