@@ -173,23 +173,26 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
     With ``encoder`` (a function ``pandas.Series[str] -> list of vectors``) the
     texts go through an Arrow ``pandas_udf`` and the model is loaded once per
     worker. Without one the native hashing encoder is used: token counts per
-    bucket, L2-normalised, computed with explode + two aggregations on ``key``.
+    bucket, L2-normalised, computed with explode + two aggregations on ``key``
+    (the first combines map-side; the second holds at most ``dim`` entries).
     """
     if encoder is not None:
         return _embed_with_encoder(df, key, text_col, encoder)
     toks = df.select(key, F.explode(hash_tokens(text_col)).alias("tok"))
     counts = toks.groupBy(key, token_bucket(F.col("tok"), dim).alias("b")).agg(F.count("*").alias("n"))
     vecs = counts.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"),
+        F.array_sort(F.collect_list(F.struct("b", "n"))).alias("e"),   # at most dim entries per key
         F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"),
     )
-    dense = vecs.select(
-        key,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: (F.coalesce(F.col("m")[i], F.lit(0)) / F.col("norm")).cast("float"),
-        ).alias("embedding"),
-    )
+    # dense vector in one linear pass: each sorted entry becomes the zeros of
+    # the gap before it plus its value; then the trailing zeros
+    bs = F.transform("e", lambda x: x["b"])
+    prev = F.concat(F.array(F.lit(-1).cast("long")), F.slice(bs, 1, F.size(bs) - 1))
+    zero = F.lit(0.0).cast("float")
+    pieces = F.zip_with("e", prev, lambda x, p: F.concat(
+        F.array_repeat(zero, (x["b"] - p - 1).cast("int")), F.array((x["n"] / F.col("norm")).cast("float"))))
+    dense = vecs.select(key, F.concat(F.flatten(pieces), F.array_repeat(
+        zero, (F.lit(dim - 1) - F.element_at(bs, -1)).cast("int"))).alias("embedding"))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return (
         df.select(key)
@@ -273,22 +276,32 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
     C = np.asarray(cents, dtype=np.float64)
 
     def seq_sqdist(A, B):
-        """|A| x |B| squared distances, summed over dims in order (float64)."""
-        acc = np.zeros((A.shape[0], B.shape[0]))
+        """Exact squared distances of row pairs ``A[i], B[i]``, summed over dims in order."""
+        acc = np.zeros(A.shape[0])
         for d in range(A.shape[1]):
-            diff = A[:, d, None] - B[None, :, d]
+            diff = A[:, d] - B[:, d]
             acc += diff * diff
         return acc
 
+    def approx_sqdist(A, B):
+        """|A| x |B| squared distances by one matrix product (float error, see ``slack``)."""
+        return np.maximum((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T), 0.0)
+
+    def slack(A, B):
+        """Bound on |approx - exact| per row of A, plus the 6-digit rounding step."""
+        scale = (A * A).sum(1) + ((B * B).sum(1).max() if len(B) else 0.0)
+        return 2e-6 + 1e-9 * scale
+
+    # cell radii and probe bounds use the approximate distances, widened by the error bound
     def place(it):
         for pdf in it:
             V = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, C.shape[1]))
-            D = np.sqrt(seq_sqdist(V, C))
+            D = np.sqrt(approx_sqdist(V, C))
             cell = D.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
+            r = D[np.arange(len(pdf)), cell] + np.sqrt(slack(V, C)) if len(pdf) else np.zeros(0)
             # plain numpy columns: Arrow-backed pandas strings would come back as chunked arrays
             yield pd.DataFrame({"cid": pdf["cid"].to_numpy(dtype=object), "v": pdf["v"].to_numpy(dtype=object),
-                                "cell": cell.astype("int32"),
-                                "r": D[np.arange(len(pdf)), cell] if len(pdf) else np.zeros(0)})
+                                "cell": cell.astype("int32"), "r": r})
 
     placed = cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double")
     stats = {r["cell"]: (r["n"], r["r"]) for r in
@@ -308,8 +321,9 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
             if not len(pdf):
                 continue
             Q = np.stack(pdf["q"].to_numpy()).astype(np.float64)
-            dq = np.sqrt(seq_sqdist(Q, C))[:, cells]            # distance to each non-empty cell's centroid
-            lb, ub = np.maximum(dq - radii, 0.0), dq + radii
+            err = np.sqrt(slack(Q, C))[:, None]
+            dq = np.sqrt(approx_sqdist(Q, C))[:, cells]         # distance to each non-empty cell's centroid
+            lb, ub = np.maximum(dq - radii - err, 0.0), dq + radii + err
             order = np.argsort(ub, axis=1, kind="stable")
             cum = np.cumsum(counts[order], axis=1)
             first = (cum >= k).argmax(axis=1)
@@ -318,11 +332,11 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
             tau = tau * (1 + 1e-9) + 1e-9
             qi, ci = np.nonzero(lb <= tau[:, None])
             reps = nsub[ci]
+            sub = np.concatenate([np.arange(m) for m in reps]) if len(reps) else np.zeros(0, dtype=int)
             qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
-            sub = np.concatenate([np.arange(m) for m in nsub[np.nonzero(lb <= tau[:, None])[1]]]) if len(reps) else []
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=object)[qi], "q": pdf["q"].to_numpy(dtype=object)[qi],
-                                "tau": tau[qi], "cell": cells[ci].astype("int32"),
-                                "sub": np.asarray(sub, dtype="int32")})
+            yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=object)[qi],
+                                "q": pdf["q"].to_numpy(dtype=object)[qi], "tau": tau[qi],
+                                "cell": cells[ci].astype("int32"), "sub": np.asarray(sub, dtype="int32")})
 
     probes = qs.mapInPandas(probe, f"qid {qtype}, q array<float>, tau double, cell int, sub int")
     probes = probes.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(nparts)).cast("int"))
@@ -334,25 +348,37 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
                              "dist": pd.Series(out_d, dtype="float64")})
 
     def block_topk(qpdf, cpdf):
+        """Top k of one block. A matrix product ranks all pairs approximately;
+        every pair within ``slack`` of a query's k-th (and of its bound) is then
+        recomputed exactly, so the result equals an exact scan."""
         if not len(qpdf) or not len(cpdf):
-            out_q, out_c, out_d = [], [], []
-            return block_frame(out_q, out_c, out_d)
+            return block_frame([], [], [])
         Cv = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
-        cids = cpdf["cid"].to_numpy(dtype=object)
+        cids = cpdf["cid"].to_numpy()      # native dtype: ties break by numeric or string order
         out_q, out_c, out_d = [], [], []
         for s in range(0, len(qpdf), 512):                     # bounded matrix per slice
             part = qpdf.iloc[s:s + 512]
             Qv = np.stack(part["q"].to_numpy()).astype(np.float64)
-            D = np.round(seq_sqdist(Qv, Cv), 6)
-            taus = part["tau"].to_numpy()
-            for i, qid in enumerate(part["qid"].to_numpy(dtype=object)):
-                ok = np.nonzero(D[i] <= taus[i] * taus[i] * (1 + 1e-9) + 1e-9)[0]
-                if not len(ok):
-                    continue
-                sel = ok[np.lexsort((cids[ok], D[i, ok]))[:k]]
-                out_q.extend([qid] * len(sel))
-                out_c.extend(cids[sel])
-                out_d.extend(D[i, sel])
+            qids = part["qid"].to_numpy(dtype=object)
+            bound = part["tau"].to_numpy() ** 2 * (1 + 1e-9) + 1e-9
+            approx = approx_sqdist(Qv, Cv)
+            margin = slack(Qv, Cv)
+            approx[approx > (bound + margin)[:, None]] = np.inf
+            kk = min(k, approx.shape[1])
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            pi, pj = np.nonzero(approx <= (kth + margin)[:, None])
+            if not len(pi):
+                continue
+            exact = np.round(seq_sqdist(Qv[pi], Cv[pj]), 6)
+            keep = exact <= bound[pi]
+            pi, pj, exact = pi[keep], pj[keep], exact[keep]
+            order = np.lexsort((cids[pj], exact, pi))
+            pi, pj, exact = pi[order], pj[order], exact[order]
+            start = np.searchsorted(pi, pi, side="left")
+            top = (np.arange(len(pi)) - start) < k
+            out_q.extend(qids[pi[top]].tolist())
+            out_c.extend(cids[pj[top]].tolist())
+            out_d.extend(exact[top])
         return block_frame(out_q, out_c, out_d)
 
     keys = ["cell", "sub", "part"]
