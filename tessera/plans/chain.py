@@ -98,6 +98,23 @@ def compile_chain(steps) -> list[Step]:
     return out
 
 
+def compile_steps(steps: DataFrame) -> DataFrame:
+    """G1 over many step tables at once, natively: trimmed fields, the option as
+    ``map<string,string>`` and whether the action is known (unknown ones are
+    skipped when run). A simple dict literal (string keys, scalar values) is
+    read as JSON after swapping its quotes; anything else gives a null map, and
+    ``compile_chain`` (driver side, per table) stays the exact parser."""
+    opt = F.trim(F.coalesce(F.col("option"), F.lit("")))
+    as_json = F.regexp_replace(F.regexp_replace(opt, "'", '"'), r"\bTrue\b|\bFalse\b|\bNone\b", "null")
+    known = F.trim("action").isin(list(ACTIONS))
+    return steps.select(
+        *[c for c in steps.columns if c not in ("input", "action", "option", "next_df")],
+        F.trim("input").alias("input"), F.trim("action").alias("action"),
+        F.when(opt == "", F.create_map().cast("map<string,string>"))
+        .otherwise(F.from_json(as_json, "map<string,string>")).alias("options"),
+        known.alias("known"), F.trim("next_df").alias("next_df"))
+
+
 # G6 ------------------------------------------------------------------------
 ACTIONS: dict[str, Callable[..., DataFrame]] = {}
 

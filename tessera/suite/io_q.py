@@ -60,6 +60,24 @@ A2_SQL = r"""SELECT conv_id AS recipe, (row_number() OVER (PARTITION BY conv_id
 FROM conversations"""
 
 
+def g1_compile_steps(spark, sf):
+    path = scratch_path(spark, "sequences")
+    A.write_sequences(_step_rows(spark, sf), path)
+    steps = G.compile_steps(A.read_sequences(spark, path, glob="*.txt"))
+    return steps.select(F.regexp_extract("file", r"recipe=(\d+)", 1).cast("bigint").alias("recipe"),
+                        F.col("step_no").cast("bigint").alias("step_no"), "action", "known",
+                        F.col("options")["max_length"].cast("bigint").alias("max_length"),
+                        F.size("options").cast("bigint").alias("n_options"))
+
+
+G1_SQL = r"""SELECT conv_id AS recipe, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS step_no,
+  CASE WHEN role = 'user' THEN 'llm_completion' WHEN role = 'assistant' THEN 'user_input' ELSE 'csv_peek' END AS action,
+  true AS known,
+  CASE WHEN role = 'user' THEN 64 END::BIGINT AS max_length,
+  CASE WHEN role = 'user' THEN 1 ELSE 0 END::BIGINT AS n_options
+FROM conversations"""
+
+
 def a3_decode_documents(spark, sf):
     d = T(spark, sf, "documents")
     enc = (F.when(F.col("lang") == "en", F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
@@ -145,6 +163,7 @@ QUERIES = {
     "A1_read_table": (a1_read_table, A1_SQL),
     "A2_read_sequences": (a2_read_sequences, A2_SQL),
     "A3_decode_documents": (a3_decode_documents, A3_SQL),
+    "G1_compile_steps": (g1_compile_steps, G1_SQL),
     "A4_save_result": (a4_save_result, A4_SQL),
     "A5_load_result": (a5_load_result, A5_SQL),
     "A6_append": (a6_append, A6_SQL),

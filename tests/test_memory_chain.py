@@ -97,3 +97,25 @@ def test_complete_with_format(spark):
     col = K.complete("p", lambda: (lambda ps: ps), fmt_regex=named_regex("singleexpression"))
     got = [r[0] for r in df.select(col).collect()]
     assert got == ['{"df": "SELECT 1"}', K.FORMAT_ERROR]
+
+
+def test_ask_refuses_commands(spark):
+    from tessera.operators import ask as A
+
+    spark.range(3).createOrReplaceTempView("t3")
+    for bad in ("DROP VIEW t3", "SELECT 1; DROP VIEW t3", "INSERT INTO t3 VALUES (1)", "CREATE TABLE x AS SELECT 1"):
+        df, msg = A.ask(spark, bad)
+        assert df is None and msg == A.FAILED_MSG
+    assert spark.table("t3").count() == 3
+    df, _ = A.ask(spark, '{"df": "WITH a AS (SELECT * FROM t3) SELECT count(*) AS n FROM a"}')
+    assert df.first().n == 3
+
+
+def test_compile_steps_native(spark):
+    steps = spark.createDataFrame([(0, " {full_prompt} ", " llm_completion ", "{'max_length': 486, 'temperature': 0.1}",
+                                    "next"), (1, "x", "bogus", "", "a.csv")],
+                                  "step_no int, input string, action string, option string, next_df string")
+    rows = G.compile_steps(steps).orderBy("step_no").collect()
+    assert rows[0].input == "{full_prompt}" and rows[0].known and rows[0].options == {"max_length": "486",
+                                                                                         "temperature": "0.1"}
+    assert not rows[1].known and rows[1].options == {}
