@@ -226,9 +226,9 @@ def j4_conformance_stats(spark, sf):
     return st
 
 
-J4_SQL = (f"WITH {_D_VARIANTS} SELECT event_type, variant, count_if(json_valid(text)) AS n_valid_json, "
-          f"count_if({_d_full('text', K_RX)}) AS n_conforming, "
-          f"count_if(NOT coalesce(json_valid(text), false) AND NOT {_d_full('text', K_RX)}) AS n_neither, "
+J4_SQL = (f"WITH {_D_VARIANTS} SELECT event_type, variant, count_if(json_valid(text))::BIGINT AS n_valid_json, "
+          f"count_if({_d_full('text', K_RX)})::BIGINT AS n_conforming, "
+          f"count_if(NOT coalesce(json_valid(text), false) AND NOT {_d_full('text', K_RX)})::BIGINT AS n_neither, "
           "count(*) AS n FROM v GROUP BY ALL")
 
 QUERIES = {
