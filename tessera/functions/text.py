@@ -33,11 +33,6 @@ def strip_ws(c) -> Column:
     return F.regexp_replace(_c(c), rf"^{WS}+|{WS}+$", "")
 
 
-def char_length(c) -> Column:
-    """Code-point length as bigint (Spark's ``length`` is int)."""
-    return F.length(_c(c)).cast("bigint")
-
-
 def count_tokens(c) -> Column:
     """B1: token estimate, characters / 3.5."""
     return F.length(_c(c)) / F.lit(TOKEN_CHARS)

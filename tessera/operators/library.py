@@ -211,26 +211,6 @@ def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder) -> Data
 
 
 # D7 ------------------------------------------------------------------------
-def _once(df: DataFrame, name: str, expr) -> DataFrame:
-    """Add column ``name`` evaluated exactly once per row.
-
-    Higher-order functions run interpreted, and CollapseProject would inline an
-    array built here into every lambda that reads it. A one-element explode is
-    a Generate node, which projections are not collapsed through.
-    """
-    return df.select("*", F.explode(F.array(expr)).alias(name))
-
-
-def _as_double(v):
-    return F.transform(v, lambda x: x.cast("double"))
-
-
-def sq_dist(a, b):
-    """Squared L2 distance of two equal-length arrays, summed in double left to right."""
-    return F.aggregate(F.zip_with(_as_double(a), _as_double(b), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0).cast("double"), lambda s, x: s + x)
-
-
 def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFrame | None = None,
            qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
            chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
