@@ -7,13 +7,14 @@ native higher-order functions (``aggregate``, ``transform``, ``zip_with``).
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, sentences
-from tessera.session import checkpoint_root
+from tessera.session import checkpoint_root, scratch_path
 
 # Fixed values that must equal the reference's for right results.
 MAX_CHUNK_CHARS = 1024
@@ -211,98 +212,133 @@ def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder) -> Data
 
 
 # D7 ------------------------------------------------------------------------
-def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFrame | None = None,
-           qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
-           chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
-           queries_per_part: int = 4096, max_cells: int = 1024) -> DataFrame:
-    """Exact k nearest chunks per query by squared L2, restricted to ``ids``.
+def _seq_sqdist(A, B):
+    """Exact squared distances of row pairs ``A[i], B[i]``, summed over dims in order (float64)."""
+    import numpy as np
+
+    acc = np.zeros(A.shape[0])
+    for d in range(A.shape[1]):
+        diff = A[:, d] - B[:, d]
+        acc += diff * diff
+    return acc
+
+
+def _approx_sqdist(A, B):
+    """|A| x |B| squared distances by one matrix product (float error, see ``_slack``)."""
+    import numpy as np
+
+    return np.maximum((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T), 0.0)
+
 
-    Result: ``qid, rank, cid, dist`` with ``dist`` rounded to 6 digits, ties by id.
-
-    No cross join and no all-pairs. The candidate chunks are put into cells
-    around at most ``n_cells`` centroids (a fixed-size list shipped with the
-    task closure, so its size is known). From the per-cell counts and radii
-    every query gets an upper bound on its k-th distance, and only cells whose
-    lower bound is within it are probed; this is exact, since a chunk of a
-    pruned cell is farther than k others. By default there are about sqrt(n)
-    cells, at most ``max_cells`` (the closure holds ``cells x dim`` doubles). Probes meet chunks in a cogroup on
-    ``(cell, sub-bucket, query part)``: big cells are split into sub-buckets of
-    at most ``rows_per_bucket`` chunks and the queries into parts of about
-    ``queries_per_part``, so every block is bounded. Distances are computed in
-    numpy blocks (Spark 4.1 has no vector functions and higher-order lambdas
-    run interpreted), summed left to right in float64 like the SQL twin.
+def _slack(A, B):
+    """Bound on |approx - exact| per row of A, plus the 6-digit rounding step."""
+    scale = (A * A).sum(1) + ((B * B).sum(1).max() if len(B) else 0.0)
+    return 2e-6 + 1e-9 * scale
+
+
+@dataclass
+class VectorIndex:
+    """A built search index: the chunk vectors with their cell and sub-bucket
+    (a table), plus the per-cell statistics and centroids (bounded: at most
+    ``max_cells`` entries)."""
+
+    data: DataFrame            # cid, v, cell, sub
+    centroids: "object"        # numpy array, cells x dim
+    cells: "object"
+    counts: "object"
+    radii: "object"
+    nsub: "object"
+    ctype: str
+
+
+def build_index(chunks: DataFrame, ids: DataFrame | None = None, ckey: str = "cid", cvec: str = "embedding",
+                chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
+                max_cells: int = 1024, path: str | None = None) -> VectorIndex:
+    """Place every chunk (restricted to ``ids``) in the cell of its nearest centroid and write the result once.
+
+    Centroids are a deterministic spread of the chunks themselves (lowest
+    ``xxhash64`` of the id), about sqrt(n) of them and at most ``max_cells``,
+    so what ships to the tasks is bounded by ``max_cells x dim``. The placed
+    table is written under the shared checkpoint folder (or ``path``) and read
+    back: placement runs once, the statistics come from two narrow columns,
+    and many query batches can search the same index.
     """
     import numpy as np
-    import pandas as pd
 
     spark = chunks.sparkSession
     cand = chunks
     if ids is not None:
         cand = cand.join(ids.select(F.col(ids.columns[0]).alias(chash)).distinct(), chash, "left_semi")
-    # The index is built in a few jobs (centroids, cell stats, query count,
-    # search); cut the lineage once so upstream work (ingest, chunking,
-    # embedding) runs once. checkpoint() writes to spark.checkpoint.dir.
-    checkpoint_root(spark)
-    cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).alias("v")).checkpoint()
-    qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q")).checkpoint()
+    cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).alias("v"))
     ctype = dict(cand.dtypes)["cid"]
-    qtype = dict(qs.dtypes)["qid"]
-
     if n_cells is None:
         n_cells = int(min(max_cells, max(8, round(math.sqrt(cand.count())))))
     cents = [r[0] for r in cand.orderBy(F.xxhash64("cid"), "cid").select("v").limit(n_cells).collect()]
-    if not cents:
-        return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
     C = np.asarray(cents, dtype=np.float64)
 
-    def seq_sqdist(A, B):
-        """Exact squared distances of row pairs ``A[i], B[i]``, summed over dims in order."""
-        acc = np.zeros(A.shape[0])
-        for d in range(A.shape[1]):
-            diff = A[:, d] - B[:, d]
-            acc += diff * diff
-        return acc
-
-    def approx_sqdist(A, B):
-        """|A| x |B| squared distances by one matrix product (float error, see ``slack``)."""
-        return np.maximum((A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * (A @ B.T), 0.0)
-
-    def slack(A, B):
-        """Bound on |approx - exact| per row of A, plus the 6-digit rounding step."""
-        scale = (A * A).sum(1) + ((B * B).sum(1).max() if len(B) else 0.0)
-        return 2e-6 + 1e-9 * scale
-
-    # cell radii and probe bounds use the approximate distances, widened by the error bound
+    # cell radii use the approximate distances, widened by the error bound
     def place(it):
         for pdf in it:
             V = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, C.shape[1]))
-            D = np.sqrt(approx_sqdist(V, C))
+            D = np.sqrt(_approx_sqdist(V, C))
             cell = D.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            r = D[np.arange(len(pdf)), cell] + np.sqrt(slack(V, C)) if len(pdf) else np.zeros(0)
+            r = D[np.arange(len(pdf)), cell] + np.sqrt(_slack(V, C)) if len(pdf) else np.zeros(0)
             # plain numpy columns: Arrow-backed pandas strings would come back as chunked arrays
             yield pd.DataFrame({"cid": pdf["cid"].to_numpy(dtype=object), "v": pdf["v"].to_numpy(dtype=object),
                                 "cell": cell.astype("int32"), "r": r})
 
-    placed = cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double")
+    path = path or scratch_path(spark, "vector-index")
+    if len(cents):
+        cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double").write.parquet(path)
+        placed = spark.read.parquet(path)
+    else:
+        placed = spark.createDataFrame([], f"cid {ctype}, v array<float>, cell int, r double")
     stats = {r["cell"]: (r["n"], r["r"]) for r in
              placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()}
     cells = np.array(sorted(stats), dtype=int)
     counts = np.array([stats[c][0] for c in cells], dtype=np.int64)
     radii = np.array([stats[c][1] for c in cells], dtype=np.float64)
     nsub = np.maximum(1, -(-counts // rows_per_bucket))
-    n_queries = qs.count()
-    nparts = max(1, -(-n_queries // queries_per_part))
-    nsub_map = F.create_map(*[x for c, m in zip(cells, nsub) for x in (F.lit(int(c)), F.lit(int(m)))])
-    blocks = (placed.withColumn("sub", F.pmod(F.xxhash64("cid"), nsub_map[F.col("cell")]).cast("int"))
-              .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nparts - 1)))))
+    if len(cells):
+        nsub_map = F.create_map(*[x for c, m in zip(cells, nsub) for x in (F.lit(int(c)), F.lit(int(m)))])
+        placed = placed.withColumn("sub", F.pmod(F.xxhash64("cid"), nsub_map[F.col("cell")]).cast("int"))
+    else:
+        placed = placed.withColumn("sub", F.lit(0))
+    return VectorIndex(placed.drop("r"), C, cells, counts, radii, nsub, ctype)
+
+
+def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey: str = "qid",
+                 qvec: str = "qvec", ckey: str = "cid", queries_per_part: int = 4096) -> DataFrame:
+    """Exact top-k of every query against a built index: ``qid, rank, cid, dist``.
+
+    From the per-cell counts and radii every query gets an upper bound on its
+    k-th distance, and only cells whose lower bound is within it are probed;
+    this is exact, since a chunk of a pruned cell is farther than k others.
+    Probes meet chunks in a cogroup on ``(cell, sub-bucket, query part)``, so
+    every block is bounded. In a block a matrix product ranks all pairs
+    approximately and every pair within the error bound of a query's k-th is
+    recomputed exactly (summed left to right in float64, like the SQL twin).
+    """
+    import numpy as np
+
+    spark = queries.sparkSession
+    checkpoint_root(spark)
+    # the query side is used by two jobs (count, search): written once
+    qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q")).checkpoint()
+    qtype, ctype = dict(qs.dtypes)["qid"], index.ctype
+    if not len(index.cells):
+        return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
+    C, cells, counts, radii, nsub = index.centroids, index.cells, index.counts, index.radii, index.nsub
+    nparts = max(1, -(-qs.count() // queries_per_part))
+    blocks = index.data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nparts - 1))))
 
     def probe(it):
         for pdf in it:
             if not len(pdf):
                 continue
             Q = np.stack(pdf["q"].to_numpy()).astype(np.float64)
-            err = np.sqrt(slack(Q, C))[:, None]
-            dq = np.sqrt(approx_sqdist(Q, C))[:, cells]         # distance to each non-empty cell's centroid
+            err = np.sqrt(_slack(Q, C))[:, None]
+            dq = np.sqrt(_approx_sqdist(Q, C))[:, cells]        # distance to each non-empty cell's centroid
             lb, ub = np.maximum(dq - radii - err, 0.0), dq + radii + err
             order = np.argsort(ub, axis=1, kind="stable")
             cum = np.cumsum(counts[order], axis=1)
@@ -328,9 +364,6 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
                              "dist": pd.Series(out_d, dtype="float64")})
 
     def block_topk(qpdf, cpdf):
-        """Top k of one block. A matrix product ranks all pairs approximately;
-        every pair within ``slack`` of a query's k-th (and of its bound) is then
-        recomputed exactly, so the result equals an exact scan."""
         if not len(qpdf) or not len(cpdf):
             return block_frame([], [], [])
         Cv = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
@@ -341,15 +374,15 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
             Qv = np.stack(part["q"].to_numpy()).astype(np.float64)
             qids = part["qid"].to_numpy(dtype=object)
             bound = part["tau"].to_numpy() ** 2 * (1 + 1e-9) + 1e-9
-            approx = approx_sqdist(Qv, Cv)
-            margin = slack(Qv, Cv)
+            approx = _approx_sqdist(Qv, Cv)
+            margin = _slack(Qv, Cv)
             approx[approx > (bound + margin)[:, None]] = np.inf
             kk = min(k, approx.shape[1])
             kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
             pi, pj = np.nonzero(approx <= (kth + margin)[:, None])
             if not len(pi):
                 continue
-            exact = np.round(seq_sqdist(Qv[pi], Cv[pj]), 6)
+            exact = np.round(_seq_sqdist(Qv[pi], Cv[pj]), 6)
             keep = exact <= bound[pi]
             pi, pj, exact = pi[keep], pj[keep], exact[keep]
             order = np.lexsort((cids[pj], exact, pi))
@@ -369,6 +402,22 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
     return ranked.select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
 
 
+def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFrame | None = None,
+           qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
+           chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
+           queries_per_part: int = 4096, max_cells: int = 1024) -> DataFrame:
+    """Exact k nearest chunks per query by squared L2, restricted to ``ids``.
+
+    Result: ``qid, rank, cid, dist`` with ``dist`` rounded to 6 digits, ties by
+    id. No cross join and no all-pairs: ``build_index`` then ``search_index``
+    (build the index once and search it many times when queries come in
+    batches). Distances are computed in numpy blocks: Spark 4.1 has no vector
+    functions and higher-order lambdas run interpreted.
+    """
+    index = build_index(chunks, ids, ckey, cvec, chash, n_cells, rows_per_bucket, max_cells)
+    return search_index(queries, index, k, qkey, qvec, ckey, queries_per_part)
+
+
 # D8 ------------------------------------------------------------------------
 def ids_for_titles(titles: DataFrame, library_titles: DataFrame, title_col: str = "title") -> DataFrame:
     """Content hash for each selected title (exact match, equality join)."""

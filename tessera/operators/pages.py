@@ -8,6 +8,8 @@ another element of the same name (the known limit, see README).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,47 +143,67 @@ def _words(c) -> Column:
     return F.array_remove(F.split(F.lower(c), WORD_SPLIT), "")
 
 
-def page_index(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings ``(page_id, tok, tf, dl)`` and page rows ``(page_id, url, title, snippet)``.
+@dataclass
+class PageIndex:
+    """A built page index: postings ``(page_id, tok, dl, tf)``, ``idf(tok, idf)``
+    and page rows ``(page_id, url, title, snippet)`` as tables, plus the two
+    corpus statistics BM25 needs."""
 
-    The page texts are written once (``checkpoint``) and both outputs read them.
-    """
-    from tessera.session import checkpoint_root
+    postings: DataFrame
+    idf: DataFrame
+    meta: DataFrame
+    n: int
+    avgdl: float
+
+
+def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
+    """Main text, postings and idf of a crawl, written once (under the shared
+    checkpoint folder unless ``path`` is given) and reused by every search."""
+    from tessera.session import scratch_path
 
-    checkpoint_root(pages.sparkSession)
-    docs = pages.select("page_id", "url", page_title("html").alias("title"),
-                        main_text("html").alias("text")).checkpoint()
+    spark = pages.sparkSession
+    path = path or scratch_path(spark, "page-index")
+    pages.select("page_id", "url", page_title("html").alias("title"),
+                 main_text("html").alias("text")).write.parquet(f"{path}/docs")
+    docs = spark.read.parquet(f"{path}/docs")
     words = docs.select("page_id", _words("text").alias("w"))
     toks = words.select("page_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("tok"))
-    postings = toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf"))
+    toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf")).write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    stats = postings.agg(F.countDistinct("page_id").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
+    (postings.groupBy("tok").agg(F.count("*").alias("df"))
+     .select("tok", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+     .write.parquet(f"{path}/idf"))
     meta = docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
-    return postings, meta
+    return PageIndex(postings, spark.read.parquet(f"{path}/idf"), meta, n, avgdl)
 
 
-def search_pages(queries: DataFrame, pages: DataFrame, qkey: str = "qid", qtext: str = "query",
-                 k: int = SEARCH_K) -> DataFrame:
-    """H3: BM25 top-``k`` pages per query: ``qid, rank, url, title, snippet, score``.
+def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", qtext: str = "query",
+                      k: int = SEARCH_K) -> DataFrame:
+    """BM25 top-``k`` pages per query: ``qid, rank, page_id, url, title, snippet, score``.
 
     Query words join the postings on the word (an equi-join; AQE splits a hot
     word's posting list), scores are summed per (query, page) and the top k
     kept per query with ``row_number`` (WindowGroupLimit runs before the
     shuffle too). Ties go to the lower page id.
     """
-    postings, meta = page_index(pages)
-    postings = postings.checkpoint()  # used by three jobs: statistics, document frequency, scoring
-    stats = postings.agg(F.countDistinct("page_id").alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
-    dfreq = postings.groupBy("tok").agg(F.count("*").alias("df"))
-    idf = dfreq.select("tok", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     qt = queries.select(qkey, F.explode(F.array_distinct(_words(qtext))).alias("tok"))
-    scored = qt.join(idf, "tok").join(postings, "tok").select(
+    scored = qt.join(index.idf, "tok").join(index.postings, "tok").select(
         qkey, "page_id",
         (F.col("idf") * F.col("tf") * (BM25_K1 + 1)
-         / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(avgdl)))).alias("s"))
+         / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(index.avgdl)))).alias("s"))
     per_page = scored.groupBy(qkey, "page_id").agg(F.round(F.sum("s"), 6).alias("score"))
     w = Window.partitionBy(qkey).orderBy(F.col("score").desc(), F.col("page_id"))
     top = per_page.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.join(meta, "page_id").select(qkey, "rank", "page_id", "url", "title", "snippet", "score")
+    return top.join(index.meta, "page_id").select(qkey, "rank", "page_id", "url", "title", "snippet", "score")
+
+
+def search_pages(queries: DataFrame, pages: DataFrame, qkey: str = "qid", qtext: str = "query",
+                 k: int = SEARCH_K) -> DataFrame:
+    """H3: build the page index and search it (build once, search many times
+    with ``build_page_index`` + ``search_page_index``)."""
+    return search_page_index(queries, build_page_index(pages), qkey, qtext, k)
 
 
 # H4 ------------------------------------------------------------------------

@@ -63,6 +63,8 @@ class ChainContext:
     library: DataFrame | None = None          # chunk_id, text, source, content_hash, embedding
     selected_ids: DataFrame | None = None      # content_hash of the chosen documents
     result_store: DataFrame | None = None      # id, user_id, session_id, stored_result_name, text
+    page_index: "P.PageIndex | None" = None    # built once for many internet_search steps
+    vector_index: "L.VectorIndex | None" = None  # built once over library + selected_ids
     active_view: str = "df"
     pending_results: list = field(default_factory=list)
     last_result: DataFrame | None = None
@@ -163,7 +165,9 @@ def _getwebpage(df, inp, ctx, **_):
 @action("internet_search")
 def _internet_search(df, inp, ctx, **_):
     qs = df.select(ctx.key, inp.alias("query"))
-    notes = P.format_notes(P.search_pages(qs, ctx.pages, qkey=ctx.key), qkey=ctx.key)
+    if ctx.page_index is None:
+        ctx.page_index = P.build_page_index(ctx.pages)
+    notes = P.format_notes(P.search_page_index(qs, ctx.page_index, qkey=ctx.key), qkey=ctx.key)
     return (df.drop("result").join(notes, ctx.key, "left")
             .withColumn("result", F.coalesce("notes", F.lit(""))).drop("notes"))
 
@@ -173,7 +177,9 @@ def _docu_search(df, inp, ctx, k: int = L.SEARCH_K, **_):
     qv = L.embed(df.select(ctx.key, inp.alias("_q")), ctx.key, "_q").select(
         F.col(ctx.key).alias("qid"), F.col("embedding").alias("qvec"))
     lib = ctx.library.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash", "text", "source")
-    hits = L.search(qv, lib.select("cid", "embedding", "content_hash"), k=k, ids=ctx.selected_ids)
+    if ctx.vector_index is None:
+        ctx.vector_index = L.build_index(lib.select("cid", "embedding", "content_hash"), ctx.selected_ids)
+    hits = L.search_index(qv, ctx.vector_index, k=k)
     ctxt = L.assemble_context(hits.join(lib.select("cid", "text", "source"), "cid"))
     return (df.drop("result").join(ctxt.withColumnRenamed("qid", ctx.key), ctx.key, "left")
             .withColumn("result", F.coalesce("context", F.lit(""))).drop("context"))

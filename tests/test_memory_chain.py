@@ -119,3 +119,20 @@ def test_compile_steps_native(spark):
     assert rows[0].input == "{full_prompt}" and rows[0].known and rows[0].options == {"max_length": "486",
                                                                                          "temperature": "0.1"}
     assert not rows[1].known and rows[1].options == {}
+
+
+def test_chain_search_actions(spark):
+    from tessera.operators import library as L
+
+    pages = spark.createDataFrame([(1, "http://a.example/x", "<title>Alpha</title><article>red apple pie</article>"),
+                                   (2, "http://b.example/y", "<title>Beta</title><article>blue sky</article>")],
+                                  "page_id long, url string, html string")
+    docs = spark.createDataFrame([(1, "Red apples. Blue skies.", "src")], "doc_id long, text string, source string")
+    chunks = L.chunk_documents(L.ingest_documents(L.with_title(docs), None), max_chars=12)
+    lib = chunks.join(L.embed(chunks, "chunk_id", "text"), "chunk_id")
+    ctx = G.ChainContext(spark, user_tag="", assistant_tag="", pages=pages, library=lib)
+    out = G.run_chain(prompts(spark, ["apple"]), [("{full_prompt}", "internet_search", "", "next")], ctx).first()
+    assert out.result.startswith("Note1: Alpha\nred apple pie\nhttp://a.example/x\n")
+    out = G.run_chain(prompts(spark, ["red apples"]), [("{full_prompt}", "docu_search", "{'k': 1}", "next")],
+                      ctx).first()
+    assert out.result == "Red apples. \n [Source: src/1.txt]\n"
