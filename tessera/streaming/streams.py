@@ -80,19 +80,37 @@ def stream_documents(spark: SparkSession, src: str, library: str, glob: str | No
 # L2 ------------------------------------------------------------------------
 def stream_turns(spark: SparkSession, src: str, memory: str, glob: str | None = None,
                  checkpoint: str | None = None, max_files: int | None = None) -> None:
-    """L2: conversation rows -> memory table, idempotent by (user, session, ts).
+    """L2: conversation rows -> memory table of raw turns, idempotent by
+    (user, session, turn).
 
-    Pairing a prompt with its answer looks at the next row of the session, so a
-    session's rows are expected in one micro-batch (one file per session batch).
+    The stream stores rows, not pairs: a prompt and its answer may arrive in
+    different micro-batches, so pairs are formed when the memory is read
+    (``read_turn_pairs``), where every stored row is visible. Rows already
+    stored are skipped, so a retried batch adds nothing.
     """
     rows = _read(spark, src, TURN_SCHEMA, glob, max_files)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        M.append_turns(M.chat_pairs(M.conversation_turns(batch)), memory)
+        new = M.conversation_turns(batch)
+        try:
+            old = spark.read.schema(RAW_TURNS).parquet(memory).select(*M.SESSION, "turn")
+            new = new.join(old, [*M.SESSION, "turn"], "left_anti")
+        except Exception:  # noqa: BLE001 - first batch, no table yet
+            pass
+        new.write.mode("append").partitionBy("user_id").parquet(memory)
 
     _run(rows.writeStream.foreachBatch(per_batch), checkpoint or scratch_path(spark, "ckpt-turns"))
 
 
+RAW_TURNS = "session_id string, ts timestamp, conv_id long, turn long, role string, text string, user_id string"
+
+
+def read_turn_pairs(spark: SparkSession, memory: str) -> DataFrame:
+    """Tagged (prompt, answer) turns of a raw-turn memory table (F7 then F1's tags)."""
+    rows = spark.read.schema(RAW_TURNS).parquet(memory)
+    return M.tag_turns(M.chat_pairs(rows))
+
+
 # L3 ------------------------------------------------------------------------
 MEMORY_OUT = "user_id string, session_id string, ts timestamp, suffix_chars long, version long"
 MEMORY_STATE = "ts array<timestamp>, cost array<long>"

@@ -136,7 +136,7 @@ def l1_stream_documents(spark, sf):
 def l2_stream_turns(spark, sf):
     mem = scratch_path(spark, "memory")
     S.stream_turns(spark, sf, mem, glob="conversations.parquet")
-    m = M.read_memory(spark, mem)
+    m = S.read_turn_pairs(spark, mem)
     return m.select(*M.SESSION, "ts", F.md5("user_prompt").alias("prompt_md5"),
                     F.md5("llm_answer").alias("answer_md5"))
 

@@ -32,3 +32,20 @@ def test_stream_retry_is_idempotent(spark):
     n = S.read_library(spark, lib).count()
     S.stream_documents(spark, src, lib, checkpoint=f"{lib}-ckpt")     # restart: nothing new
     assert S.read_library(spark, lib).count() == n
+
+
+def test_stream_turns_pairs_across_batches(spark):
+    from tessera.operators import memory as M
+
+    conv = spark.read.parquet(f"{SF}/conversations.parquet")
+    src = scratch_path(spark, "turn-src")
+    # answers arrive in a later micro-batch than their prompts
+    conv.filter("role <> 'assistant'").coalesce(1).write.parquet(f"{src}/a")
+    conv.filter("role = 'assistant'").coalesce(1).write.parquet(f"{src}/b")
+    mem = scratch_path(spark, "memory")
+    for part in ("a", "b"):
+        S.stream_turns(spark, f"{src}/{part}", mem, checkpoint=f"{mem}-ckpt-{part}")
+    S.stream_turns(spark, f"{src}/a", mem, checkpoint=f"{mem}-ckpt-again")   # replayed input adds nothing
+    got = S.read_turn_pairs(spark, mem).select(*M.SESSION, "ts", "user_prompt", "llm_answer")
+    want = M.tag_turns(M.chat_pairs(M.conversation_turns(conv))).select(*M.SESSION, "ts", "user_prompt", "llm_answer")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
