@@ -63,13 +63,21 @@ def peek(df: DataFrame, order, n: int = PEEK_ROWS) -> DataFrame:
 
 
 # I2 ------------------------------------------------------------------------
-def ask(spark: SparkSession, statement: str, repair=None, attempts: int = MAX_ATTEMPTS):
+def ask(spark: SparkSession, statement, repair=None, attempts: int = MAX_ATTEMPTS):
     """Run one statement over the registered views.
 
-    ``statement`` may be wrapped as ``{"df": "..."}``. When it fails to analyse,
-    ``repair(statement, error_text)`` may propose a new one, up to ``attempts``
-    tries in all. Returns ``(DataFrame, statement)`` or ``(None, FAILED_MSG)``.
+    ``statement`` may be wrapped as ``{"df": "..."}``, or be a list of
+    candidate statements tried in order (the first that analyses wins). When
+    it fails to analyse, ``repair(statement, error_text)`` may propose a new
+    one, up to ``attempts`` tries in all. Returns ``(DataFrame, statement)`` or
+    ``(None, FAILED_MSG)``.
     """
+    if isinstance(statement, (list, tuple)):
+        for cand in statement:
+            df, stmt = ask(spark, cand, None, 1)
+            if df is not None:
+                return df, stmt
+        return ask(spark, statement[-1], repair, attempts) if statement and repair else (None, FAILED_MSG)
     stmt = unwrap_statement(statement)
     for i in range(attempts):
         try:
@@ -100,11 +108,12 @@ def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS) -> dict
     """
     rows = [r.asDict() for r in df.limit(n).collect()]
     counts = {r["column_name"]: r["n_distinct"] for r in nunique(df).collect()}
+    n_records = df.count()
     text = (f"Executing the expression: {statement} saved as {name} produced the following table:\n"
-            f"\nDataframe {n} first rows\n{rows}\n\n\nNumber of Records: {df.count()}\n")
+            f"\nDataframe {n} first rows\n{rows}\n\n\nNumber of Records: {n_records}\n")
     if len(text) > REPORT_CHARS:
         text = text[:REPORT_CHARS] + TRUNCATE_MARKER
-    return {"statement": statement, "name": name, "n_records": df.count(), "head": rows, "nunique": counts,
+    return {"statement": statement, "name": name, "n_records": n_records, "head": rows, "nunique": counts,
             "text": text}
 
 

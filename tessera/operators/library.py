@@ -419,9 +419,24 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFr
 
 
 # D8 ------------------------------------------------------------------------
-def ids_for_titles(titles: DataFrame, library_titles: DataFrame, title_col: str = "title") -> DataFrame:
-    """Content hash for each selected title (exact match, equality join)."""
-    return titles.select(title_col).join(library_titles.select(title_col, "content_hash"), title_col)
+def ids_for_titles(titles: DataFrame, library_titles: DataFrame, title_col: str = "title",
+                   nearest: bool = False, encoder=None) -> DataFrame:
+    """Content hash for each selected title.
+
+    By default an exact match (equality join). With ``nearest`` every title is
+    embedded (D6) and mapped to the library title nearest to it (D7 with k=1),
+    as a vector store lookup with one result does.
+    """
+    if not nearest:
+        return titles.select(title_col).join(library_titles.select(title_col, "content_hash"), title_col)
+    lib = library_titles.select(title_col, "content_hash").dropDuplicates(["content_hash"])
+    lib_vecs = embed(lib, "content_hash", title_col, encoder=encoder)
+    sel = titles.select(title_col).distinct()
+    q = embed(sel, title_col, title_col, encoder=encoder).select(F.col(title_col).alias("qid"),
+                                                                  F.col("embedding").alias("qvec"))
+    hits = search(q, lib_vecs.select(F.col("content_hash").alias("cid"), "embedding",
+                                     F.col("content_hash").alias("content_hash")), k=1)
+    return hits.select(F.col("qid").alias(title_col), F.col("cid").alias("content_hash"))
 
 
 # D9 ------------------------------------------------------------------------

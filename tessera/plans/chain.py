@@ -332,6 +332,21 @@ def route(catalog: dict[str, list[Step]], start: str) -> tuple[list[str], int]:
     return walk, seen[cur]
 
 
+def catalog_from_sequences(sequences: DataFrame, name_col: str = "file") -> dict[str, list[Step]]:
+    """Step tables read by A2 (``read_sequences``) as a routing catalog keyed by
+    file name; ``next_df`` values name other files of the catalog. The
+    catalog is a handful of small tables, read to the driver as the plan."""
+    import posixpath
+
+    rows = sequences.orderBy(name_col, "step_no").collect()
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(posixpath.basename(r[name_col]), []).append(
+            {"step_no": r["step_no"], "input": r["input"], "action": r["action"], "option": r["option"],
+             "next_df": posixpath.basename(r["next_df"] or "") if r["next_df"] not in (None, "", NEXT) else NEXT})
+    return {name: compile_chain(steps) for name, steps in out.items()}
+
+
 def run_program(prompts: DataFrame, catalog: dict, start: str, ctx: ChainContext, order: str = "ts",
                 session=("user_id", "session_id"), prompt_col: str = "prompt") -> DataFrame:
     """Each session's prompts in order; prompt ``i`` runs the table reached
@@ -340,7 +355,7 @@ def run_program(prompts: DataFrame, catalog: dict, start: str, ctx: ChainContext
     over all prompts routed to it."""
     from pyspark.sql import Window
 
-    compiled = {name: compile_chain(s) for name, s in catalog.items()}
+    compiled = {name: s if s and isinstance(s[0], Step) else compile_chain(s) for name, s in catalog.items()}
     walk, mu = route(compiled, start)
     lam = len(walk) - mu
     pos = F.row_number().over(Window.partitionBy(*session).orderBy(order)) - 1

@@ -136,3 +136,34 @@ def test_chain_search_actions(spark):
     out = G.run_chain(prompts(spark, ["red apples"]), [("{full_prompt}", "docu_search", "{'k': 1}", "next")],
                       ctx).first()
     assert out.result == "Red apples. \n [Source: src/1.txt]\n"
+
+
+def test_ask_candidates_and_catalog(spark):
+    import os
+
+    from tessera.operators import ask as A
+    from tessera.session import scratch_path
+    from tessera.sources import tables as S
+
+    spark.range(4).createOrReplaceTempView("t4")
+    df, stmt = A.ask(spark, ["SELECT nope FROM t4", "SELECT count(*) AS n FROM t4"])
+    assert df.first().n == 4 and stmt.startswith("SELECT count")
+    d = scratch_path(spark, "seqs").replace("file:", "")
+    os.makedirs(d)
+    with open(os.path.join(d, "ask.csv"), "w") as f:
+        f.write("input|action|option|next_df\n{full_prompt}|user_input||promptchain/echo.csv\n")
+    with open(os.path.join(d, "echo.csv"), "w") as f:
+        f.write("input|action|option|next_df\nEcho {full_prompt}|user_input||next\n")
+    cat = G.catalog_from_sequences(S.read_sequences(spark, d))
+    assert G.route(cat, "ask.csv") == (["ask.csv", "echo.csv"], 1)
+
+
+def test_ids_for_titles_nearest(spark):
+    from tessera.operators import library as L
+
+    lib = spark.createDataFrame([("src/report_alpha.txt", "h1"), ("src/notes_beta.txt", "h2")],
+                                "title string, content_hash string")
+    sel = spark.createDataFrame([("report alpha",), ("src/notes_beta.txt",)], "title string")
+    got = {r.title: r.content_hash for r in L.ids_for_titles(sel, lib, nearest=True).collect()}
+    assert got == {"report alpha": "h1", "src/notes_beta.txt": "h2"}
+    assert L.ids_for_titles(sel, lib).count() == 1
