@@ -31,10 +31,29 @@ def edge_words_stub(n: int = 5, last: bool = False) -> Callable[[list[str]], lis
     return complete
 
 
+_MODELS: dict[str, object] = {}
+
+
+def cached_model(factory: Callable[[], object]):
+    """The model built by ``factory``, once per Python worker process.
+
+    The factory arrives freshly unpickled with every task, so it is keyed by its
+    pickled form; reused workers (the default) keep the model between tasks.
+    """
+    import hashlib
+
+    from pyspark import cloudpickle
+
+    key = hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
+    if key not in _MODELS:
+        _MODELS[key] = factory()
+    return _MODELS[key]
+
+
 def _udf(completer_factory: Callable[[], Callable[[list[str]], list[str]]]):
     @F.pandas_udf("string")
     def _complete(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = completer_factory()  # once per worker
+        model = cached_model(completer_factory)
         for prompts in batches:
             todo = prompts.notna()  # null prompts (over budget) never reach the model
             texts = prompts[todo].tolist()

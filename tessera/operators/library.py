@@ -168,17 +168,18 @@ def token_bucket(tok, dim: int = DEFAULT_DIM):
     return F.pmod(F.conv(F.substring(F.md5(tok.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dim))
 
 
-def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encoder=None) -> DataFrame:
+def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encoder=None,
+          encoder_factory=None) -> DataFrame:
     """``(key, embedding array<float>)`` for every input row.
 
-    With ``encoder`` (a function ``pandas.Series[str] -> list of vectors``) the
-    texts go through an Arrow ``pandas_udf`` and the model is loaded once per
-    worker. Without one the native hashing encoder is used: token counts per
+    With ``encoder`` (a function ``pandas.Series[str] -> list of vectors``) or
+    ``encoder_factory`` (builds one; called once per Python worker) the texts go
+    through an Arrow ``pandas_udf``. Without one the native hashing encoder is used: token counts per
     bucket, L2-normalised, computed with explode + two aggregations on ``key``
     (the first combines map-side; the second holds at most ``dim`` entries).
     """
-    if encoder is not None:
-        return _embed_with_encoder(df, key, text_col, encoder)
+    if encoder is not None or encoder_factory is not None:
+        return _embed_with_encoder(df, key, text_col, encoder, encoder_factory)
     toks = df.select(key, F.explode(hash_tokens(text_col)).alias("tok"))
     counts = toks.groupBy(key, token_bucket(F.col("tok"), dim).alias("b")).agg(F.count("*").alias("n"))
     vecs = counts.groupBy(key).agg(
@@ -202,10 +203,15 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
     )
 
 
-def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder) -> DataFrame:
+def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder_factory=None) -> DataFrame:
+    """A plugged model: ``encoder(texts)``, or ``encoder_factory()`` building the
+    encoder once per Python worker (for models that are costly to load)."""
+    from tessera.operators.complete import cached_model
+
     @F.pandas_udf("array<float>")
     def _encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encoder(texts.fillna(""))))
+        enc = encoder if encoder is not None else cached_model(encoder_factory)
+        return pd.Series(list(enc(texts.fillna(""))))
 
     # nondeterministic: Catalyst must not run the model twice for one row
     return df.select(key, _encode.asNondeterministic()(F.col(text_col)).alias("embedding"))

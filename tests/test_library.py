@@ -86,3 +86,13 @@ def test_search_prunes_far_cells(spark):
     qs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1001.0, 0.0])], "qid long, qvec array<float>")
     hits = L.search(qs, chunks, k=2, n_cells=2).orderBy("qid", "rank").collect()
     assert [(h.qid, h.cid) for h in hits] == [(1, 0), (1, 3), (2, 101), (2, 104)]
+
+
+def test_plugged_encoder_factory(spark):
+    import numpy as np
+
+    def factory():
+        return lambda texts: [np.array([float(len(t))], dtype=np.float32) for t in texts]
+
+    df = spark.createDataFrame([(1, "abc")], "id long, t string")
+    assert L.embed(df, "id", "t", encoder_factory=factory).first().embedding == [3.0]
