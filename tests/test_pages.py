@@ -29,3 +29,13 @@ def test_first_page_order_and_errors(spark):
         (6, "http://missing.example/")], "row_id long, q string")
     got = {r.row_id: r.result for r in P.first_page(q, "q", pages).collect()}
     assert got == {1: "A", 2: P.NO_PAGE_MSG, 3: "A", 4: "A", 5: P.INVALID_URL_MSG, 6: P.NETWORK_MSG}
+
+
+def test_first_page_keeps_document_order(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x", "<article>A</article>"),
+                                   (2, "http://c.example/", "<article>C</article>")],
+                                  "page_id long, url string, html string")
+    q = spark.createDataFrame([(1, '{"z": "http://c.example/", "a": "http://a.example/x"}'),
+                               (2, '{"a": "http://a.example/x", "z": "http://c.example/"}')], "row_id long, q string")
+    got = {r.row_id: r.result for r in P.first_page(q, "q", pages).collect()}
+    assert got == {1: "C", 2: "A"}
