@@ -47,7 +47,9 @@ def pack_chunks(sents, max_chars: int = MAX_CHUNK_CHARS):
         ).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["cur"], s, F.lit(" ")).alias("cur")))
 
     def finish(acc):
-        return F.when(F.size(sents) > 0, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"])
+        # after any sentence ``cur`` ends with a space, so it is empty only for no sentences
+        # (testing ``sents`` here would evaluate the split a second time)
+        return F.when(F.length(acc["cur"]) > 0, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"])
 
     return F.aggregate(sents, init, step, finish)
 

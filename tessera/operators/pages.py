@@ -48,7 +48,7 @@ def removal_pattern() -> str:
 
 ARTICLE = r"(?is)<article\b[^>]*>.*?</article>"
 MAIN_DIV = rf"(?is)<div\b[^>]*\bclass=\"[^\"]*\b{MAIN_CLASS}\b[^\"]*\"[^>]*>.*?</div>"
-OUTER_TAGS = r"(?is)^<[^>]*>|<[^>]*>$"
+OUTER_TAGS = r"(?is)^<[^>]*>|<[^>]*>$"  # used by the SQL twin; the text step drops them anyway
 
 
 # entities that cannot form a tag or another entity are decoded before the tags go
@@ -85,9 +85,8 @@ def main_text(html, limit: int = WEB_TEXT_CHARS) -> Column:
     """
     h = F.col(html) if isinstance(html, str) else html
     h = F.regexp_replace(h, removal_pattern(), "")
-    # first match or null (one pass each); the outer tags are cut from the match
-    focus = F.coalesce(F.regexp_substr(h, F.lit(ARTICLE)), F.regexp_substr(h, F.lit(MAIN_DIV)))
-    focus = F.when(focus.isNull(), h).otherwise(F.regexp_replace(focus, OUTER_TAGS, ""))
+    # first match (with its own tags, which the text step drops like any tag), else the page
+    focus = F.coalesce(F.regexp_substr(h, F.lit(ARTICLE)), F.regexp_substr(h, F.lit(MAIN_DIV)), h)
     return F.substring(_text_of(focus), 1, limit)
 
 
