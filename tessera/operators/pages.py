@@ -144,19 +144,20 @@ def _words(c) -> Column:
 
 @dataclass
 class PageIndex:
-    """A built page index: postings ``(page_id, tok, dl, tf)``, ``idf(tok, idf)``
-    and page rows ``(page_id, url, title, snippet)`` as tables, plus the two
-    corpus statistics BM25 needs."""
+    """A built page index: postings ``(page_id, tok, dl, tf)`` and page rows
+    ``(page_id, url, title, snippet)`` as tables, plus the two corpus
+    statistics BM25 needs. Document frequencies are taken at search time from
+    the postings of the query words only, so adding pages means appending
+    postings and updating two numbers."""
 
     postings: DataFrame
-    idf: DataFrame
     meta: DataFrame
     n: int
     avgdl: float
 
 
 def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
-    """Main text, postings and idf of a crawl, written once (under the shared
+    """Main text and postings of a crawl, written once (under the shared
     checkpoint folder unless ``path`` is given) and reused by every search."""
     from tessera.session import scratch_path
 
@@ -171,11 +172,8 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
     postings = spark.read.parquet(f"{path}/postings")
     stats = postings.agg(F.countDistinct("page_id").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
-    (postings.groupBy("tok").agg(F.count("*").alias("df"))
-     .select("tok", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-     .write.parquet(f"{path}/idf"))
     meta = docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
-    return PageIndex(postings, spark.read.parquet(f"{path}/idf"), meta, n, avgdl)
+    return PageIndex(postings, meta, n, avgdl)
 
 
 def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", qtext: str = "query",
@@ -188,7 +186,11 @@ def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", q
     shuffle too). Ties go to the lower page id.
     """
     qt = queries.select(qkey, F.explode(F.array_distinct(_words(qtext))).alias("tok"))
-    scored = qt.join(index.idf, "tok").join(index.postings, "tok").select(
+    # postings of the query words only (the word list is the small side of the semi-join)
+    post = index.postings.join(qt.select("tok").distinct(), "tok", "left_semi")
+    idf = post.groupBy("tok").agg(F.count("*").alias("df")).select(
+        "tok", F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    scored = qt.join(idf, "tok").join(post, "tok").select(
         qkey, "page_id",
         (F.col("idf") * F.col("tf") * (BM25_K1 + 1)
          / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(index.avgdl)))).alias("s"))
