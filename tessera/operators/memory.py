@@ -137,21 +137,31 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
 
 
 # F4 ------------------------------------------------------------------------
+def history_prompt(prompt="user_prompt", answer="llm_answer", user_tag: str = DEFAULT_USER_TAG,
+                   assistant_tag: str = DEFAULT_ASSISTANT_TAG, order: str = "ts"):
+    """F4 as a Column: ``lstrip(earlier turns) + ' ' + user_tag + prompt + assistant_tag``.
+
+    Earlier turns are ``prompt + ' ' + answer + ' '`` of the same session by
+    ``order`` (a window up to the row before); the first turn gets one leading
+    space, later turns two spaces before the tag.
+    """
+    p = F.col(prompt) if isinstance(prompt, str) else prompt
+    a = F.col(answer) if isinstance(answer, str) else answer
+    piece = F.concat(p, F.lit(" "), a, F.lit(" "))
+    w = Window.partitionBy(*SESSION).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.array_join(F.collect_list(piece).over(w), "")
+    return F.concat(F.regexp_replace(before, r"^[ \t\r\n\f\x0b]+", ""), F.lit(" "), F.lit(user_tag), p,
+                    F.lit(assistant_tag))
+
+
 def prompt_with_history(turns: DataFrame, user_tag: str = DEFAULT_USER_TAG,
                         assistant_tag: str = DEFAULT_ASSISTANT_TAG) -> DataFrame:
     """each turn's prompt preceded by all earlier turns of its session.
 
-    ``lstrip(history_before) + ' ' + user_tag + prompt + assistant_tag``: the
-    first turn gets one leading space, later turns two spaces before the tag.
     The window grows with the session, so F3 is the bounded form.
     """
-    piece = F.concat("user_prompt", F.lit(" "), "llm_answer", F.lit(" "))
-    w = Window.partitionBy(*SESSION).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.array_join(F.collect_list(piece).over(w), "")
-    return turns.select(
-        *SESSION, "ts",
-        F.concat(F.regexp_replace(before, r"^[ \t\r\n\f\x0b]+", ""), F.lit(" "), F.lit(user_tag), "user_prompt",
-                 F.lit(assistant_tag)).alias("full_prompt"))
+    return turns.select(*SESSION, "ts",
+                        history_prompt("user_prompt", "llm_answer", user_tag, assistant_tag).alias("full_prompt"))
 
 
 # F5 ------------------------------------------------------------------------

@@ -248,7 +248,7 @@ def _reuse(df, inp, ctx, **_):
 
 # G2 / G5 -------------------------------------------------------------------
 def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "prompt",
-              log: bool = False) -> DataFrame:
+              log: bool = False, include_history: bool = False, order: str = "ts") -> DataFrame:
     """Run every step over every prompt row.
 
     ``full_prompt = user_tag + prompt + assistant_tag``; a prompt over the token
@@ -256,11 +256,21 @@ def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "p
     renders its template from ``full_prompt`` and the previous ``result``
     (``None`` before the first), applies its action and replaces ``result``.
     Unknown actions are skipped. With ``log`` an array of
-    ``(step_no, action, input, result)`` is kept per row (G5).
+    ``(step_no, action, input, result)`` is kept per row (G5). With
+    ``include_history`` each prompt is preceded by the earlier prompts of its
+    session (by ``order``), as F4 builds it.
     """
     compiled = compile_chain(steps) if not isinstance(steps, list) or not steps or not isinstance(
         steps[0], Step) else steps
-    df = prompts.withColumn("full_prompt", F.concat(F.lit(ctx.user_tag), F.col(prompt_col), F.lit(ctx.assistant_tag)))
+    if include_history:
+        # earlier prompts of the session come first; a batch stores no answers,
+        # so earlier turns carry empty answers (F4 over the prompt rows)
+        from tessera.operators.memory import history_prompt
+
+        full = history_prompt(prompt_col, F.lit(""), ctx.user_tag, ctx.assistant_tag, order)
+    else:
+        full = F.concat(F.lit(ctx.user_tag), F.col(prompt_col), F.lit(ctx.assistant_tag))
+    df = prompts.withColumn("full_prompt", full)
     gated = count_tokens("full_prompt") > F.lit(float(ctx.context_size - ctx.max_length))
     df = df.withColumn("_gated", gated).withColumn("result", F.lit(None).cast("string"))
     if log:

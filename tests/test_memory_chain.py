@@ -167,3 +167,12 @@ def test_ids_for_titles_nearest(spark):
     got = {r.title: r.content_hash for r in L.ids_for_titles(sel, lib, nearest=True).collect()}
     assert got == {"report alpha": "h1", "src/notes_beta.txt": "h2"}
     assert L.ids_for_titles(sel, lib).count() == 1
+
+
+def test_chain_with_history(spark):
+    rows = [(0, "u", "s", T0, "p1"), (1, "u", "s", T0 + dt.timedelta(minutes=1), "p2")]
+    df = spark.createDataFrame(rows, "row_id long, user_id string, session_id string, ts timestamp, prompt string")
+    ctx = G.ChainContext(spark, user_tag="<u>", assistant_tag="<a>")
+    out = G.run_chain(df, [("{full_prompt}", "user_input", "", "next")], ctx, include_history=True)
+    got = [r.result for r in out.orderBy("row_id").collect()]
+    assert got == [" <u>p1<a>", "p1  " + " <u>p2<a>"]
