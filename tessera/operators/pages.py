@@ -108,8 +108,8 @@ def first_page(df: DataFrame, col: str, pages: DataFrame, key: str = "row_id", i
     removed, also when the text is a JSON string, where the reference fails);
     ``['...']`` wrapping is dropped first. Invalid URLs, pages not in
     the crawl and ``Error:`` texts are skipped. Candidates are joined to the
-    crawl on ``url`` and the first success per row is ``min_by(text, pos)``:
-    partial aggregation, no window.
+    crawl on ``url`` (only the pages asked for are parsed) and the first
+    success per row is ``min_by(text, pos)``: partial aggregation, no window.
     """
     q = F.col(col)
     q = F.when(q.startswith("['") & q.endswith("']"), F.substring(q, F.lit(3), F.length(q) - 4)).otherwise(q)
@@ -119,7 +119,11 @@ def first_page(df: DataFrame, col: str, pages: DataFrame, key: str = "row_id", i
         F.create_map(F.lit("url"), F.replace("_q", F.lit('"'), F.lit(""))))
     cand = base.select(key, "_json", F.posexplode_outer(urls).alias("_pos", "_k", "url"))
     cand = cand.filter(is_valid_url("url"))
-    texts = page_texts(pages)
+    # parse only the pages that are asked for: the distinct candidate URLs are
+    # joined to the crawl first (Catalyst does not move an expensive projection
+    # above a join, so parsing the whole crawl first would cost every page)
+    wanted = cand.select("url").distinct()
+    texts = page_texts(pages.join(wanted, "url", "left_semi"))
     hits = cand.join(texts, "url", "left").withColumn(
         "text", F.coalesce(F.col("text"), F.lit(NETWORK_MSG)))
     # a single URL returns its page text or the fetch error as is
