@@ -176,8 +176,10 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
     postings = spark.read.parquet(f"{path}/postings")
     stats = postings.agg(F.countDistinct("page_id").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
-    meta = docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
-    return PageIndex(postings, meta, n, avgdl)
+    # a narrow table for result rows, so a search never reads the page texts
+    (docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
+     .write.parquet(f"{path}/meta"))
+    return PageIndex(postings, spark.read.parquet(f"{path}/meta"), n, avgdl)
 
 
 def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", qtext: str = "query",
