@@ -137,6 +137,17 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
 
 
 # F4 ------------------------------------------------------------------------
+def _piece(prompt, answer):
+    p = F.col(prompt) if isinstance(prompt, str) else prompt
+    a = F.col(answer) if isinstance(answer, str) else answer
+    return p, F.concat(p, F.lit(" "), a, F.lit(" "))
+
+
+def _history_text(before, p, user_tag: str, assistant_tag: str):
+    return F.concat(F.regexp_replace(before, r"^[ \t\r\n\f\x0b]+", ""), F.lit(" "), F.lit(user_tag), p,
+                    F.lit(assistant_tag))
+
+
 def history_prompt(prompt="user_prompt", answer="llm_answer", user_tag: str = DEFAULT_USER_TAG,
                    assistant_tag: str = DEFAULT_ASSISTANT_TAG, order: str = "ts"):
     """F4 as a Column: ``lstrip(earlier turns) + ' ' + user_tag + prompt + assistant_tag``.
@@ -145,23 +156,40 @@ def history_prompt(prompt="user_prompt", answer="llm_answer", user_tag: str = DE
     ``order`` (a window up to the row before); the first turn gets one leading
     space, later turns two spaces before the tag.
     """
-    p = F.col(prompt) if isinstance(prompt, str) else prompt
-    a = F.col(answer) if isinstance(answer, str) else answer
-    piece = F.concat(p, F.lit(" "), a, F.lit(" "))
+    p, piece = _piece(prompt, answer)
     w = Window.partitionBy(*SESSION).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.array_join(F.collect_list(piece).over(w), "")
-    return F.concat(F.regexp_replace(before, r"^[ \t\r\n\f\x0b]+", ""), F.lit(" "), F.lit(user_tag), p,
-                    F.lit(assistant_tag))
+    return _history_text(F.array_join(F.collect_list(piece).over(w), ""), p, user_tag, assistant_tag)
 
 
-def prompt_with_history(turns: DataFrame, user_tag: str = DEFAULT_USER_TAG,
-                        assistant_tag: str = DEFAULT_ASSISTANT_TAG) -> DataFrame:
-    """each turn's prompt preceded by all earlier turns of its session.
+def with_history_prompt(df: DataFrame, prompt="user_prompt", answer="llm_answer",
+                        user_tag: str = DEFAULT_USER_TAG, assistant_tag: str = DEFAULT_ASSISTANT_TAG,
+                        order: str = "ts", max_chars: int | None = None, into: str = "full_prompt") -> DataFrame:
+    """F4 as a column ``into`` of ``df``.
 
-    The window grows with the session, so F3 is the bounded form.
+    With ``max_chars`` only the latest earlier turns whose pieces fit in
+    ``max_chars`` together are kept (the longest fitting suffix, as in F3).
+    Each turn's start (characters of its session before it) is strictly
+    increasing, since a piece has at least two characters, so a RANGE frame
+    ``max_chars`` preceding to 1 preceding over it is exactly that suffix: the
+    window holds at most ``max_chars`` worth of turns, not the whole session.
     """
-    return turns.select(*SESSION, "ts",
-                        history_prompt("user_prompt", "llm_answer", user_tag, assistant_tag).alias("full_prompt"))
+    if max_chars is None:
+        return df.withColumn(into, history_prompt(prompt, answer, user_tag, assistant_tag, order))
+    p, piece = _piece(prompt, answer)
+    cost = F.length(piece).cast("long")
+    run = Window.partitionBy(*SESSION).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_start", F.sum(cost).over(run) - cost)
+    fit = Window.partitionBy(*SESSION).orderBy("_start").rangeBetween(-int(max_chars), -1)
+    before = F.array_join(F.collect_list(piece).over(fit), "")
+    return out.withColumn(into, _history_text(before, p, user_tag, assistant_tag)).drop("_start")
+
+
+def prompt_with_history(turns: DataFrame, user_tag: str = DEFAULT_USER_TAG,
+                        assistant_tag: str = DEFAULT_ASSISTANT_TAG, max_chars: int | None = None) -> DataFrame:
+    """each turn's prompt preceded by the earlier turns of its session
+    (all of them, or with ``max_chars`` the latest ones that fit)."""
+    out = with_history_prompt(turns, "user_prompt", "llm_answer", user_tag, assistant_tag, "ts", max_chars)
+    return out.select(*SESSION, "ts", "full_prompt")
 
 
 # F5 ------------------------------------------------------------------------

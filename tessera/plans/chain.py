@@ -248,7 +248,8 @@ def _reuse(df, inp, ctx, **_):
 
 # G2 / G5 -------------------------------------------------------------------
 def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "prompt",
-              log: bool = False, include_history: bool = False, order: str = "ts") -> DataFrame:
+              log: bool = False, include_history: bool = False, order: str = "ts",
+              history_chars: int | None = None) -> DataFrame:
     """Run every step over every prompt row.
 
     ``full_prompt = user_tag + prompt + assistant_tag``; a prompt over the token
@@ -258,19 +259,22 @@ def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "p
     Unknown actions are skipped. With ``log`` an array of
     ``(step_no, action, input, result)`` is kept per row (G5). With
     ``include_history`` each prompt is preceded by the earlier prompts of its
-    session (by ``order``), as F4 builds it.
+    session (by ``order``), as F4 builds it; ``history_chars`` keeps only the
+    latest ones that fit.
     """
     compiled = compile_chain(steps) if not isinstance(steps, list) or not steps or not isinstance(
         steps[0], Step) else steps
     if include_history:
         # earlier prompts of the session come first; a batch stores no answers,
-        # so earlier turns carry empty answers (F4 over the prompt rows)
-        from tessera.operators.memory import history_prompt
+        # so earlier turns carry empty answers (F4 over the prompt rows), all of
+        # them or the latest that fit in ``history_chars``
+        from tessera.operators.memory import with_history_prompt
 
-        full = history_prompt(prompt_col, F.lit(""), ctx.user_tag, ctx.assistant_tag, order)
+        df = with_history_prompt(prompts, prompt_col, F.lit(""), ctx.user_tag, ctx.assistant_tag, order,
+                                 history_chars)
     else:
-        full = F.concat(F.lit(ctx.user_tag), F.col(prompt_col), F.lit(ctx.assistant_tag))
-    df = prompts.withColumn("full_prompt", full)
+        df = prompts.withColumn("full_prompt", F.concat(F.lit(ctx.user_tag), F.col(prompt_col),
+                                                        F.lit(ctx.assistant_tag)))
     gated = count_tokens("full_prompt") > F.lit(float(ctx.context_size - ctx.max_length))
     df = df.withColumn("_gated", gated).withColumn("result", F.lit(None).cast("string"))
     if log:

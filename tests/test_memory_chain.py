@@ -176,3 +176,35 @@ def test_chain_with_history(spark):
     out = G.run_chain(df, [("{full_prompt}", "user_input", "", "next")], ctx, include_history=True)
     got = [r.result for r in out.orderBy("row_id").collect()]
     assert got == [" <u>p1<a>", "p1  " + " <u>p2<a>"]
+
+
+def test_prompt_with_history_budget(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [("s", m, "p" * rnd.randint(0, 9), "a" * rnd.randint(0, 9)) for m in range(12)]
+    t = turns(spark, rows)
+    budget = 25
+    got = {r.ts: r.full_prompt for r in M.prompt_with_history(t, "<u>", "<a>", max_chars=budget).collect()}
+    for i, (_, m, p, a) in enumerate(rows):
+        keep, total = [], 0
+        for _, _, pj, aj in reversed(rows[:i]):             # latest earlier turns first
+            piece = pj + " " + aj + " "
+            if total + len(piece) > budget:
+                break
+            total += len(piece)
+            keep.insert(0, piece)
+        want = "".join(keep).lstrip(" \t\r\n\f\x0b") + " <u>" + p + "<a>"
+        assert got[T0 + dt.timedelta(minutes=m)] == want
+    full = {r.ts: r.full_prompt for r in M.prompt_with_history(t, "<u>", "<a>").collect()}
+    assert len(full[T0 + dt.timedelta(minutes=11)]) >= len(got[T0 + dt.timedelta(minutes=11)])
+
+
+def test_chain_with_history_budget(spark):
+    rows = [(i, "u", "s", T0 + dt.timedelta(minutes=i), f"p{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "row_id long, user_id string, session_id string, ts timestamp, prompt string")
+    ctx = G.ChainContext(spark, user_tag="<u>", assistant_tag="<a>")
+    out = G.run_chain(df, [("{full_prompt}", "user_input", "", "next")], ctx, include_history=True,
+                      history_chars=8)
+    got = [r.result for r in out.orderBy("row_id").collect()]
+    assert got[3] == "p1  p2   <u>p3<a>"      # each earlier piece "pN  " costs 4 characters
