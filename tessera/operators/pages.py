@@ -36,18 +36,50 @@ CLASS_TAGS = ("div", "section", "aside", "span", "ul", "p")
 NON_TEXT = r"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 
 
-def removal_pattern() -> str:
+NESTING = 3  # same-name elements nested inside a removed or selected one, up to this depth
+
+
+def element(tag: str, open_attrs: str = "[^>]*", depth: int = NESTING, flat: bool = False) -> str:
+    """Regex of one ``tag`` element whose opening tag matches ``open_attrs``,
+    with its content up to the matching close tag.
+
+    ``flat`` stops at the first close tag (the SQL twin's RE2 form). Otherwise
+    same-name elements inside are matched as balanced up to ``depth`` levels:
+    a content character is anything that does not start an open or close tag
+    of that name, or a nested element, so the two cases never overlap and
+    there is no backtracking blow-up (Java regex; it needs the look-ahead).
+    """
+    if flat:
+        return rf"<{tag}\b{open_attrs}>.*?</{tag}>"
+    # possessive loops: Java recurses once per iteration of a plain group
+    # repetition (a stack overflow on long pages); the alternatives never
+    # overlap and cannot consume the close tag, so nothing is lost
+    char = rf"(?:(?!<{tag}\b|</{tag}>).)"
+    inner = rf"<{tag}\b[^>]*>{char}*+</{tag}>"
+    for _ in range(depth - 1):
+        inner = rf"<{tag}\b[^>]*>(?:{char}|{inner})*+</{tag}>"
+    return rf"<{tag}\b{open_attrs}>(?:{char}|{inner})*+</{tag}>"
+
+
+def _class_attrs(names: str) -> str:
+    return rf"[^>]*\bclass=\"[^\"]*\b(?:{names})\b[^\"]*\"[^>]*"
+
+
+def removal_pattern(flat: bool = False) -> str:
     """One alternation for everything dropped before the text is taken:
-    script/style/comments, ``nav``/``footer`` blocks and elements of a removed
-    class. One regex pass over the page instead of one per kind."""
+    script/style/comments, ``nav``/``footer`` elements and elements of a
+    removed class. One regex pass over the page instead of one per kind."""
     cls = "|".join(REMOVED_CLASSES)
-    alts = [NON_TEXT] + [rf"<{t}\b[^>]*>.*?</{t}>" for t in REMOVED_TAGS]
-    alts += [rf"<{t}\b[^>]*\bclass=\"[^\"]*\b(?:{cls})\b[^\"]*\"[^>]*>.*?</{t}>" for t in CLASS_TAGS]
+    alts = [NON_TEXT] + [element(t, flat=flat) for t in REMOVED_TAGS]
+    alts += [element(t, _class_attrs(cls), flat=flat) for t in CLASS_TAGS]
     return "(?is)" + "|".join(alts)
 
 
-ARTICLE = r"(?is)<article\b[^>]*>.*?</article>"
-MAIN_DIV = rf"(?is)<div\b[^>]*\bclass=\"[^\"]*\b{MAIN_CLASS}\b[^\"]*\"[^>]*>.*?</div>"
+ARTICLE = "(?is)" + element("article")
+MAIN_DIV = "(?is)" + element("div", _class_attrs(MAIN_CLASS))
+# the SQL twin's forms (RE2 has no look-ahead): flat blocks
+ARTICLE_FLAT = "(?is)" + element("article", flat=True)
+MAIN_DIV_FLAT = "(?is)" + element("div", _class_attrs(MAIN_CLASS), flat=True)
 OUTER_TAGS = r"(?is)^<[^>]*>|<[^>]*>$"  # used by the SQL twin; the text step drops them anyway
 
 

@@ -24,8 +24,8 @@ def d_text_of(fragment: str) -> str:
 
 def d_main_text_ctes(src: str = "pages", name: str = "mt") -> str:
     """CTEs ending in ``{name}(page_id, url, html, text)``."""
-    art, div = P.ARTICLE, P.MAIN_DIV
-    return f"""{name}0 AS (SELECT page_id, url, html, regexp_replace(html, '{_q(P.removal_pattern())}', '', 'g') AS h
+    art, div = P.ARTICLE_FLAT, P.MAIN_DIV_FLAT
+    return f"""{name}0 AS (SELECT page_id, url, html, regexp_replace(html, '{_q(P.removal_pattern(flat=True))}', '', 'g') AS h
         FROM {src}),
 {name}f AS (SELECT page_id, url, html, CASE
         WHEN regexp_extract(h, '{_q(art)}', 0) <> '' THEN regexp_replace(regexp_extract(h, '{_q(art)}', 0),

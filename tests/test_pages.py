@@ -39,3 +39,11 @@ def test_first_page_keeps_document_order(spark):
                                (2, '{"a": "http://a.example/x", "z": "http://c.example/"}')], "row_id long, q string")
     got = {r.row_id: r.result for r in P.first_page(q, "q", pages).collect()}
     assert got == {1: "C", 2: "A"}
+
+
+def test_nested_blocks(spark):
+    page = ("<body><div class=\"sidebar\"><div><div>deep</div></div> side</div>"
+            "<div class=\"main-content\"><div>one</div> two <div><p>three</p></div></div><div>x</div></body>")
+    assert text(spark, page) == "onetwothree"
+    nav = "<article><nav>a<nav>b</nav>c</nav>kept</article>"
+    assert text(spark, nav) == "kept"
