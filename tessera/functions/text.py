@@ -131,15 +131,17 @@ def as_text(c) -> Column:
 
 
 # D1 ------------------------------------------------------------------------
-SENTENCE_BREAK = r"([.!?])[ \t\r\n\f]+"
+
+
+SENTENCE_SPLIT = r"(?<=[.!?])[ \t\r\n\f]+"
 
 
 def sentences(c) -> Column:
     """Split text into sentences.
 
-    Rule: a sentence ends at ``.``, ``!`` or ``?`` followed by whitespace. The
-    break is marked with char(1) and split on, so no look-behind is needed.
-    Leading/trailing whitespace is dropped and empty pieces are removed.
+    Rule: a sentence ends at ``.``, ``!`` or ``?`` followed by whitespace (one
+    split on the whitespace after the mark, by look-behind). Leading/trailing
+    whitespace is dropped and empty pieces are removed. The SQL twin (RE2, no
+    look-behind) marks the break with char(1) and splits on that instead.
     """
-    marked = F.regexp_replace(strip_ws(c), SENTENCE_BREAK, "$1\u0001")
-    return F.array_remove(F.split(marked, "\u0001"), "")
+    return F.array_remove(F.split(strip_ws(c), SENTENCE_SPLIT), "")
