@@ -24,7 +24,7 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
 # partition columns are strings: inference would turn a prefix like "01" into 1
 LIBRARY_SCHEMA = ("chunk_id string, chunk_no int, text string, source string, content_hash string, "
-                  "batch string, hash_prefix string")
+                  "embedding array<float>, batch string, hash_prefix string")
 
 
 def read_library(spark: SparkSession, library: str) -> DataFrame:
@@ -49,8 +49,9 @@ def _run(writer, checkpoint: str):
 
 # L1 ------------------------------------------------------------------------
 def stream_documents(spark: SparkSession, src: str, library: str, glob: str | None = None,
-                     checkpoint: str | None = None, max_files: int | None = None) -> None:
-    """L1: new document files -> chunk library, deduplicated by content hash.
+                     checkpoint: str | None = None, max_files: int | None = None, encoder=None,
+                     encoder_factory=None) -> None:
+    """L1: new document files -> embedded chunk library, deduplicated by content hash.
 
     Each micro-batch keeps the first document per hash, drops hashes already in
     the library (anti-join after a semi-join that prunes the library to the
@@ -71,6 +72,8 @@ def stream_documents(spark: SparkSession, src: str, library: str, glob: str | No
         except Exception:  # noqa: BLE001 - empty library
             held = None
         new = L.chunk_documents(L.ingest_documents(L.with_title(batch), held))
+        new = new.join(L.embed(new, "chunk_id", "text", encoder=encoder, encoder_factory=encoder_factory),
+                       "chunk_id")
         (new.withColumn("hash_prefix", F.substring("content_hash", 1, L.HASH_PREFIX_CHARS))
          .write.mode("overwrite").partitionBy("hash_prefix").parquet(f"{library}/chunks/batch={name}"))
 

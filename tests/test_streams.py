@@ -49,3 +49,16 @@ def test_stream_turns_pairs_across_batches(spark):
     got = S.read_turn_pairs(spark, mem).select(*M.SESSION, "ts", "user_prompt", "llm_answer")
     want = M.tag_turns(M.chat_pairs(M.conversation_turns(conv))).select(*M.SESSION, "ts", "user_prompt", "llm_answer")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_streamed_library_is_searchable(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    src = scratch_path(spark, "doc-src")
+    docs.coalesce(1).write.parquet(src)
+    lib = scratch_path(spark, "library")
+    S.stream_documents(spark, src, lib, checkpoint=f"{lib}-ckpt")
+    chunks = S.read_library(spark, lib)
+    q = L.embed(chunks.limit(3).select("chunk_id", "text"), "chunk_id", "text").select(
+        F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec"))
+    hits = L.search(q, chunks.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash"), k=1)
+    assert all(h.dist == 0.0 for h in hits.collect())     # each chunk finds an identical vector
