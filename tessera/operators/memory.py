@@ -241,6 +241,22 @@ def archive_sessions(turns: DataFrame, summarizer=None) -> DataFrame:
     return docs.select(*SESSION, "summary", F.to_json(F.struct("turns", "summary")).alias("document"))
 
 
+def model_summarizer(completer_factory, template: str = "Summarize this conversation: {history}",
+                     max_length: int = 128, context_size: int = 4096):
+    """A summarizer for ``archive_sessions``: the session history (F2) rendered
+    into ``template`` and completed by the user's model (K1; over-budget
+    histories get K1's fixed error text instead of reaching the model)."""
+    from tessera.functions.template import render
+    from tessera.operators.complete import complete
+
+    def summarize(turns: DataFrame) -> DataFrame:
+        h = session_history(turns)
+        prompt = render(template, history=F.col("history"))
+        return h.select(*SESSION, complete(prompt, completer_factory, max_length, context_size).alias("summary"))
+
+    return summarize
+
+
 # F10 -----------------------------------------------------------------------
 TURN_SCHEMA = "user_prompt string, llm_answer string, timestamp string"
 

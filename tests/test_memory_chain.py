@@ -208,3 +208,11 @@ def test_chain_with_history_budget(spark):
                       history_chars=8)
     got = [r.result for r in out.orderBy("row_id").collect()]
     assert got[3] == "p1  p2   <u>p3<a>"      # each earlier piece "pN  " costs 4 characters
+
+
+def test_archive_with_model_summary(spark):
+    t = turns(spark, [("s", 0, "p1", "a1"), ("s", 1, "p2", "a2")])
+    summ = M.model_summarizer(lambda: (lambda ps: [p.split(": ", 1)[1][:5] for p in ps]))
+    row = M.archive_sessions(t, summ).first()
+    assert row.summary == "p1 a1"
+    assert M.archive_sessions(t).first().summary == M.SUMMARY_PLACEHOLDER
