@@ -1,19 +1,23 @@
-"""Shipped step tables, kept as data (rows of input, action, option, next_df)."""
+"""Shipped step tables, kept as data (rows of input, action, option, next_df).
+
+The last row's ``next_df`` names the preset that handles the next prompt, by
+its key in ``PRESETS`` (``run_program`` routes with it).
+"""
 
 from __future__ import annotations
 
 # Fixed values that must equal the reference's for right results: preset chains.
 DEFAULT_SEQ = [
     ("{full_prompt}", "llm_completion", "{'max_length': 486, 'temperature': 0.1}", "next"),
-    ("{result}", "user_input", "{}", "promptchain/Default_Seq.csv"),
+    ("{result}", "user_input", "{}", "default"),
 ]
 TRANSLATE_DE_ENG = [
     ("Please translate the following text from german to english : {full_prompt}", "llm_completion",
      "{'max_length': 1024, 'temperature': 0.1}", "next"),
-    ("{result}", "user_input", "{}", "promptchain/Translate_DE_ENG.csv"),
+    ("{result}", "user_input", "{}", "translate_de_eng"),
 ]
 CSV_PEEK = [
-    ("{full_prompt}", "csv_peek", "{}", "promptchain/Default_Seq.csv"),
+    ("{full_prompt}", "csv_peek", "{}", "default"),
 ]
 
 # A table question re-aimed to one Spark SQL statement over the view ``df``
@@ -22,7 +26,7 @@ ASK_SQL = [
     ("{full_prompt}", "csv_peek", "{}", "next"),
     ("Given the table df, which looks like {result}, answer the request with one Spark SQL SELECT statement over "
      "df, as JSON {{\"df\": \"...\"}}. The request is: {full_prompt}", "llm_completion",
-     "{'max_length': 200, 'temperature': 0.1, 'grammar': 'grammar/singleexpression.gbnf'}", "next"),
+     "{'max_length': 200, 'temperature': 0.1, 'grammar': 'singleexpression'}", "next"),
     ("{result}", "execute_df_expression", "{}", "next"),
     ("{result}", "user_input", "{}", "ask_sql"),
 ]

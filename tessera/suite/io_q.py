@@ -38,7 +38,7 @@ def _step_rows(spark, sf):
         F.when(F.col("role") == "user", "llm_completion").when(F.col("role") == "assistant", "user_input")
         .otherwise("csv_peek").alias("action"),
         F.when(F.col("role") == "user", F.lit("{'max_length': 64}")).otherwise(F.lit("")).alias("option"),
-        F.when(F.lead("turn").over(w).isNull(), F.lit("promptchain/Default_Seq.csv")).otherwise(F.lit("next"))
+        F.when(F.lead("turn").over(w).isNull(), F.lit("default")).otherwise(F.lit("next"))
         .alias("next_df"))
 
 
@@ -55,7 +55,7 @@ A2_SQL = r"""SELECT conv_id AS recipe, (row_number() OVER (PARTITION BY conv_id
   md5(trim(regexp_replace(text, '[\r\n|]', ' ', 'g'))) AS input_md5,
   CASE WHEN role = 'user' THEN 'llm_completion' WHEN role = 'assistant' THEN 'user_input' ELSE 'csv_peek' END AS action,
   CASE WHEN role = 'user' THEN '{''max_length'': 64}' ELSE '' END AS option,
-  CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 'promptchain/Default_Seq.csv'
+  CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 'default'
        ELSE 'next' END AS next_df
 FROM conversations"""
 

@@ -151,7 +151,7 @@ def test_ask_candidates_and_catalog(spark):
     d = scratch_path(spark, "seqs").replace("file:", "")
     os.makedirs(d)
     with open(os.path.join(d, "ask.csv"), "w") as f:
-        f.write("input|action|option|next_df\n{full_prompt}|user_input||promptchain/echo.csv\n")
+        f.write("input|action|option|next_df\n{full_prompt}|user_input||tables/echo.csv\n")
     with open(os.path.join(d, "echo.csv"), "w") as f:
         f.write("input|action|option|next_df\nEcho {full_prompt}|user_input||next\n")
     cat = G.catalog_from_sequences(S.read_sequences(spark, d))
@@ -216,3 +216,11 @@ def test_archive_with_model_summary(spark):
     row = M.archive_sessions(t, summ).first()
     assert row.summary == "p1 a1"
     assert M.archive_sessions(t).first().summary == M.SUMMARY_PLACEHOLDER
+
+
+def test_presets_route_by_key():
+    from tessera.plans.presets import PRESETS
+
+    cat = {k: G.compile_chain(v) for k, v in PRESETS.items()}
+    assert G.route(cat, "csv_peek") == (["csv_peek", "default"], 1)
+    assert G.route(cat, "ask_sql") == (["ask_sql"], 0)

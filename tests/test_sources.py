@@ -22,13 +22,13 @@ def test_read_sequences_separators(spark):
     os.makedirs(d)
     with open(os.path.join(d, "pipe.csv"), "w") as f:
         f.write("input|action|option|next_df\n{full_prompt}|llm_completion|{'max_length': 486}|next\n"
-                "a|b in input|user_input||promptchain/x.csv\n")
+                "a|b in input|user_input||tables/x.csv\n")
     with open(os.path.join(d, "tab.csv"), "w") as f:
         f.write("input\taction\toption\tnext_df\n{result}\tuser_input\t{}\tnext\n")
     rows = sorted((os.path.basename(r.file), r.step_no, r.input, r.action, r.option, r.next_df)
                   for r in A.read_sequences(spark, d).collect())
     assert rows == [("pipe.csv", 0, "{full_prompt}", "llm_completion", "{'max_length': 486}", "next"),
-                    ("pipe.csv", 1, "a|b in input", "user_input", "", "promptchain/x.csv"),
+                    ("pipe.csv", 1, "a|b in input", "user_input", "", "tables/x.csv"),
                     ("tab.csv", 0, "{result}", "user_input", "{}", "next")]
 
 
