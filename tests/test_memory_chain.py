@@ -224,3 +224,20 @@ def test_presets_route_by_key():
     cat = {k: G.compile_chain(v) for k, v in PRESETS.items()}
     assert G.route(cat, "csv_peek") == (["csv_peek", "default"], 1)
     assert G.route(cat, "ask_sql") == (["ask_sql"], 0)
+
+
+def test_table_question_chain(spark):
+    from tessera.plans.presets import ASK_SQL
+    from tests.conftest import SF
+
+    spark.read.parquet(f"{SF}/customer.parquet").createOrReplaceTempView("df")
+    answer = '{"df": "SELECT c_mktsegment, count(*) AS n FROM df GROUP BY c_mktsegment"}'
+    ctx = G.ChainContext(spark, completer_factory=lambda: (lambda ps: [answer for _ in ps]),
+                         user_tag="", assistant_tag="", max_length=200)
+    out = G.run_chain(prompts(spark, ["customers per segment?"]), ASK_SQL, ctx, log=True)
+    row = out.first()
+    assert "Number of Records: 5" in row.result
+    steps = [(r.action, r.result) for r in G.step_log(out).orderBy("step_no").collect()]
+    assert steps[0][1].startswith("The uploaded table contains : 150 records.")
+    assert steps[1] == ("llm_completion", answer)
+    assert [a for a, _ in steps] == ["csv_peek", "llm_completion", "execute_df_expression", "user_input"]
