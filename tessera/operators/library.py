@@ -1,7 +1,11 @@
 """Document library: hash, split, pack, ingest, embed and exact filtered top-k search.
 
-Every operator is a DataFrame -> DataFrame function; the only per-row work is in
-native higher-order functions (``aggregate``, ``transform``, ``zip_with``).
+Every operator is a DataFrame -> DataFrame function. Text work is native
+(regex, ``split``, an ``aggregate`` fold for packing, explode + aggregations
+for the hashing encoder). Vector distances run in numpy inside Arrow-batched
+``mapInPandas`` / ``cogroup().applyInPandas`` tasks, on blocks Spark partitions
+and shuffles: Spark 4.1 has no vector functions, and higher-order lambdas over
+arrays run interpreted.
 """
 
 from __future__ import annotations

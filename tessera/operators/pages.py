@@ -2,8 +2,9 @@
 
 Main text, first good page of a URL list, and ranked keyword search, all as
 native expressions, joins and aggregations. HTML is handled with regular
-expressions over flat blocks: a removed or selected element must not contain
-another element of the same name (the known limit, see README).
+expressions: removed and selected elements are matched with same-name nesting
+up to ``NESTING`` levels (a bounded balanced pattern); tags a parser would
+close implicitly are not modelled (see README).
 """
 
 from __future__ import annotations
