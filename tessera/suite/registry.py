@@ -20,7 +20,6 @@ def flagship(spark, sf_dir):
     )
 
 
-FLAGSHIP_SQL = None
 
 
 def all_queries():
