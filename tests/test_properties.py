@@ -57,3 +57,36 @@ def test_sliding_memory_is_longest_fitting_suffix(spark, sessions, budget):
                 break
             want.add((f"s{si}", t0 + dt.timedelta(minutes=ti)))
     assert got == want
+
+
+from tessera.functions import guided as G  # noqa: E402
+
+SCHEMA = {"type": "object", "properties": {
+    "name": {"type": "string"}, "age": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}},
+    "ok": {"type": "boolean"}, "score": {"type": "number"}}}
+OBJ = st.fixed_dictionaries({
+    "name": st.text(max_size=20), "age": st.integers(-10**6, 10**6),
+    "tags": st.lists(st.text(max_size=8), max_size=4), "ok": st.booleans(),
+    "score": st.floats(allow_nan=False, allow_infinity=False, width=32)})
+
+
+def ordered(o):
+    return {k: o[k] for k in sorted(o)}      # keys in name order, as the schema demands
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(objs=st.lists(OBJ, min_size=1, max_size=30))
+def test_conforms_accepts_serialised_objects_and_rejects_mutations(spark, objs):
+    import json
+
+    texts, want = [], []
+    for o in objs:
+        o = ordered(o)
+        texts += [json.dumps(o), json.dumps(o, separators=(",", ":")),
+                  json.dumps(o).replace(": ", ":  ", 1),                    # two spaces after a colon
+                  json.dumps({**o, "zz": 1}),                               # extra key
+                  json.dumps({k: v for k, v in o.items() if k != "age"})]   # missing key
+        want += [True, True, False, False, False]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.ok for r in df.select("i", G.conforms("t", SCHEMA).alias("ok")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
