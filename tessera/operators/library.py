@@ -183,6 +183,7 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
     through an Arrow ``pandas_udf``. Without one the native hashing encoder is used: token counts per
     bucket, L2-normalised, computed with explode + two aggregations on ``key``
     (the first combines map-side; the second holds at most ``dim`` entries).
+    ``key`` must be unique per row.
     """
     if encoder is not None or encoder_factory is not None:
         return _embed_with_encoder(df, key, text_col, encoder, encoder_factory)
@@ -201,12 +202,11 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
         F.array_repeat(zero, (x["b"] - p - 1).cast("int")), F.array((x["n"] / F.col("norm")).cast("float"))))
     dense = vecs.select(key, F.concat(F.flatten(pieces), F.array_repeat(
         zero, (F.lit(dim - 1) - F.element_at(bs, -1)).cast("int"))).alias("embedding"))
+    # rows without any token get a zero vector: a narrow filter and a union,
+    # not a join of every key back to the vectors
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return (
-        df.select(key)
-        .join(dense, key, "left")
-        .select(key, F.coalesce(F.col("embedding"), zeros).alias("embedding"))
-    )
+    empty = df.filter(F.coalesce(F.size(hash_tokens(text_col)), F.lit(0)) <= 0).select(key, zeros.alias("embedding"))
+    return dense.unionByName(empty)
 
 
 def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder_factory=None) -> DataFrame:

@@ -96,3 +96,10 @@ def test_plugged_encoder_factory(spark):
 
     df = spark.createDataFrame([(1, "abc")], "id long, t string")
     assert L.embed(df, "id", "t", encoder_factory=factory).first().embedding == [3.0]
+
+
+def test_embed_empty_and_null_texts(spark):
+    df = spark.createDataFrame([(1, "word"), (2, ""), (3, None), (4, "!!")], "id long, t string")
+    got = {r.id: r.embedding for r in L.embed(df, "id", "t", dim=4).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[2] == got[3] == got[4] == [0.0] * 4 and abs(sum(x * x for x in got[1]) - 1) < 1e-6
