@@ -58,3 +58,21 @@ def test_parse_guided(spark):
     got = [r["parsed"] for r in G.parse_guided(df, "t", {"type": "object", "properties": {"k": {"type": "integer"}}})
            .collect()]
     assert got[0]["k"] == 5 and got[1] is None
+
+
+def test_named_formats(spark):
+    cases = {
+        "cars": ('{"age": 3, "courses": ["a", "b"], "is_student": true, "name": "x"}',
+                 '{"age": 3, "courses": "a", "is_student": true, "name": "x"}'),
+        "example1": ('{"age": 7, "is_active": false, "name": "n"}', '{"age": 7.5, "is_active": false, "name": "n"}'),
+        "delivery": ('{ "tracking_number": "1", "status":"ok",\n "weight": "2kg", "submitted_ts": "t"}',
+                     '{"tracking_number": "1", "status": "o\\"k", "weight": "2", "submitted_ts": "t"}'),
+        "news": ('{"title":"t","subtitle":"s","author":"a","date":"d","content":"c","tags":[],"references":["r"]}',
+                 '{"title":"t","subtitle":"s","author":"a","date":"d","content":"c","tags":[]}'),
+    }
+    rows = [(name, i, text) for name, pair in cases.items() for i, text in enumerate(pair)]
+    df = spark.createDataFrame(rows, "fmt string, i int, t string")
+    for name in cases:
+        got = {r.i: r.ok for r in df.filter(df.fmt == name)
+               .select("i", G.conforms("t", regex=G.named_regex(name)).alias("ok")).collect()}
+        assert got == {0: True, 1: False}, name
