@@ -115,17 +115,28 @@ def read_turn_pairs(spark: SparkSession, memory: str) -> DataFrame:
 
 
 # L3 ------------------------------------------------------------------------
-MEMORY_OUT = "user_id string, session_id string, ts timestamp, suffix_chars long, version long"
-MEMORY_STATE = "ts array<timestamp>, cost array<long>"
+MEMORY_OUT = "user_id string, session_id string, ts timestamp, suffix_chars long, version long"  # ts null: empty
+MEMORY_STATE = "ts array<timestamp>, cost array<long>, version long"
+
+
+def _snapshot(key, keep, version) -> pd.DataFrame:
+    """Kept turns of a session as one snapshot; an empty window is one marker row (null ts)."""
+    if not keep:
+        keep = [(None, None)]
+    return pd.DataFrame({"user_id": pd.Series([key[0]] * len(keep), dtype=object),
+                         "session_id": pd.Series([key[1]] * len(keep), dtype=object),
+                         "ts": pd.Series([t for t, _ in keep], dtype="datetime64[ns]"),
+                         "suffix_chars": pd.Series([r for _, r in keep], dtype="Int64"),
+                         "version": pd.Series([version] * len(keep), dtype="int64")})
 
 
 def _sliding(max_tok: float):
     budget = max_tok * TOKEN_CHARS
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ts, cost = [], []
+        ts, cost, version = [], [], 0
         if state.exists:
-            ts, cost = list(state.get[0]), list(state.get[1])
+            ts, cost, version = list(state.get[0]), list(state.get[1]), int(state.get[2])
         for pdf in pdfs:
             ts += list(pdf["ts"])
             cost += list(pdf["cost"])
@@ -138,14 +149,9 @@ def _sliding(max_tok: float):
             run += cost[i]
             keep.append((ts[i], run))
         keep.reverse()
-        state.update(([t for t, _ in keep], [c for c in cost[len(cost) - len(keep):]]))
-        version = int(pd.Timestamp(ts[-1]).value) if ts else 0
-        # explicit dtypes: an empty frame must not default to float64 columns
-        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(keep), dtype=object),
-                            "session_id": pd.Series([key[1]] * len(keep), dtype=object),
-                            "ts": pd.Series([t for t, _ in keep], dtype="datetime64[ns]"),
-                            "suffix_chars": pd.Series([r for _, r in keep], dtype="int64"),
-                            "version": pd.Series([version] * len(keep), dtype="int64")})
+        version += 1                                           # one snapshot per touch of the session
+        state.update(([t for t, _ in keep], [c for c in cost[len(cost) - len(keep):]], version))
+        yield _snapshot(key, keep, version)
 
     return fn
 
@@ -168,9 +174,71 @@ def stream_memory(pairs: DataFrame, out: str, max_tok: float, checkpoint: str |
     return current_memory(pairs.sparkSession.read.parquet(out))
 
 
+TURN_STATE = "turn array<long>, ts array<timestamp>, role array<string>, len array<long>, version long"
+
+
+def _sliding_from_turns(max_tok: float):
+    budget = max_tok * TOKEN_CHARS
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows, version = {}, 0
+        if state.exists:
+            st = state.get
+            version = int(st[4])
+            for t, ts, r, n in zip(st[0], st[1], st[2], st[3]):
+                rows[int(t)] = (ts, r, int(n))
+        for pdf in pdfs:
+            for t, ts, r, n in zip(pdf["turn"], pdf["ts"], pdf["role"], pdf["len"]):
+                rows[int(t)] = (ts, r, int(n))               # a replayed row replaces itself
+        # pairs: each user row with the next turn's text when that is the assistant's
+        pairs = []
+        for t in sorted(rows):
+            ts, role, n = rows[t]
+            if role == "user":
+                nxt = rows.get(t + 1)
+                answer = nxt[2] if nxt is not None and nxt[1] == "assistant" else 0
+                pairs.append((t, ts, n + answer + 2))
+        keep, run = [], 0
+        for t, ts, cost in reversed(pairs):                 # newest first; stop at the first that does not fit
+            if run + cost > budget:
+                break
+            run += cost
+            keep.append((t, ts, run))
+        keep.reverse()
+        # rows older than the oldest kept pair can never come back (costs only grow)
+        floor = keep[0][0] if keep else (pairs[-1][0] + 1 if pairs else min(rows, default=0))
+        kept_rows = [t for t in sorted(rows) if t >= floor]
+        version += 1                                           # one snapshot per touch of the session
+        state.update(([t for t in kept_rows], [rows[t][0] for t in kept_rows], [rows[t][1] for t in kept_rows],
+                      [rows[t][2] for t in kept_rows], version))
+        yield _snapshot(key, [(ts, r) for _, ts, r in keep], version)
+
+    return fn
+
+
+def stream_memory_from_turns(spark: SparkSession, src: str, out: str, max_tok: float, glob: str | None = None,
+                             checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
+    """L3 over raw conversation rows: live sliding memory per session.
+
+    Prompts and answers may arrive in any micro-batch. The state of a session
+    holds only the raw rows from its oldest kept pair on (so it is bounded by
+    the budget); pairs are formed from it each time, so a late answer lengthens
+    its pair and may push older turns out. Each micro-batch emits the kept turns
+    of the sessions it touched; ``current_memory`` reads the latest version.
+    """
+    rows = M.conversation_turns(_read(spark, src, TURN_SCHEMA, glob, max_files))
+    rows = rows.select(*M.SESSION, "turn", "ts", "role", F.length("text").cast("long").alias("len"))
+    res = rows.groupBy(*M.SESSION).applyInPandasWithState(_sliding_from_turns(max_tok), MEMORY_OUT, TURN_STATE,
+                                                          "append", GroupStateTimeout.NoTimeout)
+    _run(res.writeStream.format("parquet").option("path", out), checkpoint or scratch_path(spark, "ckpt-mem"))
+    return current_memory(spark.read.parquet(out))
+
+
 def current_memory(snapshots: DataFrame) -> DataFrame:
+    """The latest snapshot of every session (version = per-session touch count);
+    empty windows are marker rows and leave nothing."""
     latest = snapshots.groupBy(*M.SESSION).agg(F.max("version").alias("version"))
-    return snapshots.join(latest, [*M.SESSION, "version"]).drop("version")
+    return (snapshots.join(latest, [*M.SESSION, "version"]).filter(F.col("ts").isNotNull()).drop("version"))
 
 
 # L4 ------------------------------------------------------------------------

@@ -150,6 +150,13 @@ def l3_stream_memory(spark, sf):
     return cur.select(*M.SESSION, "ts", "suffix_chars")
 
 
+def l3_stream_memory_from_turns(spark, sf):
+    """Live sliding memory straight from the conversations table read as a stream."""
+    cur = S.stream_memory_from_turns(spark, sf, scratch_path(spark, "live-memory"), memory_q.F3_BUDGET,
+                                     glob="conversations.parquet")
+    return cur.select(*M.SESSION, "ts", "suffix_chars")
+
+
 def l4_stream_chain(spark, sf):
     out = scratch_path(spark, "chain-out")
     stream = spark.readStream.schema(S.TURN_SCHEMA).option("pathGlobFilter", "conversations.parquet").parquet(sf)
@@ -170,5 +177,6 @@ QUERIES = {
     "L1_stream_documents": (l1_stream_documents, library_q.D3_SQL),
     "L2_stream_turns": (l2_stream_turns, memory_q.F1_SQL),
     "L3_stream_memory": (l3_stream_memory, memory_q.F3_SQL),
+    "L3_stream_memory_from_turns": (l3_stream_memory_from_turns, memory_q.F3_SQL),
     "L4_stream_chain": (l4_stream_chain, chain_q.G2_SQL),
 }

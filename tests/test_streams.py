@@ -62,3 +62,17 @@ def test_streamed_library_is_searchable(spark):
         F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec"))
     hits = L.search(q, chunks.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash"), k=1)
     assert all(h.dist == 0.0 for h in hits.collect())     # each chunk finds an identical vector
+
+
+def test_live_memory_from_turns_with_late_answers(spark):
+    from tessera.operators import memory as M
+
+    conv = spark.read.parquet(f"{SF}/conversations.parquet")
+    src = scratch_path(spark, "turn-src")
+    conv.filter("role <> 'assistant'").coalesce(1).write.parquet(src)                  # prompts first
+    conv.filter("role = 'assistant'").coalesce(1).write.mode("append").parquet(src)    # answers later
+    out, ckpt = scratch_path(spark, "live"), scratch_path(spark, "ckpt-live")
+    S.stream_memory_from_turns(spark, src, out, 120, checkpoint=ckpt, max_files=1)
+    got = S.current_memory(spark.read.parquet(out)).select(*M.SESSION, "ts", "suffix_chars")
+    want = M.sliding_memory(M.chat_pairs(M.conversation_turns(conv)), 120).select(*M.SESSION, "ts", "suffix_chars")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
