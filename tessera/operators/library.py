@@ -391,7 +391,9 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
             approx[approx > (bound + margin)[:, None]] = np.inf
             kk = min(k, approx.shape[1])
             kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            pi, pj = np.nonzero(approx <= (kth + margin)[:, None])
+            # finite only: an entry set to inf is beyond the bound, and a query with
+            # fewer than k candidates here has an infinite k-th
+            pi, pj = np.nonzero(np.isfinite(approx) & (approx <= (kth + margin)[:, None]))
             if not len(pi):
                 continue
             exact = np.round(_seq_sqdist(Qv[pi], Cv[pj]), 6)
