@@ -360,7 +360,8 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
             tau = tau * (1 + 1e-9) + 1e-9
             qi, ci = np.nonzero(lb <= tau[:, None])
             reps = nsub[ci]
-            sub = np.concatenate([np.arange(m) for m in reps]) if len(reps) else np.zeros(0, dtype=int)
+            # 0..reps-1 for every probed (query, cell), without a Python loop
+            sub = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
             qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
             yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=object)[qi],
                                 "q": pdf["q"].to_numpy(dtype=object)[qi], "tau": tau[qi],
