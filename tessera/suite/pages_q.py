@@ -100,7 +100,7 @@ toks AS (SELECT page_id, unnest({_d_words('text')}) AS tok FROM mt),
 tf AS (SELECT page_id, tok, count(*) AS tf FROM toks GROUP BY ALL),
 dl AS (SELECT page_id, count(*) AS dl FROM toks GROUP BY page_id),
 post AS (SELECT * FROM tf JOIN dl USING (page_id)),
-stats AS (SELECT count(DISTINCT page_id) AS n, avg(dl) AS avgdl FROM post),
+stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 idf AS (SELECT tok, ln(1 + ((SELECT n FROM stats) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY tok),
 qt AS (SELECT DISTINCT item_id AS qid, unnest({_d_words('text')}) AS tok FROM benchmark),
 sc AS (SELECT qid, page_id, round(sum(idf * tf * {P.BM25_K1 + 1} / (tf + {P.BM25_K1} * (1 - {P.BM25_B} + {P.BM25_B} * dl /

@@ -47,3 +47,12 @@ def test_nested_blocks(spark):
     assert text(spark, page) == "onetwothree"
     nav = "<article><nav>a<nav>b</nav>c</nav>kept</article>"
     assert text(spark, nav) == "kept"
+
+
+def test_page_index_statistics_per_document(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<article>x x x x</article>"),
+                                   (2, "http://b.example/", "<article>a b</article>"),
+                                   (3, "http://c.example/", "<article></article>")],
+                                  "page_id long, url string, html string")
+    idx = P.build_page_index(pages)
+    assert idx.n == 2 and idx.avgdl == 3.0       # per document, not per posting row
