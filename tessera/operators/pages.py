@@ -207,9 +207,10 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
     toks = words.select("page_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("tok"))
     toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf")).write.parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
-    # corpus statistics from the page texts: one narrow aggregate, no shuffle of the postings
-    dl = docs.select(F.size(_words("text")).alias("dl")).filter(F.col("dl") > 0)
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    # corpus statistics per document (a page is one row however many words it has);
+    # the distinct is combined map-side, so about one row per page is shuffled
+    per_page = postings.select("page_id", "dl").distinct()
+    stats = per_page.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
     # a narrow table for result rows, so a search never reads the page texts
     (docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
