@@ -100,6 +100,12 @@ def nunique(df: DataFrame) -> DataFrame:
 
 
 # I3 ------------------------------------------------------------------------
+def markdown_table(columns, rows) -> str:
+    """A few rows as a markdown table (the text shown to a model or a user)."""
+    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
+    return head + "".join("| " + " | ".join(str(v) for v in r) + " |\n" for r in rows)
+
+
 def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS) -> dict:
     """Statement, saved name, record count, first rows and distinct counts.
 
@@ -109,8 +115,9 @@ def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS) -> dict
     rows = [r.asDict() for r in df.limit(n).collect()]
     counts = {r["column_name"]: r["n_distinct"] for r in nunique(df).collect()}
     n_records = df.count()
+    table = markdown_table(df.columns, [list(r.values()) for r in rows])
     text = (f"Executing the expression: {statement} saved as {name} produced the following table:\n"
-            f"\nDataframe {n} first rows\n{rows}\n\n\nNumber of Records: {n_records}\n")
+            f"\nDataframe {n} first rows\n{table}\n\n\nNumber of Records: {n_records}\n")
     if len(text) > REPORT_CHARS:
         text = text[:REPORT_CHARS] + TRUNCATE_MARKER
     return {"statement": statement, "name": name, "n_records": n_records, "head": rows, "nunique": counts,

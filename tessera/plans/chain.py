@@ -212,9 +212,7 @@ def _csv_peek(df, inp, ctx, **_):
     head = A.peek(view, view.columns[0])
     n = head.select("n_records").first()
     rows = head.drop("n_records").collect()
-    cols = view.columns
-    table = "| " + " | ".join(cols) + " |\n|" + "---|" * len(cols) + "\n" + "".join(
-        "| " + " | ".join(str(v) for v in r) + " |\n" for r in rows)
+    table = A.markdown_table(view.columns, rows)
     text = (f"The uploaded table contains : {n[0] if n else 0} records.\n "
             f"Here follows the headers and first 4 rows :\n{table}")
     return df.withColumn("result", F.lit(text))
