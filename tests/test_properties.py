@@ -90,3 +90,22 @@ def test_conforms_accepts_serialised_objects_and_rejects_mutations(spark, objs):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.ok for r in df.select("i", G.conforms("t", SCHEMA).alias("ok")).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+from tessera.functions.template import render  # noqa: E402
+
+TEXT = st.text(alphabet="ab {}", max_size=12)
+LIT = st.text(alphabet="xy ", max_size=6)
+TEMPLATE = st.lists(st.one_of(LIT, st.sampled_from(["{full_prompt}", "{result}", "{{", "}}"])), max_size=6).map(
+    "".join)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(cases=st.lists(st.tuples(TEMPLATE, TEXT, st.one_of(st.none(), TEXT)), min_size=1, max_size=20))
+def test_render_equals_str_format(spark, cases):
+    from pyspark.sql import functions as F
+
+    for i, (tpl, fp, res) in enumerate(cases):
+        df = spark.createDataFrame([(fp, res)], "p string, r string")
+        got = df.select(render(tpl, full_prompt=F.col("p"), result=F.col("r"))).first()[0]
+        assert got == tpl.strip().format(full_prompt=fp, result=res), (tpl, fp, res)
