@@ -194,15 +194,19 @@ class PageIndex:
 
 
 def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
-    """Main text and postings of a crawl, written once (under the shared
+    """Postings and page rows of a crawl, written once (under the shared
     checkpoint folder unless ``path`` is given) and reused by every search."""
     from tessera.session import scratch_path
 
     spark = pages.sparkSession
     path = path or scratch_path(spark, "page-index")
-    pages.select("page_id", "url", page_title("html").alias("title"),
-                 main_text("html").alias("text")).write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
+    # the page texts feed two writes (postings, meta); they are kept in memory
+    # and on local disk rather than written out in full (a lost executor
+    # recomputes its part from the short lineage: scan + text extraction)
+    from pyspark import StorageLevel
+
+    docs = pages.select("page_id", "url", page_title("html").alias("title"),
+                        main_text("html").alias("text")).persist(StorageLevel.MEMORY_AND_DISK)
     words = docs.select("page_id", _words("text").alias("w"))
     toks = words.select("page_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("tok"))
     toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf")).write.parquet(f"{path}/postings")
@@ -215,6 +219,7 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
     # a narrow table for result rows, so a search never reads the page texts
     (docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
      .write.parquet(f"{path}/meta"))
+    docs.unpersist()
     return PageIndex(postings, spark.read.parquet(f"{path}/meta"), n, avgdl)
 
 
