@@ -263,7 +263,7 @@ class VectorIndex:
     ctype: str
 
 
-def build_index(chunks: DataFrame, ids: DataFrame | None = None, ckey: str = "cid", cvec: str = "embedding",
+def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey: str = "cid", cvec: str = "embedding",
                 chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
                 max_cells: int = 1024, path: str | None = None) -> VectorIndex:
     """Place every chunk (restricted to ``ids``) in the cell of its nearest centroid and write the result once.
@@ -279,7 +279,9 @@ def build_index(chunks: DataFrame, ids: DataFrame | None = None, ckey: str = "ci
 
     spark = chunks.sparkSession
     cand = chunks
-    if ids is not None:
+    if isinstance(ids, (list, tuple, set)):
+        cand = cand.filter(F.col(chash).isin(list(ids))) if ids else cand.limit(0)   # empty selection: nothing
+    elif ids is not None:
         cand = cand.join(ids.select(F.col(ids.columns[0]).alias(chash)).distinct(), chash, "left_semi")
     cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).alias("v"))
     ctype = dict(cand.dtypes)["cid"]
@@ -417,7 +419,7 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
     return ranked.select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: DataFrame | None = None,
+def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: "DataFrame | list | None" = None,
            qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
            chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
            queries_per_part: int = 4096, max_cells: int = 1024) -> DataFrame:

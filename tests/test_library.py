@@ -103,3 +103,11 @@ def test_embed_empty_and_null_texts(spark):
     got = {r.id: r.embedding for r in L.embed(df, "id", "t", dim=4).collect()}
     assert set(got) == {1, 2, 3, 4}
     assert got[2] == got[3] == got[4] == [0.0] * 4 and abs(sum(x * x for x in got[1]) - 1) < 1e-6
+
+
+def test_search_with_id_list(spark):
+    chunks = spark.createDataFrame([(1, [0.0, 1.0], "h1"), (2, [0.0, 2.0], "h2")],
+                                   "cid long, embedding array<float>, content_hash string")
+    qs = spark.createDataFrame([(10, [0.0, 0.0])], "qid long, qvec array<float>")
+    assert [h.cid for h in L.search(qs, chunks, k=5, ids=["h2"]).collect()] == [2]
+    assert L.search(qs, chunks, k=5, ids=[]).collect() == []
