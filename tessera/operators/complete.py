@@ -51,6 +51,9 @@ def cached_model(factory: Callable[[], object]):
 
 
 def _udf(completer_factory: Callable[[], Callable[[list[str]], list[str]]]):
+    from tessera.session import ship_package
+
+    ship_package()  # the active session's workers import this module
     @F.pandas_udf("string")
     def _complete(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = cached_model(completer_factory)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, sentences
-from tessera.session import checkpoint_root, scratch_path
+from tessera.session import checkpoint_root, scratch_path, ship_package
 
 # Fixed values that must equal the reference's for right results.
 MAX_CHUNK_CHARS = 1024
@@ -214,6 +214,8 @@ def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder
     encoder once per Python worker (for models that are costly to load)."""
     from tessera.operators.complete import cached_model
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def _encode(texts: pd.Series) -> pd.Series:
         enc = encoder if encoder is not None else cached_model(encoder_factory)
@@ -278,6 +280,7 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
     import numpy as np
 
     spark = chunks.sparkSession
+    ship_package(spark)
     cand = chunks
     if isinstance(ids, (list, tuple, set)):
         cand = cand.filter(F.col(chash).isin(list(ids))) if ids else cand.limit(0)   # empty selection: nothing
@@ -336,6 +339,7 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
     import numpy as np
 
     spark = queries.sparkSession
+    ship_package(spark)
     checkpoint_root(spark)
     # the query side is used by two jobs (count, search): written once
     qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q")).checkpoint()

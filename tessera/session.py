@@ -46,9 +46,44 @@ def get_spark(master: str | None = None, app: str = "tessera", partitions: int |
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make this package importable by the Python workers, once per context.
+
+    Operators that run Python in tasks (models, vector blocks, stream state)
+    are pickled by reference to ``tessera`` modules, so executors must be able
+    to import the package. Unless it is installed there, it is zipped and
+    added with ``addPyFile`` (Spark copies it to every executor).
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="tessera-", suffix=".zip")   # staged on the driver for addPyFile
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for dirpath, dirnames, files in os.walk(pkg):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stores.
 

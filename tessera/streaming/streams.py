@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tessera.functions.text import TOKEN_CHARS
 from tessera.operators import library as L
 from tessera.operators import memory as M
-from tessera.session import scratch_path
+from tessera.session import scratch_path, ship_package
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
@@ -165,6 +165,7 @@ def stream_memory(pairs: DataFrame, out: str, max_tok: float, checkpoint: str |
     (newest turn time); the current memory is the highest version per session
     (``current_memory``). Late turns sort into place by time.
     """
+    ship_package(pairs.sparkSession)
     costs = pairs.select(*M.SESSION, "ts",
                          (F.length("user_prompt") + F.length("llm_answer") + 2).cast("long").alias("cost"))
     res = costs.groupBy(*M.SESSION).applyInPandasWithState(_sliding(max_tok), MEMORY_OUT, MEMORY_STATE, "append",
@@ -226,6 +227,7 @@ def stream_memory_from_turns(spark: SparkSession, src: str, out: str, max_tok: f
     its pair and may push older turns out. Each micro-batch emits the kept turns
     of the sessions it touched; ``current_memory`` reads the latest version.
     """
+    ship_package(spark)
     rows = M.conversation_turns(_read(spark, src, TURN_SCHEMA, glob, max_files))
     rows = rows.select(*M.SESSION, "turn", "ts", "role", F.length("text").cast("long").alias("len"))
     res = rows.groupBy(*M.SESSION).applyInPandasWithState(_sliding_from_turns(max_tok), MEMORY_OUT, TURN_STATE,
