@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import repeats
+from tessera.llm import decontam, repeats
 
 QUERIES = {
+    "op7_suffix_decontam": (decontam.op7, decontam.OP7_SQL),
     "op10_repeat_rules": (repeats.op10, repeats.OP10_SQL),
 }
