@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontam, orderhash, repeats
+from tessera.llm import decontam, orderhash, repeats, tokenfiles
 
 QUERIES = {
+    "op5_token_arrow": (tokenfiles.op5, None),
     "op7_suffix_decontam": (decontam.op7, decontam.OP7_SQL),
     "op8_order_minhash": (orderhash.op8, None),
     "op10_repeat_rules": (repeats.op10, repeats.OP10_SQL),
