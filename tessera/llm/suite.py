@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat, decontam, mixing, orderhash, repeats, tokenfiles
+from tessera.llm import chat, decontam, fixity, lineruns, mixing, orderhash, repeats, tokenfiles
 
 QUERIES = {
+    "op1_merkle_fixity": (fixity.op1, fixity.OP1_SQL),
     "op4_chat_round_trip": (chat.op4, chat.OP4_SQL),
     "op5_token_arrow": (tokenfiles.op5, None),
     "op6_temperature_mix": (mixing.op6, mixing.OP6_SQL),
     "op7_suffix_decontam": (decontam.op7, decontam.OP7_SQL),
     "op8_order_minhash": (orderhash.op8, None),
+    "op9_line_runs": (lineruns.op9, lineruns.OP9_SQL),
     "op10_repeat_rules": (repeats.op10, repeats.OP10_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
