@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat, decontam, fixity, lineruns, milquality, mixing, orderhash, repeats, tokenfiles
+from tessera.llm import chat, decontam, fixity, lineruns, milquality, mixing, orderhash, repeats, tokenfiles, trielm
 
 QUERIES = {
     "op1_merkle_fixity": (fixity.op1, fixity.OP1_SQL),
+    "op2_trie_lm": (trielm.op2, None),
     "op3_mil_quality": (milquality.op3, None),
     "op4_chat_round_trip": (chat.op4, chat.OP4_SQL),
     "op5_token_arrow": (tokenfiles.op5, None),
