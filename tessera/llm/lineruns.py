@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pin, table
+from tessera.llm.common import free_name, pin, table
 
 MIN_WORDS = 10
 
@@ -28,9 +28,9 @@ def _ranked(groups: DataFrame, *keys: str) -> DataFrame:
     return pin(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def _lines(docs: DataFrame, id_column: str, text: str, min_words: int) -> DataFrame:
+def _lines(docs: DataFrame, doc: str, id_column: str, text: str, min_words: int) -> DataFrame:
     """One row per line: doc, id, pos, line (digest), and the shortest runs that start and end there (null: none)."""
-    lines = docs.select(F.col("_doc").alias("doc"), F.col(id_column).alias("id"),
+    lines = docs.select(F.col(doc).alias("doc"), F.col(id_column).alias("id"),
                         F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     lines = lines.select("doc", "id", "pos", F.md5("line").alias("line"),
                          F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("words"))
@@ -46,9 +46,9 @@ def _lines(docs: DataFrame, id_column: str, text: str, min_words: int) -> DataFr
         .select("doc", "id", "pos", "line", "size_after", "from")
 
 
-def repeated_lines(docs: DataFrame, id_column: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos) of the lines to delete; ``docs`` needs a unique long column ``_doc`` that rises as rows are read."""
-    lines = pin(_lines(docs, id_column, text, min_words), "lines")
+def repeated_lines(docs: DataFrame, doc: str, id_column: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, pos) of the lines to delete; the column ``doc`` is a unique number that rises as rows are read."""
+    lines = pin(_lines(docs, doc, id_column, text, min_words), "lines")
     found = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
     level = pin(lines.join(_ranked(found.select("line"), "line"), "line").select("doc", "pos", "rank"), "blocks")
     usable = lines.join(level.select("doc", "pos"), ["doc", "pos"])       # a shortest run starts and ends with repeated lines
@@ -81,12 +81,13 @@ def repeated_lines(docs: DataFrame, id_column: str, text: str, min_words: int =
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated runs cut out of ``text``, and a column ``deleted_lines`` (replaced if there)."""
-    tagged = docs.withColumn("_doc", F.monotonically_increasing_id())
-    deleted = repeated_lines(tagged, id_column, text, min_words).groupBy("doc").agg(F.collect_set("pos").alias("_gone"))
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("_gone", i))
-    joined = tagged.join(deleted, F.col("_doc") == F.col("doc"), "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))) \
-        .withColumn("deleted_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")).select(*[c for c in docs.columns if c != "deleted_lines"], "deleted_lines")
+    doc, gone = free_name(docs, "_doc"), free_name(docs, "_gone")
+    tagged = docs.withColumn(doc, F.monotonically_increasing_id())
+    deleted = repeated_lines(tagged, doc, id_column, text, min_words).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(gone))
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
+    return tagged.join(deleted, doc, "left").withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))) \
+        .withColumn("deleted_lines", F.coalesce(F.size(gone), F.lit(0)).cast("bigint")) \
+        .select(*[c for c in docs.columns if c != "deleted_lines"], "deleted_lines")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

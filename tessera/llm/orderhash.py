@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import pin, table
+from tessera.llm.common import free_name, pin, table
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -318,15 +318,17 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the least id (of equal ids, the first class by digest)."""
+    node, key, rows = (free_name(docs, x) for x in ("_node", "_id", "_rows"))
     kept = near_duplicate_groups(docs, id_column, text).groupBy("label").agg(
-        F.min(F.struct("text_class", "node")).alias("k")).select(F.col("k.text_class").alias("_id"), F.col("k.node").alias("_node"))
-    tagged = docs.withColumn("_node", _node(text)).withColumn("_id", F.col(id_column))
-    repeated = tagged.groupBy("_node", "_id").agg(F.count("*").alias("_rows"))
-    same = [F.col("d._node") == F.col("k._node"), F.col("d._id").eqNullSafe(F.col("k._id"))]
-    kept = kept.alias("d").join(repeated.alias("k"), same).select("d._node", "d._id", "k._rows")
-    chosen = tagged.alias("d").join(kept.alias("k"), same).select("d.*", "k._rows")
-    once = chosen.where("_rows = 1").drop("_rows", "_node", "_id")
-    return once.unionByName(chosen.where("_rows > 1").dropDuplicates(["_node"]).drop("_rows", "_node", "_id"))
+        F.min(F.struct("text_class", "node")).alias("k")).select(F.col("k.text_class").alias(key), F.col("k.node").alias(node))
+    tagged = docs.withColumn(node, _node(text)).withColumn(key, F.col(id_column))
+    repeated = tagged.groupBy(node, key).agg(F.count("*").alias(rows))
+    same = [F.col(f"d.{node}") == F.col(f"k.{node}"), F.col(f"d.{key}").eqNullSafe(F.col(f"k.{key}"))]
+    kept = kept.alias("d").join(repeated.alias("k"), same).select(f"d.{node}", f"d.{key}", f"k.{rows}")
+    chosen = tagged.alias("d").join(kept.alias("k"), same).select("d.*", f"k.{rows}")
+    once = chosen.where(F.col(rows) == 1)
+    several = chosen.where(F.col(rows) > 1).dropDuplicates([node])        # rows with equal id and text
+    return once.unionByName(several).select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
