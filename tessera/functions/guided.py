@@ -15,6 +15,7 @@ column; no per-row Python. Rules:
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,71 @@ class SchemaError(ValueError):
     pass
 
 
+# A schema is read once into nodes; one renderer makes the regex, another the Spark type ------------------------------
+@dataclass(frozen=True)
+class Plain:
+    """A primitive value of the named kind."""
+
+    kind: str
+
+
+@dataclass(frozen=True)
+class OneOfTexts:
+    """One of some fixed JSON texts."""
+
+    texts: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Either:
+    branches: tuple
+
+
+@dataclass(frozen=True)
+class Listed:
+    element: object
+
+
+@dataclass(frozen=True)
+class Fields:
+    """All members in writing order: (name, node)."""
+
+    members: tuple
+
+
+def _read_fields(schema, rank):
+    given = rank or {}
+    places = {name: (name not in given, given.get(name, 0), name) for name in schema["properties"]}   # ranked ones first
+    return Fields(tuple((name, read_schema(schema["properties"][name], rank)) for name in sorted(places, key=places.get)))
+
+
+#: keyword that decides the node, the ``type`` it needs (None: any), and how to read it; the first that fits is taken
+_RULES = (
+    ("oneOf", None, lambda s, rank: Either(tuple(read_schema(x, rank) for x in s["oneOf"]))),
+    ("anyOf", None, lambda s, rank: Either(tuple(read_schema(x, rank) for x in s["anyOf"]))),
+    ("const", None, lambda s, rank: OneOfTexts((json.dumps(s["const"]),))),
+    ("enum", None, lambda s, rank: OneOfTexts(tuple(map(json.dumps, s["enum"])))),
+    ("properties", "object", _read_fields),
+    ("items", "array", lambda s, rank: Listed(read_schema(s["items"], rank))),
+)
+
+
+def read_schema(schema, rank: dict | None = None):
+    """The node of a JSON schema, given as text or parsed; ``rank`` orders the properties it names before all others."""
+    if isinstance(schema, str):
+        try:
+            schema = json.loads(schema)
+        except ValueError as problem:
+            raise SchemaError(NOT_JSON) from problem
+    if isinstance(schema, dict):
+        for keyword, kind, reader in _RULES:
+            if keyword in schema and kind in (None, schema.get("type")):
+                return reader(schema, rank)
+        if schema.get("type") in PRIMITIVES:
+            return Plain(schema["type"])
+    raise SchemaError(f"no rule reads this schema: {schema!r}")
+
+
 _META = set("\\.^$|?*+()[]{}")
 
 
@@ -56,50 +122,45 @@ def _esc(text: str) -> str:
     return "".join("\\" + ch if ch in _META else ch for ch in text)
 
 
-def _literal(value) -> str:
-    return _esc(json.dumps(value))
+def _group(alternatives) -> str:
+    return "(?:" + "|".join(alternatives) + ")"
+
+
+class RegexRenderer:
+    """The regular expression of a node; ``java`` uses possessive runs, which its engine needs on long texts."""
+
+    def __init__(self, dialect: str = "java"):
+        self.many = "*+" if dialect == "java" else "*"
+        self.primitives = PRIMITIVES | ({"string": JAVA_STRING} if dialect == "java" else {})
+
+    def render(self, node) -> str:
+        return getattr(self, type(node).__name__.lower())(node)
+
+    def mark(self, sign: str) -> str:
+        return _esc(sign) + SPACE
+
+    def plain(self, node: Plain) -> str:
+        return _group([self.primitives[node.kind]]) + SPACE
+
+    def oneoftexts(self, node: OneOfTexts) -> str:
+        return _group(map(_esc, node.texts))
+
+    def either(self, node: Either) -> str:
+        return _group(map(self.render, node.branches))
+
+    def listed(self, node: Listed) -> str:
+        element = self.render(node.element)
+        further = _group([self.mark(",") + element]) + self.many
+        return self.mark("[") + _group([element + further]) + "?" + self.mark("]")
+
+    def fields(self, node: Fields) -> str:
+        members = [self.mark(json.dumps(name)) + self.mark(":") + self.render(value) for name, value in node.members]
+        return self.mark("{") + self.mark(",").join(members) + self.mark("}")
 
 
 def schema_regex(schema, prop_order: dict | None = None, dialect: str = "java") -> str:
     """Regex for texts that follow ``schema``; ``dialect`` is ``java`` (Spark) or ``re2``."""
-    if isinstance(schema, str):
-        try:
-            schema = json.loads(schema)
-        except ValueError as e:
-            raise SchemaError(NOT_JSON) from e
-    order = prop_order or {}
-    java = dialect == "java"
-    rep = ")*+" if java else ")*"
-
-    def visit(s) -> str:
-        if not isinstance(s, dict):
-            raise SchemaError(f"Unrecognized schema: {s!r}")
-        t = s.get("type")
-        if "oneOf" in s or "anyOf" in s:
-            alts = s.get("oneOf") or s["anyOf"]
-            return "(?:" + "|".join(visit(a) for a in alts) + ")"
-        if "const" in s:
-            return _literal(s["const"])
-        if "enum" in s:
-            return "(?:" + "|".join(_literal(v) for v in s["enum"]) + ")"
-        if t == "object" and "properties" in s:
-            props = sorted(s["properties"].items(), key=lambda kv: (order.get(kv[0], float("inf")), kv[0]))
-            body = r"\{" + SPACE
-            for i, (name, sub) in enumerate(props):
-                if i:
-                    body += "," + SPACE
-                body += _literal(name) + SPACE + ":" + SPACE + visit(sub)
-            return body + r"\}" + SPACE
-        if t == "array" and "items" in s:
-            item = visit(s["items"])
-            return r"\[" + SPACE + "(?:" + item + "(?:," + SPACE + item + rep + ")?" + r"\]" + SPACE
-        if t == "string" and java:
-            return "(?:" + JAVA_STRING + ")" + SPACE
-        if t in PRIMITIVES:
-            return "(?:" + PRIMITIVES[t] + ")" + SPACE
-        raise SchemaError(f"Unrecognized schema: {s!r}")
-
-    return visit(schema)
+    return RegexRenderer(dialect).render(read_schema(schema, prop_order))
 
 
 def loose_object_regex(fields: list[tuple[str, str]], dialect: str = "java") -> str:
@@ -135,25 +196,24 @@ def conforms(c, schema=None, prop_order: dict | None = None, regex: str | None =
 
 
 # J2 ------------------------------------------------------------------------
+_SPARK_TYPES = {"boolean": "boolean", "integer": "bigint", "number": "double"}
+
+
+def spark_type(node) -> str:
+    """The Spark type of a node; alternatives, fixed texts, strings and nulls stay text."""
+    match node:
+        case Fields(members):
+            return "struct<" + ", ".join(f"`{name}`: {spark_type(value)}" for name, value in members) + ">"
+        case Listed(element):
+            return f"array<{spark_type(element)}>"
+        case Plain(kind):
+            return _SPARK_TYPES.get(kind, "string")
+    return "string"
+
+
 def schema_ddl(schema, prop_order: dict | None = None) -> str:
-    """Spark type of a schema; alternatives, consts and enums stay text."""
-    if isinstance(schema, str):
-        schema = json.loads(schema)
-    order = prop_order or {}
-
-    def visit(s) -> str:
-        t = s.get("type")
-        if "oneOf" in s or "anyOf" in s or "const" in s or "enum" in s:
-            return "string"
-        if t == "object" and "properties" in s:
-            props = sorted(s["properties"].items(), key=lambda kv: (order.get(kv[0], float("inf")), kv[0]))
-            return "struct<" + ", ".join(f"`{n}`: {visit(p)}" for n, p in props) + ">"
-        if t == "array" and "items" in s:
-            return f"array<{visit(s['items'])}>"
-        return {"boolean": "boolean", "integer": "bigint", "number": "double", "string": "string",
-                "null": "string"}[t]
-
-    return visit(schema)
+    """Spark type of a schema."""
+    return spark_type(read_schema(schema, prop_order))
 
 
 def parse_guided(df: DataFrame, c: str, schema, prop_order: dict | None = None, into: str = "parsed") -> DataFrame:

@@ -14,27 +14,23 @@ SENT = st.tuples(WORDS, st.sampled_from([".", "!", "?"])).map(lambda t: t[0] + t
 DOC = st.lists(SENT, min_size=0, max_size=12).map(" ".join)
 
 
-def greedy(sents, max_chars):
-    """The packing rule, stated directly."""
-    out, cur = [], ""
-    for s in sents:
-        if len(cur) + len(s) > max_chars:
-            out.append(cur)
-            cur = ""
-        cur += s + " "
-    return out + [cur] if sents else out
-
-
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(docs=st.lists(DOC, min_size=1, max_size=40), max_chars=st.integers(min_value=5, max_value=80))
-def test_pack_equals_greedy_rule(spark, docs, max_chars):
+def test_packed_chunks_are_full_and_complete(spark, docs, max_chars):
+    """Chunks join to the sentences (a space after each), keep the limit unless a sentence alone breaks it, and none could
+    have taken the sentence that the next one begins with."""
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, t string")
-    got = {r.i: (r.s, r.c) for r in df.select("i", sentences("t").alias("s"),
-                                              L.pack_chunks(sentences("t"), max_chars).alias("c")).collect()}
-    for i in range(len(docs)):
-        sents, chunks = got[i]
-        assert chunks == greedy(sents, max_chars)
-        assert "".join(chunks).strip() == " ".join(sents)
+    for r in df.select(sentences("t").alias("s"), L.pack_chunks(sentences("t"), max_chars).alias("c")).collect():
+        assert "".join(r.c) == "".join(f"{s} " for s in r.s)
+        starts = {sum(len(s) + 1 for s in r.s[:k]): s for k, s in enumerate(r.s)}     # where each sentence begins
+        at = 0
+        for chunk, following in zip(r.c, [*r.c[1:], None]):
+            held = [s for place, s in starts.items() if at <= place < at + len(chunk)]
+            assert len(chunk) <= max_chars + 1 or len(held) == 1      # the last space is not counted
+            at += len(chunk)
+            if following is not None:
+                assert len(chunk) + len(starts[at]) > max_chars
+        assert bool(r.c) == bool(r.s)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
