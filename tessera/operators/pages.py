@@ -1,10 +1,9 @@
 """Web pages over a crawled ``pages(page_id, url, html)`` table.
 
 Main text, first good page of a URL list, and ranked keyword search, all as
-native expressions, joins and aggregations. HTML is handled with regular
-expressions: removed and selected elements are matched with same-name nesting
-up to ``NESTING`` levels (a bounded balanced pattern); tags a parser would
-close implicitly are not modelled (see README).
+native expressions, joins and aggregations. HTML is read by one row-local fold
+over a page's tags (``tessera.functions.html``): elements of any depth, exact
+class tokens, all entities. Tags a parser would close implicitly are not modelled.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.html import TAG, focus_nodes, joined_text
 from tessera.functions.text import is_valid_json, is_valid_url, strip_ws
 
 # Fixed values that must equal the reference's for right results.
@@ -25,107 +25,24 @@ REMOVED_TAGS = ("nav", "footer")
 REMOVED_CLASSES = ("sidebar", "advertisements")
 MAIN_CLASS = "main-content"
 SEARCH_K = 5
-# Named entities decoded in text; ``&amp;`` last so ``&amp;lt;`` stays ``&lt;``.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-            ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&hellip;", "…"),
-            ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
-NODE_WS = "[ \t\r\n\f\x0b\u00a0]"
-TAG = r"<[/!?]?[A-Za-z][^>]*>"
-# block-level containers that may carry a removed class (flat blocks)
-CLASS_TAGS = ("div", "section", "aside", "span", "ul", "p")
 
-NON_TEXT = r"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 
-
-NESTING = 3  # same-name elements nested inside a removed or selected one, up to this depth
-
-
-def element(tag: str, open_attrs: str = "[^>]*", depth: int = NESTING, flat: bool = False) -> str:
-    """Regex of one ``tag`` element whose opening tag matches ``open_attrs``,
-    with its content up to the matching close tag.
-
-    ``flat`` stops at the first close tag (the SQL twin's RE2 form). Otherwise
-    same-name elements inside are matched as balanced up to ``depth`` levels:
-    a content character is anything that does not start an open or close tag
-    of that name, or a nested element, so the two cases never overlap and
-    there is no backtracking blow-up (Java regex; it needs the look-ahead).
-    """
-    if flat:
-        return rf"<{tag}\b{open_attrs}>.*?</{tag}>"
-    # possessive loops: Java recurses once per iteration of a plain group
-    # repetition (a stack overflow on long pages); the alternatives never
-    # overlap and cannot consume the close tag, so nothing is lost
-    char = rf"(?:(?!<{tag}\b|</{tag}>).)"
-    inner = rf"<{tag}\b[^>]*>{char}*+</{tag}>"
-    for _ in range(depth - 1):
-        inner = rf"<{tag}\b[^>]*>(?:{char}|{inner})*+</{tag}>"
-    return rf"<{tag}\b{open_attrs}>(?:{char}|{inner})*+</{tag}>"
-
-
-def _class_attrs(names: str) -> str:
-    return rf"[^>]*\bclass=\"[^\"]*\b(?:{names})\b[^\"]*\"[^>]*"
-
-
-def removal_pattern(flat: bool = False) -> str:
-    """One alternation for everything dropped before the text is taken:
-    script/style/comments, ``nav``/``footer`` elements and elements of a
-    removed class. One regex pass over the page instead of one per kind."""
-    cls = "|".join(REMOVED_CLASSES)
-    alts = [NON_TEXT] + [element(t, flat=flat) for t in REMOVED_TAGS]
-    alts += [element(t, _class_attrs(cls), flat=flat) for t in CLASS_TAGS]
-    return "(?is)" + "|".join(alts)
-
-
-ARTICLE = "(?is)" + element("article")
-MAIN_DIV = "(?is)" + element("div", _class_attrs(MAIN_CLASS))
-# the SQL twin's forms (RE2 has no look-ahead): flat blocks
-ARTICLE_FLAT = "(?is)" + element("article", flat=True)
-MAIN_DIV_FLAT = "(?is)" + element("div", _class_attrs(MAIN_CLASS), flat=True)
-OUTER_TAGS = r"(?is)^<[^>]*>|<[^>]*>$"  # used by the SQL twin; the text step drops them anyway
-
-
-# entities that cannot form a tag or another entity are decoded before the tags go
-LATE_ENTITIES = ("&lt;", "&gt;", "&amp;")
-
-
-def _text_of(fragment: Column) -> Column:
-    """Text nodes of an HTML fragment, entity-decoded, each stripped, joined with nothing.
-
-    Stripping every node and joining them equals deleting each tag together
-    with the whitespace around it, and the whitespace at both ends: one
-    ``regexp_replace``, no per-node lambda. ``&nbsp;`` and the other entities
-    that cannot make a tag are decoded first (a decoded no-break space is
-    stripped like Python does), ``&lt; &gt; &amp;`` after the tags are gone.
-    """
-    t = fragment
-    for ent, ch in ENTITIES:
-        if ent not in LATE_ENTITIES:
-            t = F.replace(t, F.lit(ent), F.lit(ch))
-    t = F.regexp_replace(t, rf"^{NODE_WS}+|{NODE_WS}*(?:{TAG}{NODE_WS}*)+|{NODE_WS}+$", "")
-    for ent, ch in ENTITIES:
-        if ent in LATE_ENTITIES:
-            t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
-
-
-def main_text(html, limit: int = WEB_TEXT_CHARS) -> Column:
+def main_text(html, limit: int | None = WEB_TEXT_CHARS) -> Column:
     """H1: main text of a page.
 
     Drop script/style/comments, ``nav``, ``footer`` and elements of class
     ``sidebar``/``advertisements``; take the first ``article``, else the first
     ``div.main-content``, else the whole page; strip each text node and join
-    them; cut at ``limit`` characters.
+    them; cut at ``limit`` characters (``None``: the whole text).
     """
     h = F.col(html) if isinstance(html, str) else html
-    h = F.regexp_replace(h, removal_pattern(), "")
-    # first match (with its own tags, which the text step drops like any tag), else the page
-    focus = F.coalesce(F.regexp_substr(h, F.lit(ARTICLE)), F.regexp_substr(h, F.lit(MAIN_DIV)), h)
-    return F.substring(_text_of(focus), 1, limit)
+    text = joined_text(focus_nodes(h, REMOVED_TAGS, REMOVED_CLASSES, "article", "div", MAIN_CLASS))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def page_title(html) -> Column:
     h = F.col(html) if isinstance(html, str) else html
-    return _text_of(F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
+    return joined_text(F.split(F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title>", 1), TAG))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -172,7 +89,6 @@ def first_page(df: DataFrame, col: str, pages: DataFrame, key: str = "row_id", i
 BM25_K1 = 1.2
 BM25_B = 0.75
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
-SNIPPET_CHARS = 200
 
 
 def _words(c) -> Column:
@@ -182,7 +98,7 @@ def _words(c) -> Column:
 @dataclass
 class PageIndex:
     """A built page index: postings ``(page_id, tok, dl, tf)`` and page rows
-    ``(page_id, url, title, snippet)`` as tables, plus the two corpus
+    ``(page_id, url, title, body)`` as tables, plus the two corpus
     statistics BM25 needs. Document frequencies are taken at search time from
     the postings of the query words only, so adding pages means appending
     postings and updating two numbers."""
@@ -200,14 +116,11 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
 
     spark = pages.sparkSession
     path = path or scratch_path(spark, "page-index")
-    # the page texts feed two writes (postings, meta); they are kept in memory
-    # and on local disk rather than written out in full (a lost executor
-    # recomputes its part from the short lineage: scan + text extraction)
-    from pyspark import StorageLevel
-
-    docs = pages.select("page_id", "url", page_title("html").alias("title"),
-                        main_text("html").alias("text")).persist(StorageLevel.MEMORY_AND_DISK)
-    words = docs.select("page_id", _words("text").alias("w"))
+    # whole texts, written once to the shared folder: they feed the postings, and are the bodies of result rows
+    (pages.select("page_id", "url", page_title("html").alias("title"), main_text("html", None).alias("body"))
+     .write.parquet(f"{path}/meta"))
+    docs = spark.read.parquet(f"{path}/meta")
+    words = docs.select("page_id", _words("body").alias("w"))
     toks = words.select("page_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("tok"))
     toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf")).write.parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
@@ -216,16 +129,13 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
     per_page = postings.select("page_id", "dl").distinct()
     stats = per_page.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
-    # a narrow table for result rows, so a search never reads the page texts
-    (docs.select("page_id", "url", "title", F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
-     .write.parquet(f"{path}/meta"))
-    docs.unpersist()
-    return PageIndex(postings, spark.read.parquet(f"{path}/meta"), n, avgdl)
+    # bodies are read only for the few rows a search returns
+    return PageIndex(postings, docs, n, avgdl)
 
 
 def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", qtext: str = "query",
                       k: int = SEARCH_K) -> DataFrame:
-    """BM25 top-``k`` pages per query: ``qid, rank, page_id, url, title, snippet, score``.
+    """BM25 top-``k`` pages per query: ``qid, rank, page_id, url, title, body, score``.
 
     Query words join the postings on the word (an equi-join; AQE splits a hot
     word's posting list), scores are summed per (query, page) and the top k
@@ -244,7 +154,7 @@ def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", q
     per_page = scored.groupBy(qkey, "page_id").agg(F.round(F.sum("s"), 6).alias("score"))
     w = Window.partitionBy(qkey).orderBy(F.col("score").desc(), F.col("page_id"))
     top = per_page.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.join(index.meta, "page_id").select(qkey, "rank", "page_id", "url", "title", "snippet", "score")
+    return top.join(index.meta, "page_id").select(qkey, "rank", "page_id", "url", "title", "body", "score")
 
 
 def search_pages(queries: DataFrame, pages: DataFrame, qkey: str = "qid", qtext: str = "query",
@@ -258,7 +168,7 @@ def search_pages(queries: DataFrame, pages: DataFrame, qkey: str = "qid", qtext:
 def format_notes(hits: DataFrame, qkey: str = "qid", k: int = SEARCH_K) -> DataFrame:
     """H4: ``Note{i}: title\\nbody\\nhref\\n`` for the first ``k`` hits, in rank order."""
     note = F.concat(F.lit("Note"), F.col("rank").cast("string"), F.lit(": "), F.col("title"), F.lit("\n"),
-                    F.col("snippet"), F.lit("\n"), F.col("url"), F.lit("\n"))
+                    F.col("body"), F.lit("\n"), F.col("url"), F.lit("\n"))
     return hits.filter(F.col("rank") <= k).groupBy(qkey).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", note.alias("t")))),
                                  lambda s: s["t"]), "").alias("notes"))

@@ -13,27 +13,46 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
+# The twin reads the fixture pages with flat patterns (RE2): they nest nothing inside removed or selected elements.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+            ("&copy;", "©"), ("&middot;", "·"), ("&reg;", "®"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+            ("&amp;", "&"))
+NODE_WS = "[ \t\r\n\f\x0b\u00a0]"
+D_TAG = r"<[/!?]?[A-Za-z][^>]*>"
+
+
+def _flat(tag: str, attrs: str = "[^>]*") -> str:
+    return rf"<{tag}\b{attrs}>.*?</{tag}>"
+
+
+def _with_class(*names: str) -> str:
+    return rf"[^>]*\bclass=\"(?:[^\"]* )?(?:{'|'.join(names)})(?: [^\"]*)?\"[^>]*"
+
+
+D_REMOVED = "(?is)" + "|".join([r"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"]
+                               + [_flat(t) for t in P.REMOVED_TAGS]
+                               + [_flat(t, _with_class(*P.REMOVED_CLASSES)) for t in ("div", "section", "aside", "span", "ul", "p")])
+D_ARTICLE, D_MAIN = "(?is)" + _flat("article"), "(?is)" + _flat("div", _with_class(P.MAIN_CLASS))
+
+
 def d_text_of(fragment: str) -> str:
     t = "t"
-    for ent, ch in P.ENTITIES:
+    for ent, ch in ENTITIES:
         t = f"replace({t}, '{_q(ent)}', '{_q(ch)}')"
-    node = f"regexp_replace({t}, '^{P.NODE_WS}+|{P.NODE_WS}+$', '', 'g')"
-    return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({fragment}, '{P.TAG}'), "
+    node = f"regexp_replace({t}, '^{NODE_WS}+|{NODE_WS}+$', '', 'g')"
+    return (f"array_to_string(list_filter(list_transform(regexp_split_to_array({fragment}, '{D_TAG}'), "
             f"lambda t: {node}), lambda t: length(t) > 0), '')")
 
 
-def d_main_text_ctes(src: str = "pages", name: str = "mt") -> str:
+def d_main_text_ctes(src: str = "pages", name: str = "mt", limit: int | None = P.WEB_TEXT_CHARS) -> str:
     """CTEs ending in ``{name}(page_id, url, html, text)``."""
-    art, div = P.ARTICLE_FLAT, P.MAIN_DIV_FLAT
-    return f"""{name}0 AS (SELECT page_id, url, html, regexp_replace(html, '{_q(P.removal_pattern(flat=True))}', '', 'g') AS h
-        FROM {src}),
+    text = d_text_of("focus") if limit is None else f"substr({d_text_of('focus')}, 1, {limit})"
+    return f"""{name}0 AS (SELECT page_id, url, html, regexp_replace(html, '{_q(D_REMOVED)}', '', 'g') AS h FROM {src}),
 {name}f AS (SELECT page_id, url, html, CASE
-        WHEN regexp_extract(h, '{_q(art)}', 0) <> '' THEN regexp_replace(regexp_extract(h, '{_q(art)}', 0),
-             '{_q(P.OUTER_TAGS)}', '', 'g')
-        WHEN regexp_extract(h, '{_q(div)}', 0) <> '' THEN regexp_replace(regexp_extract(h, '{_q(div)}', 0),
-             '{_q(P.OUTER_TAGS)}', '', 'g')
+        WHEN regexp_extract(h, '{_q(D_ARTICLE)}', 0) <> '' THEN regexp_extract(h, '{_q(D_ARTICLE)}', 0)
+        WHEN regexp_extract(h, '{_q(D_MAIN)}', 0) <> '' THEN regexp_extract(h, '{_q(D_MAIN)}', 0)
         ELSE h END AS focus FROM {name}0),
-{name} AS (SELECT page_id, url, html, substr({d_text_of('focus')}, 1, {P.WEB_TEXT_CHARS}) AS text FROM {name}f)"""
+{name} AS (SELECT page_id, url, html, {text} AS text FROM {name}f)"""
 
 
 def h1_main_text(spark, sf):
@@ -45,6 +64,26 @@ H1_SQL = f"""WITH {d_main_text_ctes()}
 SELECT page_id, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM mt"""
 
 
+def _variant(page_id, url):
+    """A page built around an id and an address with what real pages do: quoting, wrappers, deep nesting, entities."""
+    six = lambda x: F.concat(F.lit("<div>" * 6), x, F.lit("</div>" * 6))
+    side = F.concat(F.lit("<header class='top sidebar'>side"), six(F.lit("deep side")), F.lit("</header>"))
+    wrapped = F.concat(F.lit('<div class="main-content-wrapper"><div id=m class=main-content>'), six(url),
+                       F.lit('<p class="no-sidebar">kept &#8217; &eacute;&amp;lt; </p><div class="advertisements"><div>ad</div> ad</div></div>out</div>'))
+    whole = F.concat(F.lit('<p title="a > b" class="my-sidebar">'), url, F.lit("</p><NAV><nav>in</nav>menu</NAV> &#x20AC; "), page_id)
+    return F.concat(F.lit("<body>"), side, F.when(page_id % 2 == 0, wrapped).otherwise(whole), F.lit("</body>"))
+
+
+def h1_variants(spark, sf):
+    p = T(spark, sf, "pages")
+    return p.select("page_id", P.main_text(_variant(F.col("page_id"), F.col("url"))).alias("text"))
+
+
+#: written out from the variant's parts, not read back from its tags
+H1_VARIANTS_SQL = """SELECT page_id, replace(CASE WHEN page_id % 2 = 0 THEN url || 'kept ’ é&lt;'
+  ELSE url || '€ ' || page_id END, '&amp;', '&') AS text FROM pages"""
+
+
 def _url_inputs(spark, sf):
     p = T(spark, sf, "pages")
     lst = F.concat(F.lit('{"Url_1": "no-scheme/'), F.col("page_id").cast("string"), F.lit('", "Url_2": "'),
@@ -95,7 +134,7 @@ def _d_words(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 0)"
 
 
-D_BM25 = f"""{d_main_text_ctes()},
+D_BM25 = f"""{d_main_text_ctes(limit=None)},
 toks AS (SELECT page_id, unnest({_d_words('text')}) AS tok FROM mt),
 tf AS (SELECT page_id, tok, count(*) AS tf FROM toks GROUP BY ALL),
 dl AS (SELECT page_id, count(*) AS dl FROM toks GROUP BY page_id),
@@ -119,13 +158,14 @@ def h4_format_notes(spark, sf):
 
 H4_SQL = f"""WITH {D_BM25},
 meta AS (SELECT page_id, url, {d_text_of("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")} AS title,
-                substr(text, 1, {P.SNIPPET_CHARS}) AS snippet FROM mt)
-SELECT qid, md5(string_agg('Note' || rank || ': ' || title || chr(10) || snippet || chr(10) || url || chr(10), ''
+                text AS body FROM mt)
+SELECT qid, md5(string_agg('Note' || rank || ': ' || title || chr(10) || body || chr(10) || url || chr(10), ''
                 ORDER BY rank)) AS notes_md5
 FROM top JOIN meta USING (page_id) GROUP BY qid"""
 
 QUERIES = {
     "H1_main_text": (h1_main_text, H1_SQL),
+    "H1_variants": (h1_variants, H1_VARIANTS_SQL),
     "H2_first_page": (h2_first_page, H2_SQL),
     "H3_search_pages": (h3_search_pages, H3_SQL),
     "H4_format_notes": (h4_format_notes, H4_SQL),
