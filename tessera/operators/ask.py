@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TRUNCATE_MARKER
+from tessera.session import read_if_there
 
 # Fixed values that must equal the reference's for right results.
 FAILED_MSG = "Failed to process your request in a valid expression after several attempts."
 PEEK_ROWS = 5
 MAX_ATTEMPTS = 2
-REPORT_CHARS = 2000
+VALUE_CHARS = 2000      # a value's text in a report; tables are not cut
 RECIPE_DESCRIPTION = "description: "
 
 _QUERY_START = re.compile(r"^\s*(\(\s*)*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
@@ -43,10 +44,54 @@ def unwrap_statement(text: str, key: str = "df") -> str:
     return (text or "").strip()
 
 
-def check_query(stmt: str) -> str:
-    s = stmt.strip().rstrip(";").strip()
-    if ";" in s or not _QUERY_START.match(s):
-        raise NotAQuery(f"only one query statement is accepted: {stmt[:80]!r}")
+REFUSED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
+
+
+def _items(seq):
+    """The elements of a Scala sequence."""
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def check_query(stmt: str, spark: SparkSession | None = None) -> str:
+    """The statement, if it is one query that only reads registered views.
+
+    Spark's own parser gives its plan; commands and inserts at any depth, relations that are not a registered view or a name
+    the statement itself defines (so no files by path), and functions that call Java are refused before anything runs.
+    """
+    s = (stmt or "").strip().rstrip(";").strip()
+    if not _QUERY_START.match(s):
+        raise NotAQuery(f"only one query statement is accepted: {s[:80]!r}")
+    spark = spark or SparkSession.getActiveSession()
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(s)
+    of = lambda name: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{name}")
+    writes = [of(f"plans.logical.{name}") for name in ("Command", "ParsedStatement", "InsertIntoDir")]
+    is_plan, holds_plan = of("plans.QueryPlan"), of("expressions.PlanExpression")
+    relations, defined, todo = [], set(), [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if any(w.isInstance(node) for w in writes):
+            raise NotAQuery(f"not a query: {kind}")
+        if kind == "UnresolvedRelation":
+            relations.append(list(_items(node.multipartIdentifier())))
+        elif kind == "UnresolvedWith":
+            for named in _items(node.cteRelations()):
+                defined.add(named._1().lower())
+                todo.append(named._2())
+        elif kind == "UnresolvedFunction":
+            name = list(_items(node.nameParts()))[-1].lower()
+            if name in REFUSED_FUNCTIONS:
+                raise NotAQuery(f"function {name} is refused")
+        if is_plan.isInstance(node):
+            todo += _items(node.expressions())
+        if holds_plan.isInstance(node):               # a subquery
+            todo.append(node.plan())
+        todo += _items(node.children())
+    for parts in relations:
+        if len(parts) != 1 or not (parts[0].lower() in defined or spark.catalog.tableExists(parts[0])):
+            raise NotAQuery(f"no registered view: {'.'.join(parts)}")
     return s
 
 
@@ -81,7 +126,7 @@ def ask(spark: SparkSession, statement, repair=None, attempts: int = MAX_ATTEMPT
     stmt = unwrap_statement(statement)
     for i in range(attempts):
         try:
-            df = spark.sql(check_query(stmt))
+            df = spark.sql(check_query(stmt, spark))
             return df, stmt
         except (AnalysisException, ParseException, NotAQuery) as e:
             if repair is None or i + 1 >= attempts:
@@ -118,12 +163,41 @@ def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS) -> dict
     table = markdown_table(df.columns, [list(r.values()) for r in rows])
     text = (f"Executing the expression: {statement} saved as {name} produced the following table:\n"
             f"\nDataframe {n} first rows\n{table}\n\n\nNumber of Records: {n_records}\n")
-    if len(text) > REPORT_CHARS:
-        text = text[:REPORT_CHARS] + TRUNCATE_MARKER
     return {"statement": statement, "name": name, "n_records": n_records, "head": rows, "nunique": counts,
             "text": text}
 
 
+def value_text(df: DataFrame, statement: str) -> str | None:
+    """I3 for a result of one column: one row is a value, more rows a list of values; ``None`` for a table."""
+    if len(df.columns) != 1:
+        return None
+    rows = [str(r[0]) for r in df.limit(VALUE_CHARS + 1).collect()]      # each takes a character at least
+    text = rows[0] if len(rows) == 1 else "\n".join(rows)
+    if len(text) > VALUE_CHARS:
+        text = text[:VALUE_CHARS] + TRUNCATE_MARKER
+    return f"Executing the expression: {statement} produced the following result:\n{text}"
+
+
+def answer(spark: SparkSession, statement: str, save_to: str, repair=None, attempts: int = MAX_ATTEMPTS) -> tuple[str, str | None]:
+    """I2 and I3 for one statement: (report text, where the result table was saved).
+
+    The result is written once and the report is taken from what was written. An error of any kind, while the statement is
+    read, planned or run, is given to ``repair(statement, error)``; after ``attempts`` tries the fixed text is the answer.
+    """
+    stmt = unwrap_statement(statement)
+    for i in range(attempts):
+        path = f"{save_to}-{i}"
+        try:
+            spark.sql(check_query(stmt, spark)).write.parquet(path)
+            saved = spark.read.parquet(path)
+            return value_text(saved, stmt) or report(saved, stmt, "last_result")["text"], path
+        except Exception as problem:  # noqa: BLE001 - whatever the statement does is its own fault
+            if repair is None or i + 1 >= attempts:
+                break
+            stmt = unwrap_statement(repair(stmt, str(problem).split("JVM stacktrace")[0][:500]))
+    return FAILED_MSG, None
+
+
 # I5 ------------------------------------------------------------------------
 RECIPE_SCHEMA = "recipe string, step_no int, input string, action string, option string, next_df string"
 
@@ -137,10 +211,8 @@ def recipe_rows(spark: SparkSession, recipe: str, prompt: str, statement: str, s
 
 def save_recipe(spark: SparkSession, log_path: str, recipe: str, prompt: str, statement: str) -> None:
     """Append to the recipe log (one parquet table)."""
-    try:
-        start = spark.read.parquet(log_path).filter(F.col("recipe") == recipe).count()
-    except AnalysisException:
-        start = 0
+    log = read_if_there(spark, log_path)
+    start = 0 if log is None else log.filter(F.col("recipe") == recipe).count()
     recipe_rows(spark, recipe, prompt, statement, start).write.mode("append").parquet(log_path)
 
 

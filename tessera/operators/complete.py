@@ -24,9 +24,9 @@ COMPLETION_ERROR = "Error: Requested tokens exceed context window."
 FORMAT_ERROR = "Error: Output does not follow the requested format."
 
 
-def edge_words_stub(n: int = 5, last: bool = False) -> Callable[[list[str]], list[str]]:
+def edge_words_stub(n: int = 5, last: bool = False) -> Callable[..., list[str]]:
     """A deterministic stand-in model: the first (or last) ``n`` space-separated words."""
-    def complete(prompts: list[str]) -> list[str]:
+    def complete(prompts: list[str], **options) -> list[str]:
         return [" ".join(p.split(" ")[-n:] if last else p.split(" ")[:n]) for p in prompts]
     return complete
 
@@ -50,23 +50,38 @@ def cached_model(factory: Callable[[], object]):
     return _MODELS[key]
 
 
-def _udf(completer_factory: Callable[[], Callable[[list[str]], list[str]]]):
+def accepted_options(model, options: dict) -> dict:
+    """The options that a model's call takes: all of them with ``**``, else those it names."""
+    import inspect
+
+    try:
+        parameters = inspect.signature(model).parameters.values()
+    except (TypeError, ValueError):
+        return {}
+    if any(p.kind is p.VAR_KEYWORD for p in parameters):
+        return options
+    named = {p.name for p in parameters if p.kind in (p.KEYWORD_ONLY, p.POSITIONAL_OR_KEYWORD)}
+    return {k: v for k, v in options.items() if k in named}
+
+
+def _udf(completer_factory: Callable[[], Callable[..., list[str]]], options: dict):
     from tessera.session import ship_package
 
     ship_package()  # the active session's workers import this module
     @F.pandas_udf("string")
     def _complete(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = cached_model(completer_factory)
+        given = accepted_options(model, options)
         for prompts in batches:
             todo = prompts.notna()  # null prompts (over budget) never reach the model
             texts = prompts[todo].tolist()
             try:
-                done = list(model(texts)) if texts else []
+                done = list(model(texts, **given)) if texts else []
             except Exception:  # noqa: BLE001 - fall back to one prompt at a time
                 done = []
                 for t in texts:
                     try:
-                        done.append(model([t])[0])
+                        done.append(model([t], **given)[0])
                     except Exception:  # noqa: BLE001
                         done.append(COMPLETION_ERROR)
             out = pd.Series([None] * len(prompts), index=prompts.index, dtype="object")
@@ -78,20 +93,21 @@ def _udf(completer_factory: Callable[[], Callable[[list[str]], list[str]]]):
 
 def complete(prompt, completer_factory, max_length: int = DEFAULT_MAX_LENGTH,
              context_size: int = DEFAULT_CONTEXT, fmt_regex: str | None = None, stop: str = "[User]:",
-             budget: float | None = None) -> Column:
+             budget: float | None = None, options: dict | None = None) -> Column:
     """K1: the completion of each prompt, as a Column.
 
+    The model is called as ``model(prompts, **options)`` with ``max_length``
+    (in its own tokens) and whatever else ``options`` holds, as far as it takes them.
     Over-budget prompts (``len/3.5 > context_size - max_length``, or
     ``budget`` tokens when given) get the fixed error text and are not sent to
-    the model. The answer is cut at ``stop`` and
-    to ``max_length`` words; with ``fmt_regex`` an answer that does not conform
+    the model. The answer is cut at ``stop``; its length is the model's matter. With ``fmt_regex`` an answer that does not conform
     is replaced by a fixed error text.
     """
     p = F.col(prompt) if isinstance(prompt, str) else prompt
     limit = float(context_size - max_length) if budget is None else float(budget)
     over = count_tokens(p) > F.lit(limit)
-    raw = _udf(completer_factory)(F.when(~over, p))
-    answer = cut_completion(raw, stop, max_length)
+    raw = _udf(completer_factory, {"max_length": max_length, **(options or {})})(F.when(~over, p))
+    answer = cut_completion(raw, stop)
     if fmt_regex is not None:
         answer = F.when(conforms(answer, regex=fmt_regex), answer).otherwise(F.lit(FORMAT_ERROR))
     return F.when(over, F.lit(TOO_LONG_MSG)).otherwise(answer)

@@ -12,7 +12,11 @@ from __future__ import annotations
 import ast
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import md5
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +35,10 @@ from tessera.operators import complete as K
 from tessera.operators import library as L
 from tessera.operators import pages as P
 from tessera.operators import results as E
+from tessera.session import pinned, read_if_there, scratch_path
 
 NEXT = "next"
+STATEMENT_BLOCK = 256      # statements that the driver holds at a time
 # grammar file name -> shipped format name
 GRAMMAR_FORMATS = {"urllist": "urllist", "singleexpression": "singleexpression", "python_script": "python_script",
                    "student_id": "student", "cars": "cars", "example1": "example1", "news": "news",
@@ -61,6 +67,7 @@ class ChainContext:
     key: str = "row_id"
     pages: DataFrame | None = None
     library: DataFrame | None = None          # chunk_id, text, source, content_hash, embedding
+    encoder: dict = field(default_factory=dict)  # L.embed's arguments (dim, encoder_factory) that made the library
     selected_ids: DataFrame | None = None      # content_hash of the chosen documents
     result_store: DataFrame | None = None      # id, user_id, session_id, stored_result_name, text
     page_index: "P.PageIndex | None" = None    # built once for many internet_search steps
@@ -68,6 +75,8 @@ class ChainContext:
     active_view: str = "df"
     pending_results: list = field(default_factory=list)
     last_result: DataFrame | None = None
+    repair: Callable[[str, str], str] | None = None   # (statement, error) -> statement; default: ask the model
+    statement_jobs: int = 8                    # statements that run at the same time
 
 
 # G1 ------------------------------------------------------------------------
@@ -107,7 +116,9 @@ def compile_steps(steps: DataFrame) -> DataFrame:
     read as JSON after swapping its quotes; anything else gives a null map, and
     ``compile_chain`` (driver side, per table) stays the exact parser."""
     opt = F.trim(F.coalesce(F.col("option"), F.lit("")))
-    as_json = F.regexp_replace(F.regexp_replace(opt, "'", '"'), r"\bTrue\b|\bFalse\b|\bNone\b", "null")
+    as_json = F.regexp_replace(opt, "'", '"')
+    for python, plain in (("True", "true"), ("False", "false"), ("None", "null")):
+        as_json = F.regexp_replace(as_json, rf"\b{python}\b", plain)
     known = F.trim("action").isin(list(ACTIONS))
     return steps.select(
         *[c for c in steps.columns if c not in ("input", "action", "option", "next_df")],
@@ -119,41 +130,51 @@ def compile_steps(steps: DataFrame) -> DataFrame:
 
 # G6 ------------------------------------------------------------------------
 ACTIONS: dict[str, Callable[..., DataFrame]] = {}
+ROW_WISE: set[str] = set()     # actions that use the frame once, row by row
+MODELS: set[str] = set()       # actions whose result must not be computed twice
 
 
-def register_action(name: str, fn: Callable[..., DataFrame]) -> None:
-    """``fn(df, input_col, ctx, **options) -> df`` with a string ``result`` column."""
+def register_action(name: str, fn: Callable[..., DataFrame], row_wise: bool = False, model: bool = False) -> None:
+    """``fn(df, input_col, ctx, **options) -> df`` with a string ``result`` column.
+
+    An action that is not ``row_wise`` may use its frame several times: it is given a written table where models or such
+    actions came before it, and it is refused on streams.
+    """
     ACTIONS[name] = fn
+    for group, member in ((ROW_WISE, row_wise), (MODELS, model)):
+        (group.add if member else group.discard)(name)
 
 
-def action(name):
+def action(name, **kind):
     def deco(fn):
-        register_action(name, fn)
+        register_action(name, fn, **kind)
         return fn
     return deco
 
 
-@action("user_input")
+@action("user_input", row_wise=True)
 def _user_input(df, inp, ctx, **_):
     """Pass-through."""
     return df.withColumn("result", inp)
 
 
-@action("ResetFullPrompt")
+@action("ResetFullPrompt", row_wise=True)
 def _reset_full_prompt(df, inp, ctx, **_):
     """Strip the list wrapping and make it the full prompt of later steps."""
     return df.withColumn("result", strip_list(inp, guarded=False)).withColumn("full_prompt", F.col("result"))
 
 
-@action("llm_completion")
-def _llm_completion(df, inp, ctx, max_length=None, temperature=None, grammar=None, **_):
+@action("llm_completion", row_wise=True, model=True)
+def _llm_completion(df, inp, ctx, max_length=None, grammar=None, **options):
+    """K1 in a chain: every option of the step reaches the model."""
     if ctx.completer_factory is None:
         raise ValueError("llm_completion needs ctx.completer_factory")
     fmt = None
     if grammar:
         fmt = named_regex(GRAMMAR_FORMATS[os.path.splitext(os.path.basename(grammar))[0]])
     ans = K.complete(inp, ctx.completer_factory, max_length or ctx.max_length, ctx.context_size, fmt,
-                     budget=ctx.context_size - ctx.max_length)
+                     budget=ctx.context_size - ctx.max_length,
+                     options={**options, **({"grammar": grammar} if grammar else {})})
     return df.withColumn("result", ans)
 
 
@@ -174,7 +195,8 @@ def _internet_search(df, inp, ctx, **_):
 
 @action("docu_search")
 def _docu_search(df, inp, ctx, k: int = L.SEARCH_K, **_):
-    qv = L.embed(df.select(ctx.key, inp.alias("_q")), ctx.key, "_q").select(
+    # the prompts are embedded by what embedded the library
+    qv = L.embed(df.select(ctx.key, inp.alias("_q")), ctx.key, "_q", **ctx.encoder).select(
         F.col(ctx.key).alias("qid"), F.col("embedding").alias("qvec"))
     lib = ctx.library.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash", "text", "source")
     if ctx.vector_index is None:
@@ -188,24 +210,36 @@ def _docu_search(df, inp, ctx, k: int = L.SEARCH_K, **_):
 @action("MemorizeResult")
 def _memorize(df, inp, ctx, stored_result_name="result", **_):
     """E1 inside a chain: the input passes through; the rows to store are kept
-    in ``ctx.pending_results`` and appended by ``commit_results``."""
+    in ``ctx.pending_results`` (seen by later steps) and appended by
+    ``commit_results``. A prompt over the budget stores nothing."""
     out = df.withColumn("result", inp)
-    ctx.pending_results.append(out.select("user_id", "session_id", F.lit(stored_result_name).alias(
-        "stored_result_name"), F.col("result").alias("text"), F.col(ctx.key).alias("_order")))
+    ctx.pending_results.append(out.filter(F.col("result").isNotNull()).select("user_id", "session_id", F.lit(
+        stored_result_name).alias("stored_result_name"), F.col("result").alias("text"), F.col(ctx.key).alias("_order")))
     return out
 
 
+def pending_rows(ctx: ChainContext) -> DataFrame | None:
+    """What the chain memorized so far, one row per key; an earlier step's row comes first."""
+    steps = [p.withColumn("_order", F.struct(F.lit(i).alias("step"), F.col("_order").alias("row")))
+             for i, p in enumerate(ctx.pending_results)]
+    return E.memorize_results(reduce(DataFrame.unionByName, steps), ctx.result_store, "_order") if steps else None
+
+
 @action("getMemoryResult")
 def _recall(df, inp, ctx, stored_result_name="result", **_):
-    """E2 inside a chain: the stored text of (user, session, name), else ``None``.
-    The store holds one row per key, so the left join keeps one row per prompt."""
-    got = ctx.result_store.filter(F.col("stored_result_name") == stored_result_name).select(
+    """E2 inside a chain: the stored text of (user, session, name), also one
+    memorized earlier in this chain, else ``None``. One row per key, so the
+    left join keeps one row per prompt."""
+    held = [t.select(*E.RESULT_KEY, "text") for t in (ctx.result_store, pending_rows(ctx)) if t is not None]
+    if not held:
+        return df.withColumn("result", F.lit("None"))
+    got = reduce(DataFrame.unionByName, held).filter(F.col("stored_result_name") == stored_result_name).select(
         "user_id", "session_id", F.col("text").alias("_recalled"))
     out = df.join(got, ["user_id", "session_id"], "left")
     return out.withColumn("result", F.coalesce("_recalled", F.lit("None"))).drop("_recalled")
 
 
-@action("csv_peek")
+@action("csv_peek", row_wise=True)
 def _csv_peek(df, inp, ctx, **_):
     """I1 on the active table; the text is the same for every row (count + 5 rows)."""
     view = ctx.spark.table(ctx.active_view)
@@ -218,25 +252,56 @@ def _csv_peek(df, inp, ctx, **_):
     return df.withColumn("result", F.lit(text))
 
 
+def _model_repair(ctx: ChainContext):
+    """Asks the model for a better statement."""
+    if ctx.completer_factory is None:
+        return None
+
+    def repair(statement: str, error: str) -> str:
+        prompt = (f"{ctx.user_tag}This Spark SQL query failed.\n{statement}\nThe error was: {error}\nReply with JSON that "
+                  f"holds a corrected query under the key df.{ctx.assistant_tag}")
+        model = ctx.completer_factory()
+        return model([prompt], **K.accepted_options(model, {"max_length": ctx.max_length}))[0]
+
+    return repair
+
+
 @action("execute_df_expression")
 def _execute(df, inp, ctx, **_):
-    """I2 per distinct statement; each is its own Spark query (bounded by the
-    number of distinct statements), the report text is joined back."""
-    stmts = [r[0] for r in df.select(inp.alias("s")).distinct().collect() if r[0] is not None]
-    texts = []
-    for s in stmts:
-        res, msg = A.ask(ctx.spark, s)
-        if res is None:
-            texts.append((s, msg))
-            continue
-        ctx.last_result = res
-        texts.append((s, A.report(res, msg, "last_result")["text"]))
-    table = ctx.spark.createDataFrame(texts, "_s string, _t string")
+    """I2 for every distinct statement of the prompts, some at a time as Spark
+    jobs of their own; each result is saved once (A4) and its report joined
+    back. Statements pass the driver in blocks, reports are written as a table."""
+    spark, root = ctx.spark, scratch_path(ctx.spark, "statements")
+    repair = ctx.repair or _model_repair(ctx)
+    statements = (r[0] for r in df.select(inp.alias("s")).distinct().toLocalIterator() if r[0] is not None)
+
+    def run(s):
+        return (s, *A.answer(spark, s, f"{root}/{md5(s.encode()).hexdigest()}", repair))
+
+    reports, block = f"{root}/reports", 0
+    with ThreadPoolExecutor(ctx.statement_jobs) as pool:
+        while part := list(islice(statements, STATEMENT_BLOCK)):
+            done = list(pool.map(run, part))
+            spark.createDataFrame(done, "_s string, _t string, _p string").write.parquet(f"{reports}/block={block}")
+            saved = [p for _, _, p in done if p]
+            if saved:
+                ctx.last_result = spark.read.parquet(saved[-1])
+            block += 1
+    if not block:
+        return df.withColumn("result", F.lit(A.FAILED_MSG))
+    table = spark.read.parquet(reports).select("_s", "_t")
     out = df.withColumn("_s", inp).join(table, "_s", "left")  # AQE picks the join side
     return out.withColumn("result", F.coalesce("_t", F.lit(A.FAILED_MSG))).drop("_s", "_t")
 
 
-@action("ReuseDf")
+@action("distinct_counts", row_wise=True)
+def _distinct_counts(df, inp, ctx, **_):
+    """I4 on the active table; the text is the same for every row (one number per column)."""
+    counts = A.nunique(ctx.spark.table(ctx.active_view)).collect()
+    return df.withColumn("result", F.lit(A.markdown_table(["column", "distinct values"], [tuple(r) for r in counts])))
+
+
+@action("ReuseDf", row_wise=True)
 def _reuse(df, inp, ctx, **_):
     """A5: the last result becomes the active table."""
     if ctx.last_result is not None:
@@ -278,10 +343,16 @@ def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "p
     if log:
         df = df.withColumn("log", F.array().cast(
             "array<struct<step_no:int,action:string,input:string,result:string>>"))
+    used = False                       # models or several uses of the frame lie before the step
     for st in compiled:
         fn = ACTIONS.get(st.action)
         if fn is None:
             continue
+        if st.action not in ROW_WISE:
+            if df.isStreaming:
+                raise ValueError(f"{st.action} uses its rows more than once and cannot run on a stream")
+            df = pinned(df, "chain") if used else df
+        used = used or st.action in MODELS or st.action not in ROW_WISE
         rendered = render(st.input, full_prompt=F.col("full_prompt"), result=F.col("result"))
         df = df.withColumn("_input", F.when(~F.col("_gated"), rendered))
         df = fn(df, F.col("_input"), ctx, **st.option)
@@ -307,14 +378,8 @@ def commit_results(ctx: ChainContext, store_path: str) -> None:
     """Append the results memorized during a chain (insert if absent)."""
     if not ctx.pending_results:
         return
-    pending = ctx.pending_results[0]
-    for p in ctx.pending_results[1:]:
-        pending = pending.unionByName(p)
-    try:
-        store = ctx.spark.read.parquet(store_path)
-    except Exception:  # noqa: BLE001 - empty store
-        store = None
-    E.memorize_results(pending, store, "_order").write.mode("append").parquet(store_path)
+    ctx.result_store = read_if_there(ctx.spark, store_path)
+    pinned(pending_rows(ctx), "results").write.mode("append").parquet(store_path)
     ctx.pending_results.clear()
 
 

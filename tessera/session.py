@@ -88,8 +88,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stores.
 
     Uses ``spark.checkpoint.dir`` of the session (the cluster names a shared
-    folder there). Only when it is unset, as in local tests, a scratch folder is
-    made and registered as the checkpoint dir.
+    folder there). Where it is unset, a local master gets a scratch folder; on
+    a cluster a machine-local folder would be lost to the others, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -99,6 +99,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
@@ -109,6 +111,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: what follows never computes it again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or nothing where the path does not exist; any other fault is raised."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

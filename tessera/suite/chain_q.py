@@ -99,7 +99,7 @@ def _measure(df, inp, ctx, **_):
 
 
 def g6_register_action(spark, sf):
-    G.register_action("measure", _measure)
+    G.register_action("measure", _measure, row_wise=True)
     out = G.run_chain(_prompts(spark, sf), [("{full_prompt}", "measure", "", "next")], _ctx(spark))
     return out.select("row_id", F.md5("result").alias("result_md5"))
 
