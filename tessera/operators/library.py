@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,33 +181,36 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
 
     With ``encoder`` (a function ``pandas.Series[str] -> list of vectors``) or
     ``encoder_factory`` (builds one; called once per Python worker) the texts go
-    through an Arrow ``pandas_udf``. Without one the native hashing encoder is used: token counts per
-    bucket, L2-normalised, computed with explode + two aggregations on ``key``
-    (the first combines map-side; the second holds at most ``dim`` entries).
-    ``key`` must be unique per row.
+    through an Arrow ``pandas_udf``. Without one the native hashing encoder is
+    used: token counts per bucket, L2-normalised, counted inside the row, so
+    nothing is shuffled and ``key`` may repeat. A text without tokens has a
+    zero vector.
     """
     if encoder is not None or encoder_factory is not None:
         return _embed_with_encoder(df, key, text_col, encoder, encoder_factory)
-    toks = df.select(key, F.explode(hash_tokens(text_col)).alias("tok"))
-    counts = toks.groupBy(key, token_bucket(F.col("tok"), dim).alias("b")).agg(F.count("*").alias("n"))
-    vecs = counts.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("b", "n"))).alias("e"),   # at most dim entries per key
-        F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"),
-    )
-    # dense vector in one linear pass: each sorted entry becomes the zeros of
-    # the gap before it plus its value; then the trailing zeros
-    bs = F.transform("e", lambda x: x["b"])
-    prev = F.concat(F.array(F.lit(-1).cast("long")), F.slice(bs, 1, F.size(bs) - 1))
-    zero = F.lit(0.0).cast("float")
-    pieces = F.zip_with("e", prev, lambda x, p: F.concat(
-        F.array_repeat(zero, (x["b"] - p - 1).cast("int")), F.array((x["n"] / F.col("norm")).cast("float"))))
-    dense = vecs.select(key, F.concat(F.flatten(pieces), F.array_repeat(
-        zero, (F.lit(dim - 1) - F.element_at(bs, -1)).cast("int"))).alias("embedding"))
-    # rows without any token get a zero vector: a narrow filter and a union,
-    # not a join of every key back to the vectors
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    empty = df.filter(F.coalesce(F.size(hash_tokens(text_col)), F.lit(0)) <= 0).select(key, zeros.alias("embedding"))
-    return dense.unionByName(empty)
+    ship_package(df.sparkSession)
+    buckets = F.transform(hash_tokens(text_col), lambda t: token_bucket(t, dim))
+    return df.select(key, _bucket_vectors(dim)(F.coalesce(buckets, F.array().cast("array<bigint>"))).alias("embedding"))
+
+
+def _bucket_vectors(dim: int):
+    """Counts of a row's buckets as a unit vector: one histogram per Arrow batch."""
+    import numpy as np
+
+    @F.arrow_udf("array<float>")
+    def vectors(rows: pa.Array) -> pa.Array:
+        out = []
+        for first in range(0, len(rows), 1000):
+            part = rows.slice(first, 1000)
+            sizes = part.value_lengths().to_numpy()
+            owner = np.repeat(np.arange(len(part)), sizes)
+            counts = np.bincount(owner * dim + part.flatten().to_numpy(), minlength=len(part) * dim).reshape(len(part), dim)
+            norm = np.sqrt((counts * counts).sum(1))
+            unit = (counts / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
+            out.append(pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dim, dtype=np.int32), unit.ravel()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.float32()))
+
+    return vectors
 
 
 def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder_factory=None) -> DataFrame:

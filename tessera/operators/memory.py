@@ -17,6 +17,7 @@ from tessera.functions.text import (
     TOKEN_CHARS,
     is_valid_json,
 )
+from tessera.session import pinned, read_if_there
 
 SESSION = ["user_id", "session_id"]
 # Fixed values that must equal the reference's for right results.
@@ -40,29 +41,30 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
 
 
 # F7 ------------------------------------------------------------------------
+PAIR_ROWS = 1024         # turn numbers of a part of a session
+PAIR_MICROS = 3_600_000_000   # or, by time, an hour
+
+
 def chat_pairs(rows: DataFrame, seq: str | None = "turn") -> DataFrame:
     """``(prompt, answer)`` per user row; the answer is the next row's text
     when that row is the assistant's, else empty text.
 
-    With ``seq`` (consecutive integers within a session, like ``turn``) the next
-    row is found by an equi-join on ``(session, seq + 1)``, which shuffles on the
-    composite key, so a session with a third of all rows is spread over many
-    tasks. Without it a ``lead`` window by time is used (one task per session).
+    The next row is the next one of the session by ``seq`` (by time without
+    it), whatever lies between their numbers. A session is looked at in parts
+    of ``PAIR_ROWS`` numbers; the last row of a part is followed by the first of
+    the next part that has rows, so a hot session is spread over many tasks.
     """
-    if seq is not None and seq in rows.columns:
-        users = rows.filter(F.col("role") == "user").select(*SESSION, "ts", seq, F.col("text").alias("user_prompt"))
-        nxt = rows.select(*SESSION, (F.col(seq) - 1).alias(seq), F.col("role").alias("_nrole"),
-                          F.col("text").alias("_ntext"))
-        joined = users.join(nxt, [*SESSION, seq], "left")
-        return joined.select(*SESSION, "ts", "user_prompt",
-                             F.when(F.col("_nrole") == "assistant", F.col("_ntext")).otherwise(F.lit(""))
-                             .alias("llm_answer"))
-    w = Window.partitionBy(*SESSION).orderBy("ts")
-    nxt = rows.select(*SESSION, "ts", "role", "text",
-                      F.lead("role").over(w).alias("_nrole"), F.lead("text").over(w).alias("_ntext"))
-    return nxt.filter(F.col("role") == "user").select(
-        *SESSION, "ts", F.col("text").alias("user_prompt"),
-        F.when(F.col("_nrole") == "assistant", F.col("_ntext")).otherwise(F.lit("")).alias("llm_answer"))
+    numbered = seq is not None and seq in rows.columns
+    place = F.col(seq).cast("bigint") if numbered else F.unix_micros("ts")
+    said = rows.select(*SESSION, "ts", F.col("role").alias("_role"), F.col("text").alias("_text"), place.alias("_at"),
+                       F.floor(place / F.lit(PAIR_ROWS if numbered else PAIR_MICROS)).alias("_part"))
+    first = said.groupBy(*SESSION, "_part").agg(F.min_by(F.struct("_role", "_text"), F.struct("_at", "_role")).alias("_first"))
+    after = first.select(*SESSION, "_part", F.lead("_first").over(Window.partitionBy(*SESSION).orderBy("_part")).alias("_after"))
+    inside = F.lead(F.struct("_role", "_text")).over(Window.partitionBy(*SESSION, "_part").orderBy("_at", "_role"))
+    pairs = said.withColumn("_next", inside).filter(F.col("_role") == "user").join(after, [*SESSION, "_part"])
+    following = F.coalesce("_next", "_after")
+    return pairs.select(*SESSION, "ts", F.col("_text").alias("user_prompt"),
+                        F.when(following["_role"] == "assistant", following["_text"]).otherwise(F.lit("")).alias("llm_answer"))
 
 
 # F1 ------------------------------------------------------------------------
@@ -82,16 +84,19 @@ def append_turns(turns: DataFrame, memory_path: str, user_tag: str = DEFAULT_USE
     """append tagged turns to the memory table, idempotent by (user, session, ts).
 
     Rows already stored under the same key are skipped, so a retried batch does
-    not double them. The memory table is partitioned by ``user_id``.
+    not double them; of equal keys in one batch the least turn is kept. The memory
+    table is partitioned by ``user_id`` and only the batch's users are read.
     """
     spark = turns.sparkSession
-    new = tag_turns(turns, user_tag, assistant_tag)
-    try:
-        old = spark.read.parquet(memory_path).select(*SESSION, "ts")
-        new = new.join(old, SESSION + ["ts"], "left_anti")
-    except Exception:  # noqa: BLE001 - first write, no table yet
-        pass
-    new.write.mode("append").partitionBy("user_id").parquet(memory_path)
+    keys = [*SESSION, "ts"]
+    tagged = tag_turns(turns, user_tag, assistant_tag).groupBy(*keys).agg(
+        F.min(F.struct("user_prompt", "llm_answer", "document")).alias("t")).select(*keys, "t.*")
+    old = read_if_there(spark, memory_path)
+    if old is not None:
+        tagged = pinned(tagged, "turns")
+        held = old.select(*keys).join(tagged.select("user_id").distinct(), "user_id", "left_semi")
+        tagged = tagged.join(held, keys, "left_anti")
+    tagged.write.mode("append").partitionBy("user_id").parquet(memory_path)
 
 
 def read_memory(spark, memory_path: str) -> DataFrame:
@@ -108,6 +113,12 @@ def session_history(turns: DataFrame) -> DataFrame:
 
 
 # F3 ------------------------------------------------------------------------
+def turn_cost():
+    """Characters of a turn in the history; a null text has none."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return size("user_prompt") + size("llm_answer") + 2
+
+
 def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None = None,
                    user_tag: str = DEFAULT_USER_TAG, assistant_tag: str = DEFAULT_ASSISTANT_TAG) -> DataFrame:
     """the longest suffix of each session's turns whose history fits ``max_tok``.
@@ -117,7 +128,7 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
     (``user_id, session_id, prompt``) the tagged prompt counts against it too.
     Returns the kept turns with ``suffix_chars`` (history length from that turn on).
     """
-    cost = F.length("user_prompt") + F.length("llm_answer") + 2
+    cost = turn_cost()
     # Every turn costs at least 2 characters, so at most budget/2 + 1 of the
     # newest turns can fit. The row-number limit runs as a partial
     # WindowGroupLimit before the shuffle, so even a session holding a third

@@ -16,14 +16,14 @@ SEPARATORS = ("|", "\t", ",", ";")
 
 # A1 ------------------------------------------------------------------------
 def read_table(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None,
-               schema=None) -> DataFrame:
+               schema=None, multi_line: bool = False) -> DataFrame:
     """A1: a delimited table with a header row.
 
     Types are inferred unless ``schema`` is given (inference is one extra pass
-    over the files; pass a schema for large inputs). Quoted fields may span
-    lines.
+    over the files; pass a schema for large inputs). Large files are read in
+    splits; ``multi_line`` lets quoted fields span lines, at one task per file.
     """
-    reader = (spark.read.option("header", True).option("sep", sep).option("multiLine", True)
+    reader = (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
               .option("encoding", encoding or "UTF-8").option("escape", '"'))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
@@ -36,39 +36,47 @@ def read_sequences(spark: SparkSession, path: str, glob: str = "*.csv", recursiv
     Each file is read whole (a step table is a few lines) so row order is kept
     as ``step_no`` (0-based, header excluded). The separator is taken from the
     header line: the first of ``| tab , ;`` that splits it into the four
-    column names. The last three fields never hold the separator; the input
-    field may.
+    column names. A field may be quoted (quotes inside doubled) and then hold
+    separators and line breaks; an unquoted input may hold separators.
     """
     # wholetext goes to text() itself: its keyword default would override an option()
     raw = (spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=recursive)
            .select(F.col("_metadata.file_path").alias("file"), F.col("value")))
-    lines = raw.select("file", F.filter(F.split("value", r"\r?\n"), lambda s: F.length(F.trim(s)) > 0).alias("lines"))
-    header = F.element_at("lines", 1)
-    sep = F.lit(None).cast("string")
-    for cand in reversed(SEPARATORS):
-        names = F.concat_ws(cand, *[F.lit(c) for c in STEP_COLUMNS])
-        sep = F.when(F.trim(header) == names, F.lit(cand)).otherwise(sep)
-    rows = lines.select("file", sep.alias("sep"), F.posexplode("lines").alias("pos", "line")).filter("pos > 0")
-    out = rows
-    for sep_char in SEPARATORS:
-        e = "\\t" if sep_char == "\t" else "\\" + sep_char
-        rx = rf"^(.*){e}([^{e}]*){e}([^{e}]*){e}([^{e}]*)$"
-        for i, name in enumerate(STEP_COLUMNS, start=1):
-            prev = F.col(name) if sep_char != SEPARATORS[0] else F.lit(None).cast("string")
-            out = out.withColumn(name, F.when(F.col("sep") == sep_char, F.regexp_extract("line", rx, i))
-                                 .otherwise(prev))
-    return out.select("file", (F.col("pos") - 1).cast("int").alias("step_no"),
-                      *[F.trim(F.col(c)).alias(c) for c in STEP_COLUMNS])
+    header = F.trim(F.regexp_extract("value", r"\A\s*([^\r\n]*)", 1))
+    body = F.regexp_replace("value", r"\A\s*[^\r\n]*", "")
+    fields = F.lit(None).cast("array<array<string>>")
+    for sep in reversed(SEPARATORS):
+        names = F.concat_ws(sep, *[F.lit(c) for c in STEP_COLUMNS])
+        e = "\\t" if sep == "\t" else "\\" + sep
+        quoted, end = r'"(?:[^"]++|"")*+"[ \t]*', r"(?=\r?\n|\z)"
+        plain = rf'[^{e}\r\n"][^{e}\r\n]*|'
+        record = rf'(?<=\n)({quoted}|[^\r\n]*?){e}({quoted}|{plain}){e}({quoted}|{plain}){e}({quoted}|{plain}){end}'
+        found = F.array(*[F.regexp_extract_all(body, F.lit(record), F.lit(i)) for i in range(1, 5)])
+        fields = F.when(header == names, found).otherwise(fields)
+
+    def plain_text(c):
+        inner = F.replace(F.regexp_extract(c, r'(?s)\A[ \t]*"(.*)"[ \t]*\z', 1), F.lit('""'), F.lit('"'))
+        return F.trim(F.when(c.rlike(r'(?s)\A[ \t]*".*"[ \t]*\z'), inner).otherwise(c))
+
+    rows = raw.select("file", fields.alias("f")).select("file", F.posexplode(F.arrays_zip(
+        *[F.col("f")[i].alias(c) for i, c in enumerate(STEP_COLUMNS)])).alias("step_no", "r"))
+    return rows.select("file", "step_no", *[plain_text(F.col("r")[c]).alias(c) for c in STEP_COLUMNS])
 
 
 def write_sequences(df: DataFrame, path: str, name_col: str = "recipe", order_col: str = "step_no",
                     sep: str = "|") -> None:
     """Write step rows as step-table files, one folder per ``name_col`` value, header first.
 
-    A step table is a few rows, so each table's text is assembled with one
-    bounded ``collect_list`` per name and written as one file.
+    Fields that hold the separator, quotes or line breaks are quoted. A step
+    table is a few rows, so each table's text is assembled with one bounded
+    ``collect_list`` per name and written as one file.
     """
-    line = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in STEP_COLUMNS])
+    def field(c):
+        text = F.coalesce(F.col(c), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.rlike('[\r\n"]') | F.contains(text, F.lit(sep)), quoted).otherwise(text)
+
+    line = F.concat_ws(sep, *[field(c) for c in STEP_COLUMNS])
     text = df.groupBy(name_col).agg(F.concat_ws("\n", F.lit(sep.join(STEP_COLUMNS)), F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), line.alias("l")))),
         lambda s: s["l"])).alias("value"))

@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tessera.functions.text import TOKEN_CHARS
 from tessera.operators import library as L
 from tessera.operators import memory as M
-from tessera.session import scratch_path, ship_package
+from tessera.session import pinned, read_if_there, scratch_path, ship_package
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
@@ -66,12 +66,11 @@ def stream_documents(spark: SparkSession, src: str, library: str, glob: str | No
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         name = f"{run}-{batch_id}"
-        try:
-            held = (read_library(spark, library).filter(F.col("batch") != name)
-                    .select("hash_prefix", "content_hash"))
-        except Exception:  # noqa: BLE001 - empty library
-            held = None
-        new = L.chunk_documents(L.ingest_documents(L.with_title(batch), held))
+        stored = read_if_there(spark, f"{library}/chunks")
+        held = None if stored is None else read_library(spark, library).filter(F.col("batch") != name).select(
+            "hash_prefix", "content_hash")
+        # written once: the chunks are embedded and joined to their vectors
+        new = pinned(L.chunk_documents(L.ingest_documents(L.with_title(batch), held)), "chunks")
         new = new.join(L.embed(new, "chunk_id", "text", encoder=encoder, encoder_factory=encoder_factory),
                        "chunk_id")
         (new.withColumn("hash_prefix", F.substring("content_hash", 1, L.HASH_PREFIX_CHARS))
@@ -95,11 +94,11 @@ def stream_turns(spark: SparkSession, src: str, memory: str, glob: str | None =
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         new = M.conversation_turns(batch)
-        try:
+        if read_if_there(spark, memory) is not None:
+            new = pinned(new, "turns")
             old = spark.read.schema(RAW_TURNS).parquet(memory).select(*M.SESSION, "turn")
+            old = old.join(new.select("user_id").distinct(), "user_id", "left_semi")      # the batch's users only
             new = new.join(old, [*M.SESSION, "turn"], "left_anti")
-        except Exception:  # noqa: BLE001 - first batch, no table yet
-            pass
         new.write.mode("append").partitionBy("user_id").parquet(memory)
 
     _run(rows.writeStream.foreachBatch(per_batch), checkpoint or scratch_path(spark, "ckpt-turns"))
@@ -134,14 +133,13 @@ def _sliding(max_tok: float):
     budget = max_tok * TOKEN_CHARS
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ts, cost, version = [], [], 0
+        costs, version = {}, 0
         if state.exists:
-            ts, cost, version = list(state.get[0]), list(state.get[1]), int(state.get[2])
+            costs, version = dict(zip(state.get[0], map(int, state.get[1]))), int(state.get[2])
         for pdf in pdfs:
-            ts += list(pdf["ts"])
-            cost += list(pdf["cost"])
-        order = sorted(range(len(ts)), key=lambda i: ts[i])
-        ts, cost = [ts[i] for i in order], [int(cost[i]) for i in order]
+            costs.update(zip(pdf["ts"], map(int, pdf["cost"])))      # a replayed turn replaces itself
+        ts = sorted(costs)
+        cost = [costs[t] for t in ts]
         keep, run = [], 0
         for i in range(len(ts) - 1, -1, -1):  # newest first; stop at the first that does not fit
             if run + cost[i] > budget:
@@ -162,12 +160,12 @@ def stream_memory(pairs: DataFrame, out: str, max_tok: float, checkpoint: str |
     ``pairs`` is a stream of turn rows (``user_id, session_id, ts,
     user_prompt, llm_answer``), e.g. the memory table written by L2. Every
     micro-batch emits each touched session's kept turns with a ``version``
-    (newest turn time); the current memory is the highest version per session
+    (how often it was touched); the current memory is the highest version per session
     (``current_memory``). Late turns sort into place by time.
     """
     ship_package(pairs.sparkSession)
     costs = pairs.select(*M.SESSION, "ts",
-                         (F.length("user_prompt") + F.length("llm_answer") + 2).cast("long").alias("cost"))
+                         M.turn_cost().cast("long").alias("cost"))
     res = costs.groupBy(*M.SESSION).applyInPandasWithState(_sliding(max_tok), MEMORY_OUT, MEMORY_STATE, "append",
                                                            GroupStateTimeout.NoTimeout)
     _run(res.writeStream.format("parquet").option("path", out),
@@ -229,7 +227,7 @@ def stream_memory_from_turns(spark: SparkSession, src: str, out: str, max_tok: f
     """
     ship_package(spark)
     rows = M.conversation_turns(_read(spark, src, TURN_SCHEMA, glob, max_files))
-    rows = rows.select(*M.SESSION, "turn", "ts", "role", F.length("text").cast("long").alias("len"))
+    rows = rows.select(*M.SESSION, "turn", "ts", "role", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("len"))
     res = rows.groupBy(*M.SESSION).applyInPandasWithState(_sliding_from_turns(max_tok), MEMORY_OUT, TURN_STATE,
                                                           "append", GroupStateTimeout.NoTimeout)
     _run(res.writeStream.format("parquet").option("path", out), checkpoint or scratch_path(spark, "ckpt-mem"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import ask as A
-from tessera.session import register_tables, scratch_path
+from tessera.session import read_if_there, register_tables, scratch_path
 from tessera.suite.common import T
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -254,10 +254,7 @@ def i6_register_dataset(spark, sf):
     path = f"{store}/datasets"
     for _ in range(2):
         for n in ["customer", "orders", "lineitem"]:
-            try:
-                catalog = spark.read.parquet(path)
-            except Exception:  # noqa: BLE001 - empty catalog
-                catalog = None
+            catalog = read_if_there(spark, path)
             append(A.register_dataset(T(spark, sf, n), catalog, n), store, "datasets")
     return spark.read.parquet(path).select("table_name", "n_rows")
 

@@ -34,7 +34,9 @@ def _step_rows(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return r.select(
         F.col("conv_id").alias("recipe"), F.col("turn").alias("step_no"),
-        F.regexp_replace("text", r"[\r\n|]", " ").alias("input"),
+        # separators, quotes and line breaks stay; half of the texts get more of them
+        F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(
+            F.concat("text", F.lit(' | "quoted|", '), "role", F.lit('\n"end'))).alias("input"),
         F.when(F.col("role") == "user", "llm_completion").when(F.col("role") == "assistant", "user_input")
         .otherwise("csv_peek").alias("action"),
         F.when(F.col("role") == "user", F.lit("{'max_length': 64}")).otherwise(F.lit("")).alias("option"),
@@ -52,7 +54,7 @@ def a2_read_sequences(spark, sf):
 
 
 A2_SQL = r"""SELECT conv_id AS recipe, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS step_no,
-  md5(trim(regexp_replace(text, '[\r\n|]', ' ', 'g'))) AS input_md5,
+  md5(trim(CASE WHEN turn % 2 = 0 THEN text ELSE text || ' | "quoted|", ' || role || chr(10) || '"end' END)) AS input_md5,
   CASE WHEN role = 'user' THEN 'llm_completion' WHEN role = 'assistant' THEN 'user_input' ELSE 'csv_peek' END AS action,
   CASE WHEN role = 'user' THEN '{''max_length'': 64}' ELSE '' END AS option,
   CASE WHEN lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL THEN 'default'
