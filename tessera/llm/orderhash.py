@@ -5,8 +5,10 @@
    hash, and keeps their order in the text. ``SKETCHES`` of them per text. Texts of Jaccard similarity 0.8 in the same order
    share one sketch with probability about 0.5, and none of 20 with less than one in a million.
 3. In every bucket (texts with one equal sketch) each member is compared with the bucket's most widely shared member.
-   Members that are not yet in one component with all others of their bucket are then compared in tiles of bounded size, so
-   every pair of a bucket is either compared or already connected, and no list of a group's pairs is made.
+   Where a bucket's members are then not all in one component, they are compared in tiles of at most about ``TILE`` texts
+   a side, large buckets that overlap as one pool: every pair of a bucket is compared or connected already, and no list of
+   a group's pairs is made. Only for a large group of texts that share sketches without being similar does that work grow
+   with the square of its size, in bounded tasks.
 4. A link needs a Jaccard similarity of the shingle sets of at least ``SIMILARITY`` and, by banded alignment, an edit
    similarity 1 - distance / longer length of at least as much (so texts in another order do not count).
 5. Groups are the connected components of the links.
@@ -32,7 +34,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 PICK = 3
-TILE = 64
+TILE = 128
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -266,6 +268,16 @@ def _node(text: str) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), 1, 32))
 
 
+def _pools(members: DataFrame) -> DataFrame:
+    """Large buckets that share members are one pool, so that a pair they share is compared once: pool, node, label, tiles."""
+    first = members.groupBy("bucket").agg(F.min("node").alias("b"))
+    found = components(members.select("bucket", F.col("node").alias("a")).join(first, "bucket").select("a", "b").distinct())
+    pooled = pin(members.select("node", F.col("label").alias("own")).distinct().join(found, "node").select(
+        F.hex("label").alias("pool"), "node", F.col("own").alias("label")), "pools")
+    sizes = pooled.groupBy("pool").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    return pooled.join(sizes, "pool").select("pool", "node", "label", "tiles")
+
+
 def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                           sketches: int = SKETCHES) -> DataFrame:
     """One row per class of equal texts: node, text_class (its least id), n_copies, group_id (least id of the group)."""
@@ -299,13 +311,17 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str
     open_ = members.groupBy("bucket").agg(
         F.first("members").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("xor"))
-    open_ = open_.where("n > 2 and low <> high").groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket")) \
-        .select("bucket", F.ceil(F.col("n") / TILE).alias("tiles"))
-    tiled = members.join(open_, "bucket").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles")))
-    tiled = tiled.withColumn("other", F.explode(F.expr("sequence(0, cast(tiles - 1 as bigint))"))).select(
-        "bucket", "node", "label", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
+    open_ = pin(open_.where("n > 2 and low <> high").groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket"))
+                .select("bucket", "n"), "open")
+    tiled = members.join(open_.where(F.col("n") <= TILE), "bucket").select(
+        F.col("bucket").cast("string").alias("pool"), "node", "label", F.lit(1).cast("bigint").alias("tiles"))
+    if open_.where(F.col("n") > TILE).head(1):
+        tiled = tiled.unionByName(_pools(members.join(open_.where(F.col("n") > TILE), "bucket")))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node", F.lit(2)), F.col("tiles"))) \
+        .withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1L)"))).select(
+        "pool", "node", "label", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
         (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    rest = tiled.join(texts, "node").groupBy("bucket", "tile_a", "tile_b").applyInArrow(
+    rest = tiled.join(texts, "node").groupBy("pool", "tile_a", "tile_b").applyInArrow(
         _tile_links(similarity), "a binary, b binary")
     rest = pin(rest, "near")
     if rest.head(1):
