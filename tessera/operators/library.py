@@ -1,10 +1,10 @@
 """Document library: hash, split, pack, ingest, embed and exact filtered top-k search.
 
 Every operator is a DataFrame -> DataFrame function. Text work is native
-(regex, ``split``, an ``aggregate`` fold for packing, explode + aggregations
-for the hashing encoder). Vector distances run in numpy inside Arrow-batched
-``mapInPandas`` / ``cogroup().applyInPandas`` tasks, on blocks Spark partitions
-and shuffles: Spark 4.1 has no vector functions, and higher-order lambdas over
+(regex, ``split``, an ``aggregate`` fold for packing); the hashing encoder counts
+buckets per row. Vector distances run in numpy inside Arrow-batched
+``mapInPandas`` tasks over the index partitions, which
+stay where they lie: Spark 4.1 has no vector functions, and higher-order lambdas over
 arrays run interpreted.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, sentences
-from tessera.session import checkpoint_root, scratch_path, ship_package
+from tessera.session import scratch_path, ship_package
 
 # Fixed values that must equal the reference's for right results.
 MAX_CHUNK_CHARS = 1024
@@ -256,22 +257,20 @@ def _slack(A, B):
 
 @dataclass
 class VectorIndex:
-    """A built search index: the chunk vectors with their cell and sub-bucket
-    (a table), plus the per-cell statistics and centroids (bounded: at most
+    """A built search index: the chunk vectors with their cell (a table), plus the per-cell statistics and centroids (bounded: at most
     ``max_cells`` entries)."""
 
-    data: DataFrame            # cid, v, cell, sub
+    data: DataFrame            # cid, v, cell, r (distance to the cell's centroid)
     centroids: "object"        # numpy array, cells x dim
     cells: "object"
     counts: "object"
     radii: "object"
-    nsub: "object"
     ctype: str
 
 
 def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey: str = "cid", cvec: str = "embedding",
-                chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
-                max_cells: int = 1024, path: str | None = None) -> VectorIndex:
+                chash: str = "content_hash", n_cells: int | None = None, max_cells: int = 1024,
+                path: str | None = None) -> VectorIndex:
     """Place every chunk (restricted to ``ids``) in the cell of its nearest centroid and write the result once.
 
     Centroids are a deterministic spread of the chunks themselves (lowest
@@ -310,7 +309,7 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
 
     path = path or scratch_path(spark, "vector-index")
     if len(cents):
-        cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double").write.parquet(path)
+        cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double").sortWithinPartitions("cell").write.parquet(path)
         placed = spark.read.parquet(path)
     else:
         placed = spark.createDataFrame([], f"cid {ctype}, v array<float>, cell int, r double")
@@ -319,128 +318,133 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
     cells = np.array(sorted(stats), dtype=int)
     counts = np.array([stats[c][0] for c in cells], dtype=np.int64)
     radii = np.array([stats[c][1] for c in cells], dtype=np.float64)
-    nsub = np.maximum(1, -(-counts // rows_per_bucket))
-    if len(cells):
-        nsub_map = F.create_map(*[x for c, m in zip(cells, nsub) for x in (F.lit(int(c)), F.lit(int(m)))])
-        placed = placed.withColumn("sub", F.pmod(F.xxhash64("cid"), nsub_map[F.col("cell")]).cast("int"))
-    else:
-        placed = placed.withColumn("sub", F.lit(0))
-    return VectorIndex(placed.drop("r"), C, cells, counts, radii, nsub, ctype)
+    return VectorIndex(placed, C, cells, counts, radii, ctype)
+
+
+QUERY_BLOCK = 4096       # query vectors that are sent to the index at a time
 
 
 def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey: str = "qid",
-                 qvec: str = "qvec", ckey: str = "cid", queries_per_part: int = 4096) -> DataFrame:
+                 qvec: str = "qvec", ckey: str = "cid", query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top-k of every query against a built index: ``qid, rank, cid, dist``.
 
-    From the per-cell counts and radii every query gets an upper bound on its
-    k-th distance, and only cells whose lower bound is within it are probed;
-    this is exact, since a chunk of a pruned cell is farther than k others.
-    Probes meet chunks in a cogroup on ``(cell, sub-bucket, query part)``, so
-    every block is bounded. In a block a matrix product ranks all pairs
-    approximately and every pair within the error bound of a query's k-th is
-    recomputed exactly (summed left to right in float64, like the SQL twin).
+    The index rows stay where they lie. Queries pass in blocks of ``query_block``
+    vectors, each sent to all index partitions; a partition keeps its k nearest
+    per query, and these few rows are merged. From the per-cell counts and radii
+    every query gets an upper bound on its k-th distance; cells that no query
+    of the block can need are not read, and of the others only rows whose
+    distance to their centroid is within the bound are compared. A matrix
+    product ranks those approximately, and every pair within the error bound of
+    a query's k-th is recomputed exactly (summed left to right in float64, like
+    the SQL twin). Unstructured vectors leave little to rule out: exact search
+    then compares a query with most rows.
     """
     import numpy as np
 
     spark = queries.sparkSession
     ship_package(spark)
-    checkpoint_root(spark)
-    # the query side is used by two jobs (count, search): written once
-    qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q")).checkpoint()
+    qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q"))
     qtype, ctype = dict(qs.dtypes)["qid"], index.ctype
-    if not len(index.cells):
+    out_type = f"qid {qtype}, cid {ctype}, dist double"
+    found, blocks = None, 0
+    rows = qs.toLocalIterator() if len(index.cells) else iter(())
+    path = scratch_path(spark, "search-hits")
+    while part := list(islice(rows, query_block)):
+        Q = np.array([r["q"] for r in part], dtype=np.float64)
+        probe = _probe_cells(Q, index, k)
+        held = spark.sparkContext.broadcast(([r["qid"] for r in part], Q, *probe))     # one block of vectors
+        cells = index.cells[probe[2].any(axis=0)]
+        hits = index.data.filter(F.col("cell").isin([int(c) for c in cells])).mapInPandas(_nearest_rows(held, k), out_type)
+        if found is not None and blocks == 1:
+            found.write.parquet(f"{path}/block=0")           # several blocks: each one's hits are written
+        if blocks:
+            hits.write.parquet(f"{path}/block={blocks}")
+        else:
+            found = hits
+        blocks += 1
+    if blocks > 1:
+        found = spark.read.parquet(path).drop("block")
+    if found is None:
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
-    C, cells, counts, radii, nsub = index.centroids, index.cells, index.counts, index.radii, index.nsub
-    nparts = max(1, -(-qs.count() // queries_per_part))
-    blocks = index.data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(nparts - 1))))
+    w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("cid"))
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
+
+
+def _probe_cells(Q, index: VectorIndex, k: int):
+    """(bound on each query's k-th distance, its distance to every centroid, which cells it needs)."""
+    import numpy as np
 
-    def probe(it):
+    err = np.sqrt(_slack(Q, index.centroids))[:, None]
+    dq = np.sqrt(_approx_sqdist(Q, index.centroids))
+    near = dq[:, index.cells]
+    lb, ub = np.maximum(near - index.radii - err, 0.0), near + index.radii + err
+    order = np.argsort(ub, axis=1, kind="stable")
+    cum = np.cumsum(index.counts[order], axis=1)
+    enough = cum[:, -1] >= k
+    tau = np.where(enough, np.take_along_axis(ub, order, 1)[np.arange(len(Q)), (cum >= k).argmax(axis=1)], np.inf)
+    tau = tau * (1 + 1e-9) + 1e-9
+    return tau, dq, lb <= tau[:, None]
+
+
+def _nearest_rows(held, k: int):
+    """The k nearest rows of an index partition for every query of a block."""
+    import numpy as np
+
+    def nearest(it):
+        qids, Q, tau, dq, _ = held.value
+        bound = tau ** 2 * (1 + 1e-9) + 1e-9
+        best = None                                            # query number, id, distance
         for pdf in it:
             if not len(pdf):
                 continue
-            Q = np.stack(pdf["q"].to_numpy()).astype(np.float64)
-            err = np.sqrt(_slack(Q, C))[:, None]
-            dq = np.sqrt(_approx_sqdist(Q, C))[:, cells]        # distance to each non-empty cell's centroid
-            lb, ub = np.maximum(dq - radii - err, 0.0), dq + radii + err
-            order = np.argsort(ub, axis=1, kind="stable")
-            cum = np.cumsum(counts[order], axis=1)
-            first = (cum >= k).argmax(axis=1)
-            enough = cum[:, -1] >= k
-            tau = np.where(enough, np.take_along_axis(ub, order, 1)[np.arange(len(Q)), first], np.inf)
-            tau = tau * (1 + 1e-9) + 1e-9
-            qi, ci = np.nonzero(lb <= tau[:, None])
-            reps = nsub[ci]
-            # 0..reps-1 for every probed (query, cell), without a Python loop
-            sub = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
-            yield pd.DataFrame({"qid": pdf["qid"].to_numpy(dtype=object)[qi],
-                                "q": pdf["q"].to_numpy(dtype=object)[qi], "tau": tau[qi],
-                                "cell": cells[ci].astype("int32"), "sub": np.asarray(sub, dtype="int32")})
-
-    probes = qs.mapInPandas(probe, f"qid {qtype}, q array<float>, tau double, cell int, sub int")
-    probes = probes.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(nparts)).cast("int"))
-
-    def block_frame(out_q, out_c, out_d):
-        # explicit dtypes: an empty column would default to float64, which Arrow
-        # turns into a chunked array when the declared type is a string
-        return pd.DataFrame({"qid": pd.Series(out_q, dtype=object), "cid": pd.Series(out_c, dtype=object),
-                             "dist": pd.Series(out_d, dtype="float64")})
-
-    def block_topk(qpdf, cpdf):
-        if not len(qpdf) or not len(cpdf):
-            return block_frame([], [], [])
-        Cv = np.stack(cpdf["v"].to_numpy()).astype(np.float64)
-        cids = cpdf["cid"].to_numpy()      # native dtype: ties break by numeric or string order
-        out_q, out_c, out_d = [], [], []
-        for s in range(0, len(qpdf), 512):                     # bounded matrix per slice
-            part = qpdf.iloc[s:s + 512]
-            Qv = np.stack(part["q"].to_numpy()).astype(np.float64)
-            qids = part["qid"].to_numpy(dtype=object)
-            bound = part["tau"].to_numpy() ** 2 * (1 + 1e-9) + 1e-9
-            approx = _approx_sqdist(Qv, Cv)
-            margin = _slack(Qv, Cv)
-            approx[approx > (bound + margin)[:, None]] = np.inf
-            kk = min(k, approx.shape[1])
-            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
-            # finite only: an entry set to inf is beyond the bound, and a query with
-            # fewer than k candidates here has an infinite k-th
-            pi, pj = np.nonzero(np.isfinite(approx) & (approx <= (kth + margin)[:, None]))
-            if not len(pi):
-                continue
-            exact = np.round(_seq_sqdist(Qv[pi], Cv[pj]), 6)
-            keep = exact <= bound[pi]
-            pi, pj, exact = pi[keep], pj[keep], exact[keep]
-            order = np.lexsort((cids[pj], exact, pi))
-            pi, pj, exact = pi[order], pj[order], exact[order]
-            start = np.searchsorted(pi, pi, side="left")
-            top = (np.arange(len(pi)) - start) < k
-            out_q.extend(qids[pi[top]].tolist())
-            out_c.extend(cids[pj[top]].tolist())
-            out_d.extend(exact[top])
-        return block_frame(out_q, out_c, out_d)
-
-    keys = ["cell", "sub", "part"]
-    pairs = probes.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
-        block_topk, f"qid {qtype}, cid {ctype}, dist double")
-    w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("cid"))
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
+            V = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            cids, cell, r = pdf["cid"].to_numpy(), pdf["cell"].to_numpy(), pdf["r"].to_numpy()
+            found = [best] if best is not None else []
+            for s in range(0, len(Q), 512):                    # bounded matrices
+                # r is widened by its error already; the same is allowed on the other side
+                gap = np.abs(dq[s:s + 512][:, cell] - r[None, :])
+                able = gap <= (tau[s:s + 512] + 2 * np.sqrt(_slack(Q[s:s + 512], V)))[:, None]
+                some = np.flatnonzero(able.any(axis=0))
+                if not len(some):
+                    continue
+                approx = _approx_sqdist(Q[s:s + 512], V[some])
+                margin = _slack(Q[s:s + 512], V[some])
+                approx[~able[:, some] | (approx > (bound[s:s + 512] + margin)[:, None])] = np.inf
+                kth = np.partition(approx, min(k, len(some)) - 1, axis=1)[:, min(k, len(some)) - 1]
+                # finite only: with fewer than k candidates the k-th is infinite
+                qi, vi = np.nonzero(np.isfinite(approx) & (approx <= (kth + margin)[:, None]))
+                exact = np.round(_seq_sqdist(Q[s + qi], V[some[vi]]), 6)
+                keep = exact <= bound[s + qi]
+                found.append((s + qi[keep], cids[some[vi[keep]]], exact[keep]))
+            if found:
+                q, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
+                order = np.lexsort((c, d, q))
+                q, c, d = q[order], c[order], d[order]
+                top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+                best = q[top], c[top], d[top]
+        if best is not None and len(best[0]):
+            # explicit dtypes: plain columns, whatever the ids are
+            yield pd.DataFrame({"qid": pd.Series([qids[i] for i in best[0]], dtype=object),
+                                "cid": pd.Series(best[1].tolist(), dtype=object), "dist": pd.Series(best[2], dtype="float64")})
+
+    return nearest
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: "DataFrame | list | None" = None,
            qkey: str = "qid", qvec: str = "qvec", ckey: str = "cid", cvec: str = "embedding",
-           chash: str = "content_hash", n_cells: int | None = None, rows_per_bucket: int = 4096,
-           queries_per_part: int = 4096, max_cells: int = 1024) -> DataFrame:
+           chash: str = "content_hash", n_cells: int | None = None, max_cells: int = 1024,
+           query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact k nearest chunks per query by squared L2, restricted to ``ids``.
 
     Result: ``qid, rank, cid, dist`` with ``dist`` rounded to 6 digits, ties by
-    id. No cross join and no all-pairs: ``build_index`` then ``search_index``
+    id: ``build_index`` then ``search_index``
     (build the index once and search it many times when queries come in
     batches). Distances are computed in numpy blocks: Spark 4.1 has no vector
     functions and higher-order lambdas run interpreted.
     """
-    index = build_index(chunks, ids, ckey, cvec, chash, n_cells, rows_per_bucket, max_cells)
-    return search_index(queries, index, k, qkey, qvec, ckey, queries_per_part)
+    index = build_index(chunks, ids, ckey, cvec, chash, n_cells, max_cells)
+    return search_index(queries, index, k, qkey, qvec, ckey, query_block)
 
 
 # D8 ------------------------------------------------------------------------

@@ -312,9 +312,15 @@ def _reuse(df, inp, ctx, **_):
 # G2 / G5 -------------------------------------------------------------------
 def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "prompt",
               log: bool = False, include_history: bool = False, order: str = "ts",
-              history_chars: int | None = None) -> DataFrame:
+              history_chars: int | None = None, memory: DataFrame | None = None,
+              reload: int | None = None) -> DataFrame:
     """Run every step over every prompt row.
 
+    With ``memory`` (a table of stored turns) each prompt is preceded by its
+    session's latest ``reload`` turns (F5), as many as fit the model's context
+    beside the prompt (F3), in time order (F2); ``store_turns`` adds the new
+    turns after the run.
+
     ``full_prompt = user_tag + prompt + assistant_tag``; a prompt over the token
     budget gets the fixed error text and its rows skip the model. Each step
     renders its template from ``full_prompt`` and the previous ``result``
@@ -327,7 +333,16 @@ def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "p
     """
     compiled = compile_chain(steps) if not isinstance(steps, list) or not steps or not isinstance(
         steps[0], Step) else steps
-    if include_history:
+    if memory is not None:
+        from tessera.operators import memory as M
+
+        turns = M.load_sessions(memory, prompts.select(*M.SESSION).distinct(), reload or M.RELOAD_LIMIT, latest=True)
+        longest = prompts.groupBy(*M.SESSION).agg(F.max_by(prompt_col, F.length(prompt_col)).alias("prompt"))
+        kept = M.sliding_memory(turns, ctx.context_size - ctx.max_length, longest, ctx.user_tag, ctx.assistant_tag)
+        df = prompts.join(M.session_history(kept).withColumnRenamed("history", "_history"), M.SESSION, "left") \
+            .withColumn("full_prompt", F.concat(F.coalesce("_history", F.lit("")), F.lit(ctx.user_tag), F.col(prompt_col),
+                                                F.lit(ctx.assistant_tag))).drop("_history")
+    elif include_history:
         # earlier prompts of the session come first; a batch stores no answers,
         # so earlier turns carry empty answers (F4 over the prompt rows), all of
         # them or the latest that fit in ``history_chars``
@@ -383,6 +398,15 @@ def commit_results(ctx: ChainContext, store_path: str) -> None:
     ctx.pending_results.clear()
 
 
+def store_turns(chain_out: DataFrame, memory_path: str, ctx: ChainContext, prompt_col: str = "prompt") -> None:
+    """F1 after a run: prompt and answer of every row that was within the budget become a turn of its session."""
+    from tessera.operators import memory as M
+
+    done = chain_out.filter(F.col("result") != TOO_LONG_MSG).select(
+        *M.SESSION, "ts", F.col(prompt_col).alias("user_prompt"), F.col("result").alias("llm_answer"))
+    M.append_turns(done, memory_path, ctx.user_tag, ctx.assistant_tag)
+
+
 # G3 ------------------------------------------------------------------------
 def last_next(steps: list[Step]) -> str:
     """The table a run leads to: ``next_df`` of the last step that executes."""

@@ -118,9 +118,10 @@ FAMILIES = {
     ),
     "T12_merge_anti": (
         ["orders", "customer"],
-        "SELECT c_custkey, c_nationkey FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey",
+        "SELECT c_custkey, c_nationkey FROM customer LEFT ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) "
+        "ON o_custkey = c_custkey",
         "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS "
-        "(SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        "(SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     ),
     "T13_merge_asof": (
         ["events"],

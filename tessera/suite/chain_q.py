@@ -7,10 +7,12 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tag_prompt
+from tessera.operators import ask as A
 from tessera.operators import complete as K
 from tessera.operators import memory as M
 from tessera.plans import chain as G
-from tessera.plans.presets import TRANSLATE_DE_ENG
+from tessera.plans.presets import PRESETS, TRANSLATE_DE_ENG
+from tessera.session import pinned, register_tables, scratch_path
 from tessera.suite.common import T
 
 FIRST6 = partial(K.edge_words_stub, 6)
@@ -154,7 +156,78 @@ K2_SQL = (f"WITH {_D_PROMPTS}, w AS (SELECT row_id, string_split('Please transla
           "SELECT row_id, md5(array_to_string(list_slice(l, greatest(len(l) - 5, 1), len(l)), ' ')) AS result_md5 "
           "FROM w")
 
+def g2_chain_with_memory(spark, sf):
+    """The last prompt of every session after a memory of its earlier turns; then its turn is stored and read back."""
+    path = scratch_path(spark, "memory")
+    pairs = M.chat_pairs(M.conversation_turns(T(spark, sf, "conversations")))
+    last = pairs.groupBy(*M.SESSION).agg(F.max("ts").alias("ts"))
+    M.append_turns(pairs.join(last, [*M.SESSION, "ts"], "left_anti"), path)
+    prompts = pairs.join(last, [*M.SESSION, "ts"]).select(
+        F.substring("session_id", 2, 20).cast("bigint").alias("row_id"), *M.SESSION, "ts", F.col("user_prompt").alias("prompt"))
+    ctx = G.ChainContext(spark, completer_factory=LAST6, context_size=1_000_000)
+    out = pinned(G.run_chain(prompts, [("{full_prompt}", "user_input", "", "next")], ctx, memory=M.read_memory(spark, path)), "answers")
+    G.store_turns(out, path, ctx)
+    return M.session_history(M.read_memory(spark, path)).select("session_id", F.md5("history").alias("history_md5"))
+
+
+#: every answer is the history before it, so the final history holds it twice; at most RELOAD_LIMIT turns are loaded
+G2_MEMORY_SQL = f"""WITH c AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, '[User]: ' || text AS q, '[Assistant]: ' || CASE WHEN nr = 'assistant' THEN nt ELSE '' END AS a,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM c WHERE role = 'user'),
+e AS (SELECT conv_id, coalesce(string_agg(q || ' ' || a || ' ', '' ORDER BY turn) FILTER (back > 1), '') AS h,
+        coalesce(string_agg(q || ' ' || a || ' ', '' ORDER BY turn) FILTER (back > 1 AND back <= {M.RELOAD_LIMIT} + 1), '') AS recent,
+        max(q) FILTER (back = 1) AS q FROM p GROUP BY conv_id)
+SELECT 's' || conv_id AS session_id, md5(h || q || ' [Assistant]: ' || recent || q || '[Assistant]:  ') AS history_md5 FROM e"""
+
+
+def e2_recall_in_chain(spark, sf):
+    """Every prompt's completion is memorized under its session; a later step of the same chain reads it back."""
+    steps = [("{full_prompt}", "llm_completion", "{}", "next"), ("{result}", "MemorizeResult", "{'stored_result_name': 'first'}", "next"),
+             ("other", "user_input", "", "next"), ("", "getMemoryResult", "{'stored_result_name': 'first'}", "next")]
+    out = G.run_chain(_prompts(spark, sf), steps, _ctx(spark))
+    return out.select("row_id", F.md5("result").alias("result_md5"))
+
+
+E2_CHAIN_SQL = f"""WITH {_D_PROMPTS}
+SELECT row_id, md5(first_value({_d_first('prompt')}) OVER (PARTITION BY user_id, session_id ORDER BY row_id)) AS result_md5 FROM p"""
+
+_GOOD, _BAD, _WORSE = ("SELECT count(*) AS n FROM lineitem", "SELECT count(l_missing) AS n FROM lineitem",
+                       "SELECT raise_error('never') AS n FROM lineitem")
+
+
+def i2_chain_repair(spark, sf):
+    """One statement per prompt: a right one, one that its repair makes right, and one that fails while it runs."""
+    register_tables(spark, sf, ["lineitem"])
+    pick = F.pmod(F.floor(F.col("row_id") / 1000), F.lit(3))
+    prompts = _prompts(spark, sf).withColumn("prompt", F.when(pick == 0, _GOOD).when(pick == 1, _BAD).otherwise(_WORSE))
+    ctx = _ctx(spark)
+    ctx.repair = lambda statement, error: statement.replace("l_missing", "*")
+    out = G.run_chain(prompts, [("{full_prompt}", "execute_df_expression", "", "next")], ctx)
+    return out.select("row_id", "result")
+
+
+I2_CHAIN_SQL = f"""SELECT conv_id * 1000 + turn AS row_id, CASE WHEN conv_id % 3 = 2 THEN '{A.FAILED_MSG}'
+  ELSE 'Executing the expression: {_GOOD} produced the following result:' || chr(10) || (SELECT count(*) FROM lineitem) END AS result
+FROM conversations WHERE role = 'user'"""
+
+
+def k2_distinct_counts(spark, sf):
+    """The distinct-count preset over the active table."""
+    T(spark, sf, "nation").select("n_regionkey", "n_nationkey").createOrReplaceTempView("df")
+    out = G.run_chain(_prompts(spark, sf), PRESETS["distinct_counts"], _ctx(spark))
+    return out.select("row_id", "result")
+
+
+K2_COUNTS_SQL = """SELECT conv_id * 1000 + turn AS row_id, '| column | distinct values |' || chr(10) || '|---|---|' || chr(10)
+  || '| n_regionkey | ' || (SELECT count(DISTINCT n_regionkey) FROM nation) || ' |' || chr(10)
+  || '| n_nationkey | ' || (SELECT count(DISTINCT n_nationkey) FROM nation) || ' |' || chr(10) AS result
+FROM conversations WHERE role = 'user'"""
+
 QUERIES = {
+    "G2_chain_with_memory": (g2_chain_with_memory, G2_MEMORY_SQL),
+    "E2_recall_in_chain": (e2_recall_in_chain, E2_CHAIN_SQL),
+    "I2_chain_repair": (i2_chain_repair, I2_CHAIN_SQL),
+    "K2_distinct_counts": (k2_distinct_counts, K2_COUNTS_SQL),
     "G2_run_chain": (g2_run_chain, G2_SQL),
     "G3_run_program": (g3_run_program, G3_SQL),
     "G4_batch_report": (g4_batch_report, G4_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, sentences
 from tessera.operators import library as L
+from tessera.session import pinned
 from tessera.suite.common import T, d_bucket, d_pack, d_sentences, d_sqdist, d_title, d_tokens
 
 
@@ -152,12 +153,8 @@ SELECT d.title, lib.content_hash FROM (SELECT {d_title()} AS title FROM document
 
 def d9_docu_search(spark, sf):
     """docu_search: benchmark items as queries over the embedded chunk library, k=5, context text."""
-    from tessera.session import checkpoint_root
-
-    checkpoint_root(spark)
-    chunks = L.chunk_documents(_library(spark, sf))
-    vecs = L.embed(chunks, "chunk_id", "text")
-    lib = chunks.join(vecs, "chunk_id").checkpoint()  # the stored library: built once, read twice
+    chunks = pinned(L.chunk_documents(_library(spark, sf)), "chunks")
+    lib = pinned(chunks.join(L.embed(chunks, "chunk_id", "text"), "chunk_id"), "library")   # read twice
     qs = L.embed(T(spark, sf, "benchmark"), "item_id", "text").select(F.col("item_id").alias("qid"),
                                                                       F.col("embedding").alias("qvec"))
     hits = L.search(qs, lib.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash"), k=5)

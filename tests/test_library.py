@@ -51,7 +51,7 @@ def test_search_exact_against_brute_force(spark):
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     qs = emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     ch = emb.select(F.col("vec_id").alias("cid"), "embedding", F.col("label").alias("content_hash"))
-    got = {(r.qid, r.rank): r.cid for r in L.search(qs, ch, k=3, n_cells=8, rows_per_bucket=16).collect()}
+    got = {(r.qid, r.rank): r.cid for r in L.search(qs, ch, k=3, n_cells=8, query_block=3).collect()}
     rows = emb.collect()
     import numpy as np
     V = np.array([r.embedding for r in rows], dtype=np.float64)
