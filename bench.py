@@ -22,10 +22,13 @@ from tessera.suite import registry  # noqa: E402
 BENCH_QUERIES = {
     "D2": "D2_pack_chunks",
     "D7": "D7_search",
+    "D9": "D9_docu_search",
     "F3": "F3_sliding_memory",
     "G2": "G2_run_chain",
+    "G2M": "G2_chain_with_memory",
     "H1": "H1_main_text",
     "H3": "H3_search_pages",
+    "L1": "L1_stream_documents",
     "T5": "T5_group_aggregate",
     "T12": "T12_merge_inner",
 }
