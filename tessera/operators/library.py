@@ -98,15 +98,18 @@ def with_title(docs: DataFrame) -> DataFrame:
 def _first_per_hash(docs: DataFrame, text_col: str, order_col: str) -> DataFrame:
     """Keep the first document (by ``order_col``) of each content hash.
 
-    ``min_by`` aggregates partially on the map side, so a hash that holds a
-    third of all rows is reduced per task before the shuffle.
+    Only (hash, order) is aggregated, with a map-side combine; the hashes that
+    occur more than once are joined back to drop their later documents, so
+    texts are sent to other tasks only where that list is too long to be sent to them.
     """
-    cols = [c for c in docs.columns]
     hashed = docs.withColumn("content_hash", content_hash(text_col))
-    first = hashed.groupBy("content_hash").agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("d")
-    )
-    return first.select("content_hash", *[F.col(f"d.{c}").alias(c) for c in cols])
+    repeated = hashed.groupBy("content_hash").agg(F.min(order_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    marked = hashed.join(repeated.withColumnRenamed("content_hash", "_hash"),
+                         F.col("content_hash").eqNullSafe(F.col("_hash")), "left")
+    once = marked.filter(F.col("_n").isNull())
+    # of rows with equal hash and order one is kept
+    first = marked.filter(F.col(order_col) == F.col("_first")).dropDuplicates(["content_hash"])
+    return once.unionByName(first).select("content_hash", *docs.columns)
 
 
 def ingest_documents(new_docs: DataFrame, library_hashes: DataFrame | None, text_col: str = "text",

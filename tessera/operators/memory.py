@@ -41,8 +41,27 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
 
 
 # F7 ------------------------------------------------------------------------
-PAIR_ROWS = 1024         # turn numbers of a part of a session
-PAIR_MICROS = 3_600_000_000   # or, by time, an hour
+PART_ROWS = 1024              # numbers of a part of a session
+PART_MICROS = 3_600_000_000   # or, by time, an hour
+
+
+def session_part(df: DataFrame, order: str):
+    """(place as a number, part) of a row in its session: parts of one session are handled by many tasks."""
+    timed = dict(df.dtypes)[order] in ("timestamp", "timestamp_ntz")
+    place = F.unix_micros(F.col(order).cast("timestamp")) if timed else F.col(order).cast("bigint")
+    return place, F.floor(place / F.lit(PART_MICROS if timed else PART_ROWS))
+
+
+def positions(df: DataFrame, order: str, keys=SESSION, into: str = "_pos") -> DataFrame:
+    """``into``: the number of earlier rows of the session by ``order``; counts of the parts before are added to places inside a part."""
+    _, part = session_part(df, order)
+    parted = df.withColumn("_part", part)
+    counts = parted.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
+    return parted.withColumn(into, inside).join(starts, [*keys, "_part"]).withColumn(into, (F.col(into) + F.col("_start")).cast("bigint")) \
+        .drop("_part", "_start")
 
 
 def chat_pairs(rows: DataFrame, seq: str | None = "turn") -> DataFrame:
@@ -51,13 +70,11 @@ def chat_pairs(rows: DataFrame, seq: str | None = "turn") -> DataFrame:
 
     The next row is the next one of the session by ``seq`` (by time without
     it), whatever lies between their numbers. A session is looked at in parts
-    of ``PAIR_ROWS`` numbers; the last row of a part is followed by the first of
+    of ``PART_ROWS`` numbers; the last row of a part is followed by the first of
     the next part that has rows, so a hot session is spread over many tasks.
     """
-    numbered = seq is not None and seq in rows.columns
-    place = F.col(seq).cast("bigint") if numbered else F.unix_micros("ts")
-    said = rows.select(*SESSION, "ts", F.col("role").alias("_role"), F.col("text").alias("_text"), place.alias("_at"),
-                       F.floor(place / F.lit(PAIR_ROWS if numbered else PAIR_MICROS)).alias("_part"))
+    place, part = session_part(rows, seq if seq is not None and seq in rows.columns else "ts")
+    said = rows.select(*SESSION, "ts", F.col("role").alias("_role"), F.col("text").alias("_text"), place.alias("_at"), part.alias("_part"))
     first = said.groupBy(*SESSION, "_part").agg(F.min_by(F.struct("_role", "_text"), F.struct("_at", "_role")).alias("_first"))
     after = first.select(*SESSION, "_part", F.lead("_first").over(Window.partitionBy(*SESSION).orderBy("_part")).alias("_after"))
     inside = F.lead(F.struct("_role", "_text")).over(Window.partitionBy(*SESSION, "_part").orderBy("_at", "_role"))

@@ -454,14 +454,16 @@ def run_program(prompts: DataFrame, catalog: dict, start: str, ctx: ChainContext
     after ``i`` routings from ``start``. The route depends only on the step
     tables, so it is computed on the driver and each table's chain runs once
     over all prompts routed to it."""
-    from pyspark.sql import Window
+    from tessera.operators.memory import positions
 
     compiled = {name: s if s and isinstance(s[0], Step) else compile_chain(s) for name, s in catalog.items()}
     walk, mu = route(compiled, start)
     lam = len(walk) - mu
-    pos = F.row_number().over(Window.partitionBy(*session).orderBy(order)) - 1
+    pos = F.col("_pos")
     idx = F.when(pos < len(walk), pos).otherwise(F.lit(mu) + F.pmod(pos - mu, F.lit(lam)))
-    routed = prompts.withColumn("table", F.element_at(F.array(*[F.lit(t) for t in walk]), idx + 1))
+    # written once: every table of the route reads its part
+    routed = pinned(positions(prompts, order, list(session)).withColumn(
+        "table", F.element_at(F.array(*[F.lit(t) for t in walk]), (idx + 1).cast("int"))).drop("_pos"), "routed")
     out = None
     for name in walk:
         part = run_chain(routed.filter(F.col("table") == name), compiled[name], ctx, prompt_col)

@@ -200,25 +200,41 @@ def j2_parse_guided(spark, sf):
 J2_SQL = (f"SELECT event_id, CASE WHEN {_d_full('props', K_RX)} THEN json_extract(props, '$.k')::BIGINT END AS k "
           "FROM events")
 
-J3_FORMATS = ("singleexpression", "urllist", "student", "news", "python_script")
+#: a text of every shipped format, built around a customer (``{k}`` key, ``{n}`` name, ``{b}`` true or false); ids 0 mod 3
+#: lose their closing brace, ids 1 mod 3 are spaced as the strict formats do not allow
+J3_TEXTS = {
+    "singleexpression": '{"df": "SELECT {k}"}',
+    "urllist": '{"Url_1": "http://a/{k}", "Url_2": "{n}", "Url_3": ""}',
+    "python_script": '{"body": "return {k}", "function_name": "f", "parameters": [{"default": "{k}", "name": "{n}", "type": "int"}], "return_type": "int"}',
+    "student": '{"age": {k}, "isStudent": {b}, "name": "{n}"}',
+    "cars": '{"age": {k}.5, "courses": ["{n}", "x"], "is_student": {b}, "name": "{n}"}',
+    "example1": '{"age": {k}, "is_active": {b}, "name": "{n}"}',
+    "news": '{"title": "{n}", "subtitle": "", "author": "{k}", "date": "d", "content": "c", "tags": [], "references": ["{n}", "r"]}',
+    "delivery": '{"tracking_number": "{k}", "status": "{n}", "weight": "1", "submitted_ts": "{b}"}',
+}
+J3_LOOSE = tuple(G.NAMED_LOOSE)
 
 
 def j3_named_formats(spark, sf):
-    c = T(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-                                             F.to_json(F.struct(F.col("text").alias("df"))).alias("out"))
-    p = T(spark, sf, "pages").select(F.col("page_id").alias("id"), F.to_json(F.struct(
-        F.col("url").alias("Url_1"), F.col("url").alias("Url_2"), F.col("url").alias("Url_3"))).alias("out"))
-    outs = c.withColumn("src", F.lit("conversation")).unionByName(p.withColumn("src", F.lit("page")))
-    checks = F.array(*[F.struct(F.lit(f).alias("fmt"), G.conforms("out", regex=G.named_regex(f)).alias("ok"))
-                       for f in J3_FORMATS])
+    """Each of the eight formats against the texts of all eight."""
+    c = T(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("n"))
+    made = []
+    for name, text in J3_TEXTS.items():
+        out = F.lit(text)
+        for mark, value in (("{k}", F.col("id").cast("string")), ("{n}", F.col("n")), ("{b}", (F.col("id") % 2 == 0).cast("string"))):
+            out = F.replace(out, F.lit(mark), value)
+        out = F.when(F.col("id") % 3 == 0, F.left(out, F.length(out) - 1)).when(F.col("id") % 3 == 1, F.replace(out, F.lit('": '), F.lit('":  '))) \
+            .otherwise(out)
+        made.append(F.struct(F.lit(name).alias("src"), out.alias("out")))
+    checks = F.array(*[F.struct(F.lit(f).alias("fmt"), G.conforms("out", regex=G.named_regex(f)).alias("ok")) for f in J3_TEXTS])
+    outs = c.select("id", F.inline(F.array(*made)))
     return outs.select("src", "id", F.inline(checks))
 
 
-J3_SQL = ("WITH o AS (SELECT 'conversation' AS src, conv_id * 1000 + turn AS id, json_object('df', text)::VARCHAR AS out "
-          "FROM conversations UNION ALL SELECT 'page', page_id, "
-          "json_object('Url_1', url, 'Url_2', url, 'Url_3', url)::VARCHAR FROM pages) "
-          + " UNION ALL ".join(f"SELECT src, id, '{f}' AS fmt, {_d_full('out', G.named_regex(f, 're2'))} AS ok FROM o"
-                               for f in J3_FORMATS))
+#: a whole text follows its own format only; the loose ones take any spaces
+J3_SQL = f"""SELECT s.src, c_custkey AS id, f.fmt, s.src = f.fmt AND c_custkey % 3 <> 0
+  AND (c_custkey % 3 = 2 OR s.src IN ({", ".join(f"'{x}'" for x in J3_LOOSE)})) AS ok
+FROM customer, (SELECT unnest([{", ".join(f"'{x}'" for x in J3_TEXTS)}]) AS src) s, (SELECT unnest([{", ".join(f"'{x}'" for x in J3_TEXTS)}]) AS fmt) f"""
 
 
 def j4_conformance_stats(spark, sf):
