@@ -19,6 +19,10 @@ from tessera.session import read_if_there
 # Fixed values that must equal the reference's for right results.
 FAILED_MSG = "Failed to process your request in a valid expression after several attempts."
 PEEK_ROWS = 5
+REPORT_TEXT = ("Executing the expression: {statement} saved as {name} produced the following table:\n"
+               "\nDataframe {n} first rows\n{table}\n\n\nNumber of Records: {records}\n")
+PEEK_TEXT = ("The uploaded table contains : {records} records.\n "
+             "Here follows the headers and first 4 rows :\n{table}")
 MAX_ATTEMPTS = 2
 VALUE_CHARS = 2000      # a value's text in a report; tables are not cut
 RECIPE_DESCRIPTION = "description: "
@@ -161,8 +165,7 @@ def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS) -> dict
     counts = {r["column_name"]: r["n_distinct"] for r in nunique(df).collect()}
     n_records = df.count()
     table = markdown_table(df.columns, [list(r.values()) for r in rows])
-    text = (f"Executing the expression: {statement} saved as {name} produced the following table:\n"
-            f"\nDataframe {n} first rows\n{table}\n\n\nNumber of Records: {n_records}\n")
+    text = REPORT_TEXT.format(statement=statement, name=name, n=n, table=table, records=n_records)
     return {"statement": statement, "name": name, "n_records": n_records, "head": rows, "nunique": counts,
             "text": text}
 

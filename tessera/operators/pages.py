@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.html import TAG, focus_nodes, joined_text
 from tessera.functions.text import is_valid_json, is_valid_url, strip_ws
+from tessera.session import pinned
 
 # Fixed values that must equal the reference's for right results.
 WEB_TEXT_CHARS = 7500
@@ -95,22 +96,28 @@ def _words(c) -> Column:
     return F.array_remove(F.split(F.lower(c), WORD_SPLIT), "")
 
 
+SEED_WORDS = 4           # rarest words of a query that give the first bound
+
+
 @dataclass
 class PageIndex:
-    """A built page index: postings ``(page_id, tok, dl, tf)`` and page rows
-    ``(page_id, url, title, body)`` as tables, plus the two corpus
-    statistics BM25 needs. Document frequencies are taken at search time from
-    the postings of the query words only, so adding pages means appending
-    postings and updating two numbers."""
+    """A built page index: postings ``(page_id, tok, dl, tf)``, words ``(tok,
+    df, top)`` with the largest term weight of each, and page rows ``(page_id,
+    url, title, body)`` as tables, plus the two corpus statistics BM25 needs."""
 
     postings: DataFrame
+    words: DataFrame
     meta: DataFrame
     n: int
     avgdl: float
 
 
+def _term_weight(avgdl: float) -> Column:
+    return F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(avgdl)))
+
+
 def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
-    """Postings and page rows of a crawl, written once (under the shared
+    """Postings, words and page rows of a crawl, written once (under the shared
     checkpoint folder unless ``path`` is given) and reused by every search."""
     from tessera.session import scratch_path
 
@@ -122,36 +129,55 @@ def build_page_index(pages: DataFrame, path: str | None = None) -> PageIndex:
     docs = spark.read.parquet(f"{path}/meta")
     words = docs.select("page_id", _words("body").alias("w"))
     toks = words.select("page_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("tok"))
-    toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf")).write.parquet(f"{path}/postings")
+    # sorted by word inside the files, so that a search skips row groups of other words
+    toks.groupBy("page_id", "tok", "dl").agg(F.count("*").alias("tf")).sortWithinPartitions("tok").write.parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     # corpus statistics per document (a page is one row however many words it has);
     # the distinct is combined map-side, so about one row per page is shuffled
     per_page = postings.select("page_id", "dl").distinct()
     stats = per_page.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = int(stats["n"] or 0), float(stats["avgdl"] or 0.0)
+    postings.groupBy("tok").agg(F.count("*").alias("df"), F.max(_term_weight(avgdl)).alias("top")).write.parquet(f"{path}/words")
     # bodies are read only for the few rows a search returns
-    return PageIndex(postings, docs, n, avgdl)
+    return PageIndex(postings, spark.read.parquet(f"{path}/words"), docs, n, avgdl)
 
 
 def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", qtext: str = "query",
                       k: int = SEARCH_K) -> DataFrame:
     """BM25 top-``k`` pages per query: ``qid, rank, page_id, url, title, body, score``.
 
-    Query words join the postings on the word (an equi-join; AQE splits a hot
-    word's posting list), scores are summed per (query, page) and the top k
-    kept per query with ``row_number`` (WindowGroupLimit runs before the
-    shuffle too). Ties go to the lower page id.
+    Exact, without scoring every page that shares a word with a query. The
+    rarest words of a query give its k-th best partial score, a bound on the
+    final one. Its most common words, as many as cannot reach that bound
+    together, need not bring pages in: pages come from the other words, those
+    that cannot reach the bound are dropped, and only the rest are looked up in
+    the common words' postings. Ties go to the lower page id.
     """
-    qt = queries.select(qkey, F.explode(F.array_distinct(_words(qtext))).alias("tok"))
-    # postings of the query words only (the word list is the small side of the semi-join)
-    post = index.postings.join(qt.select("tok").distinct(), "tok", "left_semi")
-    idf = post.groupBy("tok").agg(F.count("*").alias("df")).select(
-        "tok", F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scored = qt.join(idf, "tok").join(post, "tok").select(
-        qkey, "page_id",
-        (F.col("idf") * F.col("tf") * (BM25_K1 + 1)
-         / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(index.avgdl)))).alias("s"))
-    per_page = scored.groupBy(qkey, "page_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = queries.select(qkey, F.explode(F.array_distinct(_words(qtext))).alias("tok")).join(index.words, "tok")
+    asked = asked.withColumn("idf", idf).withColumn("most", F.col("idf") * F.col("top")) \
+        .withColumn("nth", F.row_number().over(Window.partitionBy(qkey).orderBy("df", "tok")))
+    asked = pinned(asked.select(qkey, "tok", "idf", "most", "nth"), "asked")
+    weight = F.col("idf") * _term_weight(index.avgdl)
+
+    def scored(words: DataFrame) -> DataFrame:
+        return words.join(index.postings, "tok").groupBy(qkey, "page_id").agg(F.sum(weight).alias("s"))
+
+    best = Window.partitionBy(qkey).orderBy(F.col("s").desc())
+    seeds = scored(asked.filter(F.col("nth") <= SEED_WORDS)).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    bound = seeds.groupBy(qkey).agg(F.when(F.count("*") == k, F.min("s")).otherwise(F.lit(0.0)).alias("bound"))
+    # the margin keeps pages whose rounded scores tie
+    rising = Window.partitionBy(qkey).orderBy("most", "tok").rowsBetween(Window.unboundedPreceding, 0)
+    split = asked.join(bound, qkey, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)) - 2e-6) \
+        .withColumn("common", F.sum("most").over(rising) < F.col("bound"))
+    split = pinned(split, "split")
+    rest = split.filter("common").groupBy(qkey).agg(F.sum("most").alias("rest"))
+    limits = split.groupBy(qkey).agg(F.first("bound").alias("bound")).join(rest, qkey, "left").fillna(0.0, ["rest"])
+    able = pinned(scored(split.filter(~F.col("common"))).join(limits, qkey).filter(F.col("s") + F.col("rest") >= F.col("bound"))
+                  .select(qkey, "page_id", "s"), "candidates")
+    late = able.select(qkey, "page_id").join(split.filter("common").select(qkey, "tok", "idf"), qkey) \
+        .join(index.postings, ["tok", "page_id"]).select(qkey, "page_id", weight.alias("s"))
+    per_page = able.unionByName(late).groupBy(qkey, "page_id").agg(F.round(F.sum("s"), 6).alias("score"))
     w = Window.partitionBy(qkey).orderBy(F.col("score").desc(), F.col("page_id"))
     top = per_page.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.join(index.meta, "page_id").select(qkey, "rank", "page_id", "url", "title", "body", "score")

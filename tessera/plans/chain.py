@@ -247,8 +247,7 @@ def _csv_peek(df, inp, ctx, **_):
     n = head.select("n_records").first()
     rows = head.drop("n_records").collect()
     table = A.markdown_table(view.columns, rows)
-    text = (f"The uploaded table contains : {n[0] if n else 0} records.\n "
-            f"Here follows the headers and first 4 rows :\n{table}")
+    text = A.PEEK_TEXT.format(records=n[0] if n else 0, table=table)
     return df.withColumn("result", F.lit(text))
 
 
