@@ -96,7 +96,7 @@ def _words(c) -> Column:
     return F.array_remove(F.split(F.lower(c), WORD_SPLIT), "")
 
 
-SEED_WORDS = 4           # rarest words of a query that give the first bound
+SEED_POSTINGS = 4000     # postings of a query's rarest words that give the first bound, about
 
 
 @dataclass
@@ -156,15 +156,15 @@ def search_page_index(queries: DataFrame, index: PageIndex, qkey: str = "qid", q
     idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = queries.select(qkey, F.explode(F.array_distinct(_words(qtext))).alias("tok")).join(index.words, "tok")
     asked = asked.withColumn("idf", idf).withColumn("most", F.col("idf") * F.col("top")) \
-        .withColumn("nth", F.row_number().over(Window.partitionBy(qkey).orderBy("df", "tok")))
-    asked = pinned(asked.select(qkey, "tok", "idf", "most", "nth"), "asked")
+        .withColumn("earlier", F.sum("df").over(Window.partitionBy(qkey).orderBy("df", "tok")) - F.col("df"))
+    asked = pinned(asked.select(qkey, "tok", "idf", "most", "earlier"), "asked")
     weight = F.col("idf") * _term_weight(index.avgdl)
 
     def scored(words: DataFrame) -> DataFrame:
         return words.join(index.postings, "tok").groupBy(qkey, "page_id").agg(F.sum(weight).alias("s"))
 
     best = Window.partitionBy(qkey).orderBy(F.col("s").desc())
-    seeds = scored(asked.filter(F.col("nth") <= SEED_WORDS)).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+    seeds = scored(asked.filter(F.col("earlier") < SEED_POSTINGS)).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
     bound = seeds.groupBy(qkey).agg(F.when(F.count("*") == k, F.min("s")).otherwise(F.lit(0.0)).alias("bound"))
     # the margin keeps pages whose rounded scores tie
     rising = Window.partitionBy(qkey).orderBy("most", "tok").rowsBetween(Window.unboundedPreceding, 0)
