@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import html.entities
 import json
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: a tag with its attributes, where quoted values may hold ``>``
-TAG = r"""<[/!?]?[A-Za-z](?:[^"'>]|"[^"]*"|'[^']*')*+>"""
+#: a tag: its sign, name and attributes, where quoted values may hold ``>``
+_TAG = r"""<({sign}[/!?]?)({name}[A-Za-z][A-Za-z0-9:-]*+)({rest}[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+)>"""
+TAG_PARTS = _TAG.format(sign="", name="", rest="")
+TAG = _TAG.format(sign="?:", name="?:", rest="?:")
 #: comments, and elements whose content is no text
 NON_TEXT = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
-_CLASS = r"""(?is)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_CLASS = r"""(?is)(?:^|\s)class\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: elements without content, fixed by HTML
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
@@ -47,20 +50,32 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
-def _tag(raw: Column, dropped_tags, dropped_classes, article: str, main_tag: str, main_class: str) -> Column:
-    """What the fold needs of a tag: name, step (1 opens, -1 closes, 0 neither), and whether it starts a region."""
-    name = F.lower(F.regexp_extract(raw, r"^<[/!?]?([A-Za-z][A-Za-z0-9:-]*)", 1))
-    closes = F.startswith(raw, F.lit("</"))
-    opens = ~closes & ~F.startswith(raw, F.lit("<!")) & ~F.startswith(raw, F.lit("<?")) & ~F.endswith(raw, F.lit("/>")) & ~name.isin(*VOID)
-    given = F.concat(*[F.regexp_extract(raw, _CLASS, i) for i in (1, 2, 3)])
-    classes = F.split(given, r"\s+")
-    has = lambda *wanted: F.arrays_overlap(classes, F.array(*map(F.lit, wanted)))
-    return F.struct(name.alias("name"), F.when(closes, -1).when(opens, 1).otherwise(0).alias("step"),
-                    (opens & (name.isin(*dropped_tags) | has(*dropped_classes))).alias("drop"),
-                    (opens & (name == article)).alias("article"), (opens & (name == main_tag) & has(main_class)).alias("main"))
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-_STATE = ("struct<i:int,name:string,depth:int,start:int,dropped:array<struct<a:int,b:int>>,"
+def _tag(t: Column, dropped_tags, dropped_classes, article: str, main_tag: str, main_class: str) -> Column:
+    """What the fold needs of a tag: its number, name, step (1 opens, -1 closes, 0 neither), and whether it starts a region."""
+    name = t["name"]
+    opens = (t["sign"] == "") & ~F.endswith(t["rest"], F.lit("/")) & ~name.isin(*VOID)
+    given = F.when(opens & _may_have(t["rest"], (*dropped_classes, main_class)), F.btrim(F.regexp_extract(t["rest"], _CLASS, 1), F.lit("\"'")))
+
+    def struct(classes: Column) -> Column:
+        has = lambda *wanted: F.coalesce(F.arrays_overlap(classes, F.array(*map(F.lit, wanted))), F.lit(False))
+        return F.struct(t["i"].alias("i"), name.alias("name"), F.when(t["sign"] == "/", -1).when(opens, 1).otherwise(0).alias("step"),
+                        (opens & (name.isin(*dropped_tags) | has(*dropped_classes))).alias("drop"),
+                        (opens & (name == article)).alias("article"), (opens & (name == main_tag) & has(main_class)).alias("main"))
+
+    return _bind(F.split(given, r"\s+"), struct)
+
+
+def _may_have(attributes: Column, names) -> Column:
+    """A quick look whether any of the names occurs at all."""
+    return reduce(lambda a, b: a | b, [F.contains(attributes, F.lit(n)) for n in names])
+
+
+_STATE = ("struct<name:string,depth:int,start:int,dropped:array<struct<a:int,b:int>>,"
           "a_depth:int,a_start:int,a_end:int,m_depth:int,m_start:int,m_end:int>")
 
 
@@ -70,8 +85,8 @@ def _follow(s: Column, t: Column, key: str, opens: Column, name: str) -> list[Co
     begin = (depth == 0) & start.isNull() & opens
     inner = (depth > 0) & (t["name"] == name)
     next_ = F.when(begin, 1).when(inner, depth + t["step"]).otherwise(depth)
-    return [next_.alias(f"{key}_depth"), F.when(begin, s["i"]).otherwise(start).alias(f"{key}_start"),
-            F.when(inner & (next_ == 0), s["i"]).otherwise(end).alias(f"{key}_end")]
+    return [next_.alias(f"{key}_depth"), F.when(begin, t["i"]).otherwise(start).alias(f"{key}_start"),
+            F.when(inner & (next_ == 0), t["i"]).otherwise(end).alias(f"{key}_end")]
 
 
 def focus_nodes(page: Column, dropped_tags, dropped_classes, article: str, main_tag: str, main_class: str) -> Column:
@@ -79,10 +94,9 @@ def focus_nodes(page: Column, dropped_tags, dropped_classes, article: str, main_
     dropped elements."""
     clean = F.regexp_replace(page, NON_TEXT, "")
     texts = F.split(clean, TAG)
-    tags = F.transform(F.regexp_extract_all(clean, F.lit(TAG), F.lit(0)),
-                       lambda raw: _tag(raw, dropped_tags, dropped_classes, article, main_tag, main_class))
+    parts = [F.regexp_extract_all(clean, F.lit(TAG_PARTS), F.lit(i)) for i in (1, 2, 3)]
     none = F.lit(None).cast("int")
-    zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("start"),
+    zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("start"),
                     F.array().cast("array<struct<a:int,b:int>>").alias("dropped"), F.lit(0).alias("a_depth"), none.alias("a_start"),
                     none.alias("a_end"), F.lit(0).alias("m_depth"), none.alias("m_start"), none.alias("m_end")).cast(_STATE)
 
@@ -91,28 +105,39 @@ def focus_nodes(page: Column, dropped_tags, dropped_classes, article: str, main_
         begin = ~inside & t["drop"]
         depth = F.when(begin, 1).when(inside & (t["name"] == s["name"]), s["depth"] + t["step"]).otherwise(s["depth"])
         ended = inside & (depth == 0)
-        region = F.struct((s["start"] + 1).alias("a"), s["i"].alias("b"))
+        region = F.struct((s["start"] + 1).alias("a"), t["i"].alias("b"))
         outside = ~inside & ~begin                         # what a dropped element holds is not looked at
         kept = [F.when(outside, new).otherwise(s[old]).alias(old)
                 for key, name in (("a", article), ("m", main_tag))
                 for new, old in zip(_follow(s, t, key, t["article" if key == "a" else "main"], name),
                                     (f"{key}_depth", f"{key}_start", f"{key}_end"))]
-        return F.struct((s["i"] + 1).alias("i"), F.when(begin, t["name"]).otherwise(s["name"]).alias("name"), depth.alias("depth"),
-                        F.when(begin, s["i"]).otherwise(s["start"]).alias("start"),
+        return F.struct(F.when(begin, t["name"]).otherwise(s["name"]).alias("name"), depth.alias("depth"),
+                        F.when(begin, t["i"]).otherwise(s["start"]).alias("start"),
                         F.when(ended, F.array_append(s["dropped"], region)).otherwise(s["dropped"]).alias("dropped"), *kept).cast(_STATE)
 
-    def finish(s: Column) -> Column:
-        last = s["i"]
-        open_ = F.array_append(s["dropped"], F.struct((s["start"] + 1).alias("a"), last.alias("b")))
-        first = F.coalesce(s["a_start"], s["m_start"], F.lit(-1)) + 1
-        end = F.when(s["a_start"].isNotNull(), s["a_end"]).when(s["m_start"].isNotNull(), s["m_end"])
-        return F.struct(F.when(s["depth"] > 0, open_).otherwise(s["dropped"]).alias("dropped"), first.alias("first"),
-                        F.coalesce(end, last).alias("last"))
-
-    found = F.aggregate(tags, zero, step, finish)
-    # the fold's result is one value beside the texts; the filter sees it through a one-element array
-    return F.element_at(F.transform(F.array(found), lambda f: F.filter(
-        texts, lambda _, i: (i >= f["first"]) & (i <= f["last"]) & ~F.exists(f["dropped"], lambda r: (i >= r["a"]) & (i <= r["b"])))), 1)
+    def kept(page: Column) -> Column:
+        texts, last = page["texts"], F.size(page["texts"]) - 1
+        # only tags of names that can begin or end a region are followed
+        marked = F.filter(F.transform(page["names"], lambda n, i: F.when(_may_have(page["rests"][i], dropped_classes), n)), lambda n: n.isNotNull())
+        names = F.array_union(F.array(*map(F.lit, sorted({*dropped_tags, article, main_tag}))), F.transform(marked, F.lower))
+
+        def follow(wanted: Column) -> Column:
+            tags = F.transform(page["names"], lambda n, i: F.struct(i.alias("i"), F.lower(n).alias("name"), page["signs"][i].alias("sign"),
+                                                                    page["rests"][i].alias("rest")))
+            return F.transform(F.filter(tags, lambda t: F.array_contains(wanted, t["name"])),
+                               lambda t: _tag(t, dropped_tags, dropped_classes, article, main_tag, main_class))
+
+        def finish(s: Column) -> Column:
+            open_ = F.array_append(s["dropped"], F.struct((s["start"] + 1).alias("a"), last.alias("b")))
+            first = F.coalesce(s["a_start"], s["m_start"], F.lit(-1)) + 1
+            end = F.when(s["a_start"].isNotNull(), s["a_end"]).when(s["m_start"].isNotNull(), s["m_end"])
+            return F.struct(F.when(s["depth"] > 0, open_).otherwise(s["dropped"]).alias("dropped"), first.alias("first"),
+                            F.coalesce(end, last).alias("last"))
+
+        return _bind(F.aggregate(_bind(names, follow), zero, step, finish), lambda f: F.filter(
+            texts, lambda _, i: (i >= f["first"]) & (i <= f["last"]) & ~F.exists(f["dropped"], lambda r: (i >= r["a"]) & (i <= r["b"]))))
+
+    return _bind(F.struct(texts.alias("texts"), *[p.alias(n) for p, n in zip(parts, ("signs", "names", "rests"))]), kept)
 
 
 def joined_text(nodes: Column) -> Column:

@@ -49,6 +49,33 @@ def test_nested_blocks(spark):
     assert text(spark, nav) == "kept"
 
 
+def test_what_real_pages_do(spark):
+    cases = {
+        '<p class="no-sidebar">kept</p>': "kept",
+        '<div class="main-content-wrapper">a<div class="main-content">b</div></div>': "b",
+        "<body><div class='sidebar'>x</div>kept</body>": "kept",
+        '<header class="sidebar">x</header><p>kept</p>': "kept",
+        "<p>it&#8217;s &eacute;t&#xE9; &nosuch; &amp;lt;</p>": "it’s été &nosuch; &lt;",
+        "<div>out</div>" + "<div>" * 5 + '<div class="a main-content b">' + "<div>" * 5 + "in" + "</div>" * 5 + "</div>" + "</div>" * 5 + "<div>out2</div>": "in",
+        '<div class="sidebar">' + "<div>" * 9 + "x" + "</div>" * 9 + "</div>kept": "kept",
+        '<p title="a > b" class=sidebar>x</p>kept<br class="sidebar">too': "kepttoo",
+        "<ARTICLE>a<NAV>x<nav>y</nav>z</NAV>b</ARTICLE>c": "ab",
+        "kept<!-- <p>x</p> --><script>if (a < b) {}</script><footer>never closed <p>x</p>": "kept",
+        "<article>one</article><article>two</article>": "one", "<article>": "", "": "", "1 < 2 > 0": "1 < 2 > 0",
+    }
+    df = spark.createDataFrame(list(cases.items()), "h string, want string")
+    for r in df.select("h", "want", P.main_text("h").alias("got")).collect():
+        assert r["got"] == r["want"], r["h"]
+
+
+def test_long_pages_are_indexed_whole(spark):
+    body = "filler " * 3000 + "needle"
+    pages = spark.createDataFrame([(1, "http://a.example/", f"<p>{body}</p>"), (2, "http://b.example/", "<p>other</p>")],
+                                  "page_id long, url string, html string")
+    hits = P.search_pages(spark.createDataFrame([(7, "needle")], "qid int, query string"), pages).collect()
+    assert [(h.page_id, h.body) for h in hits] == [(1, body)]
+
+
 def test_page_index_statistics_per_document(spark):
     pages = spark.createDataFrame([(1, "http://a.example/", "<article>x x x x</article>"),
                                    (2, "http://b.example/", "<article>a b</article>"),
