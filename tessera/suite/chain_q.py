@@ -211,6 +211,25 @@ I2_CHAIN_SQL = f"""SELECT conv_id * 1000 + turn AS row_id, CASE WHEN conv_id % 3
 FROM conversations WHERE role = 'user'"""
 
 
+_TABLE = "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag"
+
+
+def i3_report_text(spark, sf):
+    """The whole report of a saved table, for every region's prompt."""
+    register_tables(spark, sf, ["lineitem"])
+    prompts = T(spark, sf, "region").select(F.col("r_regionkey").alias("row_id"), F.lit("u").alias("user_id"), F.col("r_name").alias("session_id"),
+                                            F.lit(_TABLE).alias("prompt"))
+    out = G.run_chain(prompts, [("{full_prompt}", "execute_df_expression", "", "next")], _ctx(spark))
+    return out.select("row_id", "result")
+
+
+I3_TEXT_SQL = f"""WITH t AS ({_TABLE}) SELECT r_regionkey AS row_id,
+  'Executing the expression: {_TABLE} saved as last_result produced the following table:' || chr(10) || chr(10) || 'Dataframe 5 first rows'
+  || chr(10) || '| l_returnflag | n |' || chr(10) || '|---|---|' || chr(10)
+  || (SELECT string_agg('| ' || l_returnflag || ' | ' || n || ' |' || chr(10), '' ORDER BY l_returnflag) FROM t)
+  || repeat(chr(10), 3) || 'Number of Records: ' || (SELECT count(*) FROM t) || chr(10) AS result FROM region"""
+
+
 def k2_distinct_counts(spark, sf):
     """The distinct-count preset over the active table."""
     T(spark, sf, "nation").select("n_regionkey", "n_nationkey").createOrReplaceTempView("df")
@@ -227,6 +246,7 @@ QUERIES = {
     "G2_chain_with_memory": (g2_chain_with_memory, G2_MEMORY_SQL),
     "E2_recall_in_chain": (e2_recall_in_chain, E2_CHAIN_SQL),
     "I2_chain_repair": (i2_chain_repair, I2_CHAIN_SQL),
+    "I3_report_text": (i3_report_text, I3_TEXT_SQL),
     "K2_distinct_counts": (k2_distinct_counts, K2_COUNTS_SQL),
     "G2_run_chain": (g2_run_chain, G2_SQL),
     "G3_run_program": (g3_run_program, G3_SQL),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import URL_PATTERN
 from tessera.operators import pages as P
+from tessera.plans import chain as G
 from tessera.suite.common import T
 
 
@@ -163,7 +164,36 @@ SELECT qid, md5(string_agg('Note' || rank || ': ' || title || chr(10) || body ||
                 ORDER BY rank)) AS notes_md5
 FROM top JOIN meta USING (page_id) GROUP BY qid"""
 
+def _note_reader():
+    """A stand-in model: the address in the first note as JSON, else the first eight words."""
+    import json
+    import re
+
+    def complete(prompts, **options):
+        found = [re.search(r"\n(https?://\S+)\n(?=Note2:|\Z)", p) if p.startswith("Note1:") else None for p in prompts]
+        return [json.dumps({"Url_1": m[1]}) if m else " ".join(p.split(" ")[:8]) for m, p in zip(found, prompts)]
+
+    return complete
+
+
+def g2_chain_search_fetch(spark, sf):
+    """Complete, search with the completion, pick an address by the model, fetch the page: for every benchmark text."""
+    prompts = T(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.lit("u").alias("user_id"),
+                                               F.col("item_id").cast("string").alias("session_id"), F.col("text").alias("prompt"))
+    ctx = G.ChainContext(spark, completer_factory=_note_reader, context_size=10_000_000, user_tag="", assistant_tag="",
+                         pages=T(spark, sf, "pages"))
+    steps = [("{full_prompt}", "llm_completion", "{}", "next"), ("{result}", "internet_search", "", "next"),
+             ("{result}", "llm_completion", "{}", "next"), ("{result}", "getwebpage", "", "next")]
+    return G.run_chain(prompts, steps, ctx).select("row_id", F.md5("result").alias("result_md5"))
+
+
+_D_EIGHT = D_BM25.replace("FROM benchmark)", "FROM (SELECT item_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark))")
+G2_FETCH_SQL = f"""WITH {_D_EIGHT}
+SELECT item_id AS row_id, md5(coalesce(substr(mt.text, 1, {P.WEB_TEXT_CHARS}), '{_q(P.INVALID_URL_MSG)}')) AS result_md5
+FROM benchmark LEFT JOIN (SELECT * FROM top WHERE rank = 1) t ON t.qid = item_id LEFT JOIN mt USING (page_id)"""
+
 QUERIES = {
+    "G2_chain_search_fetch": (g2_chain_search_fetch, G2_FETCH_SQL),
     "H1_main_text": (h1_main_text, H1_SQL),
     "H1_variants": (h1_variants, H1_VARIANTS_SQL),
     "H2_first_page": (h2_first_page, H2_SQL),
