@@ -10,7 +10,8 @@ A run of lines is repeated if the same lines come earlier (by id, then as read,
 line; how long that is depends on the lines alone, so equal shortest runs have equal lengths. Two blocks of one level that
 cover it name it. A line is deleted iff a repeated run holds it. Rounds go no further than the longest shortest run.
 
-Null and empty texts have no lines and stay as they are. A null id sorts first. Repeated rows are documents of their own.
+The documents are read twice, for their lines and for the result, so they should be a stored table (rows in the same order
+each time). Null and empty texts have no lines and stay as they are. A null id sorts first. Repeated rows are documents of their own.
 """
 
 from __future__ import annotations
