@@ -29,7 +29,7 @@ BLOCK_TOKENS = 1 << 18
 SEED = 17
 CUTS = 32
 ROUNDS = 6
-_RANGE_ROWS = 2000       # rows of a source that share a hash range, about
+_RANGE_ROWS = 500        # rows of a source that share a hash range, about
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -116,7 +116,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text
     plan, weights = mixing_plan(docs, id_column, source, text, seed=seed, **limits)
     last = plan.groupBy("source").agg(F.max(F.struct("epoch", "key")).alias("last"))
     source_key, epoch, cut = free_name(docs, "_source"), free_name(docs, "_epoch"), free_name(docs, "_last")
-    cuts = last.select(F.col("source").alias(source_key), F.col("last").alias(cut))
+    # written first, so that the join knows its size: one row for each source is sent to the texts while that is small
+    cuts = pin(last.select(F.col("source").alias(source_key), F.col("last").alias(cut)), "cuts")
     tagged = docs.withColumn(source_key, F.coalesce(F.col(source).cast("string"), F.lit("")))
     copies = tagged.join(cuts, source_key).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(cut)["epoch"])))
     key = _hashed(F.lit(seed), F.col(epoch), F.col(id_column))
