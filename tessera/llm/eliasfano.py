@@ -24,8 +24,10 @@ def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """The low ``width`` bits of each value, one after another, as bytes (eight spare ones at the end)."""
     if not width or not len(values):
         return np.zeros(8, np.uint8)
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & _ONE).astype(np.uint8)
-    return np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
+    places, step = np.arange(width, dtype=np.uint64), 1 << 16      # steps end at whole bytes
+    parts = [np.packbits(((values[i:i + step, None] >> places) & _ONE).astype(np.uint8).ravel(), bitorder="little")
+             for i in range(0, len(values), step)]
+    return np.concatenate([*parts, np.zeros(8, np.uint8)])
 
 
 def unpack_at(packed: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
@@ -51,7 +53,7 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        width = max(0, (top // max(n, 1)).bit_length() - 1)
+        width = min(56, max(0, (top // max(n, 1)).bit_length() - 1))
         buckets = (values >> np.uint64(width)).astype(np.int64)
         size = n + (int(buckets[-1]) if n else 0) + 2            # a zero ends every bucket
         words = np.zeros(-(-size // 64) * 64, np.uint8)

@@ -250,6 +250,44 @@ def test_trie_scores_equal_plain_counts(spark, sizes):
                    for r in got) == want
 
 
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 500, "shard_entries": 60}])
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_tries_equal_plain_counts_and_score_other_texts(spark, sizes, order):
+    given = rows() + [row(3000 + i, prose(i % 17, 30)) for i in range(60)]
+    docs = spark.createDataFrame(given, SCHEMA).repartition(3)
+    scores, folder = trielm.train_trie(docs, mod_crc32("doc_id", 7) == 2, order=order, **sizes)
+    grams = Counter()
+    for d, t, *_ in given:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
+            w = ["\0", *words(t), "\0"]
+            grams.update((x,) for x in w[1:])
+            grams.update(tuple(w[i:i + k]) for k in range(2, order + 1) for i in range(len(w) - k + 1))
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+    once, twice = sum(x == 1 for x in one.values()), sum(x == 2 for x in one.values())
+    d1 = min(max(once / (once + 2 * twice), 0.1), 0.9)
+
+    def probability(context, x):
+        if not context:
+            return (one[x] - d1) / n if x in one else d1 * v / n
+        both, c = grams[(*context, x)], grams[context]
+        code = math.ceil(round(-math.log10(both / (c + trielm.MU)) / trielm._STEP, 9)) if both else None
+        return (10 ** (-code * trielm._STEP) if both else 0) + trielm.MU / (c + trielm.MU) * probability(context[1:], x)
+
+    def plain(t):
+        w, score = ["\0", *words(t), "\0"], 0.0
+        for i in range(1, len(w)):
+            score += math.log10(probability(tuple(w[max(0, i - order + 1):i]), w[i]))
+        return round(score, 3)
+
+    got = Counter((r["doc_id"], round(r["score"], 3)) for r in scores.collect())
+    assert got == Counter((d, plain(t)) for d, t, *_ in given)
+    other = [(i, f"{prose(i % 5, 25)} never seen {prose(40 + i, 9)}") for i in range(9)] + [(None, None), (3, given[0][1])]
+    got = trielm.stored_scores(spark.createDataFrame(other, "doc_id bigint, text string"), folder, chunk_bytes=300).collect()
+    assert Counter((r["doc_id"], round(r["score"], 3)) for r in got) == Counter((d, plain(t)) for d, t in other)
+    assert {r["train_tokens"] for r in got} == {n}
+
+
 def test_trie_without_training_documents(spark):
     got = trielm.trie_scores(edge_docs(spark), F.lit(True)).collect()
     assert len(got) == len(rows()) and all(r["train_tokens"] == 0 and r["score"] == 0 for r in got)
