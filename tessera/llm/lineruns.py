@@ -10,8 +10,8 @@ A run of lines is repeated if the same lines come earlier (by id, then as read,
 line; how long that is depends on the lines alone, so equal shortest runs have equal lengths. Two blocks of one level that
 cover it name it. A line is deleted iff a repeated run holds it. Rounds go no further than the longest shortest run.
 
-The documents are read twice, for their lines and for the result, so they should be a stored table (rows in the same order
-each time). Null and empty texts have no lines and stay as they are. A null id sorts first. Repeated rows are documents of their own.
+The documents are read once: numbered and written to the shared folder, from which both their lines and the result are taken,
+so a number means the same document in both whatever the input and however it is split. Null and empty texts have no lines and stay as they are. A null id sorts first. Repeated rows are documents of their own.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def repeated_lines(docs: DataFrame, doc: str, id_column: str, text: str, min_wor
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated runs cut out of ``text``, and a column ``deleted_lines`` (replaced if there)."""
     doc, gone = free_name(docs, "_doc"), free_name(docs, "_gone")
-    tagged = docs.withColumn(doc, F.monotonically_increasing_id())
+    tagged = pin(docs.withColumn(doc, F.monotonically_increasing_id()), "docs")
     deleted = repeated_lines(tagged, doc, id_column, text, min_words).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(gone))
     kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
     return tagged.join(deleted, doc, "left").withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))) \

@@ -201,6 +201,27 @@ def test_line_runs_equal_all_runs(spark):
     assert lineruns.drop_repeated_lines(no_docs(spark)).count() == 0
 
 
+def test_line_runs_of_files_that_are_split_otherwise_later(spark, tmp_path):
+    shared = " ".join(["shared"] * 12)
+    docs = [(i, "\n".join([shared, f"own line of {i}"] if i % 3 else [f"own line of {i}", shared])) for i in range(24)]
+    for i, doc in enumerate(docs):                      # files of different sizes: where they lie together, the largest comes first
+        spark.createDataFrame([(*doc, "pad " * i * i)], "doc_id bigint, text string, pad string").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "docs"))
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        spark.conf.set(names[0], "1")
+        spark.conf.set(names[1], "0")
+        out = lineruns.drop_repeated_lines(spark.read.parquet(str(tmp_path / "docs")))
+        spark.conf.set(names[0], "1000")
+        spark.conf.set(names[1], str(64 << 20))
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert got == {i: t if i == 0 else f"own line of {i}" for i, t in docs}
+
+
 # language model
 
 def test_elias_fano_successors():
