@@ -164,6 +164,20 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
     return t.filter((F.col("suffix_chars") + extra) / F.lit(TOKEN_CHARS) <= F.lit(float(max_tok))).drop("_pl")
 
 
+def session_turns(kept: DataFrame) -> DataFrame:
+    """``_turns`` per session: the turns that ``sliding_memory`` kept, by time, with their ``suffix_chars``."""
+    piece = F.concat("user_prompt", F.lit(" "), "llm_answer", F.lit(" "))
+    return kept.groupBy(*SESSION).agg(F.array_sort(F.collect_list(
+        F.struct(F.col("ts").alias("o"), piece.alias("t"), F.col("suffix_chars").alias("n")))).alias("_turns"))
+
+
+def fitting_history(turns: str, prompt_chars, max_tok: float):
+    """F2 of the longest suffix of ``session_turns`` that fits ``max_tok`` beside a prompt of ``prompt_chars`` (F3), as a Column."""
+    extra = F.coalesce(prompt_chars, F.lit(0))
+    fits = F.filter(turns, lambda s: (s["n"] + extra) / F.lit(TOKEN_CHARS) <= F.lit(float(max_tok)))
+    return F.array_join(F.transform(fits, lambda s: s["t"]), "")
+
+
 # F4 ------------------------------------------------------------------------
 def _piece(prompt, answer):
     p = F.col(prompt) if isinstance(prompt, str) else prompt

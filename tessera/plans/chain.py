@@ -336,11 +336,12 @@ def run_chain(prompts: DataFrame, steps, ctx: ChainContext, prompt_col: str = "p
         from tessera.operators import memory as M
 
         turns = M.load_sessions(memory, prompts.select(*M.SESSION).distinct(), reload or M.RELOAD_LIMIT, latest=True)
-        longest = prompts.groupBy(*M.SESSION).agg(F.max_by(prompt_col, F.length(prompt_col)).alias("prompt"))
-        kept = M.sliding_memory(turns, ctx.context_size - ctx.max_length, longest, ctx.user_tag, ctx.assistant_tag)
-        df = prompts.join(M.session_history(kept).withColumnRenamed("history", "_history"), M.SESSION, "left") \
-            .withColumn("full_prompt", F.concat(F.coalesce("_history", F.lit("")), F.lit(ctx.user_tag), F.col(prompt_col),
-                                                F.lit(ctx.assistant_tag))).drop("_history")
+        # each prompt takes, of its session's at most ``reload`` turns, the latest that fit beside itself
+        budget = ctx.context_size - ctx.max_length
+        loaded = M.session_turns(M.sliding_memory(turns, budget))
+        tagged = F.concat(F.lit(ctx.user_tag), F.col(prompt_col), F.lit(ctx.assistant_tag))
+        df = prompts.join(loaded, M.SESSION, "left").withColumn("full_prompt", F.concat(
+            F.coalesce(M.fitting_history("_turns", F.length(tagged), budget), F.lit("")), tagged)).drop("_turns")
     elif include_history:
         # earlier prompts of the session come first; a batch stores no answers,
         # so earlier turns carry empty answers (F4 over the prompt rows), all of

@@ -241,3 +241,16 @@ def test_table_question_chain(spark):
     assert steps[0][1].startswith("The uploaded table contains : 150 records.")
     assert steps[1] == ("llm_completion", answer)
     assert [a for a, _ in steps] == ["csv_peek", "llm_completion", "execute_df_expression", "user_input"]
+
+
+def test_each_prompt_of_a_session_has_the_turns_that_fit_beside_it(spark):
+    memory = turns(spark, [("s", m, f"q{m}" + "x" * 8, f"a{m}" + "y" * 8) for m in range(4)] + [("t", 0, "other", "turn")])
+    pieces = [f"q{m}xxxxxxxx a{m}yyyyyyyy " for m in range(4)]
+    asked = [(1, "s", "p" * 4), (2, "s", "p" * 30), (3, "s", "p" * 60), (4, "s", "p" * 500), (5, "t", "p"), (6, "new", "p"), (7, "s", "p" * 4)]
+    df = spark.createDataFrame([(i, "u", s, T0 + dt.timedelta(hours=i), p) for i, s, p in asked],
+                               "row_id bigint, user_id string, session_id string, ts timestamp, prompt string")
+    ctx = G.ChainContext(spark, context_size=28, max_length=0, user_tag="", assistant_tag="")        # 98 characters
+    out = G.run_chain(df, [("{full_prompt}", "user_input", "", "next")], ctx, memory=memory)
+    got = {r["row_id"]: r["full_prompt"] for r in out.collect()}
+    assert got == {1: "".join(pieces) + "p" * 4, 2: "".join(pieces[1:]) + "p" * 30, 3: pieces[3] + "p" * 60, 4: "p" * 500,
+                   5: "other turn p", 6: "p", 7: "".join(pieces) + "p" * 4}
