@@ -137,7 +137,7 @@ def _rounds_sql() -> str:
 b{r} AS ({before}),
 t{r} AS (SELECT low + (high - low) * k / {CUTS} AS a FROM b{r}, range(0, {CUTS}) x(k)),
 h{r} AS (SELECT a, sum(pow(p, a)) AS z, sum(pow(p, a) * ln(p)) AS l FROM shares, t{r} GROUP BY a),
-f{r} AS (SELECT coalesce(min(a), any_value((SELECT high FROM b{r}))) AS best FROM h{r}, facts
+f{r} AS (SELECT coalesce(min(a), (SELECT high FROM b{r})) AS best FROM h{r}, facts
          WHERE ln(z) - a * l / z <= {TARGET_ENTROPY} * ln(n) + 1e-12 AND pow(largest / least, 1 - a) <= {MAX_REPEATS})""")
         before = (f"SELECT coalesce((SELECT max(a) FROM t{r}, f{r} WHERE a < best), (SELECT low FROM b{r})) AS low, "
                   f"coalesce((SELECT best FROM f{r}), (SELECT high FROM b{r})) AS high")

@@ -36,19 +36,14 @@ _RIGHT_UNSURE = _UNSURE | W.byte_set([0xC2, 0xE1, 0xE2, 0xE3])
 
 
 class PieceEncoder:
-    """Ids of whole texts from a byte-level BPE tokenizer of the ``tokenizers`` library, encoding each distinct piece once.
+    """Ids of whole texts, encoding each distinct piece once. A subclass says where texts may be cut and encodes pieces.
 
-    The tokenizer's own first split never joins what stands on both sides of a single ASCII white space between two other
-    characters: a space goes with the word after it, any other one stands alone. Texts are cut there; every piece is
-    encoded by the library, so the ids are those of the whole text.
+    A piece is found again by its 64-bit key and taken only if its bytes are the same.
     """
 
-    def __init__(self, json: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    dtype = np.uint32
 
-        self.tokenizer = Tokenizer.from_str(json)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+    def __init__(self):
         self._clear()
 
     def _clear(self) -> None:
@@ -56,21 +51,38 @@ class PieceEncoder:
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, self.dtype)
+        self.begin = np.zeros(0, np.int64)
+        self.width = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
 
-    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Ascending positions at which pieces begin (every text that is not empty begins one)."""
+        raise NotImplementedError
+
+    def encode_pieces(self, texts: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def _texts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
         raw = data.tobytes()
+        return [raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist())]
+
+    def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         for k in range(0, len(keys), 20_000):
             part = slice(k, k + 20_000)
-            texts = [raw[s:e].decode() for s, e in zip(starts[part].tolist(), ends[part].tolist())]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            texts = self._texts(data, starts[part], ends[part])
+            found = self.encode_pieces(texts)
             size = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for x in found for i in x), self.dtype, int(size.sum()))
-            first = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, flat])
+            raw = np.frombuffer("".join(texts).encode(), np.uint8)
+            width = ends[part] - starts[part]
             at = np.searchsorted(self.keys, keys[part])
+            self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(size) - size)
+            self.begin = np.insert(self.begin, at, len(self.bytes) + np.cumsum(width) - width)
             self.keys = np.insert(self.keys, at, keys[part])
-            self.first = np.insert(self.first, at, first)
             self.size = np.insert(self.size, at, size)
+            self.width = np.insert(self.width, at, width)
+            self.flat = np.concatenate([self.flat, flat])
+            self.bytes = np.concatenate([self.bytes, raw])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
@@ -78,16 +90,7 @@ class PieceEncoder:
         n_rows = len(offsets) - 1
         if not n:
             return np.zeros(0, self.dtype), np.zeros(n_rows, np.int64)
-        at = np.flatnonzero(_BLANK[data])
-        row = np.searchsorted(offsets, at, "right") - 1
-        begin, end = offsets[row], offsets[row + 1]
-        at, begin = at[(at > begin) & (at + 1 < end)], begin[(at > begin) & (at + 1 < end)]
-        left, left2, left3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
-        sure = ~_UNSURE[left] & ~_RIGHT_UNSURE[data[at + 1]]
-        sure &= ~((left2 == 0xC2) & ((left == 0x85) | (left == 0xA0)) & (at - 2 >= begin)) & ~(_WIDE_LEAD[left3] & (at - 3 >= begin))
-        at = at[sure]
-        alone = at[data[at] != 0x20] + 1
-        starts = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], at, alone]))
+        starts = self.cuts(data, offsets)
         ends = np.append(starts[1:], n)
         keys = W.keys(data, starts, ends)
         distinct, example, piece = np.unique(keys, return_index=True, return_inverse=True)
@@ -99,20 +102,61 @@ class PieceEncoder:
         if new.any():
             self._learn(data, distinct[new], starts[example[new]], ends[example[new]])
         place = np.searchsorted(self.keys, distinct)[piece]
-        size, first = self.size[place], self.first[place]
+        size, first, flat = self.size[place], self.first[place], self.flat
+        width = ends - starts
+        other = np.flatnonzero((self.width[place] != width)
+                               | ~W.same_runs(data, starts, self.bytes, self.begin[place], np.minimum(width, self.width[place])))
+        if len(other):                                            # another piece has this key: these are not kept
+            found = self.encode_pieces(self._texts(data, starts[other], ends[other]))
+            size[other] = np.fromiter(map(len, found), np.int64, len(found))
+            first[other] = len(flat) + np.cumsum(size[other]) - size[other]
+            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), self.dtype, int(size[other].sum()))])
         before = np.cumsum(size) - size
-        ids = self.flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
+        ids = flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
         row = np.searchsorted(offsets, starts, "right") - 1
         return ids, np.bincount(row, weights=size, minlength=n_rows).astype(np.int64)
 
 
-_ENCODERS: dict[int, PieceEncoder] = {}
+class ByteEncoder(PieceEncoder):
+    """A byte-level BPE tokenizer of the ``tokenizers`` library.
+
+    The tokenizer's own first split never joins what stands on both sides of a single ASCII white space between two other
+    characters: a space goes with the word after it, any other one stands alone. Texts are cut there; every piece is
+    encoded by the library, so the ids are those of the whole text.
+    """
+
+    def __init__(self, json: str, plain_specials: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(json)
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        super().__init__()
+
+    def encode_pieces(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(_BLANK[data])
+        row = np.searchsorted(offsets, at, "right") - 1
+        begin, end = offsets[row], offsets[row + 1]
+        at, begin = at[(at > begin) & (at + 1 < end)], begin[(at > begin) & (at + 1 < end)]
+        left, left2, left3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        sure = ~_UNSURE[left] & ~_RIGHT_UNSURE[data[at + 1]]
+        sure &= ~((left2 == 0xC2) & ((left == 0x85) | (left == 0xA0)) & (at - 2 >= begin)) & ~(_WIDE_LEAD[left3] & (at - 3 >= begin))
+        at = at[sure]
+        alone = at[data[at] != 0x20] + 1
+        return np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], at, alone]))
+
+
+_ENCODERS: dict[int, ByteEncoder] = {}
 
 
-def _encoder(json: str) -> PieceEncoder:
+def _encoder(json: str) -> ByteEncoder:
     key = zlib.crc32(json.encode())
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(json)
+        _ENCODERS[key] = ByteEncoder(json)
     return _ENCODERS[key]
 
 

@@ -1,20 +1,22 @@
 """Words of whole Arrow text columns, found and hashed with numpy over the raw UTF-8 bytes.
 
 All word rules here are sets of bytes: separators are ASCII, so cutting the bytes equals cutting the characters.
-A word's 64-bit key is a polynomial over its bytes (taken from prefix sums, so no word is copied), mixed with its length.
+A word's 64-bit key folds its bytes in blocks of eight, each mixed before the next is added (a sum of powers of any base
+would give equal keys to some long words of two letters); words over ``LONG`` bytes take a BLAKE2 digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20          # texts are worked on in slices of about this many bytes; one longer text is one slice
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
-_POWERS: dict = {}
+LONG = 64
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)     # the low k bytes
 
 
 def byte_set(members) -> np.ndarray:
@@ -42,21 +44,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("p")
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        made = []
-        for base in (_BASE, _BASE_INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * SLICE_BYTES:
-            return made[0], made[1]
-        _POWERS["p"] = have = (made[0], made[1])
-    return have
-
-
 def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows holding about SLICE_BYTES; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -93,12 +80,48 @@ def spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray) -> tuple[n
     return starts, ends, rows
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _block(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return eights[at] & _FILLED[np.minimum(left, 8)]
+
+
 def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit keys of the byte runs [start, end)."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = ends - starts
+    eights = _eights(data)
+    made = mix(size.astype(np.uint64) * _LENGTH)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(live):
+        left = size[live] - at
+        made[live] = mix(made[live] ^ _block(eights, starts[live] + at, left))
+        live = live[left > 8]
+        at += 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest()
+        made[k] = int.from_bytes(digest, "little")
+    return made
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, other: np.ndarray, begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes of ``data`` from each start equal those of ``other`` from each begin."""
+    same = np.ones(len(size), bool)
+    mine, its = _eights(data), _eights(other)
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(live):
+        left = size[live] - at
+        same[live] &= _block(mine, starts[live] + at, left) == _block(its, begins[live] + at, left)
+        live = live[left > 8]
+        at += 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        same[k] = np.array_equal(data[starts[k]:starts[k] + size[k]], other[begins[k]:begins[k] + size[k]])
+    return same
 
 
 def count_by_row(rows: np.ndarray, n_rows: int) -> np.ndarray:

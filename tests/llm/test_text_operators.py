@@ -111,7 +111,7 @@ def test_pieces_give_the_ids_of_whole_texts():
     from tokenizers import Tokenizer
 
     json = tokenfiles.public_tokenizer()
-    whole, encoder = Tokenizer.from_str(json), tokenfiles.PieceEncoder(json)
+    whole, encoder = Tokenizer.from_str(json), tokenfiles.ByteEncoder(json)
     r = np.random.default_rng(1)
     parts = [" ", "  ", "\n", "\t", "a", "bc", "'s", "é", "à", "…", "1", "23", ".", "!!", " ", "　", "\x1c", " ", "\u0085", "中",
              "<|endoftext|>", "\r\n", "ab cd", " x"]
@@ -169,3 +169,38 @@ def test_classifier_learns_and_scores_awkward_rows(spark):
 
 def test_empty_items_digest_is_of_the_empty_text(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2(array_join(array(), ','), 256)").head()[0]
+
+
+def thue_morse(n, a, b):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_of_two_letters_in_thue_morse_order_keep_apart(spark):
+    from tokenizers import Tokenizer
+    x, y = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    (_, data, offsets), = W.slices(pa.array([x, y, x[:64], y[:64], x[:72], y[:72], "a", "a\0"]))
+    assert len(set(W.keys(data, offsets[:-1], offsets[1:]).tolist())) == 8
+    json = tokenfiles.public_tokenizer()
+    library, encoder = Tokenizer.from_str(json), tokenfiles.ByteEncoder(json)
+    ids, sizes = encoder.encode(data, offsets)
+    assert ids[sizes[0]:sizes[0] + sizes[1]].tolist() == library.encode(y).ids
+    docs = spark.createDataFrame([(1, x + " " + y), (2, y)], "doc_id long, text string")
+    assert {r["doc_id"]: r["repetition"]["longest_repeat"] for r in repeats.repetition_rules(docs).collect()} == {1: 0, 2: 0}
+    items = spark.createDataFrame([("i", x)], "item_id string, text string")
+    hits = decontam.benchmark_matches(docs, items).select("doc_id", "matches.n_hit").collect()
+    assert {r["doc_id"]: r["n_hit"] for r in hits} == {1: 1, 2: 0}
+
+
+def test_pieces_with_equal_keys_are_encoded_apart(monkeypatch):
+    from tokenizers import Tokenizer
+    json = tokenfiles.public_tokenizer()
+    library, encoder = Tokenizer.from_str(json), tokenfiles.ByteEncoder(json)
+    monkeypatch.setattr(W, "keys", lambda data, starts, ends: ((ends - starts) % 2).astype(np.uint64))
+    for texts in (["one word here", "another text", "one"], ["here two words", "", "one one"]):
+        (_, data, offsets), = W.slices(pa.array(texts))
+        ids, sizes = encoder.encode(data, offsets)
+        assert ids.tolist() == [i for t in texts for i in library.encode(t).ids]
+        assert sizes.tolist() == [len(library.encode(t).ids) for t in texts]
