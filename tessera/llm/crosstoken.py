@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tessera.llm import words as W
 from tessera.llm.common import free_name, pin, table
@@ -32,6 +33,7 @@ from tessera.llm.tokenfiles import ByteEncoder, PieceEncoder, public_tokenizer
 
 _SPACE_MARK = "▁"
 _PLAIN = W.byte_set(set(range(0x21, 0x7F)))                      # ASCII characters that are no white space
+CACHED = 400_000         # pieces that a worker keeps for either tokenizer
 _ALIGNED = "struct<a:array<int>,b:array<int>,cut_a:array<int>,cut_b:array<int>,links:array<bigint>,groups_sha256:string>"
 
 
@@ -42,14 +44,14 @@ class SentencePieces(PieceEncoder):
     space. The model puts one before what it encodes, so the piece is given without it.
     """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cached: int = CACHED):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         inner = any(_SPACE_MARK in self.model.id_to_piece(i).lstrip(_SPACE_MARK) for i in range(self.model.vocab_size()))
         plain = self.model.normalize(" a  b ") == _SPACE_MARK * 2 + "a" + _SPACE_MARK * 2 + "b" + _SPACE_MARK
         self.whole = inner or not plain                          # such a model gets whole texts
-        super().__init__()
+        super().__init__(cached)
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         begins = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -117,7 +119,7 @@ class Aligner:
     """Two encoders with the bytes of their tokens."""
 
     def __init__(self, json: str, model: bytes):
-        self.a, self.b = ByteEncoder(json, plain_specials=True), SentencePieces(model)
+        self.a, self.b = ByteEncoder(json, plain_specials=True, cached=CACHED), SentencePieces(model)
         self.a_bytes = byte_level_bytes(self.a.tokenizer.get_vocab(with_added_tokens=True))
         self.b_bytes = piece_bytes(self.b.model)
         size = max(len(self.a_bytes.by_id), len(self.b_bytes.by_id))
@@ -209,21 +211,29 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), kind))
 
 
-def align(docs: DataFrame, json: str, model: bytes, text: str = "text", into: str = "alignment") -> DataFrame:
-    """``docs`` with a struct ``into`` (see ``free_name``): ids ``a`` and ``b``; the index after the last id of each group in
-    either list, ``cut_a`` and ``cut_b``; the ``links`` as a id * size of the b vocabulary + b id; ``groups_sha256``."""
+def align(docs: DataFrame, json: str, model: bytes, text: str = "text", into: str = "alignment",
+          keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``into`` (see ``free_name``): ids ``a`` and ``b``; the index after the
+    last id of each group in either list, ``cut_a`` and ``cut_b``; the ``links`` as a id * size of the b vocabulary + b id;
+    ``groups_sha256``."""
     files = docs.sparkSession.sparkContext.broadcast((json, model))   # two tokenizer files, whose size does not grow
+    keep = docs.columns if keep is None else keep
+    into, given = free_name(docs, into), free_name(docs, "given_text")
+    fields = pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("cut_a", pa.list_(pa.int32())),
+                        ("cut_b", pa.list_(pa.int32())), ("links", pa.list_(pa.int64())), ("groups_sha256", pa.string())])
 
-    @F.arrow_udf(_ALIGNED)
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = aligner(*files.value)
-        for texts in batches:
-            rows = [row for _, data, offsets in W.slices(texts) for row in made.slice(data, offsets)]
-            lists = [_lists([r[k] for r in rows], pa.int32() if k < 4 else pa.int64()) for k in range(5)]
-            yield pa.StructArray.from_arrays([*lists, pa.array([r[5] for r in rows], pa.string())],
-                                             names=["a", "b", "cut_a", "cut_b", "links", "groups_sha256"])
+        for batch in batches:
+            kept = batch.select(keep)
+            for first, data, offsets in W.slices(batch.column(given)):   # a slice's lists go on before the next is worked on
+                rows = list(made.slice(data, offsets))
+                lists = [_lists([r[k] for r in rows], fields[k].type.value_type) for k in range(5)]
+                found = pa.StructArray.from_arrays([*lists, pa.array([r[5] for r in rows], pa.string())], fields=list(fields))
+                yield pa.RecordBatch.from_arrays([*kept.slice(first, len(rows)).columns, found], names=[*keep, into])
 
-    return docs.withColumn(free_name(docs, into), cut.asNondeterministic()(F.col(text).cast("string")))
+    rows = docs.select(*keep, F.col(text).cast("string").alias(given))
+    return rows.mapInArrow(cut, StructType([*[docs.schema[c] for c in keep], StructField(into, DataType.fromDDL(_ALIGNED))]))
 
 
 def link_counts(links: DataFrame, column: str = "links") -> DataFrame:
@@ -270,10 +280,10 @@ def score_links(aligned: DataFrame, counts: DataFrame, json: str, model: bytes,
 
 def op11(spark, sf_dir: str) -> DataFrame:
     json, model = public_tokenizer(), public_model()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents")
     x = F.col("alignment")
     size = lambda name: F.size(x[name]).cast("bigint")
-    aligned = pin(align(docs, json, model).select(
+    aligned = pin(align(docs, json, model, keep=["doc_id"]).select(
         "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), size("cut_a").alias("n_groups"), size("links").alias("n_links"),
         x["links"].alias("links"), x["groups_sha256"].alias("groups_sha256")), "aligned")
     scored = score_links(aligned, link_counts(aligned), json, model)

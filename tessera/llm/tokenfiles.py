@@ -43,7 +43,8 @@ class PieceEncoder:
 
     dtype = np.uint32
 
-    def __init__(self):
+    def __init__(self, cached: int = CACHED):
+        self.cached = cached
         self._clear()
 
     def _clear(self) -> None:
@@ -96,7 +97,7 @@ class PieceEncoder:
         distinct, example, piece = np.unique(keys, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
-        if len(self.keys) + new.sum() > CACHED:
+        if len(self.keys) + new.sum() > self.cached:
             self._clear()
             new = np.ones(len(distinct), bool)
         if new.any():
@@ -125,14 +126,14 @@ class ByteEncoder(PieceEncoder):
     encoded by the library, so the ids are those of the whole text.
     """
 
-    def __init__(self, json: str, plain_specials: bool = False):
+    def __init__(self, json: str, plain_specials: bool = False, cached: int = CACHED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        super().__init__()
+        super().__init__(cached)
 
     def encode_pieces(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
