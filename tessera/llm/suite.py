@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat, crosstoken, decontam, fixity, lineruns, milquality, mixing, orderhash, repeats, tokenfiles, trielm
+from tessera.llm import chat, crosstoken, decontam, fixity, lineruns, milquality, mixing, orderhash, repeats, subspaces, tokenfiles, trielm, whitening
 
 QUERIES = {
     "op1_merkle_fixity": (fixity.op1, fixity.OP1_SQL),
@@ -17,5 +17,7 @@ QUERIES = {
     "op9_line_runs": (lineruns.op9, lineruns.OP9_SQL),
     "op10_repeat_rules": (repeats.op10, repeats.OP10_SQL),
     "op11_cross_tokens": (crosstoken.op11, None),
+    "op12_embedding_whitening": (whitening.op12, None),
+    "op13_subspace_join": (subspaces.op13, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
