@@ -1,19 +1,19 @@
 """Table questions: peek, one statement over registered views, report, recipes, dataset catalog.
 
 A question's answer is one Spark SQL query (the statement a model writes
-instead of pandas source). Only queries are accepted; a command is refused
-before it reaches ``spark.sql``, which would run it at once.
+instead of pandas source). Only queries made of known parts over registered
+views are accepted (see ``statements``); anything else is refused before it
+reaches ``spark.sql``, which would run a command at once.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TRUNCATE_MARKER
+from tessera.operators.statements import NotAQuery, run_query
 from tessera.session import read_if_there
 
 # Fixed values that must equal the reference's for right results.
@@ -27,12 +27,6 @@ MAX_ATTEMPTS = 2
 VALUE_CHARS = 2000      # a value's text in a report; tables are not cut
 RECIPE_DESCRIPTION = "description: "
 
-_QUERY_START = re.compile(r"^\s*(\(\s*)*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
-
-
-class NotAQuery(ValueError):
-    pass
-
 
 def unwrap_statement(text: str, key: str = "df") -> str:
     """B8 on the driver: ``{"df": "..."}`` -> its field, else the stripped text."""
@@ -48,57 +42,6 @@ def unwrap_statement(text: str, key: str = "df") -> str:
     return (text or "").strip()
 
 
-REFUSED_FUNCTIONS = ("reflect", "java_method", "try_reflect")
-
-
-def _items(seq):
-    """The elements of a Scala sequence."""
-    it = seq.iterator()
-    while it.hasNext():
-        yield it.next()
-
-
-def check_query(stmt: str, spark: SparkSession | None = None) -> str:
-    """The statement, if it is one query that only reads registered views.
-
-    Spark's own parser gives its plan; commands and inserts at any depth, relations that are not a registered view or a name
-    the statement itself defines (so no files by path), and functions that call Java are refused before anything runs.
-    """
-    s = (stmt or "").strip().rstrip(";").strip()
-    if not _QUERY_START.match(s):
-        raise NotAQuery(f"only one query statement is accepted: {s[:80]!r}")
-    spark = spark or SparkSession.getActiveSession()
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(s)
-    of = lambda name: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{name}")
-    writes = [of(f"plans.logical.{name}") for name in ("Command", "ParsedStatement", "InsertIntoDir")]
-    is_plan, holds_plan = of("plans.QueryPlan"), of("expressions.PlanExpression")
-    relations, defined, todo = [], set(), [plan]
-    while todo:
-        node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if any(w.isInstance(node) for w in writes):
-            raise NotAQuery(f"not a query: {kind}")
-        if kind == "UnresolvedRelation":
-            relations.append(list(_items(node.multipartIdentifier())))
-        elif kind == "UnresolvedWith":
-            for named in _items(node.cteRelations()):
-                defined.add(named._1().lower())
-                todo.append(named._2())
-        elif kind == "UnresolvedFunction":
-            name = list(_items(node.nameParts()))[-1].lower()
-            if name in REFUSED_FUNCTIONS:
-                raise NotAQuery(f"function {name} is refused")
-        if is_plan.isInstance(node):
-            todo += _items(node.expressions())
-        if holds_plan.isInstance(node):               # a subquery
-            todo.append(node.plan())
-        todo += _items(node.children())
-    for parts in relations:
-        if len(parts) != 1 or not (parts[0].lower() in defined or spark.catalog.tableExists(parts[0])):
-            raise NotAQuery(f"no registered view: {'.'.join(parts)}")
-    return s
-
-
 # I1 ------------------------------------------------------------------------
 def peek(df: DataFrame, order, n: int = PEEK_ROWS) -> DataFrame:
     """Record count and the first ``n`` rows in ``order``.
@@ -112,8 +55,8 @@ def peek(df: DataFrame, order, n: int = PEEK_ROWS) -> DataFrame:
 
 
 # I2 ------------------------------------------------------------------------
-def ask(spark: SparkSession, statement, repair=None, attempts: int = MAX_ATTEMPTS):
-    """Run one statement over the registered views.
+def ask(spark: SparkSession, statement, repair=None, attempts: int = MAX_ATTEMPTS, views=None):
+    """Run one statement over the registered views (only ``views``, where given).
 
     ``statement`` may be wrapped as ``{"df": "..."}``, or be a list of
     candidate statements tried in order (the first that analyses wins). When
@@ -123,15 +66,14 @@ def ask(spark: SparkSession, statement, repair=None, attempts: int = MAX_ATTEMPT
     """
     if isinstance(statement, (list, tuple)):
         for cand in statement:
-            df, stmt = ask(spark, cand, None, 1)
+            df, stmt = ask(spark, cand, None, 1, views)
             if df is not None:
                 return df, stmt
-        return ask(spark, statement[-1], repair, attempts) if statement and repair else (None, FAILED_MSG)
+        return ask(spark, statement[-1], repair, attempts, views) if statement and repair else (None, FAILED_MSG)
     stmt = unwrap_statement(statement)
     for i in range(attempts):
         try:
-            df = spark.sql(check_query(stmt, spark))
-            return df, stmt
+            return run_query(spark, stmt, views), stmt
         except (AnalysisException, ParseException, NotAQuery) as e:
             if repair is None or i + 1 >= attempts:
                 break
@@ -181,7 +123,8 @@ def value_text(df: DataFrame, statement: str) -> str | None:
     return f"Executing the expression: {statement} produced the following result:\n{text}"
 
 
-def answer(spark: SparkSession, statement: str, save_to: str, repair=None, attempts: int = MAX_ATTEMPTS) -> tuple[str, str | None]:
+def answer(spark: SparkSession, statement: str, save_to: str, repair=None, attempts: int = MAX_ATTEMPTS,
+           views=None) -> tuple[str, str | None]:
     """I2 and I3 for one statement: (report text, where the result table was saved).
 
     The result is written once and the report is taken from what was written. An error of any kind, while the statement is
@@ -191,7 +134,7 @@ def answer(spark: SparkSession, statement: str, save_to: str, repair=None, attem
     for i in range(attempts):
         path = f"{save_to}-{i}"
         try:
-            spark.sql(check_query(stmt, spark)).write.parquet(path)
+            run_query(spark, stmt, views).write.parquet(path)
             saved = spark.read.parquet(path)
             return value_text(saved, stmt) or report(saved, stmt, "last_result")["text"], path
         except Exception as problem:  # noqa: BLE001 - whatever the statement does is its own fault

@@ -73,6 +73,7 @@ class ChainContext:
     page_index: "P.PageIndex | None" = None    # built once for many internet_search steps
     vector_index: "L.VectorIndex | None" = None  # built once over library + selected_ids
     active_view: str = "df"
+    views: tuple[str, ...] | None = None       # what statements may read; the active table alone where not given
     pending_results: list = field(default_factory=list)
     last_result: DataFrame | None = None
     repair: Callable[[str, str], str] | None = None   # (statement, error) -> statement; default: ask the model
@@ -275,7 +276,7 @@ def _execute(df, inp, ctx, **_):
     statements = (r[0] for r in df.select(inp.alias("s")).distinct().toLocalIterator() if r[0] is not None)
 
     def run(s):
-        return (s, *A.answer(spark, s, f"{root}/{md5(s.encode()).hexdigest()}", repair))
+        return (s, *A.answer(spark, s, f"{root}/{md5(s.encode()).hexdigest()}", repair, views=ctx.views or (ctx.active_view,)))
 
     reports, block = f"{root}/reports", 0
     with ThreadPoolExecutor(ctx.statement_jobs) as pool:
