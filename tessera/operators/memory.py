@@ -8,7 +8,7 @@ so every operator is a join, an aggregation or a window keyed by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import (
@@ -17,7 +17,7 @@ from tessera.functions.text import (
     TOKEN_CHARS,
     is_valid_json,
 )
-from tessera.session import pinned, read_if_there
+from tessera.sources.keyed import KeyedStore
 
 SESSION = ["user_id", "session_id"]
 # Fixed values that must equal the reference's for right results.
@@ -87,43 +87,44 @@ def chat_pairs(rows: DataFrame, seq: str | None = "turn") -> DataFrame:
 # F1 ------------------------------------------------------------------------
 def tag_turns(turns: DataFrame, user_tag: str = DEFAULT_USER_TAG,
               assistant_tag: str = DEFAULT_ASSISTANT_TAG) -> DataFrame:
-    """Prompt and answer as stored: with their role tags, plus the JSON document."""
+    """Prompt and answer as stored: with their role tags, plus the JSON document; a null text is empty."""
     t = turns.select(*SESSION, "ts",
-                     F.concat(F.lit(user_tag), "user_prompt").alias("user_prompt"),
-                     F.concat(F.lit(assistant_tag), "llm_answer").alias("llm_answer"))
+                     F.concat(F.lit(user_tag), F.coalesce("user_prompt", F.lit(""))).alias("user_prompt"),
+                     F.concat(F.lit(assistant_tag), F.coalesce("llm_answer", F.lit(""))).alias("llm_answer"))
     return t.withColumn("document", F.to_json(F.struct("user_prompt", "llm_answer",
                                                         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
                                                         .alias("timestamp"))))
 
 
+MEMORY_SCHEMA = "user_id string, session_id string, ts timestamp, user_prompt string, llm_answer string, document string"
+
+
+def memory_store(spark: SparkSession, memory_path: str) -> KeyedStore:
+    """The memory table: turns by (user, session, ts), the turns of a session in one folder."""
+    return KeyedStore(spark, memory_path, MEMORY_SCHEMA, (*SESSION, "ts"), tuple(SESSION))
+
+
 def append_turns(turns: DataFrame, memory_path: str, user_tag: str = DEFAULT_USER_TAG,
                  assistant_tag: str = DEFAULT_ASSISTANT_TAG) -> None:
     """append tagged turns to the memory table, idempotent by (user, session, ts).
 
     Rows already stored under the same key are skipped, so a retried batch does
-    not double them; of equal keys in one batch the least turn is kept. The memory
-    table is partitioned by ``user_id`` and only the batch's users are read.
+    not double them (null with null); of equal keys in one batch the least turn is
+    kept. Only the folders of the batch's sessions are read.
     """
-    spark = turns.sparkSession
-    keys = [*SESSION, "ts"]
-    tagged = tag_turns(turns, user_tag, assistant_tag).groupBy(*keys).agg(
-        F.min(F.struct("user_prompt", "llm_answer", "document")).alias("t")).select(*keys, "t.*")
-    old = read_if_there(spark, memory_path)
-    if old is not None:
-        tagged = pinned(tagged, "turns")
-        held = old.select(*keys).join(tagged.select("user_id").distinct(), "user_id", "left_semi")
-        tagged = tagged.join(held, keys, "left_anti")
-    tagged.write.mode("append").partitionBy("user_id").parquet(memory_path)
+    memory_store(turns.sparkSession, memory_path).add(tag_turns(turns, user_tag, assistant_tag))
 
 
-def read_memory(spark, memory_path: str) -> DataFrame:
-    return spark.read.parquet(memory_path).select(*SESSION, "ts", "user_prompt", "llm_answer", "document")
+def read_memory(spark, memory_path: str, sessions: DataFrame | None = None) -> DataFrame:
+    """All turns, or those of ``sessions``, of which only the folders are read."""
+    store = memory_store(spark, memory_path)
+    return store.read() if sessions is None else store.matching(sessions)
 
 
 # F2 ------------------------------------------------------------------------
 def session_history(turns: DataFrame) -> DataFrame:
-    """per session, ``prompt + ' ' + answer + ' '`` for all turns by time."""
-    piece = F.concat("user_prompt", F.lit(" "), "llm_answer", F.lit(" "))
+    """per session, ``prompt + ' ' + answer + ' '`` for all turns by time; a null text is empty."""
+    _, piece = _piece("user_prompt", "llm_answer")
     return turns.groupBy(*SESSION).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("o"), piece.alias("t")))),
                                  lambda s: s["t"]), "").alias("history"))
@@ -166,7 +167,7 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
 
 def session_turns(kept: DataFrame) -> DataFrame:
     """``_turns`` per session: the turns that ``sliding_memory`` kept, by time, with their ``suffix_chars``."""
-    piece = F.concat("user_prompt", F.lit(" "), "llm_answer", F.lit(" "))
+    _, piece = _piece("user_prompt", "llm_answer")
     return kept.groupBy(*SESSION).agg(F.array_sort(F.collect_list(
         F.struct(F.col("ts").alias("o"), piece.alias("t"), F.col("suffix_chars").alias("n")))).alias("_turns"))
 
@@ -180,9 +181,8 @@ def fitting_history(turns: str, prompt_chars, max_tok: float):
 
 # F4 ------------------------------------------------------------------------
 def _piece(prompt, answer):
-    p = F.col(prompt) if isinstance(prompt, str) else prompt
-    a = F.col(answer) if isinstance(answer, str) else answer
-    return p, F.concat(p, F.lit(" "), a, F.lit(" "))
+    text = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return text(prompt), F.concat(text(prompt), F.lit(" "), text(answer), F.lit(" "))
 
 
 def _history_text(before, p, user_tag: str, assistant_tag: str):

@@ -35,7 +35,8 @@ from tessera.operators import complete as K
 from tessera.operators import library as L
 from tessera.operators import pages as P
 from tessera.operators import results as E
-from tessera.session import pinned, read_if_there, scratch_path
+from tessera.session import pinned, scratch_path
+from tessera.sources.keyed import KeyedStore
 
 NEXT = "next"
 STATEMENT_BLOCK = 256      # statements that the driver holds at a time
@@ -69,7 +70,7 @@ class ChainContext:
     library: DataFrame | None = None          # chunk_id, text, source, content_hash, embedding
     encoder: dict = field(default_factory=dict)  # L.embed's arguments (dim, encoder_factory) that made the library
     selected_ids: DataFrame | None = None      # content_hash of the chosen documents
-    result_store: DataFrame | None = None      # id, user_id, session_id, stored_result_name, text
+    result_store: "DataFrame | KeyedStore | None" = None   # id, user_id, session_id, stored_result_name, text
     page_index: "P.PageIndex | None" = None    # built once for many internet_search steps
     vector_index: "L.VectorIndex | None" = None  # built once over library + selected_ids
     active_view: str = "df"
@@ -219,11 +220,19 @@ def _memorize(df, inp, ctx, stored_result_name="result", **_):
     return out
 
 
-def pending_rows(ctx: ChainContext) -> DataFrame | None:
-    """What the chain memorized so far, one row per key; an earlier step's row comes first."""
+def _memorized(ctx: ChainContext) -> DataFrame | None:
+    """Every row that the chain memorized, in the order of its steps."""
     steps = [p.withColumn("_order", F.struct(F.lit(i).alias("step"), F.col("_order").alias("row")))
              for i, p in enumerate(ctx.pending_results)]
-    return E.memorize_results(reduce(DataFrame.unionByName, steps), ctx.result_store, "_order") if steps else None
+    return reduce(DataFrame.unionByName, steps) if steps else None
+
+
+def pending_rows(ctx: ChainContext) -> DataFrame | None:
+    """What the chain memorized so far, one row per key; an earlier step's row comes first, what is stored before all."""
+    rows, store = _memorized(ctx), ctx.result_store
+    if rows is None:
+        return None
+    return E.memorize_results(rows, store.read(rows) if isinstance(store, KeyedStore) else store, "_order")
 
 
 @action("getMemoryResult")
@@ -231,13 +240,18 @@ def _recall(df, inp, ctx, stored_result_name="result", **_):
     """E2 inside a chain: the stored text of (user, session, name), also one
     memorized earlier in this chain, else ``None``. One row per key, so the
     left join keeps one row per prompt."""
-    held = [t.select(*E.RESULT_KEY, "text") for t in (ctx.result_store, pending_rows(ctx)) if t is not None]
+    wanted = df.select("user_id", "session_id", F.lit(stored_result_name).alias("stored_result_name")).distinct()
+    store = ctx.result_store
+    if isinstance(store, KeyedStore):
+        store = store.read(wanted)                            # the folders of the batch's keys
+    held = [t.select(*E.RESULT_KEY, "text") for t in (store, pending_rows(ctx)) if t is not None]
     if not held:
         return df.withColumn("result", F.lit("None"))
-    got = reduce(DataFrame.unionByName, held).filter(F.col("stored_result_name") == stored_result_name).select(
-        "user_id", "session_id", F.col("text").alias("_recalled"))
-    out = df.join(got, ["user_id", "session_id"], "left")
-    return out.withColumn("result", F.coalesce("_recalled", F.lit("None"))).drop("_recalled")
+    # of the store, only the batch's keys go on to the join; equal keys match, also null with null
+    got = E.recall_results(wanted, E.wanted_rows(reduce(DataFrame.unionByName, held), wanted)).select(
+        F.col("user_id").alias("_user"), F.col("session_id").alias("_session"), F.col("text").alias("_recalled"))
+    out = df.join(got, df["user_id"].eqNullSafe(got["_user"]) & df["session_id"].eqNullSafe(got["_session"]), "left")
+    return out.withColumn("result", F.coalesce("_recalled", F.lit("None"))).drop("_user", "_session", "_recalled")
 
 
 @action("csv_peek", row_wise=True)
@@ -394,8 +408,8 @@ def commit_results(ctx: ChainContext, store_path: str) -> None:
     """Append the results memorized during a chain (insert if absent)."""
     if not ctx.pending_results:
         return
-    ctx.result_store = read_if_there(ctx.spark, store_path)
-    pinned(pending_rows(ctx), "results").write.mode("append").parquet(store_path)
+    ctx.result_store = E.result_store(ctx.spark, store_path)
+    E.memorize_into(pinned(_memorized(ctx), "results"), store_path, "_order")
     ctx.pending_results.clear()
 
 

@@ -19,6 +19,7 @@ from tessera.functions.text import TOKEN_CHARS
 from tessera.operators import library as L
 from tessera.operators import memory as M
 from tessera.session import pinned, read_if_there, scratch_path, ship_package
+from tessera.sources.keyed import KeyedStore
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
@@ -88,18 +89,13 @@ def stream_turns(spark: SparkSession, src: str, memory: str, glob: str | None =
     The stream stores rows, not pairs: a prompt and its answer may arrive in
     different micro-batches, so pairs are formed when the memory is read
     (``read_turn_pairs``), where every stored row is visible. Rows already
-    stored are skipped, so a retried batch adds nothing.
+    stored, and repeats inside a batch, are skipped, so a retried batch adds nothing.
     """
     rows = _read(spark, src, TURN_SCHEMA, glob, max_files)
+    store = raw_turns(spark, memory)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        new = M.conversation_turns(batch)
-        if read_if_there(spark, memory) is not None:
-            new = pinned(new, "turns")
-            old = spark.read.schema(RAW_TURNS).parquet(memory).select(*M.SESSION, "turn")
-            old = old.join(new.select("user_id").distinct(), "user_id", "left_semi")      # the batch's users only
-            new = new.join(old, [*M.SESSION, "turn"], "left_anti")
-        new.write.mode("append").partitionBy("user_id").parquet(memory)
+        store.add(M.conversation_turns(batch))
 
     _run(rows.writeStream.foreachBatch(per_batch), checkpoint or scratch_path(spark, "ckpt-turns"))
 
@@ -107,9 +103,14 @@ def stream_turns(spark: SparkSession, src: str, memory: str, glob: str | None =
 RAW_TURNS = "session_id string, ts timestamp, conv_id long, turn long, role string, text string, user_id string"
 
 
+def raw_turns(spark: SparkSession, memory: str) -> KeyedStore:
+    """The table of raw turns by (user, session, turn), the turns of a session in one folder."""
+    return KeyedStore(spark, memory, RAW_TURNS, (*M.SESSION, "turn"), tuple(M.SESSION))
+
+
 def read_turn_pairs(spark: SparkSession, memory: str) -> DataFrame:
     """Tagged (prompt, answer) turns of a raw-turn memory table (F7 then F1's tags)."""
-    rows = spark.read.schema(RAW_TURNS).parquet(memory)
+    rows = raw_turns(spark, memory).read()
     return M.tag_turns(M.chat_pairs(rows))
 
 
