@@ -1,6 +1,6 @@
 """Alignment of two tokenizations of the same text by the byte offsets at which tokens of both end.
 
-For each text, a dictionary from cumulative end to index is made for either tokenizer; the ends that both have, sorted, cut
+For each text, a dictionary from cumulative end to index is made for either tokenizer; the ends that both have, in ascending order, cut
 the two id lists into groups, and every slice is expanded into its links: the pairs of tokens whose byte ranges end
 together. Texts stay in the task that reads them. Both encoders look up distinct pieces (``PieceEncoder``): the cuts are
 places that no token of either vocabulary crosses.
@@ -33,7 +33,8 @@ from tessera.llm.tokenfiles import ByteEncoder, PieceEncoder, public_tokenizer
 
 _SPACE_MARK = "▁"
 _PLAIN = W.byte_set(set(range(0x21, 0x7F)))                      # ASCII characters that are no white space
-CACHED = 400_000         # pieces that a worker keeps for either tokenizer
+CACHED = 200_000         # pieces that a worker keeps for either tokenizer
+SLICE_BYTES = 1 << 19    # texts are aligned in slices of about this size
 _ALIGNED = "struct<a:array<int>,b:array<int>,cut_a:array<int>,cut_b:array<int>,links:array<bigint>,groups_sha256:string>"
 
 
@@ -159,7 +160,7 @@ class Aligner:
     def _groups(self, a, b, a_ends, b_ends) -> tuple:
         by_a = dict(zip(a_ends.tolist(), range(1, len(a) + 1)))  # of tokens that end together, the last
         by_b = dict(zip(b_ends.tolist(), range(1, len(b) + 1)))
-        common = sorted(by_a.keys() & by_b.keys())
+        common = list(filter(by_b.__contains__, by_a))           # ascending, as the ends were put in
         cut_a = np.fromiter(map(by_a.__getitem__, common), np.int64, len(common))
         cut_b = np.fromiter(map(by_b.__getitem__, common), np.int64, len(common))
         links = self.code(a[cut_a - 1], b[cut_b - 1])
@@ -226,7 +227,7 @@ def align(docs: DataFrame, json: str, model: bytes, text: str = "text", into: st
         made = aligner(*files.value)
         for batch in batches:
             kept = batch.select(keep)
-            for first, data, offsets in W.slices(batch.column(given)):   # a slice's lists go on before the next is worked on
+            for first, data, offsets in W.slices(batch.column(given), SLICE_BYTES):   # a slice's lists go on before the next is worked on
                 rows = list(made.slice(data, offsets))
                 lists = [_lists([r[k] for r in rows], fields[k].type.value_type) for k in range(5)]
                 found = pa.StructArray.from_arrays([*lists, pa.array([r[5] for r in rows], pa.string())], fields=list(fields))

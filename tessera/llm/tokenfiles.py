@@ -15,6 +15,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ class PieceEncoder:
             texts = self._texts(data, starts[part], ends[part])
             found = self.encode_pieces(texts)
             size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), self.dtype, int(size.sum()))
+            flat = np.fromiter(chain.from_iterable(found), self.dtype, int(size.sum()))
             raw = np.frombuffer("".join(texts).encode(), np.uint8)
             width = ends[part] - starts[part]
             at = np.searchsorted(self.keys, keys[part])
@@ -111,7 +112,7 @@ class PieceEncoder:
             found = self.encode_pieces(self._texts(data, starts[other], ends[other]))
             size[other] = np.fromiter(map(len, found), np.int64, len(found))
             first[other] = len(flat) + np.cumsum(size[other]) - size[other]
-            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), self.dtype, int(size[other].sum()))])
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), self.dtype, int(size[other].sum()))])
         before = np.cumsum(size) - size
         ids = flat[np.repeat(first - before, size) + np.arange(int(size.sum()))]
         row = np.searchsorted(offsets, starts, "right") - 1
