@@ -17,6 +17,7 @@ from tessera.functions.text import (
     TOKEN_CHARS,
     is_valid_json,
 )
+from tessera.operators.scans import in_parts, running
 from tessera.sources.keyed import KeyedStore
 
 SESSION = ["user_id", "session_id"]
@@ -180,6 +181,9 @@ def fitting_history(turns: str, prompt_chars, max_tok: float):
 
 
 # F4 ------------------------------------------------------------------------
+WINDOW_CHARS = 1 << 18        # characters of a session in a window, where the budget is not more
+
+
 def _piece(prompt, answer):
     text = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     return text(prompt), F.concat(text(prompt), F.lit(" "), text(answer), F.lit(" "))
@@ -208,22 +212,29 @@ def with_history_prompt(df: DataFrame, prompt="user_prompt", answer="llm_answer"
                         order: str = "ts", max_chars: int | None = None, into: str = "full_prompt") -> DataFrame:
     """F4 as a column ``into`` of ``df``.
 
-    With ``max_chars`` only the latest earlier turns whose pieces fit in
-    ``max_chars`` together are kept (the longest fitting suffix, as in F3).
-    Each turn's start (characters of its session before it) is strictly
-    increasing, since a piece has at least two characters, so a RANGE frame
-    ``max_chars`` preceding to 1 preceding over it is exactly that suffix: the
-    window holds at most ``max_chars`` worth of turns, not the whole session.
+    A session is worked on in parts (see ``scans``): the text of all parts before
+    a part is joined once and put in front of the part's own. With ``max_chars``
+    only the latest earlier turns whose pieces fit in ``max_chars`` together are
+    kept (the longest fitting suffix, as in F3). Each turn's start (characters of
+    its session before it) is strictly increasing, since a piece has at least
+    two characters, so a RANGE frame ``max_chars`` preceding to 1 preceding over
+    it is exactly that suffix; windows are cut by start, and the turns within
+    ``max_chars`` of a cut stand in the next one too.
     """
-    if max_chars is None:
-        return df.withColumn(into, history_prompt(prompt, answer, user_tag, assistant_tag, order))
     p, piece = _piece(prompt, answer)
+    parts = in_parts(df, SESSION, [order])
+    if max_chars is None:
+        out = running(parts, {"_before": ("text", piece)}, current=False)
+        return out.withColumn(into, _history_text(F.col("_before"), p, user_tag, assistant_tag)).drop("_before")
     cost = F.length(piece).cast("long")
-    run = Window.partitionBy(*SESSION).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_start", F.sum(cost).over(run) - cost)
-    fit = Window.partitionBy(*SESSION).orderBy("_start").rangeBetween(-int(max_chars), -1)
+    out = running(parts, {"_end": ("sum", cost)}).withColumn("_start", F.col("_end") - cost).drop("_end")
+    wide = F.lit(max(int(max_chars), WINDOW_CHARS))
+    cut = F.floor(F.col("_start") / wide)
+    nearly = F.pmod("_start", wide) >= wide - F.lit(int(max_chars))
+    dealt = out.withColumn("_cut", F.explode(F.when(nearly, F.array(cut, cut + 1)).otherwise(F.array(cut))))
+    fit = Window.partitionBy(*SESSION, "_cut").orderBy("_start").rangeBetween(-int(max_chars), -1)
     before = F.array_join(F.collect_list(piece).over(fit), "")
-    return out.withColumn(into, _history_text(before, p, user_tag, assistant_tag)).drop("_start")
+    return dealt.withColumn(into, _history_text(before, p, user_tag, assistant_tag)).where(F.col("_cut") == cut).drop("_start", "_cut")
 
 
 def prompt_with_history(turns: DataFrame, user_tag: str = DEFAULT_USER_TAG,

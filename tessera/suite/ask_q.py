@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import ask as A
+from tessera.operators import scans as S
 from tessera.session import read_if_there, register_tables, scratch_path
 from tessera.suite.common import T
 
@@ -263,7 +264,47 @@ def i6_register_dataset(spark, sf):
 I6_SQL = ("SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL "
           "SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
 
+
+
+def _event_parts(spark, sf):
+    return S.in_parts(T(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value"), ["user_id"], ["ts", "event_id"])
+
+
+def t10_scan_in_parts(spark, sf):
+    """T10 for users of any size: running values and the row before, over parts of a user."""
+    parts = S.with_running(_event_parts(spark, sf), {"rn": ("count", F.lit(1)), "cum_value": ("sum", "value")})
+    out = S.framed(parts, 1, lambda w: {"prev_value": F.lag("value").over(w)})
+    return out.select("event_id", "user_id", F.col("rn").cast("bigint").alias("rn"), "prev_value", F.round("cum_value", 6).alias("cum_value"))
+
+
+def t11_frame_in_parts(spark, sf):
+    """A frame of three rows that may begin in the part before."""
+    out = S.framed(_event_parts(spark, sf), 2, lambda w: {"mean": F.avg("value").over(w.rowsBetween(-2, 0))})
+    return out.select("event_id", F.round("mean", 6).alias("rolling_value"))
+
+
+def t13_asof_in_parts(spark, sf):
+    """Each click with the user's latest earlier view."""
+    events = T(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    views = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("prev_view_id"))
+    return S.asof(events.where("event_type = 'click'"), views, ["user_id"], "ts", "view_ts", ["prev_view_id"], ties=["prev_view_id"]).select(
+        "event_id", "prev_view_id")
+
+
+def t16_exact_quantiles(spark, sf):
+    """T16 with percentiles by selection, for columns whose different values are too many for one task."""
+    lines = T(spark, sf, "lineitem").select("l_quantity")
+    p25, p50, p75 = S.exact_quantiles(lines, "l_quantity", [0.25, 0.5, 0.75])
+    q = F.col("l_quantity")
+    return lines.agg(F.count(q).alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("std"), F.min(q).alias("min"),
+                     *[F.round(F.lit(v), 6).alias(name) for name, v in (("p25", p25), ("p50", p50), ("p75", p75))], F.max(q).alias("max"))
+
+
 QUERIES = {
+    "T10_scan_in_parts": (t10_scan_in_parts, FAMILIES["T10_rank_shift_cumsum"][2]),
+    "T11_frame_in_parts": (t11_frame_in_parts, FAMILIES["T11_rolling_mean"][1]),
+    "T13_asof_in_parts": (t13_asof_in_parts, FAMILIES["T13_merge_asof"][2]),
+    "T16_exact_quantiles": (t16_exact_quantiles, FAMILIES["T16_summary"][2]),
     "I1_peek": (i1_peek, I1_SQL),
     "I2_ask_with_repair": (i2_ask_with_repair, I2_SQL),
     "I3_report": (i3_report, I3_SQL),
