@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_hash, sentences
-from tessera.session import scratch_path, ship_package
+from tessera.session import pinned, scratch_path, ship_package
 
 # Fixed values that must equal the reference's for right results.
 MAX_CHUNK_CHARS = 1024
@@ -44,20 +44,25 @@ def pack_chunks(sents, max_chars: int = MAX_CHUNK_CHARS):
     sentence emits an empty first chunk. Empty input gives no chunks.
     """
     sents = F.col(sents) if isinstance(sents, str) else sents
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
-    def step(acc, s):
-        emit = F.length(acc["cur"]) + F.length(s) > max_chars
-        return F.when(
-            emit, F.struct(F.array_append(acc["out"], acc["cur"]).alias("out"), F.concat(s, F.lit(" ")).alias("cur"))
-        ).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["cur"], s, F.lit(" ")).alias("cur")))
+    def packed(texts):
+        # the fold sees lengths only and keeps the numbers of the sentences that begin a chunk; texts are sliced once
+        init = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("seen"), F.array().cast("array<int>").alias("cuts"))
 
-    def finish(acc):
-        # after any sentence ``cur`` ends with a space, so it is empty only for no sentences
-        # (testing ``sents`` here would evaluate the split a second time)
-        return F.when(F.length(acc["cur"]) > 0, F.array_append(acc["out"], acc["cur"])).otherwise(acc["out"])
+        def step(acc, size):
+            full = acc["chars"] + size > max_chars
+            return F.struct((F.when(full, 0).otherwise(acc["chars"]) + size + 1).alias("chars"), (acc["seen"] + 1).alias("seen"),
+                            F.when(full, F.array_append(acc["cuts"], acc["seen"])).otherwise(acc["cuts"]).alias("cuts"))
 
-    return F.aggregate(sents, init, step, finish)
+        cuts = F.aggregate(F.transform(texts, F.length), init, step, lambda acc: acc["cuts"])
+        begins = F.concat(F.array(F.lit(0)), cuts)
+        ends = F.concat(cuts, F.array(F.size(texts)))
+        joined = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda c: F.when(
+            c["a"] == c["b"], F.lit("")).otherwise(F.concat(F.array_join(F.slice(texts, c["a"] + 1, c["b"] - c["a"]), " "), F.lit(" "))))
+        return F.when(F.size(texts) > 0, joined).otherwise(F.when(texts.isNotNull(), F.array().cast("array<string>")))
+
+    # the lambda's argument is computed once, however often it is used
+    return F.transform(F.array(sents), packed)[0]
 
 
 # D3 ------------------------------------------------------------------------
@@ -96,7 +101,7 @@ def with_title(docs: DataFrame) -> DataFrame:
 
 # D4 / D5 -------------------------------------------------------------------
 def _first_per_hash(docs: DataFrame, text_col: str, order_col: str) -> DataFrame:
-    """Keep the first document (by ``order_col``) of each content hash.
+    """Keep the first document (by ``order_col``; one without it comes last) of each content hash.
 
     Only (hash, order) is aggregated, with a map-side combine; the hashes that
     occur more than once are joined back to drop their later documents, so
@@ -108,7 +113,7 @@ def _first_per_hash(docs: DataFrame, text_col: str, order_col: str) -> DataFrame
                          F.col("content_hash").eqNullSafe(F.col("_hash")), "left")
     once = marked.filter(F.col("_n").isNull())
     # of rows with equal hash and order one is kept
-    first = marked.filter(F.col(order_col) == F.col("_first")).dropDuplicates(["content_hash"])
+    first = marked.filter(F.col(order_col).eqNullSafe(F.col("_first"))).dropDuplicates(["content_hash"])
     return once.unionByName(first).select("content_hash", *docs.columns)
 
 
@@ -143,24 +148,29 @@ def ingest_status(new_docs: DataFrame, library_hashes: DataFrame | None, text_co
                   order_col: str = "doc_id", title_col: str = "title") -> DataFrame:
     """Per document, ``added`` or ``existing`` and the fixed message.
 
-    A document is added when it is the first of its hash in the batch and the
-    hash is not yet in the library.
+    A document is added when it is the first of its hash in the batch (one
+    without an order comes last, of equal ones one is) and the hash is not yet
+    in the library. Documents without a text are one document, which is added.
     """
-    hashed = new_docs.withColumn("content_hash", content_hash(text_col))
-    firsts = hashed.groupBy("content_hash").agg(F.min(order_col).alias("_first"))
+    # written: the number tells documents of one hash and order apart, and is used twice
+    hashed = pinned(new_docs.select(F.col(order_col).alias("_order"), F.col(title_col).alias("_title"), content_hash(text_col).alias("content_hash"),
+                                    F.monotonically_increasing_id().alias("_row")), "status")
+    place = F.struct(F.col("_order").isNull().alias("late"), "_order", "_row")
+    firsts = hashed.groupBy("content_hash").agg(F.min(place)["_row"].alias("_first"))
     if library_hashes is not None:
         known = _held(library_hashes, firsts).withColumn("_known", F.lit(True))
         firsts = firsts.join(known, "content_hash", "left")
     else:
         firsts = firsts.withColumn("_known", F.lit(None).cast("boolean"))
-    joined = hashed.join(firsts, "content_hash")
-    added = (F.col(order_col) == F.col("_first")) & F.col("_known").isNull()
+    firsts = firsts.withColumnRenamed("content_hash", "_hash")
+    joined = hashed.join(firsts, F.col("content_hash").eqNullSafe(F.col("_hash")))
+    added = (F.col("_row") == F.col("_first")) & F.col("_known").isNull()
+    text = lambda msg: F.concat(F.lit(msg[0]), F.coalesce("_title", F.lit("")), F.lit(msg[1]))
     return joined.select(
-        order_col,
+        F.col("_order").alias(order_col),
         "content_hash",
         F.when(added, F.lit("added")).otherwise(F.lit("existing")).alias("status"),
-        F.when(added, F.concat(F.lit(ADDED_MSG[0]), F.col(title_col), F.lit(ADDED_MSG[1])))
-        .otherwise(F.concat(F.lit(EXISTING_MSG[0]), F.col(title_col), F.lit(EXISTING_MSG[1]))).alias("message"),
+        F.when(added, text(ADDED_MSG)).otherwise(text(EXISTING_MSG)).alias("message"),
     )
 
 

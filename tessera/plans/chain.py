@@ -111,16 +111,29 @@ def compile_chain(steps) -> list[Step]:
     return out
 
 
+#: quoted texts, what stands between them, and a quote that nothing closes
+_LITERAL_PIECES = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""
+
+
 def compile_steps(steps: DataFrame) -> DataFrame:
     """G1 over many step tables at once, natively: trimmed fields, the option as
     ``map<string,string>`` and whether the action is known (unknown ones are
     skipped when run). A simple dict literal (string keys, scalar values) is
-    read as JSON after swapping its quotes; anything else gives a null map, and
-    ``compile_chain`` (driver side, per table) stays the exact parser."""
+    read as JSON: quotes are swapped, and words of Python changed outside quoted
+    texts only; anything else gives a null map, and ``compile_chain`` (driver
+    side, per table) stays the exact parser."""
     opt = F.trim(F.coalesce(F.col("option"), F.lit("")))
-    as_json = F.regexp_replace(opt, "'", '"')
-    for python, plain in (("True", "true"), ("False", "false"), ("None", "null")):
-        as_json = F.regexp_replace(as_json, rf"\b{python}\b", plain)
+    pieces = F.regexp_extract_all(opt, F.lit(_LITERAL_PIECES), F.lit(0))
+
+    def as_json(piece):
+        inner = F.regexp_replace(F.substr(piece, F.lit(2), F.length(piece) - 2), r"\\'", "'")
+        inner = F.regexp_replace(inner, r'(?<!\\)"', '\\\\"')
+        plain = piece
+        for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
+            plain = F.regexp_replace(plain, rf"\b{python}\b", json)
+        return F.when(piece.startswith("'"), F.concat(F.lit('"'), inner, F.lit('"'))).when(piece.startswith('"'), piece).otherwise(plain)
+
+    as_json = F.array_join(F.transform(pieces, as_json), "")
     known = F.trim("action").isin(list(ACTIONS))
     return steps.select(
         *[c for c in steps.columns if c not in ("input", "action", "option", "next_df")],

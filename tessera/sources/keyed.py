@@ -68,24 +68,24 @@ class KeyedStore:
         numbers = [r[0] for r in rows.select(self._bucket(rows)).distinct().collect()]   # at most ``buckets`` numbers
         return stored.where(F.col(BUCKET).isin(numbers)) if numbers else stored.where(F.lit(False))
 
-    def new_rows(self, rows: DataFrame, order: str | None = None) -> DataFrame:
+    def new_rows(self, rows: DataFrame, order: str | None = None, unique: bool = False) -> DataFrame:
         """What ``add`` would write: one row for each key of the batch that is not stored, the least by ``order`` (or by all
-        values). The batch is read twice: give it written."""
+        values); rows whose keys are ``unique`` are not compared. The batch is read twice: give it written."""
         columns = self.columns
         keyed = rows.select(*columns, *([order] if order and order not in columns else []), key_digest(rows, self.keys).alias(DIGEST),
                             self._bucket(rows).alias(BUCKET))
         held = F.struct(*columns)
         # partial in every task, so a key that very many rows share sends one row from each
         first = keyed.groupBy(BUCKET, DIGEST).agg((F.min_by(held, F.struct(order, *columns)) if order else F.min(held)).alias("row"))
-        new = first.select("row.*", DIGEST, BUCKET)
+        new = keyed if unique else first.select("row.*", DIGEST, BUCKET)
         stored = self._touched(rows)
         if stored is not None:
             new = new.join(stored.select(BUCKET, DIGEST), [BUCKET, DIGEST], "left_anti")
         return new.select(*columns, DIGEST, BUCKET)
 
-    def add(self, rows: DataFrame, order: str | None = None) -> None:
+    def add(self, rows: DataFrame, order: str | None = None, unique: bool = False) -> None:
         """Appends the new rows."""
-        new = self.new_rows(pinned(rows, "batch") if self._stored() is not None else rows, order)
+        new = self.new_rows(pinned(rows, "batch") if self._stored() is not None else rows, order, unique)
         new.hint("rebalance", BUCKET).write.mode("append").partitionBy(BUCKET).parquet(self.path)
 
     def read(self, rows: DataFrame | None = None) -> DataFrame:

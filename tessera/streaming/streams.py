@@ -7,7 +7,6 @@ idempotent (a micro-batch writes its own folder, or skips keys already stored).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,22 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tessera.functions.text import TOKEN_CHARS
+from tessera.functions.text import TOKEN_CHARS, content_hash
 from tessera.operators import library as L
 from tessera.operators import memory as M
-from tessera.session import pinned, read_if_there, scratch_path, ship_package
+from tessera.session import pinned, scratch_path, ship_package
 from tessera.sources.keyed import KeyedStore
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TURN_SCHEMA = "conv_id long, turn long, role string, text string"
-# partition columns are strings: inference would turn a prefix like "01" into 1
-LIBRARY_SCHEMA = ("chunk_id string, chunk_no int, text string, source string, content_hash string, "
-                  "embedding array<float>, batch string, hash_prefix string")
+LIBRARY_SCHEMA = "chunk_id string, chunk_no int, text string, source string, content_hash string, embedding array<float>"
+LIBRARY_FOLDERS = 64
+COMPACT_EVERY = 16       # micro-batches
+
+
+def library_store(spark: SparkSession, library: str) -> KeyedStore:
+    """The chunks of a library by document and number, the chunks of a document in one folder."""
+    return KeyedStore(spark, f"{library}/chunks", LIBRARY_SCHEMA, ("content_hash", "chunk_no"), ("content_hash",), LIBRARY_FOLDERS)
 
 
 def read_library(spark: SparkSession, library: str) -> DataFrame:
     """Chunk rows of a library written by ``stream_documents``."""
-    return spark.read.schema(LIBRARY_SCHEMA).parquet(f"{library}/chunks")
+    return library_store(spark, library).read()
 
 
 def _read(spark: SparkSession, path: str, schema: str, glob: str | None, max_files: int | None):
@@ -55,29 +59,23 @@ def stream_documents(spark: SparkSession, src: str, library: str, glob: str | No
     """L1: new document files -> embedded chunk library, deduplicated by content hash.
 
     Each micro-batch keeps the first document per hash, drops hashes already in
-    the library (anti-join after a semi-join that prunes the library to the
-    batch's ``hash_prefix`` partitions) and writes its chunks to its own
-    ``batch=N`` folder with overwrite, so a retried batch replaces its own output.
+    the library, of which only the folders of the batch's hashes are read, and
+    adds its chunks. A retried batch finds its documents there. Every
+    ``COMPACT_EVERY`` batches the small files are merged.
     """
     docs = _read(spark, src, DOC_SCHEMA, glob, max_files)
-    checkpoint = checkpoint or scratch_path(spark, "ckpt-docs")
-    # batch folders are named by query (stable across restarts of the same
-    # checkpoint) and batch number, so two streams into one library never clash
-    run = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    store = library_store(spark, library)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        name = f"{run}-{batch_id}"
-        stored = read_if_there(spark, f"{library}/chunks")
-        held = None if stored is None else read_library(spark, library).filter(F.col("batch") != name).select(
-            "hash_prefix", "content_hash")
+        hashes = batch.select(content_hash("text").alias("content_hash"))
         # written once: the chunks are embedded and joined to their vectors
-        new = pinned(L.chunk_documents(L.ingest_documents(L.with_title(batch), held)), "chunks")
-        new = new.join(L.embed(new, "chunk_id", "text", encoder=encoder, encoder_factory=encoder_factory),
-                       "chunk_id")
-        (new.withColumn("hash_prefix", F.substring("content_hash", 1, L.HASH_PREFIX_CHARS))
-         .write.mode("overwrite").partitionBy("hash_prefix").parquet(f"{library}/chunks/batch={name}"))
+        new = pinned(L.chunk_documents(L.ingest_documents(L.with_title(batch), store.read(hashes).select("content_hash"))), "chunks")
+        new = new.join(L.embed(new, "chunk_id", "text", encoder=encoder, encoder_factory=encoder_factory), "chunk_id")
+        store.add(new, unique=True)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            store.compact()
 
-    _run(docs.writeStream.foreachBatch(per_batch), checkpoint)
+    _run(docs.writeStream.foreachBatch(per_batch), checkpoint or scratch_path(spark, "ckpt-docs"))
 
 
 # L2 ------------------------------------------------------------------------

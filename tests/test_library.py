@@ -111,3 +111,47 @@ def test_search_with_id_list(spark):
     qs = spark.createDataFrame([(10, [0.0, 0.0])], "qid long, qvec array<float>")
     assert [h.cid for h in L.search(qs, chunks, k=5, ids=["h2"]).collect()] == [2]
     assert L.search(qs, chunks, k=5, ids=[]).collect() == []
+
+
+def plain_pack(parts, n):
+    out, cur = [], ""
+    for s in parts:
+        if len(cur) + len(s) > n:
+            out.append(cur)
+            cur = ""
+        cur += s + " "
+    return out + ([cur] if cur else [])
+
+
+def test_packing_equals_a_plain_loop(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [([r.choice(["a", "bb.", "ccc ccc.", "d" * 30, "é中."]) for _ in range(r.randint(0, 40))],) for _ in range(200)] + [(None,)]
+    df = spark.createDataFrame(rows, "s array<string>")
+    for n in (8, 25, 1024):
+        got = df.select("s", L.pack_chunks("s", n).alias("c")).collect()
+        assert all(x.c == (None if x.s is None else plain_pack(x.s, n)) for x in got)
+
+
+IDS = [(None, "same"), (None, "same"), (None, "some"), (4, "some"), (2, "some"), (2, "some"), (7, None), (None, None), (8, ""), (9, "alone")]
+
+
+def test_documents_without_ids_or_texts_are_ingested(spark):
+    docs = spark.createDataFrame([(i, t, "title") for i, t in IDS], "doc_id long, text string, title string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in L.ingest_documents(docs, None).collect()), key=str)
+    assert got == sorted([(None, "same"), (2, "some"), (7, None), (8, ""), (9, "alone")], key=str)
+    held = docs.where("text in ('same', 'alone')").select(F.md5("text").alias("content_hash"))
+    assert sorted(((r.doc_id, r.text) for r in L.ingest_documents(docs, held).collect()), key=str) == sorted([(2, "some"), (7, None), (8, "")], key=str)
+
+
+def test_every_document_has_a_status_and_one_of_each_text_is_added(spark):
+    docs = spark.createDataFrame([(i, t, "title") for i, t in IDS], "doc_id long, text string, title string").repartition(3)
+    for held in (None, docs.limit(0).select(F.md5("text").alias("content_hash"))):
+        got = L.ingest_status(docs, held).collect()
+        assert len(got) == len(IDS) and all(r.message for r in got)
+        added = sorted((str(r.doc_id), str(r.content_hash)) for r in got if r.status == "added")
+        want = sorted((str(r.doc_id), str(r.content_hash)) for r in L.ingest_documents(docs, None).collect())
+        assert added == want
+    known = L.ingest_status(docs, docs.where("text = 'some'").select(F.md5("text").alias("content_hash")))
+    assert known.where("status = 'added'").count() == 4

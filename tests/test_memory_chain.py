@@ -254,3 +254,15 @@ def test_each_prompt_of_a_session_has_the_turns_that_fit_beside_it(spark):
     got = {r["row_id"]: r["full_prompt"] for r in out.collect()}
     assert got == {1: "".join(pieces) + "p" * 4, 2: "".join(pieces[1:]) + "p" * 30, 3: pieces[3] + "p" * 60, 4: "p" * 500,
                    5: "other turn p", 6: "p", 7: "".join(pieces) + "p" * 4}
+
+
+def test_words_inside_quoted_options_stay(spark):
+    options = ["{'title': 'True North', 'on': True, 'off': False, 'none': None}", "{\"a\": \"None 'x' True\", 'b': 'it\\'s \"so\"'}",
+               "{'k': 'a, b: False'}", "{'n': 1, 'x': 0.5}", "", "{'open: 1}"]
+    steps = spark.createDataFrame([(i, "x", "user_input", o, "next") for i, o in enumerate(options)],
+                                  "step_no int, input string, action string, option string, next_df string")
+    got = {r.step_no: r.options for r in G.compile_steps(steps).collect()}
+    for i, o in enumerate(options[:5]):
+        want = {k: {True: "true", False: "false"}.get(v, v) if isinstance(v, bool) else v for k, v in G.parse_option(o).items()}
+        assert got[i] == {k: None if v is None else str(v) for k, v in want.items()}, o
+    assert got[5] is None

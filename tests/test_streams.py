@@ -76,3 +76,19 @@ def test_live_memory_from_turns_with_late_answers(spark):
     got = S.current_memory(spark.read.parquet(out)).select(*M.SESSION, "ts", "suffix_chars")
     want = M.sliding_memory(M.chat_pairs(M.conversation_turns(conv)), 120).select(*M.SESSION, "ts", "suffix_chars")
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_library_files_are_merged(spark, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(S, "COMPACT_EVERY", 3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    src, lib = scratch_path(spark, "doc-src"), scratch_path(spark, "library")
+    docs.repartition(12).write.parquet(src)
+    S.stream_documents(spark, src, lib, checkpoint=f"{lib}-ckpt", max_files=1)
+    path = S.library_store(spark, lib).path.replace("file:", "")
+    folders = glob.glob(f"{path}/bucket=*")
+    assert len(folders) <= S.LIBRARY_FOLDERS and len(glob.glob(f"{path}/bucket=*/*.parquet")) <= 12 * len(folders)
+    S.library_store(spark, lib).compact(files=1)
+    assert len(glob.glob(f"{path}/bucket=*/*.parquet")) == len(folders)
+    assert S.read_library(spark, lib).select("content_hash").distinct().count() == docs.select(F.md5("text")).distinct().count()
