@@ -1,7 +1,7 @@
 """Alignment of two tokenizations of the same text by the byte offsets at which tokens of both end.
 
-For each text, a dictionary from cumulative end to index is made for either tokenizer; the ends that both have, in ascending order, cut
-the two id lists into groups, and every slice is expanded into its links: the pairs of tokens whose byte ranges end
+Dictionaries from cumulative end to index are made for either tokenizer over a slice of texts; the ends that both have, in
+ascending order, cut the two id lists into groups, and every slice is expanded into its links: the pairs of tokens whose byte ranges end
 together. Texts stay in the task that reads them. Both encoders look up distinct pieces (``PieceEncoder``): the cuts are
 places that no token of either vocabulary crosses.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from tessera.llm.tokenfiles import ByteEncoder, PieceEncoder, public_tokenizer
 
 _SPACE_MARK = "▁"
 _PLAIN = W.byte_set(set(range(0x21, 0x7F)))                      # ASCII characters that are no white space
-CACHED = 200_000         # pieces that a worker keeps for either tokenizer
-SLICE_BYTES = 1 << 19    # texts are aligned in slices of about this size
-_ALIGNED = "struct<a:array<int>,b:array<int>,cut_a:array<int>,cut_b:array<int>,links:array<bigint>,groups_sha256:string>"
+CACHED = 150_000         # pieces that a worker keeps for either tokenizer
+SLICE_BYTES = 1 << 18    # texts are aligned in slices of about this size
+LISTS = ("a", "b", "cut_a", "cut_b", "links")
 
 
 class SentencePieces(PieceEncoder):
@@ -131,48 +132,48 @@ class Aligner:
     def code(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a.astype(np.int64) * len(self.b_bytes.by_id) + b
 
-    def slice(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
-        """(a ids, b ids, a cuts, b cuts, link codes, digest) for each text of a slice."""
-        n = len(offsets) - 1
+    def slice(self, data: np.ndarray, offsets: np.ndarray) -> "Slice":
+        """The alignment of a slice of texts; the dictionaries hold the ends of all its texts."""
         # space + text, and an empty text stays empty
-        filled = np.flatnonzero(offsets[1:] > offsets[:-1])
-        spaced = np.insert(data, offsets[filled], 0x20)
-        spaced_offsets = offsets.copy()
-        spaced_offsets[1:] += np.cumsum(offsets[1:] > offsets[:-1])
-        sides = []
+        filled = offsets[1:] > offsets[:-1]
+        spaced = np.insert(data, offsets[:-1][filled], 0x20)
+        at = offsets.copy()
+        at[1:] += np.cumsum(filled)
+        sides, same = [], np.ones(len(filled), bool)
         for encoder, table_ in ((self.a, self.a_bytes), (self.b, self.b_bytes)):
-            ids, sizes = encoder.encode(spaced, spaced_offsets)
+            ids, sizes = encoder.encode(spaced, at)
             ids = ids.astype(np.int64)
-            ends = np.cumsum(table_.width[ids])
-            last = np.cumsum(sizes)
-            total = np.concatenate([[0], ends])[np.concatenate([[0], last])]
-            sides.append((ids, ends, last - sizes, last, total, table_.joined(ids)))
-        (a, a_ends, a_first, a_last, a_total, a_joined), (b, b_ends, b_first, b_last, b_total, b_joined) = sides
-        for k in range(n):
-            own = spaced[spaced_offsets[k]:spaced_offsets[k + 1]]
-            if not len(own) or not (np.array_equal(a_joined[a_total[k]:a_total[k + 1]], own)
-                                    and np.array_equal(b_joined[b_total[k]:b_total[k + 1]], own)):
-                yield (*[np.zeros(0, np.int64)] * 5, "")
-                continue
-            mine, its = a[a_first[k]:a_last[k]], b[b_first[k]:b_last[k]]
-            yield (mine, its, *self._groups(mine, its, a_ends[a_first[k]:a_last[k]] - a_total[k], b_ends[b_first[k]:b_last[k]] - b_total[k]))
-
-    def _groups(self, a, b, a_ends, b_ends) -> tuple:
-        by_a = dict(zip(a_ends.tolist(), range(1, len(a) + 1)))  # of tokens that end together, the last
-        by_b = dict(zip(b_ends.tolist(), range(1, len(b) + 1)))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            same &= _same_texts(table_.joined(ids), np.bincount(row, table_.width[ids], len(sizes)).astype(np.int64), spaced, at)
+            sides.append((ids, row, table_.width[ids]))
+        found = []
+        for ids, row, width in sides:
+            if not same.all():
+                kept = same[row]
+                ids, row, width = ids[kept], row[kept], width[kept]
+            # one more byte between texts: a token without bytes cannot end with the text before
+            found.append((ids, row, np.cumsum(width) + row))
+        (a, row_a, ends_a), (b, row_b, ends_b) = found
+        by_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))  # of tokens that end together, the last
+        by_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
         common = list(filter(by_b.__contains__, by_a))           # ascending, as the ends were put in
         cut_a = np.fromiter(map(by_a.__getitem__, common), np.int64, len(common))
         cut_b = np.fromiter(map(by_b.__getitem__, common), np.int64, len(common))
-        links = self.code(a[cut_a - 1], b[cut_b - 1])
+        row = row_a[cut_a - 1]
+        links, n_links = self.code(a[cut_a - 1], b[cut_b - 1]), np.ones(len(common), np.int64)
         if len(by_a) < len(a) or len(by_b) < len(b):             # tokens without bytes: all that end at the cut are linked
             ends = np.array(common, np.int64)
-            from_a, from_b = np.searchsorted(a_ends, ends, "left"), np.searchsorted(b_ends, ends, "left")
+            from_a, from_b = np.searchsorted(ends_a, ends, "left"), np.searchsorted(ends_b, ends, "left")
             links = np.concatenate([self.code(np.repeat(a[i:j], y - x), np.tile(b[x:y], j - i))
                                     for i, j, x, y in zip(from_a, cut_a, from_b, cut_b)])
-        return cut_a, cut_b, links, self._digest(a, b, cut_a, cut_b)
-
-    def _digest(self, a, b, cut_a, cut_b) -> str:
-        """sha256 of ``a1,a2|b1;a3|b2``: the ids of all groups in order, a separator behind each."""
+            n_links = (cut_a - from_a) * (cut_b - from_b)
+        count = lambda rows, weights=None: np.bincount(rows, weights, len(filled)).astype(np.int64)
+        n_a, n_b, n_groups = count(row_a), count(row_b), count(row)
+        return Slice(n_a, n_b, n_groups, count(row, n_links), a, b, cut_a - (np.cumsum(n_a) - n_a)[row], cut_b - (np.cumsum(n_b) - n_b)[row],
+                     links, self._digests(a, b, cut_a, cut_b, n_a + n_b))
+
+    def _digests(self, a, b, cut_a, cut_b, n_tokens) -> list[str]:
+        """sha256 of ``a1,a2|b1;a3|b2`` for each text: the ids of all groups in order, a separator behind each."""
         group_a = np.searchsorted(cut_a, np.arange(len(a)), "right")
         group_b = np.searchsorted(cut_b, np.arange(len(b)), "right")
         at_a = np.arange(len(a)) + np.concatenate([[0], cut_b])[group_a]
@@ -185,8 +186,43 @@ class Aligner:
         wide = self.n_digits[ids]
         cells = np.concatenate([self.digits[ids], np.zeros((len(ids), 1), np.uint8)], axis=1)
         cells[np.arange(len(ids)), wide] = after
-        text = cells[np.arange(cells.shape[1]) <= wide[:, None]]
-        return hashlib.sha256(text[:-1].tobytes()).hexdigest()
+        text = cells[np.arange(cells.shape[1]) <= wide[:, None]].tobytes()
+        ends = np.concatenate([[0], np.cumsum(wide + 1)])[np.concatenate([[0], np.cumsum(n_tokens)])].tolist()
+        return [hashlib.sha256(text[i:j - 1]).hexdigest() if i < j else "" for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _same_texts(joined: np.ndarray, sizes: np.ndarray, texts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether the joined bytes of each row's tokens are its text."""
+    same = sizes == np.diff(offsets)
+    if same.all() and np.array_equal(joined, texts):
+        return same
+    first = np.cumsum(sizes) - sizes
+    for k in np.flatnonzero(same).tolist():
+        same[k] = np.array_equal(joined[first[k]:first[k] + sizes[k]], texts[offsets[k]:offsets[k + 1]])
+    return same
+
+
+class Slice(NamedTuple):
+    """Numbers for each text, and the lists of all texts one after another."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    cut_a: np.ndarray
+    cut_b: np.ndarray
+    links: np.ndarray
+    groups_sha256: list[str]
+
+    def arrow(self, lists: tuple[str, ...]) -> pa.StructArray:
+        sizes = {"a": self.n_a, "b": self.n_b, "cut_a": self.n_groups, "cut_b": self.n_groups, "links": self.n_links}
+        columns = [pa.array(x) for x in self[:4]]
+        for name in lists:
+            offsets = np.concatenate([[0], np.cumsum(sizes[name])]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(getattr(self, name), pa.int64() if name == "links" else pa.int32())))
+        return pa.StructArray.from_arrays([*columns, pa.array(self.groups_sha256, pa.string())], names=[*self._fields[:4], *lists, "groups_sha256"])
 
 
 _ALIGNERS: dict[bytes, Aligner] = {}
@@ -207,34 +243,28 @@ def public_model(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
-def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
-    sizes = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), kind))
-
-
 def align(docs: DataFrame, json: str, model: bytes, text: str = "text", into: str = "alignment",
-          keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with a struct ``into`` (see ``free_name``): ids ``a`` and ``b``; the index after the
-    last id of each group in either list, ``cut_a`` and ``cut_b``; the ``links`` as a id * size of the b vocabulary + b id;
-    ``groups_sha256``."""
+          keep: list[str] | None = None, lists: tuple[str, ...] = LISTS) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``into`` (see ``free_name``): n_a, n_b, n_groups, n_links,
+    groups_sha256, and the ``lists`` asked for: ids ``a`` and ``b``; the index after the last id of each group in either,
+    ``cut_a`` and ``cut_b``; the ``links`` as a id * size of the b vocabulary + b id."""
     files = docs.sparkSession.sparkContext.broadcast((json, model))   # two tokenizer files, whose size does not grow
     keep = docs.columns if keep is None else keep
     into, given = free_name(docs, into), free_name(docs, "given_text")
-    fields = pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("cut_a", pa.list_(pa.int32())),
-                        ("cut_b", pa.list_(pa.int32())), ("links", pa.list_(pa.int64())), ("groups_sha256", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = aligner(*files.value)
         for batch in batches:
             kept = batch.select(keep)
-            for first, data, offsets in W.slices(batch.column(given), SLICE_BYTES):   # a slice's lists go on before the next is worked on
-                rows = list(made.slice(data, offsets))
-                lists = [_lists([r[k] for r in rows], fields[k].type.value_type) for k in range(5)]
-                found = pa.StructArray.from_arrays([*lists, pa.array([r[5] for r in rows], pa.string())], fields=list(fields))
-                yield pa.RecordBatch.from_arrays([*kept.slice(first, len(rows)).columns, found], names=[*keep, into])
+            for first, data, offsets in W.slices(batch.column(given), SLICE_BYTES):   # a slice goes on before the next is worked on
+                found = made.slice(data, offsets).arrow(lists)
+                yield pa.RecordBatch.from_arrays([*kept.slice(first, len(found)).columns, found], names=[*keep, into])
 
+    numbers = [f"{x}:bigint" for x in Slice._fields[:4]]
+    kinds = [f"{x}:array<{'bigint' if x == 'links' else 'int'}>" for x in lists]
+    struct = DataType.fromDDL(f"struct<{','.join([*numbers, *kinds, 'groups_sha256:string'])}>")
     rows = docs.select(*keep, F.col(text).cast("string").alias(given))
-    return rows.mapInArrow(cut, StructType([*[docs.schema[c] for c in keep], StructField(into, DataType.fromDDL(_ALIGNED))]))
+    return rows.mapInArrow(cut, StructType([*[docs.schema[c] for c in keep], StructField(into, struct)]))
 
 
 def link_counts(links: DataFrame, column: str = "links") -> DataFrame:
@@ -282,10 +312,6 @@ def score_links(aligned: DataFrame, counts: DataFrame, json: str, model: bytes,
 def op11(spark, sf_dir: str) -> DataFrame:
     json, model = public_tokenizer(), public_model()
     docs = table(spark, sf_dir, "documents")
-    x = F.col("alignment")
-    size = lambda name: F.size(x[name]).cast("bigint")
-    aligned = pin(align(docs, json, model, keep=["doc_id"]).select(
-        "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), size("cut_a").alias("n_groups"), size("links").alias("n_links"),
-        x["links"].alias("links"), x["groups_sha256"].alias("groups_sha256")), "aligned")
+    aligned = pin(align(docs, json, model, keep=["doc_id"], lists=("links",)).select("doc_id", "alignment.*"), "aligned")
     scored = score_links(aligned, link_counts(aligned), json, model)
     return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "link_scores.n_best", "link_scores.count_sum", "groups_sha256")

@@ -67,10 +67,17 @@ def digest(groups):
     return hashlib.sha256(";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups).encode()).hexdigest()
 
 
+def by_text(found):
+    """(a, b, cut_a, cut_b, links, digest) of each text of a slice."""
+    cut = lambda flat, sizes: np.split(flat, np.cumsum(sizes)[:-1])
+    return zip(cut(found.a, found.n_a), cut(found.b, found.n_b), cut(found.cut_a, found.n_groups), cut(found.cut_b, found.n_groups),
+               cut(found.links, found.n_links), found.groups_sha256)
+
+
 def test_slices_equal_whole_texts():
     plain, made = Plain(), crosstoken.aligner(public_tokenizer(), crosstoken.public_model())
     texts = random_texts(1500) + [x[1] for x in rows()]
-    got = [r for _, data, offsets in W.slices(pa.array(texts)) for r in made.slice(data, offsets)]
+    got = [r for _, data, offsets in W.slices(pa.array(texts), 3000) for r in by_text(made.slice(data, offsets))]
     refused = 0
     for text, (a, b, cut_a, cut_b, links, sha) in zip(texts, got, strict=True):
         groups, pairs = plain(text)
@@ -110,13 +117,23 @@ def test_empty_tables_and_extra_columns(spark):
     assert kept.columns == [*edge_docs(spark).columns, "alignment"] and kept.count() == len(rows())
 
 
-def test_tokens_without_bytes_are_linked_with_all_that_end_there():
-    made = crosstoken.aligner(public_tokenizer(), crosstoken.public_model())
-    a, b = np.array([5, 6, 7]), np.array([8, 9, 10])
-    cut_a, cut_b, links, sha = made._groups(a, b, np.array([1, 3, 3]), np.array([2, 3, 3]))
-    assert cut_a.tolist() == [3] and cut_b.tolist() == [3]
-    assert sorted(links.tolist()) == sorted(i * 32000 + j for i in (6, 7) for j in (9, 10))
-    assert sha == hashlib.sha256(b"5,6,7|8,9,10").hexdigest()
+def test_tokens_without_bytes_are_linked_with_all_that_end_there(monkeypatch):
+    made = crosstoken.Aligner(public_tokenizer(), crosstoken.public_model())
+
+    def encoder(ids, sizes):
+        return type("E", (), {"encode": lambda self, data, offsets: (np.array(ids), np.array(sizes))})()
+
+    # ' ab' twice; the second b side has a token without bytes at its front and one at its end
+    one = {x: made.a_bytes.by_id.index(x) for x in (b" ", b"a", b"b")}
+    two = {x: made.b_bytes.by_id.index(x) for x in (b" a", b"b", b"")}
+    made.a, made.b = encoder([one[b" "], one[b"a"], one[b"b"]] * 2, [3, 3]), encoder([two[b" a"], two[b"b"], two[b""], two[b" a"], two[b"b"], two[b""]], [2, 4])
+    first, second = by_text(made.slice(np.frombuffer(b"abab", np.uint8), np.array([0, 2, 4])))
+    assert first[2].tolist() == [2, 3] and first[3].tolist() == [1, 2]
+    assert second[2].tolist() == [2, 3] and second[3].tolist() == [2, 4]
+    code = lambda x, y: one[x] * 32000 + two[y]
+    assert second[4].tolist() == [code(b"a", b" a"), code(b"b", b"b"), code(b"b", b"")]
+    groups = [([one[b" "], one[b"a"]], [two[b""], two[b" a"]]), ([one[b"b"]], [two[b"b"], two[b""]])]
+    assert second[5] == digest(groups)
 
 
 def test_a_very_long_text_is_one_row(spark):
