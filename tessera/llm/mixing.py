@@ -9,9 +9,13 @@ is one aggregate over the sources that tries ``CUTS`` - 1 inner points at once.
 source's documents follow in a hashed order, anew in every epoch, until its quota of tokens is used; equal parts of all
 quotas make a block, and a block is a permutation by another hash. Tokens: words ``[^\\x20\\x09-\\x0D]+`` and one end.
 
-Running sums are taken over hash ranges of a source first, then inside a range, so a source of any size is spread over
-many tasks. A null source counts as an empty one, a null text as empty; a null id is hashed as an empty one; rows with
-equal ids have equal places in the order. An empty table gives an empty one.
+Running sums are taken in parts of a source's order (``scans``), so a source of any size is spread over many tasks. The
+order is by the hash of id and text, then by the number a row got when the rows were first written: also rows with
+equal ids, or none, have places of their own, and ``mix`` returns the very rows of the plan. An explicit budget may
+repeat a source more often than ``max_repeats`` allows the weights alone.
+
+A null source counts as an empty one, a null text as empty; a null id is hashed as an empty one. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name, pin, table
+from tessera.operators.scans import in_parts, running
 
 TARGET_ENTROPY = 0.998
 MAX_REPEATS = 1.5
@@ -29,7 +34,6 @@ BLOCK_TOKENS = 1 << 18
 SEED = 17
 CUTS = 32
 ROUNDS = 6
-_RANGE_ROWS = 500        # rows of a source that share a hash range, about
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -73,55 +77,59 @@ def source_weights(sources: DataFrame, exponent: float, budget: int | None = Non
                            (quota / F.col("tokens")).alias("repeats"))
 
 
-def _narrow(docs: DataFrame, id_column: str, source: str, text: str) -> DataFrame:
+def _narrow(docs: DataFrame, id_column: str, source: str, text: str, row) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-                       n_tokens(text).alias("n_tokens"))
+                       n_tokens(text).alias("n_tokens"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("digest"), row.alias("row"))
+
+
+def _key(seed: int, epoch, id_, digest) -> Column:
+    return _hashed(F.lit(seed), epoch, id_, digest)
 
 
 def mixing_plan(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text",
                 target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget: int | None = None,
-                block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(one row per chosen copy: id, source, n_tokens, epoch, key, block, position; the table of weights)."""
-    rows = pin(_narrow(docs, id_column, source, text), "mixing")
-    counted = pin(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
-    exponent = find_exponent(counted.select("source", "tokens"), target_entropy, max_repeats)
-    weights = pin(source_weights(counted.select("source", "tokens"), exponent, budget).withColumn("exponent", F.lit(exponent)),
-                  "weights")
-    most, dealt = counted.agg(F.max("rows")).head()[0] or 0, weights.agg(F.sum("quota")).head()[0] or 0
+                block_tokens: int = BLOCK_TOKENS, seed: int = SEED, row_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row per chosen copy: id, source, n_tokens, epoch, key, row, block, position; the table of weights).
+
+    ``row_column`` numbers the rows of a written table; without it they are numbered here.
+    """
+    row = F.col(row_column) if row_column else F.monotonically_increasing_id()
+    rows = pin(_narrow(docs, id_column, source, text, row), "mixing")
+    counted = pin(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
+    exponent = find_exponent(counted, target_entropy, max_repeats)
+    weights = pin(source_weights(counted, exponent, budget).withColumn("exponent", F.lit(exponent)), "weights")
+    dealt = weights.agg(F.sum("quota")).head()[0] or 0
     blocks = max(1, -(-dealt // block_tokens))
-    digits = min(4, max(1, math.ceil(math.log(max(most / _RANGE_ROWS, 1), 16))))
     epochs = F.expr("sequence(0L, greatest(cast(ceil(quota / tokens) as bigint), 1L) - 1L)")
     copies = rows.join(weights.select("source", "tokens", "quota"), "source").withColumn("epoch", F.explode(epochs)) \
-        .withColumn("key", _hashed(F.lit(seed), F.col("epoch"), F.col("id"))) \
-        .withColumn("range", F.substring("key", 1, digits))
-    ranges = copies.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("sum"))
-    earlier = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before_range", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).drop("sum")
-    inside = Window.partitionBy("source", "epoch", "range").orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = copies.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))) \
-        .join(ranges, ["source", "epoch", "range"]) \
-        .withColumn("start", F.col("epoch") * F.col("tokens") + F.col("before_range") + F.col("before")) \
+        .withColumn("key", _key(seed, F.col("epoch"), F.col("id"), F.col("digest"))).drop("digest")
+    parts = in_parts(copies, ["source", "epoch"], ["key", "n_tokens", "row"])
+    placed = running(parts, {"before": ("sum", "n_tokens")}, current=False) \
+        .withColumn("start", F.col("epoch") * F.col("tokens") + F.coalesce("before", F.lit(0))) \
         .where("start < quota") \
         .withColumn("block", F.least(F.floor(F.col("start") * (F.lit(float(blocks)) / F.col("quota"))), F.lit(blocks - 1)).cast("bigint"))
-    order = Window.partitionBy("block").orderBy(_hashed(F.lit(seed), F.lit("block"), F.col("epoch"), F.col("id")), "n_tokens")
+    order = Window.partitionBy("block").orderBy(_hashed(F.lit(seed), F.lit("block"), F.col("epoch"), F.col("id")), "n_tokens", "key", "row")
     return placed.withColumn("position", F.row_number().over(order).cast("bigint")).select(
-        "id", "source", "n_tokens", "epoch", "key", "block", "position"), weights
+        "id", "source", "n_tokens", "epoch", "key", "row", "block", "position"), weights
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, **limits) -> DataFrame:
     """``docs`` with every row as often as the plan says (not in block order).
 
-    Texts are not sent by the plan: in an epoch that is cut, a source keeps the rows whose key is at most its last one.
+    The rows are written once with their numbers. Texts are not sent by the plan: in an epoch that is cut, a source keeps
+    the rows up to its last one.
     """
-    plan, weights = mixing_plan(docs, id_column, source, text, seed=seed, **limits)
-    last = plan.groupBy("source").agg(F.max(F.struct("epoch", "key")).alias("last"))
-    source_key, epoch, cut = free_name(docs, "_source"), free_name(docs, "_epoch"), free_name(docs, "_last")
+    row, source_key, epoch, cut = (free_name(docs, x) for x in ("_row", "_source", "_epoch", "_last"))
+    tagged = pin(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan, _ = mixing_plan(tagged, id_column, source, text, seed=seed, row_column=row, **limits)
+    last = plan.groupBy("source").agg(F.max(F.struct("epoch", "key", "n_tokens", "row")).alias("last"))
     # written first, so that the join knows its size: one row for each source is sent to the texts while that is small
     cuts = pin(last.select(F.col("source").alias(source_key), F.col("last").alias(cut)), "cuts")
-    tagged = docs.withColumn(source_key, F.coalesce(F.col(source).cast("string"), F.lit("")))
-    copies = tagged.join(cuts, source_key).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(cut)["epoch"])))
-    key = _hashed(F.lit(seed), F.col(epoch), F.col(id_column))
-    return copies.where((F.col(epoch) < F.col(cut)["epoch"]) | (key <= F.col(cut)["key"])).select(*docs.columns)
+    known = tagged.withColumn(source_key, F.coalesce(F.col(source).cast("string"), F.lit("")))
+    copies = known.join(cuts, source_key).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(cut)["epoch"])))
+    key = _key(seed, F.col(epoch), F.col(id_column), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    place = F.struct(F.col(epoch).alias("epoch"), key.alias("key"), n_tokens(text).alias("n_tokens"), F.col(row).alias("row"))
+    return copies.where((F.col(epoch) < F.col(cut)["epoch"]) | (place <= F.col(cut))).select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -152,7 +160,8 @@ def _key_sql(*parts: str) -> str:
 OP6_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS source,
-    cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens FROM documents),
+    cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS BIGINT) AS n_tokens,
+    md5(coalesce(text, '')) AS digest FROM documents),
 s AS (SELECT source, cast(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
 facts AS (SELECT sum(tokens) AS total, cast(max(tokens) AS DOUBLE) AS largest, cast(min(tokens) AS DOUBLE) AS least, count(*) AS n FROM s),
 shares AS (SELECT source, tokens, tokens / cast(total AS DOUBLE) AS p FROM s, facts),{_rounds_sql()},
@@ -161,7 +170,7 @@ sums AS (SELECT sum(raw) AS z, max(tokens / raw) AS need FROM raw),
 w AS (SELECT source, tokens, raw / z AS weight, cast(floor(raw / z * (need * z) + 0.5) AS BIGINT) AS quota FROM raw, sums),
 blocks AS (SELECT greatest(1, cast(ceil(sum(quota) / {BLOCK_TOKENS}) AS BIGINT)) AS n_blocks FROM w),
 copies AS (
-  SELECT *, {_key_sql(str(SEED), 'epoch', 'doc_id')} AS key
+  SELECT *, {_key_sql(str(SEED), 'epoch', 'doc_id', 'digest')} AS key
   FROM (SELECT d.*, tokens, quota, weight,
           unnest(range(0, greatest(cast(ceil(quota / cast(tokens AS DOUBLE)) AS BIGINT), 1))) AS epoch
         FROM d JOIN w USING (source))),
@@ -172,7 +181,7 @@ dealt AS (
   SELECT *, cast(least(floor(start * (cast(n_blocks AS DOUBLE) / quota)), n_blocks - 1) AS BIGINT) AS block
   FROM placed, blocks WHERE start < quota)
 SELECT doc_id, source, n_tokens, cast(epoch AS BIGINT) AS epoch, block,
-  row_number() OVER (PARTITION BY block ORDER BY {_key_sql(str(SEED), "'block'", 'epoch', 'doc_id')}, n_tokens) AS position,
+  row_number() OVER (PARTITION BY block ORDER BY {_key_sql(str(SEED), "'block'", 'epoch', 'doc_id')}, n_tokens, key) AS position,
   round(weight, 9) AS weight
 FROM dealt
 """
