@@ -131,6 +131,8 @@ class RegexRenderer:
 
     def __init__(self, dialect: str = "java"):
         self.many = "*+" if dialect == "java" else "*"
+        # a possessive run keeps the alternative it took first: it must be one that ends at a comma or at the list's end
+        self.ended = r"(?=[,\]])" if dialect == "java" else ""
         self.primitives = PRIMITIVES | ({"string": JAVA_STRING} if dialect == "java" else {})
 
     def render(self, node) -> str:
@@ -150,7 +152,7 @@ class RegexRenderer:
 
     def listed(self, node: Listed) -> str:
         element = self.render(node.element)
-        further = _group([self.mark(",") + element]) + self.many
+        further = _group([self.mark(",") + element + self.ended]) + self.many
         return self.mark("[") + _group([element + further]) + "?" + self.mark("]")
 
     def fields(self, node: Fields) -> str:
@@ -200,7 +202,7 @@ _SPARK_TYPES = {"boolean": "boolean", "integer": "bigint", "number": "double"}
 
 
 def spark_type(node) -> str:
-    """The Spark type of a node; alternatives, fixed texts, strings and nulls stay text."""
+    """The Spark type of a node; fixed texts, strings and nulls are text, alternatives a branch number and a variant."""
     match node:
         case Fields(members):
             return "struct<" + ", ".join(f"`{name}`: {spark_type(value)}" for name, value in members) + ">"
@@ -208,6 +210,8 @@ def spark_type(node) -> str:
             return f"array<{spark_type(element)}>"
         case Plain(kind):
             return _SPARK_TYPES.get(kind, "string")
+        case Either():
+            return "struct<branch: int, value: variant>"
     return "string"
 
 
@@ -216,10 +220,66 @@ def schema_ddl(schema, prop_order: dict | None = None) -> str:
     return spark_type(read_schema(schema, prop_order))
 
 
+def has_alternatives(node) -> bool:
+    match node:
+        case Either():
+            return True
+        case Listed(element):
+            return has_alternatives(element)
+        case Fields(members):
+            return any(has_alternatives(value) for _, value in members)
+    return False
+
+
+def _value(text: Column, kind: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(text), "$", kind)
+
+
+def _branch(node: Either, text: Column) -> Column:
+    """The number of the first alternative whose regex the text follows."""
+    found = F.lit(None).cast("int")
+    for i, branch in reversed(list(enumerate(node.branches))):
+        found = F.when(text.rlike(full_match_pattern(RegexRenderer().render(branch))), F.lit(i)).otherwise(found)
+    return found
+
+
+def _typed(node, text: Column) -> Column:
+    """The value of a text that follows the node; parts are cut out of the text itself, so nothing is written anew."""
+    render = RegexRenderer()
+    match node:
+        case Either():
+            return F.struct(_branch(node, text).alias("branch"), F.try_parse_json(text).alias("value"))
+        case Fields(members):
+            # one capturing group for each member; all other groups of the pattern do not capture
+            parts = [render.mark(json.dumps(name)) + render.mark(":") + "(" + render.render(value) + ")" for name, value in members]
+            whole = full_match_pattern(render.mark("{") + render.mark(",").join(parts) + render.mark("}"))
+            return F.struct(*[_typed(value, F.regexp_extract(text, whole, i)).alias(name) for i, (name, value) in enumerate(members, 1)])
+        case Listed(element):
+            inner = F.regexp_replace(text, r"^\[[ ]?|\][ ]?\z", "")
+            one = "(" + render.render(element) + r")(?:,[ ]?|\z)"
+            return F.transform(F.regexp_extract_all(inner, F.lit(one), F.lit(1)), lambda t: _typed(element, t))
+        case Plain(kind):
+            return F.lit(None).cast("string") if kind == "null" else _value(text, spark_type(node))
+    return F.coalesce(_value(text, "string"), F.trim(text))       # fixed texts: a string's characters, else the JSON text
+
+
 def parse_guided(df: DataFrame, c: str, schema, prop_order: dict | None = None, into: str = "parsed") -> DataFrame:
-    """Typed parse of the texts that conform; others get null."""
-    ddl = schema_ddl(schema, prop_order)
-    return df.withColumn(into, F.when(conforms(c, schema, prop_order), F.from_json(F.col(c), ddl)))
+    """Typed parse of the texts that conform; others get null.
+
+    A value with alternatives becomes a struct of ``branch``, the number of the first alternative that the text follows,
+    and ``value``, a variant; ``alternative`` gives it the branch's type.
+    """
+    node = read_schema(schema, prop_order)
+    parsed = _typed(node, F.col(c)) if has_alternatives(node) else F.from_json(F.col(c), spark_type(node))
+    return df.withColumn(into, F.when(conforms(c, schema, prop_order), parsed))
+
+
+def alternative(parsed: Column, schema, branch: int) -> Column:
+    """The value of a parsed alternative as the type of its branch, null where another branch was taken. ``schema`` is the
+    part of the schema that lists the alternatives."""
+    node = read_schema(schema)
+    kind = spark_type(node.branches[branch])
+    return F.when(parsed["branch"] == branch, F.try_variant_get(parsed["value"], "$", kind))
 
 
 # J3 ------------------------------------------------------------------------

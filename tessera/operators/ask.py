@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import TRUNCATE_MARKER
 from tessera.operators.statements import NotAQuery, run_query
-from tessera.session import read_if_there
+from tessera.session import pinned, read_if_there
 
 # Fixed values that must equal the reference's for right results.
 FAILED_MSG = "Failed to process your request in a valid expression after several attempts."
@@ -82,12 +82,17 @@ def ask(spark: SparkSession, statement, repair=None, attempts: int = MAX_ATTEMPT
 
 
 # I4 ------------------------------------------------------------------------
-def nunique(df: DataFrame) -> DataFrame:
-    """I4: distinct non-null values per column, one row per column (``stack``)."""
-    cols = df.columns
-    wide = df.agg(*[F.countDistinct(F.col(c)).alias(c) for c in cols])
-    pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
-    return wide.selectExpr(f"stack({len(cols)}, {pairs}) AS (column_name, n_distinct)")
+def nunique(df: DataFrame, written: bool = False) -> DataFrame:
+    """I4: distinct non-null values per column, one row per column.
+
+    Each column is counted alone, over a scan of that column: rows are not multiplied by columns, and what is shuffled is a
+    task's distinct values. A table that is not ``written`` is written first, so that it is computed once.
+    """
+    from functools import reduce
+
+    rows = df if written else pinned(df, "counted")
+    counts = [rows.agg(F.countDistinct(F.col(f"`{c}`")).alias("n_distinct")).select(F.lit(c).alias("column_name"), "n_distinct") for c in df.columns]
+    return reduce(DataFrame.unionByName, counts)
 
 
 # I3 ------------------------------------------------------------------------
@@ -97,14 +102,14 @@ def markdown_table(columns, rows) -> str:
     return head + "".join("| " + " | ".join(str(v) for v in r) + " |\n" for r in rows)
 
 
-def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS) -> dict:
+def report(df: DataFrame, statement: str, name: str, n: int = PEEK_ROWS, written: bool = False) -> dict:
     """Statement, saved name, record count, first rows and distinct counts.
 
     Everything returned to the driver is bounded: one count, ``n`` rows and one
     number per column.
     """
     rows = [r.asDict() for r in df.limit(n).collect()]
-    counts = {r["column_name"]: r["n_distinct"] for r in nunique(df).collect()}
+    counts = {r["column_name"]: r["n_distinct"] for r in nunique(df, written).collect()}
     n_records = df.count()
     table = markdown_table(df.columns, [list(r.values()) for r in rows])
     text = REPORT_TEXT.format(statement=statement, name=name, n=n, table=table, records=n_records)
@@ -136,7 +141,7 @@ def answer(spark: SparkSession, statement: str, save_to: str, repair=None, attem
         try:
             run_query(spark, stmt, views).write.parquet(path)
             saved = spark.read.parquet(path)
-            return value_text(saved, stmt) or report(saved, stmt, "last_result")["text"], path
+            return value_text(saved, stmt) or report(saved, stmt, "last_result", written=True)["text"], path
         except Exception as problem:  # noqa: BLE001 - whatever the statement does is its own fault
             if repair is None or i + 1 >= attempts:
                 break

@@ -8,6 +8,7 @@ after are native columns, so rows over the budget never reach the model.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from tessera.functions.guided import conforms
 from tessera.functions.text import TOO_LONG_MSG, count_tokens, cut_completion
 
+log = logging.getLogger(__name__)       # in the workers: their standard error
+
 # Fixed values that must equal the reference's for right results.
 DEFAULT_MAX_LENGTH = 128
 DEFAULT_CONTEXT = 4096
@@ -78,11 +81,13 @@ def _udf(completer_factory: Callable[[], Callable[..., list[str]]], options: dic
             try:
                 done = list(model(texts, **given)) if texts else []
             except Exception:  # noqa: BLE001 - fall back to one prompt at a time
+                log.warning("model failed on %d prompts; each is tried alone", len(texts), exc_info=True)
                 done = []
                 for t in texts:
                     try:
                         done.append(model([t], **given)[0])
                     except Exception:  # noqa: BLE001
+                        log.warning("model failed on a prompt of %d characters", len(t), exc_info=True)
                         done.append(COMPLETION_ERROR)
             out = pd.Series([None] * len(prompts), index=prompts.index, dtype="object")
             out[todo] = done

@@ -145,7 +145,8 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
     Dropping the earliest turns until the rest fits keeps exactly the turns whose
     newest-first running length stays within the budget. With ``prompts``
     (``user_id, session_id, prompt``) the tagged prompt counts against it too.
-    Returns the kept turns with ``suffix_chars`` (history length from that turn on).
+    Returns the kept turns with ``suffix_chars`` (history length from that turn on);
+    with ``prompts`` once for each prompt of the session, with the prompt's other columns.
     """
     cost = turn_cost()
     # Every turn costs at least 2 characters, so at most budget/2 + 1 of the
@@ -160,7 +161,8 @@ def sliding_memory(turns: DataFrame, max_tok: float, prompts: DataFrame | None =
                      .cast("bigint")).drop("_rn")
     extra = F.lit(0)
     if prompts is not None:
-        t = t.join(prompts.select(*SESSION, F.length(F.concat(F.lit(user_tag), "prompt", F.lit(assistant_tag)))
+        other = [c for c in prompts.columns if c not in (*SESSION, "prompt", *t.columns)]
+        t = t.join(prompts.select(*SESSION, *other, F.length(F.concat(F.lit(user_tag), F.coalesce("prompt", F.lit("")), F.lit(assistant_tag)))
                                   .alias("_pl")), SESSION, "left")
         extra = F.coalesce(F.col("_pl"), F.lit(0))
     return t.filter((F.col("suffix_chars") + extra) / F.lit(TOKEN_CHARS) <= F.lit(float(max_tok))).drop("_pl")

@@ -184,7 +184,7 @@ FAMILIES = {
 
 
 def t1_nunique(spark, sf):
-    return A.nunique(T(spark, sf, "customer"))
+    return A.nunique(T(spark, sf, "customer"), written=True)
 
 
 T1_SQL = " UNION ALL ".join(

@@ -201,6 +201,7 @@ def i2_chain_repair(spark, sf):
     pick = F.pmod(F.floor(F.col("row_id") / 1000), F.lit(3))
     prompts = _prompts(spark, sf).withColumn("prompt", F.when(pick == 0, _GOOD).when(pick == 1, _BAD).otherwise(_WORSE))
     ctx = _ctx(spark)
+    ctx.views = ("lineitem",)
     ctx.repair = lambda statement, error: statement.replace("l_missing", "*")
     out = G.run_chain(prompts, [("{full_prompt}", "execute_df_expression", "", "next")], ctx)
     return out.select("row_id", "result")
@@ -219,7 +220,9 @@ def i3_report_text(spark, sf):
     register_tables(spark, sf, ["lineitem"])
     prompts = T(spark, sf, "region").select(F.col("r_regionkey").alias("row_id"), F.lit("u").alias("user_id"), F.col("r_name").alias("session_id"),
                                             F.lit(_TABLE).alias("prompt"))
-    out = G.run_chain(prompts, [("{full_prompt}", "execute_df_expression", "", "next")], _ctx(spark))
+    ctx = _ctx(spark)
+    ctx.views = ("lineitem",)
+    out = G.run_chain(prompts, [("{full_prompt}", "execute_df_expression", "", "next")], ctx)
     return out.select("row_id", "result")
 
 

@@ -247,6 +247,22 @@ J4_SQL = (f"WITH {_D_VARIANTS} SELECT event_type, variant, count_if(json_valid(t
           f"count_if(NOT coalesce(json_valid(text), false) AND NOT {_d_full('text', K_RX)})::BIGINT AS n_neither, "
           "count(*) AS n FROM v GROUP BY ALL")
 
+_CHOICE = {"oneOf": [{"type": "object", "properties": {"k": {"type": "integer"}}}, {"type": "number"}, {"type": "null"}]}
+
+
+def j2_alternatives(spark, sf):
+    """Texts that are an object, a number, null or none of these, typed by the alternative they follow."""
+    text = F.expr("CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN cast(event_id * 0.5 AS string) WHEN 2 THEN 'null' ELSE concat(props, ',') END")
+    p = G.parse_guided(T(spark, sf, "events").select("event_id", text.alias("t")), "t", _CHOICE)
+    c = F.col("parsed")
+    return p.select("event_id", c["branch"].alias("branch"), G.alternative(c, _CHOICE, 0)["k"].alias("k"), G.alternative(c, _CHOICE, 1).alias("x"))
+
+
+J2_ALTERNATIVES_SQL = f"""SELECT event_id,
+  CASE event_id % 4 WHEN 0 THEN CASE WHEN {_d_full('props', K_RX)} THEN 0 END WHEN 1 THEN 1 WHEN 2 THEN 2 END AS branch,
+  CASE WHEN event_id % 4 = 0 AND {_d_full('props', K_RX)} THEN json_extract(props, '$.k')::BIGINT END AS k,
+  CASE WHEN event_id % 4 = 1 THEN event_id * 0.5::DOUBLE END AS x FROM events"""
+
 QUERIES = {
     "B1_count_tokens": (b1_count_tokens, B1_SQL),
     "B2_budget_gate": (b2_budget_gate, B2_SQL),
@@ -264,6 +280,7 @@ QUERIES = {
     "B14_as_text": (b14_as_text, B14_SQL),
     "J1_conforms": (j1_conforms, J1_SQL),
     "J2_parse_guided": (j2_parse_guided, J2_SQL),
+    "J2_alternatives": (j2_alternatives, J2_ALTERNATIVES_SQL),
     "J3_named_formats": (j3_named_formats, J3_SQL),
     "J4_conformance_stats": (j4_conformance_stats, J4_SQL),
 }

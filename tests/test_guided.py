@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import guided as G
 
@@ -31,7 +32,7 @@ def test_shipped_student_format_wants_name_order(spark):
 def test_types_of_nodes():
     schema = {"type": "object", "properties": {"b": {"type": "array", "items": {"type": "integer"}}, "a": {"enum": [1, "x"]},
                                                "c": {"anyOf": [{"type": "null"}, PARCEL]}, "d": PARCEL}}
-    assert G.schema_ddl(schema) == ("struct<`a`: string, `b`: array<bigint>, `c`: string, "
+    assert G.schema_ddl(schema) == ("struct<`a`: string, `b`: array<bigint>, `c`: struct<branch: int, value: variant>, "
                                     "`d`: struct<`fragile`: boolean, `grams`: double, `to`: string>>")
     assert G.schema_ddl(schema, {"d": 0}).startswith("struct<`d`")
 
@@ -87,3 +88,32 @@ def test_named_formats(spark):
         got = {r.i: r.ok for r in df.filter(df.fmt == name)
                .select("i", G.conforms("t", regex=G.named_regex(name)).alias("ok")).collect()}
         assert got == {0: True, 1: False}, name
+
+
+CHOICE = {"oneOf": [{"type": "object", "properties": {"k": {"type": "integer"}, "t": {"type": "string"}}}, {"type": "integer"},
+                    {"type": "number"}, {"type": "null"}, {"enum": ["on", 5.0]}]}
+
+
+def test_alternatives_pick_their_branch(spark):
+    texts = ['{"k": 3, "t": "a, \\"b\\""}', "7", "-2.50", "null", '"on"', "5.0", '"off"', '{"t": "x", "k": 3}', "", None, "7 ", '{"k":3,"t":"]"}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = G.parse_guided(df, "t", CHOICE)
+    p = F.col("parsed")
+    got = out.select("i", p["branch"].alias("b"), G.alternative(p, CHOICE, 0).alias("o"), G.alternative(p, CHOICE, 1).alias("n"),
+                     G.alternative(p, CHOICE, 2).alias("x"), G.alternative(p, CHOICE, 4).alias("e")).orderBy("i").collect()
+    assert [r.b for r in got] == [0, 1, 2, 3, 4, 2, None, None, None, None, 1, 0]
+    assert (got[0].o.k, got[0].o.t) == (3, 'a, "b"') and got[11].o.t == "]" and got[1].n == 7 and got[2].x == -2.5 and got[4].e == "on"
+    assert got[1].x is None and got[3].o is None
+
+
+def test_alternatives_inside_objects_and_lists(spark):
+    schema = {"type": "object", "properties": {"a": {"type": "array", "items": CHOICE}, "b": {"anyOf": [{"type": "boolean"}, {"type": "string"}]},
+                                               "c": {"const": "fix"}, "z": {"type": "array", "items": {"type": "array", "items": {"type": "integer"}}}}}
+    texts = ['{"a": [1, 2.5,null, {"k": 1, "t": "x,]"}, "on"], "b": "true", "c": "fix", "z": [[1, 2],[]]}',
+             '{"a": [], "b": true, "c": "fix", "z": []}', '{"a": [true], "b": true, "c": "fix", "z": []}', '{"a": [], "b": true, "c": "no", "z": []}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = G.parse_guided(df, "t", schema).select("i", F.transform("parsed.a", lambda x: x["branch"]).alias("a"), F.col("parsed.b.branch").alias("b"),
+                                                 "parsed.c", "parsed.z", F.transform("parsed.a", lambda x: F.to_json(x["value"])).alias("v")).orderBy("i").collect()
+    assert got[0].a == [1, 2, 3, 0, 4] and got[0].b == 1 and got[0].c == "fix" and got[0].z == [[1, 2], []]
+    assert got[0].v[3] == '{"k":1,"t":"x,]"}'
+    assert got[1].a == [] and got[1].b == 0 and got[2].a is None and got[3].c is None
