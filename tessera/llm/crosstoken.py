@@ -267,14 +267,21 @@ def align(docs: DataFrame, json: str, model: bytes, text: str = "text", into: st
     return rows.mapInArrow(cut, StructType([*[docs.schema[c] for c in keep], StructField(into, struct)]))
 
 
+PART_ROWS = 512          # rows whose links are worked on at a time
+
+
+def _parts(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    return (lists.slice(k, PART_ROWS) for k in range(0, len(lists), PART_ROWS))
+
+
 def link_counts(links: DataFrame, column: str = "links") -> DataFrame:
     """(link, n): how many links of the corpus hold each pair of ids."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = b.column(0).flatten().to_numpy()
-            if len(flat):
-                pairs, n = np.unique(flat, return_counts=True)
-                yield pa.record_batch([pa.array(pairs), pa.array(n, pa.int64())], names=["link", "n"])
+            for part in _parts(b.column(0)):
+                pairs, n = np.unique(part.flatten().to_numpy(), return_counts=True)
+                if len(pairs):
+                    yield pa.record_batch([pa.array(pairs), pa.array(n, pa.int64())], names=["link", "n"])
 
     return links.select(column).mapInArrow(count, "link bigint, n bigint").groupBy("link").agg(F.sum("n").alias("n"))
 
@@ -298,12 +305,14 @@ def score_links(aligned: DataFrame, counts: DataFrame, json: str, model: bytes,
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         link, n, best = sent.value
         for lists in batches:
-            sizes = lists.value_lengths().fill_null(0).to_numpy()
-            at = np.searchsorted(link, lists.flatten().to_numpy())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            total = np.zeros(len(sizes), np.int64)
-            np.add.at(total, row, n[at])
-            n_best = np.bincount(row, weights=best[at], minlength=len(sizes)).astype(np.int64)
+            found = [np.zeros((2, 0), np.int64)]
+            for part in _parts(lists):
+                sizes = part.value_lengths().fill_null(0).to_numpy()
+                at = np.searchsorted(link, part.flatten().to_numpy())
+                upto = np.concatenate([[0], np.cumsum(sizes)])
+                sums = [np.concatenate([[0], np.cumsum(values[at], dtype=np.int64)])[upto] for values in (best, n)]
+                found.append(np.diff(sums))
+            n_best, total = np.concatenate(found, axis=1)
             yield pa.StructArray.from_arrays([pa.array(n_best), pa.array(total)], names=["n_best", "count_sum"])
 
     return aligned.withColumn(free_name(aligned, into), score(F.col(column)))
