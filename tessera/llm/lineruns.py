@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name, pin, table
+from tessera.operators.scans import in_parts, running
 
 MIN_WORDS = 10
 
@@ -38,7 +39,8 @@ def _lines(docs: DataFrame, doc: str, id_column: str, text: str, min_words: int)
     in_doc = Window.partitionBy("doc").orderBy("pos")
     lines = lines.withColumn("upto", F.sum("words").over(in_doc)).withColumn("before", F.col("upto") - F.col("words"))
     whole = Window.partitionBy("doc")
-    ahead = Window.partitionBy("doc").orderBy("before").rangeBetween(min_words, Window.unboundedFollowing)
+    # of the lines far enough ahead the first; in falling order the frame only grows
+    ahead = Window.partitionBy("doc").orderBy(-F.col("before")).rangeBetween(Window.unboundedPreceding, -min_words)
     behind = Window.partitionBy("doc").orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words)
     lines = lines.withColumn("total", F.max("upto").over(whole)).withColumn("n", F.count("*").over(whole))
     stop = F.coalesce(F.min("pos").over(ahead), F.when(F.col("total") - F.col("before") >= min_words, F.col("n").cast("int")))
@@ -48,7 +50,8 @@ def _lines(docs: DataFrame, doc: str, id_column: str, text: str, min_words: int)
 
 
 def repeated_lines(docs: DataFrame, doc: str, id_column: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, pos) of the lines to delete; the column ``doc`` is a unique number that rises as rows are read."""
+    """doc, begins, ends: the lines to delete, from each begin up to before its end, in disjoint spans by position; the
+    column ``doc`` is a unique number that rises as rows are read."""
     lines = pin(_lines(docs, doc, id_column, text, min_words), "lines")
     found = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
     level = pin(lines.join(_ranked(found.select("line"), "line"), "line").select("doc", "pos", "rank"), "blocks")
@@ -75,19 +78,38 @@ def repeated_lines(docs: DataFrame, doc: str, id_column: str, text: str, min_wor
         place = F.struct("id", "doc", "start")
         firsts = named.groupBy("begin", "end", "size").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
         copies = named.join(firsts, ["begin", "end", "size"]).where(place > F.col("first")).select(
-            "doc", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("pos"))
+            "doc", "start", (F.col("start") + F.col("size")).alias("stop"))
         later = copies if later is None else later.unionByName(copies)
-    return later.distinct()
+    return _spans(later)
+
+
+def _spans(runs: DataFrame) -> DataFrame:
+    """The union of the runs (doc, start, stop) of each document: a run adds one where it starts and takes one off where it
+    stops; lines are covered where the running sum is not nought. No run is expanded into its lines."""
+    change = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("step"))))
+    steps = runs.select("doc", change.alias("c")).groupBy("doc", "c.pos").agg(F.sum("c.step").alias("step")).where("step <> 0")
+    covered = running(in_parts(steps, ["doc"], ["pos"]), {"cover": ("sum", "step")})
+    opens, closes = (F.col("cover") > 0) & (F.col("cover") == F.col("step")), F.col("cover") == 0
+    return covered.groupBy("doc").agg(F.sort_array(F.collect_list(F.when(opens, F.col("pos")))).alias("begins"),
+                                      F.sort_array(F.collect_list(F.when(closes, F.col("pos")))).alias("ends"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the later copies of repeated runs cut out of ``text``, and a column ``deleted_lines`` (replaced if there)."""
-    doc, gone = free_name(docs, "_doc"), free_name(docs, "_gone")
+    doc, begins, ends = (free_name(docs, x) for x in ("_doc", "_begins", "_ends"))
     tagged = pin(docs.withColumn(doc, F.monotonically_increasing_id()), "docs")
-    deleted = repeated_lines(tagged, doc, id_column, text, min_words).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(gone))
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(gone, i))
-    return tagged.join(deleted, doc, "left").withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))) \
-        .withColumn("deleted_lines", F.coalesce(F.size(gone), F.lit(0)).cast("bigint")) \
+    spans = repeated_lines(tagged, doc, id_column, text, min_words).select(
+        F.col("doc").alias(doc), F.col("begins").alias(begins), F.col("ends").alias(ends))
+
+    def without_spans(lines):
+        # what stands between the spans, each piece sliced once
+        pieces = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col(ends)).alias("a"), F.concat(F.col(begins), F.array(F.size(lines))).alias("b"))
+        return F.array_join(F.flatten(F.transform(pieces, lambda p: F.slice(lines, p["a"] + 1, p["b"] - p["a"]))), "\n")
+
+    kept = F.transform(F.array(F.split(text, "\n")), without_spans)[0]   # the text is split once
+    size = F.aggregate(F.arrays_zip(F.col(begins).alias("a"), F.col(ends).alias("b")), F.lit(0).cast("bigint"), lambda n, p: n + p["b"] - p["a"])
+    return tagged.join(spans, doc, "left").withColumn(text, F.when(F.col(begins).isNull(), F.col(text)).otherwise(kept)) \
+        .withColumn("deleted_lines", F.coalesce(size, F.lit(0)).cast("bigint")) \
         .select(*[c for c in docs.columns if c != "deleted_lines"], "deleted_lines")
 
 

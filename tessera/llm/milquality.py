@@ -4,9 +4,9 @@ A document is a bag of passages of ``PASSAGE_WORDS`` words. Every passage is enc
 classes, word lengths, repeats, hashed words), a gated attention gives each passage a weight, and the document's score is a
 logistic layer on the weighted sum of the encoded passages. Only documents have labels; the attention is learnt from them.
 
-The model is fitted on at most ``SAMPLE_DOCS`` labelled documents, the first in the order of a hash of their ids, with at
-most ``SAMPLE_PASSAGES`` evenly spaced passages of each; these bound what the driver holds, whatever the corpus. Scoring
-reads every passage of every text. Ids, sources, languages and labels are no inputs of a score.
+The model is fitted on all passages of at most ``SAMPLE_DOCS`` labelled documents, the first in the order of a hash of their
+ids, and as many as have at most ``SAMPLE_PASSAGES`` passages together; these bound what the driver holds, whatever the
+corpus. Scoring reads every passage of every text. Ids, sources, languages and labels are no inputs of a score.
 
 Null and empty texts are one empty passage. Rows with equal ids share their label; contradicting labels of an id count by
 their mean, null labels not at all. Without labels, or with one class only, every score is the mean label (0.5 if none).
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -26,7 +26,7 @@ from tessera.llm.common import free_name, mod_crc32, table
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 3000
-SAMPLE_PASSAGES = 64
+SAMPLE_PASSAGES = 200_000   # passages of the sample in all
 THRESHOLD = 0.3
 HIDDEN, GATES, STEPS, RATE, DECAY = 24, 12, 150, 0.02, 1e-4
 _HASHED = 24
@@ -144,29 +144,33 @@ class GatedAttention:
 
 
 def _bags(text: Column) -> Column:
-    """The features of at most SAMPLE_PASSAGES evenly spaced passages of each text, one after another."""
+    """The features of all passages of each text, one after another."""
     @F.arrow_udf("array<float>")
     def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out = []
-            for x, sizes in passages(texts):
-                for part in np.split(x, np.cumsum(sizes)[:-1]):
-                    pick = np.unique(np.linspace(0, len(part) - 1, min(len(part), SAMPLE_PASSAGES)).astype(int))
-                    out.append(part[pick].ravel())
+            out = [part.ravel() for x, sizes in passages(texts) for part in np.split(x, np.cumsum(sizes)[:-1])]
             yield pa.array(out, pa.list_(pa.float32()))
 
     return bags(text)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality",
-                sample_docs: int = SAMPLE_DOCS) -> GatedAttention:
-    """``labels`` holds the rows that may be learnt from."""
+                sample_docs: int = SAMPLE_DOCS, sample_passages: int = SAMPLE_PASSAGES) -> GatedAttention:
+    """``labels`` holds the rows that may be learnt from. Of these, in hashed order, at most ``sample_docs`` documents are
+    taken, as many as have at most ``sample_passages`` passages together (one that has more alone is passed over); of a
+    document taken every passage is learnt from."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.avg(label).alias("_y"))
     sample = known.orderBy(F.md5(F.col(id_column).cast("string")), id_column).limit(sample_docs)
     # the sample is bounded by sample_docs rows of an id and a number
-    rows = docs.select(id_column, text).join(F.broadcast(sample), id_column).select(
-        id_column, "_y", F.md5(F.coalesce(text, F.lit(""))).alias("_t"), _bags(F.col(text).cast("string")).alias("_x")) \
-        .orderBy(F.md5(F.col(id_column).cast("string")), id_column, "_t").limit(sample_docs).collect()
+    tagged = docs.select(id_column, F.col(text).cast("string").alias("_text")).join(F.broadcast(sample), id_column) \
+        .withColumn("_t", F.md5(F.coalesce("_text", F.lit(""))))
+    order = [F.md5(F.col(id_column).cast("string")), F.col(id_column), F.col("_t")]
+    sizes = tagged.select(id_column, "_t", F.greatest(F.lit(1), F.ceil(F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) / PASSAGE_WORDS)).alias("_n")) \
+        .where(F.col("_n") <= sample_passages).distinct().orderBy(*order).limit(sample_docs)
+    upto = F.sum("_n").over(Window.orderBy(*order))              # over at most sample_docs rows
+    chosen = sizes.withColumn("_upto", upto).where(F.col("_upto") <= sample_passages).select(id_column, "_t")
+    rows = tagged.join(F.broadcast(chosen), [id_column, "_t"]).dropDuplicates([id_column, "_t"]).select(
+        id_column, "_y", "_t", _bags(F.col("_text")).alias("_x")).orderBy(*order).collect()
     xs = [np.array(r["_x"], np.float32).reshape(-1, WIDTH) for r in rows]
     if not xs:
         return GatedAttention().fit(np.zeros((0, WIDTH), np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32))

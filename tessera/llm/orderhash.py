@@ -14,7 +14,8 @@
 5. Groups are the connected components of the links.
 
 Words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. A text of one to four words is one shingle; null texts count as empty; texts
-without words match equal texts only. A null id sorts before others; rows with equal id and text are copies of one document.
+without words match equal texts only. A null id is no least id while a copy has one; of classes, one without ids comes first
+among those that may be kept. Rows with equal id and text are copies of one document, and one of them is kept.
 """
 
 from __future__ import annotations
@@ -280,7 +281,8 @@ def _pools(members: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                           sketches: int = SKETCHES) -> DataFrame:
-    """One row per class of equal texts: node, text_class (its least id), n_copies, group_id (least id of the group)."""
+    """One row per class of equal texts: node, text_class (its least id, null if no copy has one), n_copies, group_id (least id
+    of the group), kept_node (the class that ``drop_near_duplicates`` keeps a row of)."""
     key = F.col(id_column)
     read = docs.select(key.alias("id"), _node(text).alias("node"), F.col(text).cast("string").alias("text"))
     classes = pin(read.select("id", "node", order_min_hash(F.col("text"), sketches).alias("s")).groupBy("node").agg(
@@ -328,8 +330,9 @@ def near_duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text: str
         found = components(links.unionByName(rest))
     grouped = classes.select("node", "text_class", "n_copies").join(found, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
-    least = grouped.groupBy("label").agg(F.min("text_class").alias("group_id"), F.count("*").alias("n_texts"))
-    return grouped.join(least, "label").select("node", "label", "text_class", "n_copies", "group_id", "n_texts")
+    least = grouped.groupBy("label").agg(F.min("text_class").alias("group_id"), F.count("*").alias("n_texts"),
+                                         F.min(F.struct("text_class", "node"))["node"].alias("kept_node"))
+    return grouped.join(least, "label").select("node", "label", "text_class", "n_copies", "group_id", "n_texts", "kept_node")
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -348,8 +351,11 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str =
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """doc_id, text_class (least id of the equal texts), group_id (least id of the near-duplicate group), n_texts."""
+    """doc_id, text_class (least id of the equal texts), group_id (least id of the near-duplicate group), n_texts, and kept:
+    true for the one row of the group that ``drop_near_duplicates`` keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    groups = near_duplicate_groups(docs)
-    return docs.select("doc_id", _node("text").alias("node")).join(groups, "node").select(
-        "doc_id", "text_class", "group_id", "n_texts", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    rows = pin(docs.select("doc_id", _node("text").alias("node"), F.monotonically_increasing_id().alias("row")), "rows")
+    grouped = rows.join(near_duplicate_groups(docs), "node")
+    may = (F.col("node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("text_class"))
+    first = grouped.where(may).groupBy("label").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    return grouped.join(first, "row", "left").select("doc_id", "text_class", "group_id", "n_texts", F.coalesce("first", F.lit(False)).alias("kept"))

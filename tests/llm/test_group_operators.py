@@ -183,8 +183,28 @@ def test_mixing_nothing(spark):
     assert mixing.mixing_plan(no_docs(spark))[0].count() == 0 and mixing.mix(no_docs(spark)).count() == 0
 
 
+def test_one_row_of_each_group_is_kept(spark, tmp_path):
+    docs = spark.createDataFrame([x[:2] for x in near_rows()] + [(None, prose(1, 120)), (15, prose(2, 90) + " more")], "doc_id bigint, text string")
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    got = orderhash.op8(spark, str(tmp_path)).collect()
+    assert len(got) == docs.count()
+    left = orderhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert sum(r["kept"] for r in got) == len(left)
+    assert sorted(str(r["doc_id"]) for r in got if r["kept"]) == sorted(str(r["doc_id"]) for r in left)
+    assert {r["text_class"] for r in got if r["doc_id"] is None and r["text_class"] is not None} == {1, 5}
+
+
 # line runs
 
+def test_long_runs_of_blank_lines(spark):
+    n = 60_000
+    text = "a b c d e f\n" + "\n" * n + "g h i j k l"
+    docs = spark.createDataFrame([(1, text), (2, text + "\nown line"), (3, "alone")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in lineruns.drop_repeated_lines(docs).collect()}
+    assert got[1]["text"] == text and got[1]["deleted_lines"] == 0 and got[3]["text"] == "alone"
+    assert got[2]["text"] == "own line" and got[2]["deleted_lines"] == n + 2
+
+
 def plain_deleted(docs, least):
     lines = [(d, i, (t.split("\n") if t is not None else [])) for i, (d, t) in enumerate(docs)]
     n_words = {(i, k): len(words(x)) for _, i, ls in lines for k, x in enumerate(ls)}

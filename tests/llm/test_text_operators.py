@@ -167,6 +167,57 @@ def test_classifier_learns_and_scores_awkward_rows(spark):
     assert milquality.quality_scores(edge_docs(spark), blank).select(F.min("_quality_score.score")).head()[0] == 0.5
 
 
+def test_classifier_steps_equal_plain_ones():
+    r = np.random.default_rng(4)
+    x, bags, y = r.normal(size=(23, milquality.WIDTH)).astype(np.float32), np.array([1, 5, 3, 8, 2, 4]), np.array([0, 1, 1, 0, 1, 0], np.float32)
+    model = milquality.GatedAttention()
+    model.p = {k: v + r.normal(size=v.shape).astype(np.float32) * 0.1 for k, v in model.p.items()}
+
+    def loss(p):
+        total, at = 0.0, 0
+        for n, want in zip(bags, y):
+            h = [np.tanh(row @ p["W"] + p["b"]) for row in x[at:at + n].astype(float)]
+            e = [float((np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) @ p["w"]) for v in h]
+            a = np.exp(e) / np.exp(e).sum()
+            score = 1 / (1 + np.exp(-(sum(w * v for w, v in zip(a, h)) @ p["c"] + float(np.ravel(p["c0"])[0]))))
+            total -= (want * np.log(score) + (1 - want) * np.log(1 - score)) / len(y)
+            at += n
+        return total
+
+    scores = model._forward(x, bags)[5]
+    assert abs(loss(model.p) + np.mean(y * np.log(scores) + (1 - y) * np.log(1 - scores))) < 1e-5      # the forward pass
+    # one step from zero moments goes against the sign of each gradient, by the rate
+    start = {k: v.astype(float) for k, v in model.p.items()}
+    wide = milquality.STEPS
+    milquality.STEPS = 1
+    try:
+        mean, scale = x.mean(0), x.std(0) + 1e-3
+        x = ((x - mean) / scale).astype(np.float32)
+        model.fit(x * 1.0, bags, y)
+    finally:
+        milquality.STEPS = wide
+    x = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    for name in ("W", "V", "U", "w", "c"):
+        for place in list(np.ndindex(start[name].shape))[::7]:
+            around = []
+            for eps in (1e-4, -1e-4):
+                p = {k: v.copy() for k, v in start.items()}
+                p[name][place] += eps
+                around.append(loss(p))
+            slope = (around[0] - around[1]) / 2e-4 + milquality.DECAY * start[name][place]
+            if abs(slope) > 1e-4:
+                assert np.sign(start[name][place] - model.p[name][place]) == np.sign(slope), (name, place)
+
+
+def test_sample_is_bounded_by_all_passages(spark):
+    docs = spark.createDataFrame([row(i, prose(i, 300 if i % 2 else 40)) for i in range(60)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    model = milquality.fit_quality(docs, labels, sample_passages=60)
+    assert model.constant is None
+    none = milquality.fit_quality(docs, labels, sample_passages=0)
+    assert none.constant == 0.5
+
+
 def test_empty_items_digest_is_of_the_empty_text(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2(array_join(array(), ','), 256)").head()[0]
 
