@@ -2,20 +2,19 @@
 
 Every operator is a DataFrame -> DataFrame function. Text work is native
 (regex, ``split``, an ``aggregate`` fold for packing); the hashing encoder counts
-buckets per row. Vector distances run in numpy inside Arrow-batched
-``mapInPandas`` tasks over the index partitions, which
-stay where they lie: Spark 4.1 has no vector functions, and higher-order lambdas over
-arrays run interpreted.
+buckets per row. Vector distances run in numpy where a block of the index meets
+its queries (``cogroup``): Spark 4.1 has no vector functions, and higher-order
+lambdas over arrays run interpreted.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,17 +269,22 @@ def _slack(A, B):
 
 @dataclass
 class VectorIndex:
-    """A built search index: the chunk vectors with their cell (a table), plus the per-cell statistics and centroids (bounded: at most
-    ``max_cells`` entries)."""
+    """A built search index: the chunk vectors in blocks (a table, sorted by cell and ring), where each block's cells and rings
+    lie (a narrow table), and per-cell statistics and centroids (bounded: at most ``max_cells`` entries)."""
 
-    data: DataFrame            # cid, v, cell, r (distance to the cell's centroid)
+    data: DataFrame            # cid, v, cell, r (distance to the cell's centroid), norm, block
+    rings: DataFrame           # block, cell, r_min, r_max
     centroids: "object"        # numpy array, cells x dim
     cells: "object"
     counts: "object"
     radii: "object"
+    norm: float                # largest squared length of a vector
     ctype: str
 
 
+BLOCK_ROWS = 1024        # vectors of a block
+
+
 def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey: str = "cid", cvec: str = "embedding",
                 chash: str = "content_hash", n_cells: int | None = None, max_cells: int = 1024,
                 path: str | None = None) -> VectorIndex:
@@ -318,128 +322,131 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
             r = D[np.arange(len(pdf)), cell] + np.sqrt(_slack(V, C)) if len(pdf) else np.zeros(0)
             # plain numpy columns: Arrow-backed pandas strings would come back as chunked arrays
             yield pd.DataFrame({"cid": pdf["cid"].to_numpy(dtype=object), "v": pdf["v"].to_numpy(dtype=object),
-                                "cell": cell.astype("int32"), "r": r})
+                                "cell": cell.astype("int32"), "r": r, "norm": (V * V).sum(1)})
+
+    def number(it):
+        # blocks of rows that lie together: a cell's rows by their distance, then the next cell's
+        block = TaskContext.get().partitionId() << 32
+        filled = 0
+        for pdf in it:
+            at = filled + np.arange(len(pdf))
+            pdf["block"] = block + at // BLOCK_ROWS
+            block, filled = block + int((filled + len(pdf)) // BLOCK_ROWS), (filled + len(pdf)) % BLOCK_ROWS
+            yield pdf
 
     path = path or scratch_path(spark, "vector-index")
+    kind = f"cid {ctype}, v array<float>, cell int, r double, norm double"
     if len(cents):
-        cand.mapInPandas(place, f"cid {ctype}, v array<float>, cell int, r double").sortWithinPartitions("cell").write.parquet(path)
+        placed = cand.mapInPandas(place, kind)
+        placed.repartitionByRange("cell", "r", "cid").sortWithinPartitions("cell", "r", "cid").mapInPandas(number, f"{kind}, block bigint").write.parquet(path)
         placed = spark.read.parquet(path)
     else:
-        placed = spark.createDataFrame([], f"cid {ctype}, v array<float>, cell int, r double")
-    stats = {r["cell"]: (r["n"], r["r"]) for r in
-             placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()}
+        placed = spark.createDataFrame([], f"{kind}, block bigint")
+    rings = pinned(placed.groupBy("block", "cell").agg(
+        F.min("r").alias("r_min"), F.max("r").alias("r_max"), F.count("*").alias("n"),
+        F.max("norm").alias("norm")), "rings")
+    stats = {r["cell"]: r for r in rings.groupBy("cell").agg(F.sum("n").alias("n"), F.max("r_max").alias("r"), F.max("norm").alias("norm")).collect()}
     cells = np.array(sorted(stats), dtype=int)
-    counts = np.array([stats[c][0] for c in cells], dtype=np.int64)
-    radii = np.array([stats[c][1] for c in cells], dtype=np.float64)
-    return VectorIndex(placed, C, cells, counts, radii, ctype)
+    counts = np.array([stats[c]["n"] for c in cells], dtype=np.int64)
+    radii = np.array([stats[c]["r"] for c in cells], dtype=np.float64)
+    norm = max((r["norm"] for r in stats.values()), default=0.0)
+    return VectorIndex(placed, rings.drop("n", "norm"), C, cells, counts, radii, norm, ctype)
 
 
-QUERY_BLOCK = 4096       # query vectors that are sent to the index at a time
+QUERY_BLOCK = 1024       # query vectors that meet a block at a time
 
 
 def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey: str = "qid",
                  qvec: str = "qvec", ckey: str = "cid", query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top-k of every query against a built index: ``qid, rank, cid, dist``.
 
-    The index rows stay where they lie. Queries pass in blocks of ``query_block``
-    vectors, each sent to all index partitions; a partition keeps its k nearest
-    per query, and these few rows are merged. From the per-cell counts and radii
-    every query gets an upper bound on its k-th distance; cells that no query
-    of the block can need are not read, and of the others only rows whose
-    distance to their centroid is within the bound are compared. A matrix
-    product ranks those approximately, and every pair within the error bound of
-    a query's k-th is recomputed exactly (summed left to right in float64, like
-    the SQL twin). Unstructured vectors leave little to rule out: exact search
-    then compares a query with most rows.
+    Queries stay a table. From the per-cell counts and radii every query gets an
+    upper bound on its k-th distance, and from the bound the rings it can need:
+    in a cell, the rows whose distance to the centroid lies between two values.
+    A band join of these with the rings of the blocks says which blocks a query
+    meets; blocks that none meets are not sent on. A block meets its queries
+    ``query_block`` at a time, in one pass whatever the number of queries; each
+    meeting gives a query's k nearest, and these few rows are merged. A matrix
+    product ranks the rows approximately, and every pair within the error bound
+    of a query's k-th is recomputed exactly (summed left to right in float64,
+    like the SQL twin). Unstructured vectors leave little to rule out: exact
+    search then compares a query with most rows.
     """
-    import numpy as np
-
     spark = queries.sparkSession
     ship_package(spark)
-    qs = queries.select(F.col(qkey).alias("qid"), F.col(qvec).alias("q"))
-    qtype, ctype = dict(qs.dtypes)["qid"], index.ctype
-    out_type = f"qid {qtype}, cid {ctype}, dist double"
-    found, blocks = None, 0
-    rows = qs.toLocalIterator() if len(index.cells) else iter(())
-    path = scratch_path(spark, "search-hits")
-    while part := list(islice(rows, query_block)):
-        Q = np.array([r["q"] for r in part], dtype=np.float64)
-        probe = _probe_cells(Q, index, k)
-        held = spark.sparkContext.broadcast(([r["qid"] for r in part], Q, *probe))     # one block of vectors
-        cells = index.cells[probe[2].any(axis=0)]
-        hits = index.data.filter(F.col("cell").isin([int(c) for c in cells])).mapInPandas(_nearest_rows(held, k), out_type)
-        if found is not None and blocks == 1:
-            found.write.parquet(f"{path}/block=0")           # several blocks: each one's hits are written
-        if blocks:
-            hits.write.parquet(f"{path}/block={blocks}")
-        else:
-            found = hits
-        blocks += 1
-    if blocks > 1:
-        found = spark.read.parquet(path).drop("block")
-    if found is None:
+    qtype, ctype = dict(queries.dtypes)[qkey], index.ctype
+    if not len(index.cells):
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
-    w = Window.partitionBy("qid").orderBy(F.col("dist"), F.col("cid"))
+    # numbered and written: the bounds and the vectors are taken from it one after the other
+    qs = pinned(queries.select(F.col(qkey).alias("qid"), F.col(qvec).cast("array<double>").alias("q"), F.monotonically_increasing_id().alias("n")), "queries")
+    held = (index.centroids, index.cells, index.counts, index.radii, index.norm)
+    bands = qs.select("n", "q").mapInPandas(_bands(held, k), "n bigint, cell int, low double, high double, tau double")
+    rings = index.rings.withColumnRenamed("cell", "_cell")
+    met = bands.join(rings, (F.col("cell") == F.col("_cell")) & (F.col("r_max") >= F.col("low")) & (F.col("r_min") <= F.col("high")))
+    met = pinned(met.groupBy("n", "block").agg(F.first("tau").alias("tau")), "meetings")
+    sizes = met.groupBy("block").agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts"))
+    asked = met.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int")).join(qs, "n").select("block", "part", "n", "q", "tau")
+    rows = index.data.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "cid", "v")
+    found = asked.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(_nearest(k), f"n bigint, cid {ctype}, dist double")
+    w = Window.partitionBy("n").orderBy(F.col("dist"), F.col("cid"))
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
+    return ranked.join(qs.select("n", "qid"), "n").select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
 
 
-def _probe_cells(Q, index: VectorIndex, k: int):
-    """(bound on each query's k-th distance, its distance to every centroid, which cells it needs)."""
+def _bands(held, k: int):
+    """For each query and cell it can need: the distances to the centroid of the rows that may be among its k nearest."""
     import numpy as np
 
-    err = np.sqrt(_slack(Q, index.centroids))[:, None]
-    dq = np.sqrt(_approx_sqdist(Q, index.centroids))
-    near = dq[:, index.cells]
-    lb, ub = np.maximum(near - index.radii - err, 0.0), near + index.radii + err
-    order = np.argsort(ub, axis=1, kind="stable")
-    cum = np.cumsum(index.counts[order], axis=1)
-    enough = cum[:, -1] >= k
-    tau = np.where(enough, np.take_along_axis(ub, order, 1)[np.arange(len(Q)), (cum >= k).argmax(axis=1)], np.inf)
-    tau = tau * (1 + 1e-9) + 1e-9
-    return tau, dq, lb <= tau[:, None]
-
+    centroids, cells, counts, radii, norm = held
 
-def _nearest_rows(held, k: int):
-    """The k nearest rows of an index partition for every query of a block."""
-    import numpy as np
-
-    def nearest(it):
-        qids, Q, tau, dq, _ = held.value
-        bound = tau ** 2 * (1 + 1e-9) + 1e-9
-        best = None                                            # query number, id, distance
+    def bands(it):
         for pdf in it:
             if not len(pdf):
                 continue
-            V = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            cids, cell, r = pdf["cid"].to_numpy(), pdf["cell"].to_numpy(), pdf["r"].to_numpy()
-            found = [best] if best is not None else []
-            for s in range(0, len(Q), 512):                    # bounded matrices
-                # r is widened by its error already; the same is allowed on the other side
-                gap = np.abs(dq[s:s + 512][:, cell] - r[None, :])
-                able = gap <= (tau[s:s + 512] + 2 * np.sqrt(_slack(Q[s:s + 512], V)))[:, None]
-                some = np.flatnonzero(able.any(axis=0))
-                if not len(some):
-                    continue
-                approx = _approx_sqdist(Q[s:s + 512], V[some])
-                margin = _slack(Q[s:s + 512], V[some])
-                approx[~able[:, some] | (approx > (bound[s:s + 512] + margin)[:, None])] = np.inf
-                kth = np.partition(approx, min(k, len(some)) - 1, axis=1)[:, min(k, len(some)) - 1]
-                # finite only: with fewer than k candidates the k-th is infinite
-                qi, vi = np.nonzero(np.isfinite(approx) & (approx <= (kth + margin)[:, None]))
-                exact = np.round(_seq_sqdist(Q[s + qi], V[some[vi]]), 6)
-                keep = exact <= bound[s + qi]
-                found.append((s + qi[keep], cids[some[vi[keep]]], exact[keep]))
-            if found:
-                q, c, d = (np.concatenate([f[i] for f in found]) for i in range(3))
-                order = np.lexsort((c, d, q))
-                q, c, d = q[order], c[order], d[order]
-                top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
-                best = q[top], c[top], d[top]
-        if best is not None and len(best[0]):
-            # explicit dtypes: plain columns, whatever the ids are
-            yield pd.DataFrame({"qid": pd.Series([qids[i] for i in best[0]], dtype=object),
-                                "cid": pd.Series(best[1].tolist(), dtype=object), "dist": pd.Series(best[2], dtype="float64")})
+            Q = np.stack(pdf["q"].to_numpy()).astype(np.float64)
+            err = np.sqrt(_slack(Q, centroids))[:, None]
+            near = np.sqrt(_approx_sqdist(Q, centroids[cells]))
+            lowest, highest = np.maximum(near - radii - err, 0.0), near + radii + err
+            order = np.argsort(highest, axis=1, kind="stable")
+            cum = np.cumsum(counts[order], axis=1)
+            enough = cum[:, -1] >= k
+            tau = np.where(enough, np.take_along_axis(highest, order, 1)[np.arange(len(Q)), (cum >= k).argmax(axis=1)], np.inf)
+            tau = tau * (1 + 1e-9) + 1e-9
+            qi, ci = np.nonzero(lowest <= tau[:, None])
+            # the rows' own distances are widened by their error already; the same is allowed on the other side
+            wide = tau + 2 * np.sqrt(2e-6 + 1e-9 * ((Q * Q).sum(1) + norm)) + err[:, 0]
+            yield pd.DataFrame({"n": pdf["n"].to_numpy()[qi], "cell": cells[ci].astype("int32"), "low": near[qi, ci] - wide[qi],
+                                "high": near[qi, ci] + wide[qi], "tau": tau[qi]})
+
+    return bands
+
+
+def _nearest(k: int):
+    """The k nearest rows of a block for each of some queries, as far as they are within the query's bound."""
+    import numpy as np
+
+    def nearest(asked, rows):
+        empty = pd.DataFrame({"n": pd.Series(dtype="int64"), "cid": pd.Series(dtype=object), "dist": pd.Series(dtype="float64")})
+        if not len(asked) or not len(rows):
+            return empty
+        Q, V = (np.stack(x.to_numpy()).astype(np.float64) for x in (asked["q"], rows["v"]))
+        n, cids, tau = asked["n"].to_numpy(), rows["cid"].to_numpy(dtype=object), asked["tau"].to_numpy()
+        bound = tau ** 2 * (1 + 1e-9) + 1e-9
+        approx, margin = _approx_sqdist(Q, V), _slack(Q, V)
+        approx[approx > (bound + margin)[:, None]] = np.inf
+        kth = np.partition(approx, min(k, len(V)) - 1, axis=1)[:, min(k, len(V)) - 1]
+        # finite only: with fewer than k candidates the k-th is infinite
+        qi, vi = np.nonzero(np.isfinite(approx) & (approx <= (kth + margin)[:, None]))
+        exact = np.round(_seq_sqdist(Q[qi], V[vi]), 6)
+        keep = exact <= bound[qi]
+        qi, vi, exact = qi[keep], vi[keep], exact[keep]
+        by_id = np.argsort(np.argsort(cids[vi], kind="stable"), kind="stable") if len(vi) else vi
+        order = np.lexsort((by_id, exact, qi))
+        qi, vi, exact = qi[order], vi[order], exact[order]
+        top = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+        if not top.any():
+            return empty
+        return pd.DataFrame({"n": n[qi[top]], "cid": pd.Series(cids[vi[top]].tolist(), dtype=object), "dist": exact[top]})
 
     return nearest
 

@@ -155,3 +155,24 @@ def test_every_document_has_a_status_and_one_of_each_text_is_added(spark):
         assert added == want
     known = L.ingest_status(docs, docs.where("text = 'some'").select(F.md5("text").alias("content_hash")))
     assert known.where("status = 'added'").count() == 4
+
+
+def test_one_pass_meets_only_the_rings_in_reach(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(6, 8)) * 50
+    V = np.concatenate([c + r.normal(size=(700, 8)) for c in centres]).astype(np.float32)
+    Q = np.concatenate([c + r.normal(size=(30, 8)) for c in centres[:2]]).astype(np.float32)
+    chunks = spark.createDataFrame([(f"c{i:05d}", v.tolist(), "h") for i, v in enumerate(V)], "cid string, embedding array<float>, content_hash string")
+    queries = spark.createDataFrame([(i % 50, q.tolist()) for i, q in enumerate(Q)], "qid int, qvec array<float>")   # some ids twice
+    index = L.build_index(chunks, n_cells=6)
+    assert index.rings.select("block").distinct().count() >= 5 and index.data.groupBy("block").count().agg(F.max("count")).head()[0] <= L.BLOCK_ROWS
+    got = L.search_index(queries, index, k=4, query_block=7).collect()
+    want = []
+    for i, q in enumerate(Q):
+        d = np.round(((V.astype(float) - q.astype(float)) ** 2).sum(1), 6)
+        want += [(i % 50, rank + 1, f"c{j:05d}") for rank, j in enumerate(np.lexsort((np.arange(len(V)), d))[:4])]
+    assert sorted((h.qid, h.rank, h.cid) for h in got) == sorted(want)
+    few = L.search(queries, chunks.limit(2), k=5)
+    assert few.groupBy("rank").count().orderBy("rank").collect()[0]["count"] == len(Q) and few.agg(F.max("rank")).head()[0] == 2
