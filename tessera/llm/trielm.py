@@ -18,8 +18,8 @@ P(w) = (c(w) - D) / N, and D * V / N is what the class of all unknown words gets
 
 The corpus goes through in chunks of about ``CHUNK_BYTES`` of text: tokens as numbers of the chunk's own words, one file
 for each chunk. Chunks send each distinct word, then, level by level, each distinct entry whose context was seen, once to
-its shard, with its count in training documents, and get ids, counts and codes back; no model, vocabulary or text passes
-through the driver. Shards and chunks are bounded; with a larger corpus use larger chunks (a chunk sends one row to each
+its shard, with its count in training documents. A shard's answers (ids, counts and codes) are one file, of which each chunk
+reads its part, so answers are not shuffled; no model, vocabulary or text passes through the driver. Shards and chunks are bounded; with a larger corpus use larger chunks (a chunk sends one row to each
 shard).
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and one end per document, which is also the context of the first
@@ -152,13 +152,23 @@ def _word_shard(keys: np.ndarray, n_shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
 
 
-_REPLY = ("shard bigint, chunk bigint, a binary, b binary, c binary, uri string, n_known bigint, n_tokens bigint, once bigint, "
-          "twice bigint, often binary")
+_REPLY = ("shard bigint, chunk bigint, file string, place bigint, sizes array<bigint>, uri string, n_known bigint, n_tokens bigint, "
+          "once bigint, twice bigint, often binary")
 
 
-def _reply(group: pa.Table, columns: list[list], uri: str, counts: np.ndarray | None) -> pa.Table:
-    """A reply to each chunk; the first row also has the shard's file and, of a new file, sizes and most frequent entries."""
+def _reply(group: pa.Table, columns: list[list], uri: str, counts: np.ndarray | None, folder: str) -> pa.Table:
+    """Where the reply to each chunk lies: all replies of the shard are in one new file of ``folder``, and chunks read their
+    own from there. The first row also has the shard's file and, of a new file, sizes and most frequent entries."""
     n = len(columns[0])
+    replies = [[x or b"" for x in parts] for parts in zip(*columns)]
+    file = f"{folder}/{uuid.uuid4().hex}.replies"
+    files, path = _open(file)
+    files.create_dir(os.path.dirname(path), recursive=True)
+    with files.open_output_stream(path) as f:
+        for parts in replies:
+            f.write(b"".join(parts))
+    sizes = [[len(x) for x in parts] for parts in replies]
+    places = np.cumsum([0, *map(sum, sizes)])[:-1]
     first = lambda x, kind: pa.array([x] + [None] * (n - 1), kind)
     said = dict.fromkeys(("n_known", "n_tokens", "once", "twice"))
     often = None
@@ -166,11 +176,22 @@ def _reply(group: pa.Table, columns: list[list], uri: str, counts: np.ndarray |
         most = np.sort(np.argsort(counts, kind="stable")[-64:])
         often = pack(np.concatenate([most, counts[most]]))
         said = {"n_known": len(counts), "n_tokens": int(counts.sum()), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum())}
-    return pa.table({"shard": group["shard"], "chunk": group["chunk"], **{k: pa.array(x, pa.binary()) for k, x in zip("abc", columns)},
-                     "uri": first(uri, pa.string()), **{k: first(x, pa.int64()) for k, x in said.items()}, "often": first(often, pa.binary())})
+    return pa.table({"shard": group["shard"], "chunk": group["chunk"], "file": pa.array([file] * n), "place": pa.array(places, pa.int64()),
+                     "sizes": pa.array(sizes, pa.list_(pa.int64())), "uri": first(uri, pa.string()), **{k: first(x, pa.int64()) for k, x in said.items()}, "often": first(often, pa.binary())})
 
 
-def _answer_words(folder: str, stored: dict | None):
+def _replies(rows: list[dict]) -> list[dict]:
+    """The rows with their packed columns a, b and c, read from the files."""
+    for row in rows:
+        files, path = _open(row["file"])
+        with files.open_input_file(path) as f:
+            f.seek(row["place"])
+            for name, size in zip("abc", row["sizes"]):
+                row[name] = f.read(size)
+    return rows
+
+
+def _answer_words(folder: str, stored: dict | None, replies: str):
     """Of a vocabulary shard: for each chunk its words' counts in all training documents, and their places among the known words."""
     def answer(group: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in group["a"].to_pylist()]
@@ -189,7 +210,7 @@ def _answer_words(folder: str, stored: dict | None):
             uri, new = stored["uris"].get(shard), None
         counts, place = WordShard(uri).entries(wanted) if uri else (np.zeros(len(wanted), np.int64),) * 2
         return _reply(group, [[pack(place[s:e]) for s, e in zip(cuts, cuts[1:])], [pack(counts[s:e]) for s, e in zip(cuts, cuts[1:])],
-                              [None] * len(parts)], uri, new)
+                              [None] * len(parts)], uri, new, replies)
 
     return answer
 
@@ -270,7 +291,7 @@ def _open_chunk(chunk: pa.Table, replies: pa.Table, model: _Model, upto: int):
     at = chunk.to_pylist()[0]
     row = _load(at["uri"]) | {"chunk": at["chunk"]}
     tokens, sizes = unpack(row["tokens"]).astype(np.int64), unpack(row["sizes"]).astype(np.int64)
-    answers = replies.to_pylist()
+    answers = _replies(replies.to_pylist())
     counts, ids = model.words([r for r in answers if r["level"] == 1], at["n_words"])
     first, end = np.cumsum(sizes) - sizes, int(tokens[-1])
     count, entry = counts[tokens], ids[tokens]           # of the entry that ends at each token
@@ -415,7 +436,7 @@ class TrieShard(_File):
         return codes, counts, places
 
 
-def _answer(folder: str, universe: int, level: int, last: bool, stored: dict | None):
+def _answer(folder: str, universe: int, level: int, last: bool, stored: dict | None, replies: str):
     """Of a shard of a further level: for each chunk its keys' codes and, below the last level, places and counts."""
     def answer(group: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in group["a"].to_pylist()]
@@ -439,7 +460,7 @@ def _answer(folder: str, universe: int, level: int, last: bool, stored: dict | N
         cuts = np.cumsum([0, *map(len, parts)])
         packed = lambda x: [pack(x[at[s:e]]) for s, e in zip(cuts, cuts[1:])]
         none = [None] * len(parts)
-        return _reply(group, [packed(codes), none if last else packed(places), none if last else packed(counts)], uri, new)
+        return _reply(group, [packed(codes), none if last else packed(places), none if last else packed(counts)], uri, new, replies)
 
     return answer
 
@@ -476,17 +497,17 @@ def _run(docs: DataFrame, held: Column, id_column: str, text: str, chunk_bytes:
         model = _Model(order, max(1, -(-entries // shard_entries)), shard_entries)
     stored = lambda level: None if learn else model.levels[level - 1]
     asked = chunks.mapInArrow(_send_words(model.word_shards), "shard bigint, chunk bigint, a binary, b binary")
-    replies = None
+    replies, files = None, scratch_path(spark, "replies")
     for level in range(1, model.order + 1):
         if level == 1:
-            answer = _answer_words(folder, stored(1))
+            answer = _answer_words(folder, stored(1), files)
         else:
             asked = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send(model, level), _SENT)
-            answer = _answer(folder, int(model.universe), level, level == model.order, stored(level))
+            answer = _answer(folder, int(model.universe), level, level == model.order, stored(level), files)
         answered = pin(asked.groupBy("shard").applyInArrow(answer, _REPLY), f"level{level}")
         if learn:
-            model.add(answered.where("uri is not null").drop("a", "b", "c", "chunk").collect())      # one row for each shard
-        mine = answered.select("chunk", "shard", "a", "b", "c", F.lit(level).alias("level"))
+            model.add(answered.where("uri is not null").drop("file", "place", "sizes", "chunk").collect())      # one row for each shard
+        mine = answered.select("chunk", "shard", "file", "place", "sizes", F.lit(level).alias("level"))
         replies = mine if replies is None else replies.unionByName(mine)
     if learn:
         model.save(folder)
@@ -516,8 +537,8 @@ def stored_scores(docs: DataFrame, folder: str, id_column: str = "doc_id", text:
 
 
 def trie_scores(docs: DataFrame, held: Column, id_column: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES,
-                shard_entries: int = SHARD_ENTRIES, order: int = 2) -> DataFrame:
-    """The scores of ``train_trie`` alone, with contexts of one word unless ``order`` is given."""
+                shard_entries: int = SHARD_ENTRIES, order: int = ORDER) -> DataFrame:
+    """The scores of ``train_trie`` alone."""
     return train_trie(docs, held, id_column, text, chunk_bytes, shard_entries, order)[0]
 
 
