@@ -17,7 +17,7 @@ from tessera.functions.text import (
     TOKEN_CHARS,
     is_valid_json,
 )
-from tessera.operators.scans import in_parts, running
+from tessera.operators.scans import in_parts, joined, running
 from tessera.sources.keyed import KeyedStore
 
 SESSION = ["user_id", "session_id"]
@@ -61,7 +61,7 @@ def positions(df: DataFrame, order: str, keys=SESSION, into: str = "_pos") -> Da
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order)) - 1
-    return parted.withColumn(into, inside).join(starts, [*keys, "_part"]).withColumn(into, (F.col(into) + F.col("_start")).cast("bigint")) \
+    return joined(parted.withColumn(into, inside), starts, keys).withColumn(into, (F.col(into) + F.col("_start")).cast("bigint")) \
         .drop("_part", "_start")
 
 
@@ -79,7 +79,7 @@ def chat_pairs(rows: DataFrame, seq: str | None = "turn") -> DataFrame:
     first = said.groupBy(*SESSION, "_part").agg(F.min_by(F.struct("_role", "_text"), F.struct("_at", "_role")).alias("_first"))
     after = first.select(*SESSION, "_part", F.lead("_first").over(Window.partitionBy(*SESSION).orderBy("_part")).alias("_after"))
     inside = F.lead(F.struct("_role", "_text")).over(Window.partitionBy(*SESSION, "_part").orderBy("_at", "_role"))
-    pairs = said.withColumn("_next", inside).filter(F.col("_role") == "user").join(after, [*SESSION, "_part"])
+    pairs = joined(said.withColumn("_next", inside).filter(F.col("_role") == "user"), after, SESSION)
     following = F.coalesce("_next", "_after")
     return pairs.select(*SESSION, "ts", F.col("_text").alias("user_prompt"),
                         F.when(following["_role"] == "assistant", following["_text"]).otherwise(F.lit("")).alias("llm_answer"))

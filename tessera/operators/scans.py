@@ -46,7 +46,7 @@ def in_parts(df: DataFrame, keys, order, parts: int | None = None) -> Parts:
     return Parts(pinned(ranged.withColumn(PART, F.spark_partition_id()), "parts"), tuple(keys), tuple(order))
 
 
-def _joined(rows: DataFrame, of_part: DataFrame, keys) -> DataFrame:
+def joined(rows: DataFrame, of_part: DataFrame, keys) -> DataFrame:
     """The values of its part for every row; equal keys meet, null with null."""
     named = {c: f"_key_{i}" for i, c in enumerate(keys)}
     side = of_part.select(*[F.col(c).alias(named.get(c, "_part_of" if c == PART else c)) for c in of_part.columns])
@@ -106,7 +106,7 @@ def with_running(parts: Parts, values: dict[str, tuple[str, Column | str]], curr
     totals = parts.rows.groupBy(*parts.keys, PART).agg(*[k[1](c, order).alias(f"_total_{i}") for i, _, k, c in given])
     of_part = totals.select(*parts.keys, PART, *[_over(k[2], F.col(f"_total_{i}"), before).alias(f"_before_{i}") for i, _, k, _ in given])
     rows = parts.rows.select("*", *[_over(k[0], c, inside).alias(f"_in_{i}") for i, _, k, c in given])
-    out = _joined(rows, of_part, parts.keys)
+    out = joined(rows, of_part, parts.keys)
     out = out.withColumns({name: k[3](F.col(f"_before_{i}"), F.col(f"_in_{i}")) for i, name, k, _ in given})
     return replace(parts, rows=out.drop(*[f"_{x}_{i}" for i, *_ in given for x in ("in", "before")]))
 

@@ -101,16 +101,17 @@ class KeyedStore:
         asked = rows.select(key_digest(rows, wanted).alias("_wanted")).distinct()
         return found.join(asked, "_wanted", "left_semi").drop("_wanted")
 
-    def compact(self, files: int = FILES_PER_BUCKET) -> int:
+    def compact(self, files: int = FILES_PER_BUCKET, keep=None) -> int:
         """Merges the folders that hold more than ``files`` files; returns how many did. The rows are first written anew
-        elsewhere, then put in place of the folders' files."""
+        elsewhere, then put in place of the folders' files; with ``keep(rows)`` only what it returns of a folder's rows."""
         stored = self._stored()
         if stored is None:
             return 0
         crowded = [r[0] for r in stored.select(BUCKET, F.input_file_name().alias("file")).distinct().groupBy(BUCKET).count()
                    .where(F.col("count") > files).collect()]                              # at most ``buckets`` numbers
         if crowded:
-            copy = pinned(stored.where(F.col(BUCKET).isin(crowded)), "compacted")
+            rows = stored.where(F.col(BUCKET).isin(crowded))
+            copy = pinned(rows if keep is None else keep(rows), "compacted")
             copy.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
                 .partitionBy(BUCKET).parquet(self.path)
         return len(crowded)

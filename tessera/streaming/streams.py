@@ -7,17 +7,13 @@ idempotent (a micro-batch writes its own folder, or skips keys already stored).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.functions.text import TOKEN_CHARS, content_hash
 from tessera.operators import library as L
 from tessera.operators import memory as M
-from tessera.session import pinned, scratch_path, ship_package
+from tessera.session import pinned, scratch_path
 from tessera.sources.keyed import KeyedStore
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,131 +109,101 @@ def read_turn_pairs(spark: SparkSession, memory: str) -> DataFrame:
 
 
 # L3 ------------------------------------------------------------------------
-MEMORY_OUT = "user_id string, session_id string, ts timestamp, suffix_chars long, version long"  # ts null: empty
-MEMORY_STATE = "ts array<timestamp>, cost array<long>, version long"
-
-
-def _snapshot(key, keep, version) -> pd.DataFrame:
-    """Kept turns of a session as one snapshot; an empty window is one marker row (null ts)."""
-    if not keep:
-        keep = [(None, None)]
-    return pd.DataFrame({"user_id": pd.Series([key[0]] * len(keep), dtype=object),
-                         "session_id": pd.Series([key[1]] * len(keep), dtype=object),
-                         "ts": pd.Series([t for t, _ in keep], dtype="datetime64[ns]"),
-                         "suffix_chars": pd.Series([r for _, r in keep], dtype="Int64"),
-                         "version": pd.Series([version] * len(keep), dtype="int64")})
-
-
-def _sliding(max_tok: float):
-    budget = max_tok * TOKEN_CHARS
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        costs, version = {}, 0
-        if state.exists:
-            costs, version = dict(zip(state.get[0], map(int, state.get[1]))), int(state.get[2])
-        for pdf in pdfs:
-            costs.update(zip(pdf["ts"], map(int, pdf["cost"])))      # a replayed turn replaces itself
-        ts = sorted(costs)
-        cost = [costs[t] for t in ts]
-        keep, run = [], 0
-        for i in range(len(ts) - 1, -1, -1):  # newest first; stop at the first that does not fit
-            if run + cost[i] > budget:
-                break
-            run += cost[i]
-            keep.append((ts[i], run))
-        keep.reverse()
-        version += 1                                           # one snapshot per touch of the session
-        state.update(([t for t, _ in keep], [c for c in cost[len(cost) - len(keep):]], version))
-        yield _snapshot(key, keep, version)
-
-    return fn
+LIVE_SCHEMA = ("user_id string, session_id string, turn long, ts timestamp, role string, len long, suffix_chars long, "
+               "version long")
+LIVE_FOLDERS = 64
+
+
+def live_store(spark: SparkSession, out: str) -> KeyedStore:
+    """The rows that live memory holds: a session's latest version is its memory, older ones go when files are merged."""
+    return KeyedStore(spark, out, LIVE_SCHEMA, (*M.SESSION, "version", "turn"), tuple(M.SESSION), LIVE_FOLDERS)
+
+
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """The rows of every session's latest version; null keys are sessions of their own."""
+    newest = rows.groupBy(*M.SESSION).agg(F.max("version").alias("_newest"))
+    newest = newest.select(*[F.col(c).alias(f"_{c}") for c in M.SESSION], "_newest")
+    same = (F.col("version") == F.col("_newest"))
+    for c in M.SESSION:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(newest, same, "left_semi")
+
+
+def current_memory(rows: DataFrame) -> DataFrame:
+    """The turns that each session's memory keeps: user_id, session_id, ts, suffix_chars."""
+    return latest_rows(rows).filter(F.col("suffix_chars").isNotNull()).select(*M.SESSION, "ts", "suffix_chars")
+
+
+def fold_turns(store: KeyedStore, rows: DataFrame, max_tok: float) -> DataFrame:
+    """The next version of every session that has new ``rows`` (turn, ts, role, len): what it held, with the new rows in
+    their places, cut to the newest pairs that fit ``max_tok`` (F3). A row given again replaces itself.
+
+    A pair is a user's row with the next number's row, where that is the assistant's. Rows before the oldest kept pair can
+    never come back, since costs only grow; a session that keeps none leaves a row without a number. What a session
+    holds is bounded by the budget, so a window over it is too.
+    """
+    new = rows.groupBy(*M.SESSION, "turn").agg(F.max(F.struct("ts", "role", "len")).alias("r")).select(
+        *M.SESSION, "turn", "r.*", F.lit(True).alias("new"), F.lit(None).cast("long").alias("version"))
+    held = latest_rows(store.matching(rows)).select(*M.SESSION, "turn", "ts", "role", "len", F.lit(False).alias("new"), "version")
+    whole = Window.partitionBy(*M.SESSION)
+    placed = new.unionByName(held).withColumn("version", F.coalesce(F.max("version").over(whole), F.lit(0)) + 1)
+    again = Window.partitionBy(*M.SESSION, "turn").orderBy(F.col("new").desc())
+    placed = placed.where(F.col("turn").isNotNull()).withColumn("nth", F.row_number().over(again)).where("nth = 1")
+    order = whole.orderBy("turn")
+    follows = (F.lead("turn").over(order) == F.col("turn") + 1) & (F.lead("role").over(order) == "assistant")
+    answer = F.when(follows, F.lead("len").over(order)).otherwise(F.lit(0))
+    costs = placed.withColumn("cost", F.when(F.col("role") == "user", F.col("len") + answer + 2))
+    newest = whole.orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    costs = costs.withColumn("suffix_chars", F.when(F.col("cost").isNotNull(), F.sum("cost").over(newest)))
+    kept = F.col("suffix_chars") / F.lit(TOKEN_CHARS) <= F.lit(float(max_tok))
+    oldest = F.coalesce(F.min(F.when(kept, F.col("turn"))).over(whole), F.max(F.when(F.col("cost").isNotNull(), F.col("turn"))).over(whole) + 1,
+                        F.min("turn").over(whole))
+    cut = costs.withColumn("suffix_chars", F.when(kept, F.col("suffix_chars"))).withColumn("oldest", oldest)
+    left = cut.where(F.col("turn") >= F.col("oldest"))
+    gone = cut.groupBy(*M.SESSION, "version").agg(F.max("turn").alias("last"), F.first("oldest").alias("oldest")).where("last < oldest")
+    columns = store.columns
+    return left.select(*columns).unionByName(gone.select(*M.SESSION, "version"), allowMissingColumns=True).select(*columns)
+
+
+def _stream_live(rows: DataFrame, out: str, max_tok: float, checkpoint: str | None) -> DataFrame:
+    spark = rows.sparkSession
+    store = live_store(spark, out)
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        store.add(fold_turns(store, pinned(batch, "turns"), max_tok), unique=True)
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            store.compact(keep=latest_rows)
+
+    _run(rows.writeStream.foreachBatch(per_batch), checkpoint or scratch_path(spark, "ckpt-mem"))
+    return current_memory(store.read())
 
 
 def stream_memory(pairs: DataFrame, out: str, max_tok: float, checkpoint: str | None = None) -> DataFrame:
-    """L3: live sliding memory per session; the state holds only the turns that fit.
+    """L3: live sliding memory per session, in a store that holds only the turns that fit.
 
     ``pairs`` is a stream of turn rows (``user_id, session_id, ts,
-    user_prompt, llm_answer``), e.g. the memory table written by L2. Every
-    micro-batch emits each touched session's kept turns with a ``version``
-    (how often it was touched); the current memory is the highest version per session
-    (``current_memory``). Late turns sort into place by time.
+    user_prompt, llm_answer``), e.g. the memory table written by L2. A
+    micro-batch reads the sessions it touches, of which only their folders,
+    and adds their next version; late turns sort into place by time, replayed
+    ones replace themselves. There is no streaming state that idle sessions
+    could fill, and older versions go when files are merged.
     """
-    ship_package(pairs.sparkSession)
-    costs = pairs.select(*M.SESSION, "ts",
-                         M.turn_cost().cast("long").alias("cost"))
-    res = costs.groupBy(*M.SESSION).applyInPandasWithState(_sliding(max_tok), MEMORY_OUT, MEMORY_STATE, "append",
-                                                           GroupStateTimeout.NoTimeout)
-    _run(res.writeStream.format("parquet").option("path", out),
-         checkpoint or scratch_path(pairs.sparkSession, "ckpt-mem"))
-    return current_memory(pairs.sparkSession.read.parquet(out))
-
-
-TURN_STATE = "turn array<long>, ts array<timestamp>, role array<string>, len array<long>, version long"
-
-
-def _sliding_from_turns(max_tok: float):
-    budget = max_tok * TOKEN_CHARS
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows, version = {}, 0
-        if state.exists:
-            st = state.get
-            version = int(st[4])
-            for t, ts, r, n in zip(st[0], st[1], st[2], st[3]):
-                rows[int(t)] = (ts, r, int(n))
-        for pdf in pdfs:
-            for t, ts, r, n in zip(pdf["turn"], pdf["ts"], pdf["role"], pdf["len"]):
-                rows[int(t)] = (ts, r, int(n))               # a replayed row replaces itself
-        # pairs: each user row with the next turn's text when that is the assistant's
-        pairs = []
-        for t in sorted(rows):
-            ts, role, n = rows[t]
-            if role == "user":
-                nxt = rows.get(t + 1)
-                answer = nxt[2] if nxt is not None and nxt[1] == "assistant" else 0
-                pairs.append((t, ts, n + answer + 2))
-        keep, run = [], 0
-        for t, ts, cost in reversed(pairs):                 # newest first; stop at the first that does not fit
-            if run + cost > budget:
-                break
-            run += cost
-            keep.append((t, ts, run))
-        keep.reverse()
-        # rows older than the oldest kept pair can never come back (costs only grow)
-        floor = keep[0][0] if keep else (pairs[-1][0] + 1 if pairs else min(rows, default=0))
-        kept_rows = [t for t in sorted(rows) if t >= floor]
-        version += 1                                           # one snapshot per touch of the session
-        state.update(([t for t in kept_rows], [rows[t][0] for t in kept_rows], [rows[t][1] for t in kept_rows],
-                      [rows[t][2] for t in kept_rows], version))
-        yield _snapshot(key, [(ts, r) for _, ts, r in keep], version)
-
-    return fn
+    costs = pairs.select(*M.SESSION, F.unix_micros("ts").alias("turn"), "ts", F.lit("user").alias("role"),
+                         (M.turn_cost() - 2).cast("long").alias("len"))
+    return _stream_live(costs, out, max_tok, checkpoint)
 
 
 def stream_memory_from_turns(spark: SparkSession, src: str, out: str, max_tok: float, glob: str | None = None,
                              checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
     """L3 over raw conversation rows: live sliding memory per session.
 
-    Prompts and answers may arrive in any micro-batch. The state of a session
-    holds only the raw rows from its oldest kept pair on (so it is bounded by
-    the budget); pairs are formed from it each time, so a late answer lengthens
-    its pair and may push older turns out. Each micro-batch emits the kept turns
-    of the sessions it touched; ``current_memory`` reads the latest version.
+    Prompts and answers may arrive in any micro-batch: the store keeps the raw
+    rows from a session's oldest kept pair on, pairs are formed from them each
+    time, so a late answer lengthens its pair and may push older turns out.
     """
-    ship_package(spark)
     rows = M.conversation_turns(_read(spark, src, TURN_SCHEMA, glob, max_files))
     rows = rows.select(*M.SESSION, "turn", "ts", "role", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("len"))
-    res = rows.groupBy(*M.SESSION).applyInPandasWithState(_sliding_from_turns(max_tok), MEMORY_OUT, TURN_STATE,
-                                                          "append", GroupStateTimeout.NoTimeout)
-    _run(res.writeStream.format("parquet").option("path", out), checkpoint or scratch_path(spark, "ckpt-mem"))
-    return current_memory(spark.read.parquet(out))
-
-
-def current_memory(snapshots: DataFrame) -> DataFrame:
-    """The latest snapshot of every session (version = per-session touch count);
-    empty windows are marker rows and leave nothing."""
-    latest = snapshots.groupBy(*M.SESSION).agg(F.max("version").alias("version"))
-    return (snapshots.join(latest, [*M.SESSION, "version"]).filter(F.col("ts").isNotNull()).drop("version"))
+    return _stream_live(rows, out, max_tok, checkpoint)
 
 
 # L4 ------------------------------------------------------------------------

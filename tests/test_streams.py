@@ -92,3 +92,33 @@ def test_library_files_are_merged(spark, monkeypatch):
     S.library_store(spark, lib).compact(files=1)
     assert len(glob.glob(f"{path}/bucket=*/*.parquet")) == len(folders)
     assert S.read_library(spark, lib).select("content_hash").distinct().count() == docs.select(F.md5("text")).distinct().count()
+
+
+def test_live_memory_replays_and_storage(spark, monkeypatch):
+    from tessera.operators import memory as M
+
+    monkeypatch.setattr(S, "COMPACT_EVERY", 4)
+    src, out = scratch_path(spark, "turn-src"), scratch_path(spark, "live")
+    rows = [(conv, turn, "user" if turn % 2 == 0 else "assistant", "x" * (5 + turn % 3)) for turn in range(40) for conv in (1, 2, None)]
+    for turn in range(40):                                       # one file, and so one batch, for each turn
+        spark.createDataFrame([r for r in rows if r[1] == turn], S.TURN_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    S.stream_memory_from_turns(spark, src, out, 12, checkpoint=f"{out}-one", max_files=4)
+    store = S.live_store(spark, out)
+    pairs = M.chat_pairs(M.conversation_turns(spark.createDataFrame(rows, S.TURN_SCHEMA)))
+    want = sorted(map(tuple, M.sliding_memory(pairs, 12).select(*M.SESSION, "ts", "suffix_chars").collect()), key=str)
+    now = lambda: sorted(map(tuple, S.current_memory(store.read()).collect()), key=str)
+    assert now() == want and len(want) > 4
+    S.stream_memory_from_turns(spark, src, out, 12, checkpoint=f"{out}-two", max_files=20)      # the same input again
+    assert now() == want
+    store.compact(files=0, keep=S.latest_rows)
+    assert now() == want and store.read().groupBy(*M.SESSION).agg(F.countDistinct("version").alias("n")).where("n > 1").count() == 0
+    assert store.read().count() < 40
+
+
+def test_live_memory_that_fits_nothing(spark):
+    src, out = scratch_path(spark, "turn-src"), scratch_path(spark, "live")
+    for batch in ([(1, 0, "user", "x" * 10)], [(1, 1, "user", "y" * 900)], [(1, 3, "assistant", "z")]):
+        spark.createDataFrame(batch, S.TURN_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        got = S.stream_memory_from_turns(spark, src, out, 20, checkpoint=f"{out}-ckpt")
+        kept = [r.suffix_chars for r in got.collect()]
+        assert kept == ([12] if len(batch) and batch[0][1] == 0 else [])
