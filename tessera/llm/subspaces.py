@@ -320,3 +320,17 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embe
 
 def op13(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: cast(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+          WHERE list_cosine_similarity(x.v, y.v) >= {COSINE}),
+reach AS (SELECT vec_id, vec_id AS r FROM e UNION SELECT reach.vec_id, b FROM reach JOIN links ON r = a),
+least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counts ON vec_id = a
+"""

@@ -18,6 +18,6 @@ QUERIES = {
     "op10_repeat_rules": (repeats.op10, repeats.OP10_SQL),
     "op11_cross_tokens": (crosstoken.op11, None),
     "op12_embedding_whitening": (whitening.op12, None),
-    "op13_subspace_join": (subspaces.op13, None),
+    "op13_subspace_join": (subspaces.op13, subspaces.OP13_SQL),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
