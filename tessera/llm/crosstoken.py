@@ -34,8 +34,8 @@ from tessera.llm.tokenfiles import ByteEncoder, PieceEncoder, public_tokenizer
 
 _SPACE_MARK = "▁"
 _PLAIN = W.byte_set(set(range(0x21, 0x7F)))                      # ASCII characters that are no white space
-CACHED = 150_000         # pieces that a worker keeps for either tokenizer
-SLICE_BYTES = 1 << 18    # texts are aligned in slices of about this size
+CACHED = 600_000         # pieces that a worker keeps for either tokenizer
+SLICE_BYTES = 1 << 19    # texts are aligned in slices of about this size
 LISTS = ("a", "b", "cut_a", "cut_b", "links")
 
 
