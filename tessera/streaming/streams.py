@@ -33,12 +33,17 @@ def read_library(spark: SparkSession, library: str) -> DataFrame:
     return library_store(spark, library).read()
 
 
-def _read(spark: SparkSession, path: str, schema: str, glob: str | None, max_files: int | None):
+def read_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Parquet files below ``path`` as a stream. A ``glob`` filters their names; one without wildcards names a table right
+    below ``path``, which may be a file or a folder of files."""
     r = spark.readStream.format("parquet").schema(schema)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
+    if glob and any(c in glob for c in "*?[]{}\\"):
+        r = r.option("pathGlobFilter", glob)
+    elif glob:
+        # a pattern that only this name matches: a plain path is taken as a folder of partitions, which a file is not
+        path = f"{path.rstrip('/')}/{glob[:-1]}[{glob[-1]}]"
     return r.load(path)
 
 
@@ -59,7 +64,7 @@ def stream_documents(spark: SparkSession, src: str, library: str, glob: str | No
     adds its chunks. A retried batch finds its documents there. Every
     ``COMPACT_EVERY`` batches the small files are merged.
     """
-    docs = _read(spark, src, DOC_SCHEMA, glob, max_files)
+    docs = read_stream(spark, src, DOC_SCHEMA, glob, max_files)
     store = library_store(spark, library)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -85,7 +90,7 @@ def stream_turns(spark: SparkSession, src: str, memory: str, glob: str | None =
     (``read_turn_pairs``), where every stored row is visible. Rows already
     stored, and repeats inside a batch, are skipped, so a retried batch adds nothing.
     """
-    rows = _read(spark, src, TURN_SCHEMA, glob, max_files)
+    rows = read_stream(spark, src, TURN_SCHEMA, glob, max_files)
     store = raw_turns(spark, memory)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
@@ -201,7 +206,7 @@ def stream_memory_from_turns(spark: SparkSession, src: str, out: str, max_tok: f
     rows from a session's oldest kept pair on, pairs are formed from them each
     time, so a late answer lengthens its pair and may push older turns out.
     """
-    rows = M.conversation_turns(_read(spark, src, TURN_SCHEMA, glob, max_files))
+    rows = M.conversation_turns(read_stream(spark, src, TURN_SCHEMA, glob, max_files))
     rows = rows.select(*M.SESSION, "turn", "ts", "role", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("len"))
     return _stream_live(rows, out, max_tok, checkpoint)
 

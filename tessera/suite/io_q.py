@@ -161,11 +161,11 @@ def l3_stream_memory_from_turns(spark, sf):
 
 def l4_stream_chain(spark, sf):
     out = scratch_path(spark, "chain-out")
-    stream = spark.readStream.schema(S.TURN_SCHEMA).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    stream = S.read_stream(spark, sf, S.TURN_SCHEMA, "conversations.parquet")
     prompts = stream.filter(F.col("role") == "user").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias("prompt"))
     S.stream_chain(prompts, chain_q.THREE_STEPS, chain_q._ctx(spark), out)
-    return spark.read.parquet(out).select("row_id", F.md5("result").alias("result_md5"))
+    return spark.read.schema("row_id long, result string").parquet(out).select("row_id", F.md5("result").alias("result_md5"))
 
 
 QUERIES = {
