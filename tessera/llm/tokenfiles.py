@@ -137,7 +137,8 @@ class ByteEncoder(PieceEncoder):
         super().__init__(cached)
 
     def encode_pieces(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = (texts[k:k + 2_000] for k in range(0, len(texts), 2_000))   # the library's results are large, only the ids stay
+        return [x.ids for part in parts for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(_BLANK[data])
@@ -149,7 +150,7 @@ class ByteEncoder(PieceEncoder):
         sure &= ~((left2 == 0xC2) & ((left == 0x85) | (left == 0xA0)) & (at - 2 >= begin)) & ~(_WIDE_LEAD[left3] & (at - 3 >= begin))
         at = at[sure]
         alone = at[data[at] != 0x20] + 1
-        return np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], at, alone]))
+        return W.marked(len(data), offsets[:-1][offsets[:-1] < offsets[1:]], at, alone)
 
 
 _ENCODERS: dict[int, ByteEncoder] = {}

@@ -80,6 +80,14 @@ def spans(data: np.ndarray, offsets: np.ndarray, members: np.ndarray) -> tuple[n
     return starts, ends, rows
 
 
+def marked(n: int, *places: np.ndarray) -> np.ndarray:
+    """The distinct numbers below ``n`` among ``places``, ascending."""
+    found = np.zeros(n, bool)
+    for at in places:
+        found[at] = True
+    return np.flatnonzero(found)
+
+
 def _eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one number; zeros follow the last byte."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
