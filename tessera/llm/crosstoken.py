@@ -1,6 +1,6 @@
 """Alignment of two tokenizations of the same text by the byte offsets at which tokens of both end.
 
-Dictionaries from cumulative end to index are made for either tokenizer over a slice of texts; the ends that both have, in
+Tables from cumulative end to index are made for either tokenizer over a slice of texts; the ends that both have, in
 ascending order, cut the two id lists into groups, and every slice is expanded into its links: the pairs of tokens whose byte ranges end
 together. Texts stay in the task that reads them. Both encoders look up distinct pieces (``PieceEncoder``): the cuts are
 places that no token of either vocabulary crosses.
@@ -62,7 +62,7 @@ class SentencePieces(PieceEncoder):
         at = np.flatnonzero(data == 0x20)
         row = np.searchsorted(offsets, at, "right") - 1
         at = at[(at > offsets[row]) & (at + 1 < offsets[row + 1])]
-        return np.union1d(begins, at[_PLAIN[data[at - 1]] & _PLAIN[data[at + 1]]])
+        return W.marked(len(data), begins, at[_PLAIN[data[at - 1]] & _PLAIN[data[at + 1]]])
 
     def encode_pieces(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
@@ -133,7 +133,7 @@ class Aligner:
         return a.astype(np.int64) * len(self.b_bytes.by_id) + b
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> "Slice":
-        """The alignment of a slice of texts; the dictionaries hold the ends of all its texts."""
+        """The alignment of a slice of texts; the tables hold the ends of all its texts."""
         # space + text, and an empty text stays empty
         filled = offsets[1:] > offsets[:-1]
         spaced = np.insert(data, offsets[:-1][filled], 0x20)
@@ -154,16 +154,13 @@ class Aligner:
             # one more byte between texts: a token without bytes cannot end with the text before
             found.append((ids, row, np.cumsum(width) + row))
         (a, row_a, ends_a), (b, row_b, ends_b) = found
-        by_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1)))  # of tokens that end together, the last
-        by_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1)))
-        common = list(filter(by_b.__contains__, by_a))           # ascending, as the ends were put in
-        cut_a = np.fromiter(map(by_a.__getitem__, common), np.int64, len(common))
-        cut_b = np.fromiter(map(by_b.__getitem__, common), np.int64, len(common))
+        by_a, by_b = _by_end(ends_a, len(spaced) + len(filled)), _by_end(ends_b, len(spaced) + len(filled))
+        common = np.flatnonzero((by_a > 0) & (by_b > 0))
+        cut_a, cut_b = by_a[common].astype(np.int64), by_b[common].astype(np.int64)
         row = row_a[cut_a - 1]
         links, n_links = self.code(a[cut_a - 1], b[cut_b - 1]), np.ones(len(common), np.int64)
-        if len(by_a) < len(a) or len(by_b) < len(b):             # tokens without bytes: all that end at the cut are linked
-            ends = np.array(common, np.int64)
-            from_a, from_b = np.searchsorted(ends_a, ends, "left"), np.searchsorted(ends_b, ends, "left")
+        if np.count_nonzero(by_a) < len(a) or np.count_nonzero(by_b) < len(b):   # tokens without bytes: all that end at the cut are linked
+            from_a, from_b = np.searchsorted(ends_a, common, "left"), np.searchsorted(ends_b, common, "left")
             links = np.concatenate([self.code(np.repeat(a[i:j], y - x), np.tile(b[x:y], j - i))
                                     for i, j, x, y in zip(from_a, cut_a, from_b, cut_b)])
             n_links = (cut_a - from_a) * (cut_b - from_b)
@@ -174,8 +171,8 @@ class Aligner:
 
     def _digests(self, a, b, cut_a, cut_b, n_tokens) -> list[str]:
         """sha256 of ``a1,a2|b1;a3|b2`` for each text: the ids of all groups in order, a separator behind each."""
-        group_a = np.searchsorted(cut_a, np.arange(len(a)), "right")
-        group_b = np.searchsorted(cut_b, np.arange(len(b)), "right")
+        group_a = np.cumsum(np.bincount(cut_a, minlength=len(a) + 1))[:len(a)]
+        group_b = np.cumsum(np.bincount(cut_b, minlength=len(b) + 1))[:len(b)]
         at_a = np.arange(len(a)) + np.concatenate([[0], cut_b])[group_a]
         at_b = np.arange(len(b)) + cut_a[group_b]
         ids = np.empty(len(a) + len(b), np.int64)
@@ -191,6 +188,15 @@ class Aligner:
         return [hashlib.sha256(text[i:j - 1]).hexdigest() if i < j else "" for i, j in zip(ends[:-1], ends[1:])]
 
 
+def _by_end(ends: np.ndarray, size: int) -> np.ndarray:
+    """For each cumulative end below ``size``, one more than the index of the last token that ends there, or 0."""
+    last = np.ones(len(ends), bool)
+    last[:-1] = ends[1:] != ends[:-1]
+    found = np.zeros(size, np.int32)
+    found[ends[last]] = np.flatnonzero(last) + 1
+    return found
+
+
 def _same_texts(joined: np.ndarray, sizes: np.ndarray, texts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether the joined bytes of each row's tokens are its text."""
     same = sizes == np.diff(offsets)
