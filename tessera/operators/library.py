@@ -282,7 +282,18 @@ class VectorIndex:
     ctype: str
 
 
-BLOCK_ROWS = 1024        # vectors of a block
+BLOCK_ROWS = 1024        # vectors of a block, and of any slice that Python works on
+
+
+def _slices(batch):
+    return (batch.slice(k, BLOCK_ROWS) for k in range(0, batch.num_rows, BLOCK_ROWS))
+
+
+def _matrix(lists):
+    """The equally long lists of an Arrow column as the rows of a matrix."""
+    if lists.null_count or len(lists.value_lengths().unique()) > 1:
+        raise ValueError("vectors are null or differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey: str = "cid", cvec: str = "embedding",
@@ -298,6 +309,7 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
     and many query batches can search the same index.
     """
     import numpy as np
+    import pyarrow as pa
 
     spark = chunks.sparkSession
     ship_package(spark)
@@ -306,7 +318,7 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
         cand = cand.filter(F.col(chash).isin(list(ids))) if ids else cand.limit(0)   # empty selection: nothing
     elif ids is not None:
         cand = cand.join(ids.select(F.col(ids.columns[0]).alias(chash)).distinct(), chash, "left_semi")
-    cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).alias("v"))
+    cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).cast("array<float>").alias("v"))
     ctype = dict(cand.dtypes)["cid"]
     if n_cells is None:
         n_cells = int(min(max_cells, max(8, round(math.sqrt(cand.count())))))
@@ -314,31 +326,29 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
     C = np.asarray(cents, dtype=np.float64)
 
     # cell radii use the approximate distances, widened by the error bound
-    def place(it):
-        for pdf in it:
-            V = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, C.shape[1]))
-            D = np.sqrt(_approx_sqdist(V, C))
-            cell = D.argmin(axis=1) if len(pdf) else np.zeros(0, dtype=int)
-            r = D[np.arange(len(pdf)), cell] + np.sqrt(_slack(V, C)) if len(pdf) else np.zeros(0)
-            # plain numpy columns: Arrow-backed pandas strings would come back as chunked arrays
-            yield pd.DataFrame({"cid": pdf["cid"].to_numpy(dtype=object), "v": pdf["v"].to_numpy(dtype=object),
-                                "cell": cell.astype("int32"), "r": r, "norm": (V * V).sum(1)})
-
-    def number(it):
+    def place(batches):
+        for batch in batches:
+            for part in _slices(batch):
+                V = _matrix(part.column(1)).astype(np.float64)
+                D = np.sqrt(_approx_sqdist(V, C))
+                cell = D.argmin(axis=1)
+                r = D[np.arange(len(V)), cell] + np.sqrt(_slack(V, C))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(r), pa.array((V * V).sum(1))],
+                                                 names=["cid", "v", "cell", "r", "norm"])
+
+    def number(batches):
         # blocks of rows that lie together: a cell's rows by their distance, then the next cell's
-        block = TaskContext.get().partitionId() << 32
-        filled = 0
-        for pdf in it:
-            at = filled + np.arange(len(pdf))
-            pdf["block"] = block + at // BLOCK_ROWS
-            block, filled = block + int((filled + len(pdf)) // BLOCK_ROWS), (filled + len(pdf)) % BLOCK_ROWS
-            yield pdf
+        first, filled = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            block = first + (filled + np.arange(batch.num_rows)) // BLOCK_ROWS
+            filled += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block, pa.int64())], names=[*batch.schema.names, "block"])
 
     path = path or scratch_path(spark, "vector-index")
     kind = f"cid {ctype}, v array<float>, cell int, r double, norm double"
     if len(cents):
-        placed = cand.mapInPandas(place, kind)
-        placed.repartitionByRange("cell", "r", "cid").sortWithinPartitions("cell", "r", "cid").mapInPandas(number, f"{kind}, block bigint").write.parquet(path)
+        placed = cand.mapInArrow(place, kind)
+        placed.repartitionByRange("cell", "r", "cid").sortWithinPartitions("cell", "r", "cid").mapInArrow(number, f"{kind}, block bigint").write.parquet(path)
         placed = spark.read.parquet(path)
     else:
         placed = spark.createDataFrame([], f"{kind}, block bigint")
@@ -353,7 +363,9 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
     return VectorIndex(placed, rings.drop("n", "norm"), C, cells, counts, radii, norm, ctype)
 
 
-QUERY_BLOCK = 1024       # query vectors that meet a block at a time
+QUERY_BLOCK = 1 << 16    # query vectors that a region meets at a time
+REGIONS = 16             # regions of an index, as long as one has no more than REGION_BLOCKS blocks
+REGION_BLOCKS = 63       # bits of a mask
 
 
 def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey: str = "qid",
@@ -364,10 +376,13 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
     upper bound on its k-th distance, and from the bound the rings it can need:
     in a cell, the rows whose distance to the centroid lies between two values.
     A band join of these with the rings of the blocks says which blocks a query
-    meets; blocks that none meets are not sent on. A block meets its queries
-    ``query_block`` at a time, in one pass whatever the number of queries; each
-    meeting gives a query's k nearest, and these few rows are merged. A matrix
-    product ranks the rows approximately, and every pair within the error bound
+    meets. Neighbouring blocks make a region, and a query is sent to a region
+    once, with a mask of the blocks it meets there. A region meets its queries
+    about ``query_block`` at a time: the task holds these, each with the k
+    nearest so far, while the region's rows pass by block after block. So both
+    queries and rows are copied a few times only (queries once for each region, rows once
+    for each ``query_block`` queries), and a query leaves a region with k
+    rows. A matrix product ranks the rows approximately, and every pair within the error bound
     of a query's k-th is recomputed exactly (summed left to right in float64,
     like the SQL twin). Unstructured vectors leave little to rule out: exact
     search then compares a query with most rows.
@@ -377,17 +392,25 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
     qtype, ctype = dict(queries.dtypes)[qkey], index.ctype
     if not len(index.cells):
         return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
-    # numbered and written: the bounds and the vectors are taken from it one after the other
-    qs = pinned(queries.select(F.col(qkey).alias("qid"), F.col(qvec).cast("array<double>").alias("q"), F.monotonically_increasing_id().alias("n")), "queries")
+    # single precision stays so; numbered and written: the bounds and the vectors are taken from it one after the other
+    kind = "array<float>" if dict(queries.dtypes)[qvec] == "array<float>" else "array<double>"
+    qs = pinned(queries.select(F.col(qkey).alias("qid"), F.col(qvec).cast(kind).alias("q"), F.monotonically_increasing_id().alias("n")), "queries")
     held = (index.centroids, index.cells, index.counts, index.radii, index.norm)
-    bands = qs.select("n", "q").mapInPandas(_bands(held, k), "n bigint, cell int, low double, high double, tau double")
-    rings = index.rings.withColumnRenamed("cell", "_cell")
+    bands = qs.select("n", "q").mapInArrow(_bands(held, k), "n bigint, cell int, low double, high double, tau double")
+    size = min(max(math.ceil(int(index.counts.sum()) / BLOCK_ROWS / REGIONS), 1), REGION_BLOCKS)   # blocks of a region
+    bit = F.pmod(F.col("block").bitwiseAND(0xFFFFFFFF), F.lit(size))
+    rings = index.rings.select(F.col("cell").alias("_cell"), "r_min", "r_max", (F.col("block") - bit).alias("region"), bit.cast("int").alias("bit"))
     met = bands.join(rings, (F.col("cell") == F.col("_cell")) & (F.col("r_max") >= F.col("low")) & (F.col("r_min") <= F.col("high")))
-    met = pinned(met.groupBy("n", "block").agg(F.first("tau").alias("tau")), "meetings")
-    sizes = met.groupBy("block").agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts"))
-    asked = met.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int")).join(qs, "n").select("block", "part", "n", "q", "tau")
-    rows = index.data.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "cid", "v")
-    found = asked.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(_nearest(k), f"n bigint, cid {ctype}, dist double")
+    met = pinned(met.groupBy("n", "region").agg(F.first("tau").alias("tau"), F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")), "meetings")
+    sizes = pinned(met.groupBy("region").agg(F.ceil(F.count("*") / query_block).cast("int").alias("parts")), "parts")
+    groups = sizes.agg(F.sum("parts")).head()[0] or 1
+    asked = met.join(sizes, "region").withColumn("part", F.pmod(F.xxhash64("n"), "parts").cast("int")).join(qs, "n").select(
+        "region", "part", F.lit(-1).alias("bit"), "n", "tau", "mask", "q")
+    rows = index.data.withColumn("region", F.col("block") - bit).withColumn("bit", bit.cast("int")).join(sizes, "region").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("region", "part", "bit", "cid", "v")
+    # a group's queries come before its rows
+    both = asked.unionByName(rows, allowMissingColumns=True).repartition(int(groups), "region", "part").sortWithinPartitions("region", "part", "bit")
+    found = both.mapInArrow(_meet(k), f"n bigint, cid {ctype}, dist double")
     w = Window.partitionBy("n").orderBy(F.col("dist"), F.col("cid"))
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.join(qs.select("n", "qid"), "n").select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
@@ -396,14 +419,13 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
 def _bands(held, k: int):
     """For each query and cell it can need: the distances to the centroid of the rows that may be among its k nearest."""
     import numpy as np
+    import pyarrow as pa
 
     centroids, cells, counts, radii, norm = held
 
-    def bands(it):
-        for pdf in it:
-            if not len(pdf):
-                continue
-            Q = np.stack(pdf["q"].to_numpy()).astype(np.float64)
+    def bands(batches):
+        for part in (p for batch in batches for p in _slices(batch)):
+            Q = _matrix(part.column(1)).astype(np.float64)
             err = np.sqrt(_slack(Q, centroids))[:, None]
             near = np.sqrt(_approx_sqdist(Q, centroids[cells]))
             lowest, highest = np.maximum(near - radii - err, 0.0), near + radii + err
@@ -415,40 +437,111 @@ def _bands(held, k: int):
             qi, ci = np.nonzero(lowest <= tau[:, None])
             # the rows' own distances are widened by their error already; the same is allowed on the other side
             wide = tau + 2 * np.sqrt(2e-6 + 1e-9 * ((Q * Q).sum(1) + norm)) + err[:, 0]
-            yield pd.DataFrame({"n": pdf["n"].to_numpy()[qi], "cell": cells[ci].astype("int32"), "low": near[qi, ci] - wide[qi],
-                                "high": near[qi, ci] + wide[qi], "tau": tau[qi]})
+            yield pa.record_batch({"n": part.column(0).to_numpy()[qi], "cell": cells[ci].astype("int32"), "low": near[qi, ci] - wide[qi],
+                                   "high": near[qi, ci] + wide[qi], "tau": tau[qi]})
 
     return bands
 
 
-def _nearest(k: int):
-    """The k nearest rows of a block for each of some queries, as far as they are within the query's bound."""
-    import numpy as np
+class _Meeting:
+    """The queries of a region's part, each with the k nearest of the rows seen so far that are within its bound."""
+
+    def __init__(self, asked: list, k: int):
+        import numpy as np
 
-    def nearest(asked, rows):
-        empty = pd.DataFrame({"n": pd.Series(dtype="int64"), "cid": pd.Series(dtype=object), "dist": pd.Series(dtype="float64")})
-        if not len(asked) or not len(rows):
-            return empty
-        Q, V = (np.stack(x.to_numpy()).astype(np.float64) for x in (asked["q"], rows["v"]))
-        n, cids, tau = asked["n"].to_numpy(), rows["cid"].to_numpy(dtype=object), asked["tau"].to_numpy()
-        bound = tau ** 2 * (1 + 1e-9) + 1e-9
+        self.k = k
+        self.n, self.mask = (np.concatenate([b.column(c).to_numpy() for b in asked]) for c in ("n", "mask"))
+        self.bound = np.concatenate([b.column("tau").to_numpy() for b in asked]) ** 2 * (1 + 1e-9) + 1e-9
+        self.q = np.concatenate([_matrix(b.column("q")) for b in asked])
+        self.dist = np.full((len(self.n), k), np.inf)
+        self.cid = np.full((len(self.n), k), None, object)
+
+    def see(self, rows) -> None:
+        """``rows`` of one block."""
+        import numpy as np
+
+        V = _matrix(rows.column("v")).astype(np.float64)
+        cids = np.empty(len(V), object)
+        cids[:] = rows.column("cid").to_pylist()
+        asking = np.flatnonzero(self.mask >> rows.column("bit")[0].as_py() & 1)
+        for first in range(0, len(asking), BLOCK_ROWS):
+            self._compare(asking[first:first + BLOCK_ROWS], V, cids, rows.schema.field("cid").type)
+
+    def _compare(self, mine, V, cids, ctype) -> None:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        Q, last = self.q[mine].astype(np.float64), min(self.k, len(V)) - 1
         approx, margin = _approx_sqdist(Q, V), _slack(Q, V)
-        approx[approx > (bound + margin)[:, None]] = np.inf
-        kth = np.partition(approx, min(k, len(V)) - 1, axis=1)[:, min(k, len(V)) - 1]
+        limit = np.minimum(self.bound[mine], self.dist[mine, -1])
+        approx[approx > (limit + margin)[:, None]] = np.inf
+        kth = np.partition(approx, last, axis=1)[:, last]
         # finite only: with fewer than k candidates the k-th is infinite
         qi, vi = np.nonzero(np.isfinite(approx) & (approx <= (kth + margin)[:, None]))
-        exact = np.round(_seq_sqdist(Q[qi], V[vi]), 6)
-        keep = exact <= bound[qi]
+        if not len(qi):
+            return
+        step = max((1 << 22) // V.shape[1], 1)                    # pairs whose vectors are copied at a time
+        exact = np.concatenate([np.round(_seq_sqdist(Q[qi[s:s + step]], V[vi[s:s + step]]), 6) for s in range(0, len(qi), step)])
+        keep = exact <= limit[qi]
         qi, vi, exact = qi[keep], vi[keep], exact[keep]
-        by_id = np.argsort(np.argsort(cids[vi], kind="stable"), kind="stable") if len(vi) else vi
-        order = np.lexsort((by_id, exact, qi))
-        qi, vi, exact = qi[order], vi[order], exact[order]
-        top = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
-        if not top.any():
-            return empty
-        return pd.DataFrame({"n": n[qi[top]], "cid": pd.Series(cids[vi[top]].tolist(), dtype=object), "dist": exact[top]})
-
-    return nearest
+        if not len(qi):
+            return
+        # with what these queries hold, the k first by distance and id
+        some = np.unique(qi)
+        had_q, had_at = np.nonzero(np.isfinite(self.dist[mine[some]]))
+        had_q = some[had_q]
+        had_at = (mine[had_q], had_at)
+        query, dist, cid = np.concatenate([qi, had_q]), np.concatenate([exact, self.dist[had_at]]), np.concatenate([cids[vi], self.cid[had_at]])
+        by_id = np.empty(len(cid), np.int64)
+        by_id[pc.sort_indices(pa.array(cid.tolist(), ctype), null_placement="at_start").to_numpy()] = np.arange(len(cid))
+        order = np.lexsort((by_id, dist, query))
+        query, dist, cid = query[order], dist[order], cid[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        top = rank < self.k
+        at = (mine[query[top]], rank[top])
+        self.dist[at], self.cid[at] = dist[top], cid[top]
+
+    def found(self, ctype):
+        import numpy as np
+        import pyarrow as pa
+
+        for first in range(0, len(self.n), 1 << 14):
+            qi, at = np.nonzero(np.isfinite(self.dist[first:first + (1 << 14)]))
+            at = (qi + first, at)
+            yield pa.record_batch([pa.array(self.n[at[0]]), pa.array(self.cid[at].tolist(), ctype), pa.array(self.dist[at])], names=["n", "cid", "dist"])
+
+
+def _meet(k: int):
+    """Over rows sorted by region, part and bit, queries (bit -1) first: the k nearest rows of a region for each of its queries."""
+    import numpy as np
+
+    def meet(batches):
+        current, asked, meeting = None, [], None
+        for batch in batches:
+            ctype = batch.schema.field("cid").type
+            keys = np.stack([batch.column(c).to_numpy() for c in ("region", "part", "bit")])
+            starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if i == j:
+                    continue
+                region, part, bit = keys[:, i].tolist()
+                if (region, part) != current:
+                    if meeting is not None:
+                        yield from meeting.found(ctype)
+                    current, asked, meeting = (region, part), [], None
+                if bit < 0:
+                    asked.append(batch.slice(i, j - i).select(["n", "tau", "mask", "q"]))
+                    continue
+                if meeting is None and asked:
+                    meeting, asked = _Meeting(asked, k), []
+                if meeting is not None:
+                    for rows in _slices(batch.slice(i, j - i).select(["bit", "cid", "v"])):
+                        meeting.see(rows)
+        if meeting is not None:
+            yield from meeting.found(ctype)
+
+    return meet
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: "DataFrame | list | None" = None,
