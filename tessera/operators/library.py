@@ -2,8 +2,8 @@
 
 Every operator is a DataFrame -> DataFrame function. Text work is native
 (regex, ``split``, an ``aggregate`` fold for packing); the hashing encoder counts
-buckets per row. Vector distances run in numpy where a block of the index meets
-its queries (``cogroup``): Spark 4.1 has no vector functions, and higher-order
+buckets per row. Vector distances run in numpy where a region of the index meets
+its queries (``mapInArrow`` over sorted rows): Spark 4.1 has no vector functions, and higher-order
 lambdas over arrays run interpreted.
 """
 

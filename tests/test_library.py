@@ -176,3 +176,34 @@ def test_one_pass_meets_only_the_rings_in_reach(spark):
     assert sorted((h.qid, h.rank, h.cid) for h in got) == sorted(want)
     few = L.search(queries, chunks.limit(2), k=5)
     assert few.groupBy("rank").count().orderBy("rank").collect()[0]["count"] == len(Q) and few.agg(F.max("rank")).head()[0] == 2
+
+
+def test_a_query_is_sent_to_a_region_once(spark, monkeypatch):
+    import numpy as np
+
+    written, pinned = {}, L.pinned
+    monkeypatch.setattr(L, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(L, "pinned", lambda df, name: written.setdefault(name, pinned(df, name)))
+    r = np.random.default_rng(7)
+    V = np.concatenate([np.zeros((300, 8)), r.normal(size=(1200, 8))]).astype(np.float32)      # many rows at one place
+    Q = np.concatenate([np.zeros((3, 8)), r.normal(size=(37, 8))])
+    chunks = spark.createDataFrame([(i, v.tolist(), "h") for i, v in enumerate(V)], "cid long, embedding array<float>, content_hash string")
+    queries = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(Q)], "qid int, qvec array<double>")
+    got = sorted((h.qid, h.rank, h.cid, h.dist) for h in L.search(queries, chunks, k=4, query_block=11).collect())
+    want = []
+    for i, q in enumerate(Q):
+        d = np.round(((V.astype(float) - q) ** 2).sum(1), 6)
+        want += [(i, rank + 1, int(j)) for rank, j in enumerate(np.lexsort((np.arange(len(V)), d))[:4])]
+    assert [h[:3] for h in got] == want
+    # about 47 blocks in 16 regions
+    assert 0 < written["meetings"].count() <= len(Q) * (L.REGIONS + 4)
+
+
+def test_placing_works_on_small_slices(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.record_batch({"cid": pa.array(range(5000)), "v": pa.array(np.ones((5000, 2), np.float32).tolist(), pa.list_(pa.float32()))})
+    parts = list(L._slices(batch))
+    assert sum(p.num_rows for p in parts) == 5000 and max(p.num_rows for p in parts) <= L.BLOCK_ROWS
+    assert L._matrix(parts[-1].column(1)).shape == (5000 % L.BLOCK_ROWS, 2)
