@@ -144,4 +144,8 @@ def sentences(c) -> Column:
     whitespace is dropped and empty pieces are removed. The SQL twin (RE2, no
     look-behind) marks the break with char(1) and splits on that instead.
     """
-    return F.array_remove(F.split(strip_ws(c), SENTENCE_SPLIT), "")
+    col = _c(c)
+    # trimmed without a regex, but where its "$" would also match before a last line separator
+    ends = F.right(col, F.lit(1)).isin("\u0085", "\u2028", "\u2029")
+    stripped = F.when(ends, strip_ws(col)).otherwise(F.btrim(col, F.lit(" \t\r\n\f\x0b")))
+    return F.array_remove(F.split(stripped, SENTENCE_SPLIT), "")

@@ -54,13 +54,16 @@ def pack_chunks(sents, max_chars: int = MAX_CHUNK_CHARS):
                             F.when(full, F.array_append(acc["cuts"], acc["seen"])).otherwise(acc["cuts"]).alias("cuts"))
 
         cuts = F.aggregate(F.transform(texts, F.length), init, step, lambda acc: acc["cuts"])
-        begins = F.concat(F.array(F.lit(0)), cuts)
-        ends = F.concat(cuts, F.array(F.size(texts)))
-        joined = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda c: F.when(
-            c["a"] == c["b"], F.lit("")).otherwise(F.concat(F.array_join(F.slice(texts, c["a"] + 1, c["b"] - c["a"]), " "), F.lit(" "))))
-        return F.when(F.size(texts) > 0, joined).otherwise(F.when(texts.isNotNull(), F.array().cast("array<string>")))
 
-    # the lambda's argument is computed once, however often it is used
+        def joined(cuts):
+            begins = F.concat(F.array(F.lit(0)), cuts)
+            ends = F.concat(cuts, F.array(F.size(texts)))
+            return F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda c: F.when(
+                c["a"] == c["b"], F.lit("")).otherwise(F.concat(F.array_join(F.slice(texts, c["a"] + 1, c["b"] - c["a"]), " "), F.lit(" "))))
+
+        return F.when(F.size(texts) > 0, F.transform(F.array(cuts), joined)[0]).otherwise(F.when(texts.isNotNull(), F.array().cast("array<string>")))
+
+    # a lambda's argument is computed once, however often it is used
     return F.transform(F.array(sents), packed)[0]
 
 
@@ -78,12 +81,13 @@ def chunk_documents(docs: DataFrame, text_col: str = "text", title_col: str = "t
         F.col(title_col).alias("source"),
         pack_chunks(sentences(text_col), max_chars).alias("chunks"),
     )
+    # the outer form and a test of its rows: for the plain one Spark infers a filter on the array, which packs every text twice
     return packed.select(
         *keep,
         "content_hash",
         "source",
-        F.posexplode("chunks").alias("pos", "text"),
-    ).select(
+        F.posexplode_outer("chunks").alias("pos", "text"),
+    ).filter(F.col("pos").isNotNull()).select(
         *keep,
         F.concat(F.col("content_hash"), F.lit("_chunk"), (F.col("pos") + 1).cast("string")).alias("chunk_id"),
         (F.col("pos") + 1).alias("chunk_no"),
@@ -102,18 +106,13 @@ def with_title(docs: DataFrame) -> DataFrame:
 def _first_per_hash(docs: DataFrame, text_col: str, order_col: str) -> DataFrame:
     """Keep the first document (by ``order_col``; one without it comes last) of each content hash.
 
-    Only (hash, order) is aggregated, with a map-side combine; the hashes that
-    occur more than once are joined back to drop their later documents, so
-    texts are sent to other tasks only where that list is too long to be sent to them.
+    Texts are sent to other tasks once, and of a hash only the first document
+    of each task: Spark applies the row-number limit before the shuffle.
     """
-    hashed = docs.withColumn("content_hash", content_hash(text_col))
-    repeated = hashed.groupBy("content_hash").agg(F.min(order_col).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    marked = hashed.join(repeated.withColumnRenamed("content_hash", "_hash"),
-                         F.col("content_hash").eqNullSafe(F.col("_hash")), "left")
-    once = marked.filter(F.col("_n").isNull())
+    first = Window.partitionBy("content_hash").orderBy(F.col(order_col).asc_nulls_last())
+    hashed = docs.withColumn("content_hash", content_hash(text_col)).withColumn("_place", F.row_number().over(first))
     # of rows with equal hash and order one is kept
-    first = marked.filter(F.col(order_col).eqNullSafe(F.col("_first"))).dropDuplicates(["content_hash"])
-    return once.unionByName(first).select("content_hash", *docs.columns)
+    return hashed.filter(F.col("_place") == 1).select("content_hash", *docs.columns)
 
 
 def ingest_documents(new_docs: DataFrame, library_hashes: DataFrame | None, text_col: str = "text",
@@ -189,8 +188,8 @@ def token_bucket(tok, dim: int = DEFAULT_DIM):
 
 
 def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encoder=None,
-          encoder_factory=None) -> DataFrame:
-    """``(key, embedding array<float>)`` for every input row.
+          encoder_factory=None, keep=()) -> DataFrame:
+    """``(key, *keep, embedding array<float>)`` for every input row.
 
     With ``encoder`` (a function ``pandas.Series[str] -> list of vectors``) or
     ``encoder_factory`` (builds one; called once per Python worker) the texts go
@@ -200,24 +199,33 @@ def embed(df: DataFrame, key: str, text_col: str, dim: int = DEFAULT_DIM, encode
     zero vector.
     """
     if encoder is not None or encoder_factory is not None:
-        return _embed_with_encoder(df, key, text_col, encoder, encoder_factory)
+        return _embed_with_encoder(df, key, text_col, encoder, encoder_factory, keep)
     ship_package(df.sparkSession)
-    buckets = F.transform(hash_tokens(text_col), lambda t: token_bucket(t, dim))
-    return df.select(key, _bucket_vectors(dim)(F.coalesce(buckets, F.array().cast("array<bigint>"))).alias("embedding"))
+    tokens = F.coalesce(hash_tokens(text_col), F.array().cast("array<string>"))
+    return df.select(key, *keep, _bucket_vectors(dim)(tokens).alias("embedding"))
 
 
 def _bucket_vectors(dim: int):
-    """Counts of a row's buckets as a unit vector: one histogram per Arrow batch."""
+    """Counts of a row's tokens by bucket as a unit vector: a distinct token of an Arrow batch is hashed once, as ``token_bucket`` does."""
+    from hashlib import md5
+
     import numpy as np
+    import pyarrow.compute as pc
 
     @F.arrow_udf("array<float>")
     def vectors(rows: pa.Array) -> pa.Array:
         out = []
+        sizes, tokens = rows.value_lengths().to_numpy(), rows.flatten().dictionary_encode()
+        # tokens are letters and digits only: one text of the distinct ones is split at once
+        distinct = pa.ListArray.from_arrays(pa.array([0, len(tokens.dictionary)], pa.int32()), tokens.dictionary.cast(pa.binary()))
+        hashes = b"".join(md5(t).digest()[:4] for t in pc.binary_join(distinct, b" ")[0].as_py().split(b" "))
+        buckets = (np.frombuffer(hashes, ">u4") % dim).astype(np.int32)[tokens.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
         for first in range(0, len(rows), 1000):
-            part = rows.slice(first, 1000)
-            sizes = part.value_lengths().to_numpy()
-            owner = np.repeat(np.arange(len(part)), sizes)
-            counts = np.bincount(owner * dim + part.flatten().to_numpy(), minlength=len(part) * dim).reshape(len(part), dim)
+            part = sizes[first:first + 1000]
+            owner = np.repeat(np.arange(len(part)), part)
+            of = buckets[ends[first]:ends[first + len(part)]]
+            counts = np.bincount(owner * dim + of, minlength=len(part) * dim).reshape(len(part), dim)
             norm = np.sqrt((counts * counts).sum(1))
             unit = (counts / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
             out.append(pa.ListArray.from_arrays(np.arange(0, unit.size + 1, dim, dtype=np.int32), unit.ravel()))
@@ -226,7 +234,7 @@ def _bucket_vectors(dim: int):
     return vectors
 
 
-def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder_factory=None) -> DataFrame:
+def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder_factory=None, keep=()) -> DataFrame:
     """A plugged model: ``encoder(texts)``, or ``encoder_factory()`` building the
     encoder once per Python worker (for models that are costly to load)."""
     from tessera.operators.complete import cached_model
@@ -239,7 +247,7 @@ def _embed_with_encoder(df: DataFrame, key: str, text_col: str, encoder, encoder
         return pd.Series(list(enc(texts.fillna(""))))
 
     # nondeterministic: Catalyst must not run the model twice for one row
-    return df.select(key, _encode.asNondeterministic()(F.col(text_col)).alias("embedding"))
+    return df.select(key, *keep, _encode.asNondeterministic()(F.col(text_col)).alias("embedding"))
 
 
 # D7 ------------------------------------------------------------------------
@@ -296,6 +304,38 @@ def _matrix(lists):
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+def _selected(chunks: DataFrame, ids: "DataFrame | list | None", ckey: str, cvec: str, chash: str) -> DataFrame:
+    """``cid, v`` of the chunks restricted to ``ids``."""
+    cand = chunks
+    if isinstance(ids, (list, tuple, set)):
+        cand = cand.filter(F.col(chash).isin(list(ids))) if ids else cand.limit(0)   # empty selection: nothing
+    elif ids is not None:
+        cand = cand.join(ids.select(F.col(ids.columns[0]).alias(chash)).distinct(), chash, "left_semi")
+    return cand.select(F.col(ckey).alias("cid"), F.col(cvec).cast("array<float>").alias("v"))
+
+
+def _cells(cand: DataFrame, max_cells: int) -> int:
+    """Cells of an index."""
+    return int(min(max_cells, max(8, round(math.sqrt(cand.count())))))
+
+
+def _numbered(queries: DataFrame, qkey: str, qvec: str) -> DataFrame:
+    """``qid, q, n`` of the queries. Single precision stays so; numbered and written: they are read several times."""
+    kind = "array<float>" if dict(queries.dtypes)[qvec] == "array<float>" else "array<double>"
+    return pinned(queries.select(F.col(qkey).alias("qid"), F.col(qvec).cast(kind).alias("q"), F.monotonically_increasing_id().alias("n")), "queries")
+
+
+def _no_hits(spark, qtype: str, ctype: str, qkey: str, ckey: str) -> DataFrame:
+    return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
+
+
+def _ranked(found: DataFrame, qs: DataFrame, k: int, qkey: str, ckey: str) -> DataFrame:
+    """The k first of the ``found`` rows of each numbered query, by distance and id."""
+    w = Window.partitionBy("n").orderBy(F.col("dist"), F.col("cid"))
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.join(qs.select("n", "qid"), "n").select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
+
+
 def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey: str = "cid", cvec: str = "embedding",
                 chash: str = "content_hash", n_cells: int | None = None, max_cells: int = 1024,
                 path: str | None = None) -> VectorIndex:
@@ -313,15 +353,10 @@ def build_index(chunks: DataFrame, ids: "DataFrame | list | None" = None, ckey:
 
     spark = chunks.sparkSession
     ship_package(spark)
-    cand = chunks
-    if isinstance(ids, (list, tuple, set)):
-        cand = cand.filter(F.col(chash).isin(list(ids))) if ids else cand.limit(0)   # empty selection: nothing
-    elif ids is not None:
-        cand = cand.join(ids.select(F.col(ids.columns[0]).alias(chash)).distinct(), chash, "left_semi")
-    cand = cand.select(F.col(ckey).alias("cid"), F.col(cvec).cast("array<float>").alias("v"))
+    cand = _selected(chunks, ids, ckey, cvec, chash)
     ctype = dict(cand.dtypes)["cid"]
     if n_cells is None:
-        n_cells = int(min(max_cells, max(8, round(math.sqrt(cand.count())))))
+        n_cells = _cells(cand, max_cells)
     cents = [r[0] for r in cand.orderBy(F.xxhash64("cid"), "cid").select("v").limit(n_cells).collect()]
     C = np.asarray(cents, dtype=np.float64)
 
@@ -387,14 +422,15 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
     like the SQL twin). Unstructured vectors leave little to rule out: exact
     search then compares a query with most rows.
     """
-    spark = queries.sparkSession
-    ship_package(spark)
-    qtype, ctype = dict(queries.dtypes)[qkey], index.ctype
     if not len(index.cells):
-        return spark.createDataFrame([], f"{qkey} {qtype}, rank int, {ckey} {ctype}, dist double")
-    # single precision stays so; numbered and written: the bounds and the vectors are taken from it one after the other
-    kind = "array<float>" if dict(queries.dtypes)[qvec] == "array<float>" else "array<double>"
-    qs = pinned(queries.select(F.col(qkey).alias("qid"), F.col(qvec).cast(kind).alias("q"), F.monotonically_increasing_id().alias("n")), "queries")
+        return _no_hits(queries.sparkSession, dict(queries.dtypes)[qkey], index.ctype, qkey, ckey)
+    return _search_blocks(_numbered(queries, qkey, qvec), index, k, qkey, ckey, query_block)
+
+
+def _search_blocks(qs: DataFrame, index: VectorIndex, k: int, qkey: str, ckey: str, query_block: int) -> DataFrame:
+    """Numbered queries against an index that is not empty."""
+    ship_package(qs.sparkSession)
+    ctype = index.ctype
     held = (index.centroids, index.cells, index.counts, index.radii, index.norm)
     bands = qs.select("n", "q").mapInArrow(_bands(held, k), "n bigint, cell int, low double, high double, tau double")
     size = min(max(math.ceil(int(index.counts.sum()) / BLOCK_ROWS / REGIONS), 1), REGION_BLOCKS)   # blocks of a region
@@ -410,10 +446,7 @@ def search_index(queries: DataFrame, index: VectorIndex, k: int = SEARCH_K, qkey
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("region", "part", "bit", "cid", "v")
     # a group's queries come before its rows
     both = asked.unionByName(rows, allowMissingColumns=True).repartition(int(groups), "region", "part").sortWithinPartitions("region", "part", "bit")
-    found = both.mapInArrow(_meet(k), f"n bigint, cid {ctype}, dist double")
-    w = Window.partitionBy("n").orderBy(F.col("dist"), F.col("cid"))
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.join(qs.select("n", "qid"), "n").select(F.col("qid").alias(qkey), "rank", F.col("cid").alias(ckey), "dist")
+    return _ranked(both.mapInArrow(_meet(k), f"n bigint, cid {ctype}, dist double"), qs, k, qkey, ckey)
 
 
 def _bands(held, k: int):
@@ -444,27 +477,26 @@ def _bands(held, k: int):
 
 
 class _Meeting:
-    """The queries of a region's part, each with the k nearest of the rows seen so far that are within its bound."""
+    """Numbered queries, each with the k nearest of the rows seen so far that are within its bound."""
 
-    def __init__(self, asked: list, k: int):
+    def __init__(self, n, q, bound, k: int):
         import numpy as np
 
-        self.k = k
-        self.n, self.mask = (np.concatenate([b.column(c).to_numpy() for b in asked]) for c in ("n", "mask"))
-        self.bound = np.concatenate([b.column("tau").to_numpy() for b in asked]) ** 2 * (1 + 1e-9) + 1e-9
-        self.q = np.concatenate([_matrix(b.column("q")) for b in asked])
+        self.n, self.q, self.bound, self.k = n, q, bound, k
         self.dist = np.full((len(self.n), k), np.inf)
         self.cid = np.full((len(self.n), k), None, object)
 
-    def see(self, rows) -> None:
-        """``rows`` of one block."""
+    def see(self, rows, asking) -> None:
+        """``rows`` (at most a block) for the queries at ``asking``."""
         import numpy as np
 
         V = _matrix(rows.column("v")).astype(np.float64)
         cids = np.empty(len(V), object)
         cids[:] = rows.column("cid").to_pylist()
-        asking = np.flatnonzero(self.mask >> rows.column("bit")[0].as_py() & 1)
-        for first in range(0, len(asking), BLOCK_ROWS):
+        finite = np.isfinite(V).all(axis=1)          # others have no distance, and would spoil the error bound of the rest
+        if not finite.all():
+            V, cids = V[finite], cids[finite]
+        for first in range(0, len(asking) if len(V) else 0, BLOCK_ROWS):
             self._compare(asking[first:first + BLOCK_ROWS], V, cids, rows.schema.field("cid").type)
 
     def _compare(self, mine, V, cids, ctype) -> None:
@@ -475,6 +507,10 @@ class _Meeting:
         Q, last = self.q[mine].astype(np.float64), min(self.k, len(V)) - 1
         approx, margin = _approx_sqdist(Q, V), _slack(Q, V)
         limit = np.minimum(self.bound[mine], self.dist[mine, -1])
+        near = (approx <= (limit + margin)[:, None]).any(axis=1)
+        if not near.any():
+            return
+        mine, Q, approx, margin, limit = mine[near], Q[near], approx[near], margin[near], limit[near]
         approx[approx > (limit + margin)[:, None]] = np.inf
         kth = np.partition(approx, last, axis=1)[:, last]
         # finite only: with fewer than k candidates the k-th is infinite
@@ -517,7 +553,7 @@ def _meet(k: int):
     import numpy as np
 
     def meet(batches):
-        current, asked, meeting = None, [], None
+        current, asked, meeting, mask = None, [], None, None
         for batch in batches:
             ctype = batch.schema.field("cid").type
             keys = np.stack([batch.column(c).to_numpy() for c in ("region", "part", "bit")])
@@ -534,10 +570,12 @@ def _meet(k: int):
                     asked.append(batch.slice(i, j - i).select(["n", "tau", "mask", "q"]))
                     continue
                 if meeting is None and asked:
-                    meeting, asked = _Meeting(asked, k), []
+                    n, mask, tau = (np.concatenate([b.column(c).to_numpy() for b in asked]) for c in ("n", "mask", "tau"))
+                    meeting, asked = _Meeting(n, np.concatenate([_matrix(b.column("q")) for b in asked]), tau ** 2 * (1 + 1e-9) + 1e-9, k), []
                 if meeting is not None:
-                    for rows in _slices(batch.slice(i, j - i).select(["bit", "cid", "v"])):
-                        meeting.see(rows)
+                    asking = np.flatnonzero(mask >> bit & 1)
+                    for rows in _slices(batch.slice(i, j - i).select(["cid", "v"])) if len(asking) else ():
+                        meeting.see(rows, asking)
         if meeting is not None:
             yield from meeting.found(ctype)
 
@@ -553,11 +591,44 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = SEARCH_K, ids: "DataF
     Result: ``qid, rank, cid, dist`` with ``dist`` rounded to 6 digits, ties by
     id: ``build_index`` then ``search_index``
     (build the index once and search it many times when queries come in
-    batches). Distances are computed in numpy blocks: Spark 4.1 has no vector
+    batches). Where the queries are fewer than the cells the index would have,
+    placing a chunk would compare it with more centroids than there are
+    queries: each chunk is then compared with the queries where it lies, and
+    only the k nearest of each task are sent on. Distances are computed in numpy blocks: Spark 4.1 has no vector
     functions and higher-order lambdas run interpreted.
     """
+    cand = _selected(chunks, ids, ckey, cvec, chash)
+    n_cells = n_cells if n_cells is not None else _cells(cand, max_cells)
+    qs = _numbered(queries, qkey, qvec)
+    if qs.count() < n_cells:
+        return _search_rows(qs, cand, k, qkey, ckey)
     index = build_index(chunks, ids, ckey, cvec, chash, n_cells, max_cells)
-    return search_index(queries, index, k, qkey, qvec, ckey, query_block)
+    if not len(index.cells):
+        return _no_hits(qs.sparkSession, dict(qs.dtypes)["qid"], index.ctype, qkey, ckey)
+    return _search_blocks(qs, index, k, qkey, ckey, query_block)
+
+
+def _search_rows(qs: DataFrame, cand: DataFrame, k: int, qkey: str, ckey: str) -> DataFrame:
+    """Every candidate row against fewer queries than an index has centroids; they ship to the tasks as the centroids would."""
+    import numpy as np
+
+    spark, ctype = qs.sparkSession, dict(cand.dtypes)["cid"]
+    ship_package(spark)
+    held = qs.select("n", "q").toArrow().combine_chunks()
+    if not held.num_rows:
+        return _no_hits(spark, dict(qs.dtypes)["qid"], ctype, qkey, ckey)
+    n, Q = held.column("n").to_numpy(), _matrix(held.column("q").combine_chunks())
+
+    def nearest(batches):
+        meeting, everyone = _Meeting(n, Q, np.full(len(n), np.inf), k), np.arange(len(n))
+        for batch in batches:
+            for rows in _slices(batch):
+                meeting.see(rows, everyone)
+            kind = batch.schema.field("cid").type
+        if np.isfinite(meeting.dist).any():
+            yield from meeting.found(kind)
+
+    return _ranked(cand.mapInArrow(nearest, f"n bigint, cid {ctype}, dist double"), qs, k, qkey, ckey)
 
 
 # D8 ------------------------------------------------------------------------

@@ -153,11 +153,12 @@ SELECT d.title, lib.content_hash FROM (SELECT {d_title()} AS title FROM document
 
 def d9_docu_search(spark, sf):
     """docu_search: benchmark items as queries over the embedded chunk library, k=5, context text."""
-    chunks = pinned(L.chunk_documents(_library(spark, sf)), "chunks")
-    lib = pinned(chunks.join(L.embed(chunks, "chunk_id", "text"), "chunk_id"), "library")   # read twice
+    chunks = L.chunk_documents(_library(spark, sf))
+    lib = pinned(L.embed(chunks, "chunk_id", "text", keep=("chunk_no", "text", "source", "content_hash")), "library")   # read twice
     qs = L.embed(T(spark, sf, "benchmark"), "item_id", "text").select(F.col("item_id").alias("qid"),
                                                                       F.col("embedding").alias("qvec"))
-    hits = L.search(qs, lib.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash"), k=5)
+    # written: the planner sees how few they are, and need not send the library's texts to them
+    hits = pinned(L.search(qs, lib.select(F.col("chunk_id").alias("cid"), "embedding", "content_hash"), k=5), "hits")
     hits = hits.join(lib.select(F.col("chunk_id").alias("cid"), "text", "source"), "cid")
     ctx = L.assemble_context(hits)
     return ctx.select("qid", F.length("context").cast("bigint").alias("n_chars"),

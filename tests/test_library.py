@@ -207,3 +207,69 @@ def test_placing_works_on_small_slices(spark):
     parts = list(L._slices(batch))
     assert sum(p.num_rows for p in parts) == 5000 and max(p.num_rows for p in parts) <= L.BLOCK_ROWS
     assert L._matrix(parts[-1].column(1)).shape == (5000 % L.BLOCK_ROWS, 2)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_text_is_packed_once(spark):
+    rows = [(1, "One. Two! Three?", "t"), (2, "", "t"), (3, None, "t"), (4, "  ", "t"), (5, "x " * 600 + ". End.", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, title string")
+    chunks = L.chunk_documents(docs, keep=("doc_id",))
+    # no filter inferred from the generator that splits and packs again, and one fold
+    assert optimized(chunks).count("aggregate(") == 1
+    want = [(1, 1, "One. Two! Three? "), (5, 1, ""), (5, 2, "x " * 600 + ". "), (5, 3, "End. ")]
+    assert sorted((c.doc_id, c.chunk_no, c.text) for c in chunks.collect()) == want
+
+
+def test_ingest_sends_texts_to_other_tasks_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 7}", "t") for i in range(50)], "doc_id long, text string, title string").repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = L.ingest_documents(docs, None)
+        plan = optimized(new)
+        assert "Join" not in plan and plan.count("Window [") == 1
+        assert sorted((r.doc_id, r.text) for r in new.collect()) == [(i, f"text {i}") for i in range(7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_embedding_keeps_columns_and_hashes_as_token_bucket(spark):
+    texts = ["Wörter und wörter", "а б в Ä ß", "x1 y2 x1", "", None, "中文 字 İ", "!!", "end of it"]
+    df = spark.createDataFrame([(i, t, i * 10) for i, t in enumerate(texts)], "id int, t string, more int").coalesce(1)
+    got = {r.id: (r.more, list(r.embedding)) for r in L.embed(df, "id", "t", dim=50, keep=("more",)).collect()}
+    buckets = df.select("id", F.transform(L.hash_tokens("t"), lambda x: L.token_bucket(x, 50)).alias("b")).collect()
+    for r in buckets:
+        counts = [(r.b or []).count(i) for i in range(50)]
+        norm = sum(c * c for c in counts) ** 0.5 or 1
+        assert got[r.id][0] == r.id * 10 and all(abs(x - c / norm) < 1e-6 for x, c in zip(got[r.id][1], counts))
+
+
+def test_few_queries_meet_the_rows_where_they_lie(spark, monkeypatch):
+    import numpy as np
+
+    written, pinned = [], L.pinned
+    monkeypatch.setattr(L, "pinned", lambda df, name: written.append(name) or pinned(df, name))
+    r = np.random.default_rng(11)
+    V = np.concatenate([np.zeros((40, 6)), r.normal(size=(2500, 6)), np.ones((40, 6))]).astype(np.float32)      # copies tie by id
+    V[100] = np.nan
+    Q = np.concatenate([np.zeros((2, 6)), np.ones((1, 6)), r.normal(size=(9, 6))])
+    ids = [f"c{i:05d}" for i in r.permutation(len(V))]
+    chunks = spark.createDataFrame([(c, v.tolist(), "h" if i % 5 else "other") for i, (c, v) in enumerate(zip(ids, V))],
+                                   "hit string, embedding array<float>, content_hash string").repartition(5)
+    queries = spark.createDataFrame([(i % 10, q.tolist()) for i, q in enumerate(Q)], "ask int, v array<double>")   # some ids twice
+    for chosen in (None, ["h"]):
+        got = L.search(queries, chunks, k=4, ids=chosen, qkey="ask", qvec="v", ckey="hit").collect()
+        want = []
+        for i, q in enumerate(Q):
+            d = np.round(((V.astype(float) - q) ** 2).sum(1), 6)
+            found = sorted((x, c) for j, (x, c) in enumerate(zip(d, ids)) if np.isfinite(x) and (not chosen or j % 5))[:4]
+            want += [(i % 10, rank + 1, c, x) for rank, (x, c) in enumerate(found)]
+        assert sorted((h.ask, h.rank, h.hit) for h in got) == sorted(w[:3] for w in want)
+        assert np.allclose(sorted(h.dist for h in got), sorted(w[3] for w in want), atol=2e-6)
+    # no chunk is placed, written or sent on
+    assert "queries" in written and not {"rings", "meetings"} & set(written)
+    assert L.search(queries.limit(0), chunks, qkey="ask", qvec="v", ckey="hit").collect() == []
+    assert L.search(queries, chunks.limit(0), qkey="ask", qvec="v", ckey="hit").collect() == []

@@ -56,3 +56,11 @@ def test_sentences(spark):
     got = [r[0] for r in df.select(X.sentences("t")).collect()]
     assert got[0] == ["A b.", "C d!", "E?", "F"]
     assert got[1] == []
+
+
+def test_sentences_are_trimmed_as_before(spark):
+    ends = ["", " ", "\n", "\r\n", "\u0085", "\u2028", "\u2029", " \u2028", "\n\u0085", "\u2028 ", " \u2029\u2029", "\x0b\f", "\u00a0", "\x1f"]
+    texts = [(None,), ("",)] + [(a + "One. Two!\tThree" + b,) for a in ends for b in ends] + [(a + b,) for a in ends for b in ends]
+    df = spark.createDataFrame(texts, "s string").select("s", X.sentences("s").alias("got"),
+                                                         F.array_remove(F.split(X.strip_ws("s"), X.SENTENCE_SPLIT), "").alias("want"))
+    assert all(r.got == r.want for r in df.collect())
